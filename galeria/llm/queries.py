@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op2_license_scan": "licenses",
+    "op3_url_filter": "urls",
     "op4_decontaminate": "decontam",
     "op6_shard": "shard",
 }
@@ -17,4 +19,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name, where SQL can express the query."""
-    return {}
+    modules = {name: importlib.import_module(f"galeria.llm.{m}") for name, m in MODULES.items()}
+    return {name: m.ORACLE_SQL for name, m in modules.items() if getattr(m, "ORACLE_SQL", None)}
