@@ -40,10 +40,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder; return it reread, and its path."""
+    """Write ``df`` as a Parquet table in the shared folder; return it reread, and its path.
+
+    The table goes when the driver's JVM ends, or earlier through ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
