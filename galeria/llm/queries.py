@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_near_duplicates": "dedup",
     "op2_license_scan": "licenses",
     "op3_url_filter": "urls",
     "op4_decontaminate": "decontam",
