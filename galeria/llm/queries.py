@@ -10,6 +10,7 @@ MODULES = {
     "op3_url_filter": "urls",
     "op4_decontaminate": "decontam",
     "op6_shard": "shard",
+    "op8_language": "langid",
     "op9_mix": "mix",
     "op10_pii": "pii",
 }
