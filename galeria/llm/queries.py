@@ -9,6 +9,7 @@ MODULES = {
     "op2_license_scan": "licenses",
     "op3_url_filter": "urls",
     "op4_decontaminate": "decontam",
+    "op5_quality": "quality",
     "op6_shard": "shard",
     "op8_language": "langid",
     "op9_mix": "mix",
