@@ -11,6 +11,7 @@ MODULES = {
     "op4_decontaminate": "decontam",
     "op5_quality": "quality",
     "op6_shard": "shard",
+    "op7_neighbours": "ann",
     "op8_language": "langid",
     "op9_mix": "mix",
     "op10_pii": "pii",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.llm.common import checkpoint, fresh, table
+from galeria.llm.common import fresh, stored, table
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,21 +57,22 @@ def numbered(df: DataFrame, order: list[str], number: str, partitions: int | Non
 
     Range partitioning on ``order`` and then on the row's arrival: a value that a third of
     all rows hold is spread over partitions, and rows equal in ``order`` may change places.
-    The sorted rows are checkpointed in the shared folder, so that partition counts and
-    numbers come from the same rows. Only one count per partition comes to the driver.
+    The sorted rows are written to the shared folder with their partition and place, so
+    that counts and numbers come from the same rows. Only one count per partition comes to
+    the driver.
     """
     spark = df.sparkSession
-    arrival = fresh(df, "arrival")
+    arrival, part, place = fresh(df, "arrival"), fresh(df, "part"), fresh(df, "place")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(n, *order, arrival)
-    held = checkpoint(dealt.sortWithinPartitions(*order, arrival).drop(arrival))
     at = F.monotonically_increasing_id()  # the partition's number, then 33 bits of position
-    counts = held.select(F.shiftright(at, 33).alias("p")).groupBy("p").count().collect()
+    dealt = dealt.sortWithinPartitions(*order, arrival).drop(arrival)
+    held, _ = stored(dealt.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     total, firsts = 0, {}
-    for p, count in sorted((r["p"], r["count"]) for r in counts):
+    for p, count in sorted((r[part], r["count"]) for r in held.groupBy(part).count().collect()):
         firsts[p], total = total, total + count
     base = lookup([firsts.get(p, 0) for p in range(max(firsts, default=0) + 1)])
-    return held.withColumn(number, base[F.shiftright(at, 33).cast("int")] + at.bitwiseAND(F.lit((1 << 33) - 1))), total
+    return held.withColumn(number, base[F.col(part)] + F.col(place)).drop(part, place), total
 
 
 def lookup(values: list[int]) -> Column:
@@ -119,3 +120,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 16, seed: int = 0) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` (clashing names get an underscore)."""
+    sized, size, crc = measured(docs, text)
+    rows, (number, _, _) = shard(sized, [key, size, crc], n_shards, seed)
+    return rows.drop(size, crc, number)
