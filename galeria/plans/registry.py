@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeria.plans import catalog_queries
+from galeria.plans import catalog_queries, event_queries, vector_queries  # noqa: F401  the latter two register theirs
 
 
 def queries() -> dict:
