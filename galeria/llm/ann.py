@@ -92,10 +92,11 @@ class Index:
         rows, at = np.nonzero(chosen)
         return rows, ids[rows, at]
 
-    def probes(self, x: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of the lists that a query reads."""
+    def probes(self, x: np.ndarray, ratio: float, beam: int, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of the lists that a query reads: within the ratio, and until they hold ``least`` vectors."""
         ids, d = self.search(x, beam)
-        rows, at = np.nonzero((d <= ratio * d[:, :1]) & (d >= 0))
+        before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
+        rows, at = np.nonzero((d <= ratio * d[:, :1]) | (before < least))
         return rows, ids[rows, at]
 
 
@@ -181,13 +182,14 @@ def neighbours(
 
     schema = rows.select(F.lit(0).alias("list"), "id", "v").schema
     posted = checkpoint(rows.mapInArrow(_deal(lambda u: sent.value.postings(u, border, replicas), dim), schema))
-    asked = checkpoint(rows.where(queries).mapInArrow(_deal(lambda u: sent.value.probes(u, ratio, beam), dim), schema))
 
-    def parts(df: DataFrame) -> Column:
+    def counted(df: DataFrame) -> np.ndarray:
         sizes = {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}
-        return lookup([-(-sizes.get(i, 0) // block) for i in range(len(index.centroids))])[F.col("list")]
+        return np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
 
-    own, other = parts(posted), parts(asked)
+    sizes, least = counted(posted), 10 * k * replicas
+    asked = checkpoint(rows.where(queries).mapInArrow(_deal(lambda u: sent.value.probes(u, ratio, beam, sizes, least), dim), schema))
+    own, other = (lookup((-(-n // block)).tolist())[F.col("list")] for n in (sizes, counted(asked)))
     salt = lambda count: F.pmod(F.xxhash64("id", F.lit(1)), count)
     each = lambda count: F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)))
     posted = posted.select("list", salt(own).alias("p"), each(other).alias("q"), "id", "v")

@@ -156,7 +156,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return Network.fit(x, np.array([number[r["lang"]] for r in got], int), names) if names else Network([], *[None] * 5)
 
 
-def _predict(network: Network, bytes_at_once: int = 4 << 20):
+def _predict(network: Network, added: tuple[str, str], bytes_at_once: int = 4 << 20):
     def flush(held: list[np.ndarray], sizes: list[int], score) -> np.ndarray:
         counts = [len(w) for w in held]
         p = score(np.concatenate(held)).astype(np.float64)
@@ -193,7 +193,7 @@ def _predict(network: Network, bytes_at_once: int = 4 << 20):
                     size = 0
             if rows:
                 done()
-            names = [*batch.schema.names[:-1], "_pred", "_score"]
+            names = [*batch.schema.names[:-1], *added]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred), pa.array(np.clip(best, 0, 1))], names)
 
     return run
@@ -209,9 +209,8 @@ def predict(docs: DataFrame, network: Network, text: str = "text", keep: list[st
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
     value = fresh(docs, "text_")
     rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias(value))
-    schema = rows.schema.fields[:-1]
-    out = rows.mapInArrow(_predict(network), T.StructType([*schema, T.StructField("_pred", T.StringType()), T.StructField("_score", T.DoubleType())]))
-    return out.withColumnsRenamed({"_pred": names[0], "_score": names[1]}), *names
+    added = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return rows.mapInArrow(_predict(network, names), T.StructType([*rows.schema.fields[:-1], *added])), *names
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,13 +177,12 @@ class Mixture:
         drawn = self.slots.select(F.col("source_index").alias("i"), "block", "round")
         met = self.pieces().join(drawn, ["i", "block"]).groupBy("p", "at", "n", "round")
         part, place = self.names["part"], self.names["place"]
-        runs = F.array_sort(F.collect_list(F.struct("lo", "hi")))
-        met = met.agg(runs.alias("runs_"), F.sum(F.col("hi") - F.col("lo")).alias("got_"))
-        met = met.withColumn("runs_", F.when(F.col("got_") < F.col("n"), F.col("runs_")))
-        met = met.select(F.col("p").alias(part), F.col("at").alias(place), "runs_", "round")
+        runs = fresh(self.rows, "runs")
+        met = met.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
+        met = met.select(F.col("p").alias(part), F.col("at").alias(place), F.when(F.col("got") < F.col("n"), F.col("runs")).alias(runs))
         rows = self.rows.join(met, [part, place])
-        cut = F.when(F.col("runs_").isNull(), F.col(f"`{text}`")).otherwise(cut_words(F.col(f"`{text}`"), F.col("runs_")))
-        rows = rows.withColumn(text, cut)
+        cut = cut_words(F.col(f"`{text}`"), F.col(runs))
+        rows = rows.withColumn(text, F.when(F.col(runs).isNull(), F.col(f"`{text}`")).otherwise(cut))
         if n_chars:
             rows = rows.withColumn(n_chars, F.length(f"`{text}`").cast(rows.schema[n_chars].dataType))
         return rows.select(*(f"`{c}`" for c in columns))

@@ -183,14 +183,14 @@ def _examples(bits: int):
     return run
 
 
-def _scores(scorer: Scorer):
+def _scores(scorer: Scorer, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in batch.column(batch.num_columns - 1):
                 text = t.as_py()
                 out.append(scorer.score(hashed(text, measures(text), scorer.bits)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], name])
 
     return run
 
@@ -225,8 +225,7 @@ def scored(docs: DataFrame, scorer: Scorer, text: str = "text", keep: list[str]
     name, value = fresh(docs, "quality_score"), fresh(docs, "text_")
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
     rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias(value))
-    out = rows.mapInArrow(_scores(scorer), T.StructType([*kept, T.StructField("_score", T.DoubleType())]))
-    return out.withColumnRenamed("_score", name), name
+    return rows.mapInArrow(_scores(scorer, name), T.StructType([*kept, T.StructField(name, T.DoubleType())])), name
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
