@@ -58,22 +58,19 @@ def cover_faces(faces: DataFrame) -> DataFrame:
 def assign_nearest(faces: DataFrame, centers: DataFrame, rejections: DataFrame, threshold: float, most_centers: int = 20_000) -> DataFrame:
     """``face_id, person_id, score``: the nearest center that was not rejected for the face; no person below the threshold.
 
-    Up to ``most_centers`` centers are sent along as one array; beyond, faces are split into
-    blocks that each meet every center, so neither side is ever in one place.
+    Centers go in parts of about ``most_centers``, an array each; a face meets each part
+    once and keeps its best, so rows are faces times parts, not faces times centers.
     """
-    faces = faces.select(F.col("id").alias("face_id"), F.col("embedding").alias("v"))
+    parts = max(1, -(-centers.count() // most_centers))
+    salt = F.pmod(F.xxhash64("person_id"), F.lit(parts)).cast("int")
+    packed = centers.groupBy(salt.alias("part")).agg(F.collect_list(F.struct("person_id", "centroid")).alias("all"))
     no = rejections.groupBy("face_id").agg(F.collect_set("person_id").alias("no"))
-    faces = faces.join(no, "face_id", "left")
-    if centers.count() <= most_centers:
-        packed = F.broadcast(centers.agg(F.collect_list(F.struct("person_id", "centroid")).alias("all")).withColumn("k", F.lit(0)))
-        pairs = faces.withColumn("k", F.lit(0)).join(packed, "k").select("face_id", "v", "no", F.explode("all").alias("c"))
-        pairs = pairs.select("face_id", "v", "no", "c.person_id", "c.centroid")
-    else:
-        blocks = 64
-        faces = faces.withColumn("k", F.pmod(F.xxhash64("face_id"), F.lit(blocks)))
-        pairs = faces.join(centers.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")), "k")
-    pairs = pairs.where(~F.coalesce(F.array_contains("no", F.col("person_id")), F.lit(False)))
-    scored = pairs.select("face_id", "person_id", dot(F.col("v"), F.col("centroid")).alias("score"))
+    faces = faces.select(F.col("id").alias("face_id"), F.col("embedding").alias("v")).join(no, "face_id", "left")
+    met = faces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "part")
+    allowed = F.filter("all", lambda c: ~F.coalesce(F.array_contains("no", c["person_id"]), F.lit(False)))
+    near = F.transform(allowed, lambda c: F.struct(dot(F.col("v"), c["centroid"]).alias("score"), (-c["person_id"]).alias("minus")))
+    top = met.select("face_id", F.array_max(near).alias("t")).where("t IS NOT NULL")
+    scored = top.select("face_id", (-F.col("t.minus")).alias("person_id"), F.col("t.score").alias("score"))
     best = scored.groupBy("face_id").agg(F.max_by(F.struct("person_id", "score"), F.struct(F.col("score"), -F.col("person_id"))).alias("b"))
     return best.select("face_id", F.when(F.col("b.score") >= threshold, F.col("b.person_id")).alias("person_id"), "b.score")
 
