@@ -165,7 +165,7 @@ class Trees:
 
 
 def made_texts(n: int = 1200, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """Labelled texts by rule: (text, start, end, 1 if the span is personal data)."""
+    """Labelled texts by rule: (text, start, end, kind of the personal data there or -1)."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 9)))
@@ -177,31 +177,31 @@ def made_texts(n: int = 1200, seed: int = 11) -> list[tuple[str, int, int, int]]
         return r.choice((body, " ".join(body[i : i + 4] for i in range(0, len(body), 4))))
 
     yes = (
-        (lambda: f"{word()}.{word()}@{word()}.{r.choice(('com', 'org', 'de'))}", ("mail me at", "write to", "contact:", "and")),
-        (lambda: f"{word()} {r.choice(('(at)', '[at]'))} {word()} {r.choice(('(dot)', '[dot]'))} com", ("mail", "reach me at", "contact:")),
-        (lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), ("host", "ip address", "from", "the")),
-        (card, ("card", "visa", "payment card number", "with")),
-        (lambda: f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", ("call", "tel.", "phone:", "or")),
-        (lambda: f"({d(3)}) {d(3)}-{d(4)}", ("call", "phone", "fax:", "mobile")),
-        (lambda: f"{d(3)}-{d(2)}-{d(4)}", ("ssn", "social security number", "SSN:")),
-        (lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", ("iban", "IBAN:", "account")),
+        (0, lambda: f"{word()}.{word()}@{word()}.{r.choice(('com', 'org', 'de'))}", ("mail me at", "write to", "contact:", "and")),
+        (0, lambda: f"{word()} {r.choice(('(at)', '[at]'))} {word()} {r.choice(('(dot)', '[dot]'))} com", ("mail", "reach me at", "contact:")),
+        (1, lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), ("host", "ip address", "from", "the")),
+        (2, card, ("card", "visa", "payment card number", "with")),
+        (3, lambda: f"+{r.randint(1, 99)} {d(3)} {d(3)} {d(4)}", ("call", "tel.", "phone:", "or")),
+        (3, lambda: f"({d(3)}) {d(3)}-{d(4)}", ("call", "phone", "fax:", "mobile")),
+        (4, lambda: f"{d(3)}-{d(2)}-{d(4)}", ("ssn", "social security number", "SSN:")),
+        (5, lambda: f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", ("iban", "IBAN:", "account")),
     )
     no = (
-        (lambda: ".".join(str(r.randint(0, 900)) for _ in range(4)), ("version", "release", "build", "section")),
-        (lambda: d(r.randint(2, 22)), ("order", "ticket", "invoice no", "serial number", "of", "in")),
-        (lambda: f"{d(3)}-{d(3)}-{d(4)}", ("order", "part", "serial", "isbn")),
-        (lambda: f"{d(3)}-{d(2)}-{d(4)}", ("order", "part", "ticket id", "serial")),
-        (lambda: f"+{d(r.randint(2, 6))}", ("rose by", "grew", "score")),
-        (lambda: f"{word()} at {word()} dot {word()}", ("we met", "stay", "she stood")),
-        (lambda: f"AB{d(2)}CDEF{d(4)}GHIJ", ("part", "serial", "build", "id")),
-        (lambda: f"{d(2)} {d(2)} {d(4)} {d(1)}", ("on", "page", "figure", "table")),
+        (-1, lambda: ".".join(str(r.randint(0, 900)) for _ in range(4)), ("version", "release", "build", "section")),
+        (-1, lambda: d(r.randint(2, 22)), ("order", "ticket", "invoice no", "serial number", "of", "in")),
+        (-1, lambda: f"{d(3)}-{d(3)}-{d(4)}", ("order", "part", "serial", "isbn")),
+        (-1, lambda: f"{d(3)}-{d(2)}-{d(4)}", ("order", "part", "ticket id", "serial")),
+        (-1, lambda: f"+{d(r.randint(2, 6))}", ("rose by", "grew", "score")),
+        (-1, lambda: f"{word()} at {word()} dot {word()}", ("we met", "stay", "she stood")),
+        (-1, lambda: f"AB{d(2)}CDEF{d(4)}GHIJ", ("part", "serial", "build", "id")),
+        (-1, lambda: f"{d(2)} {d(2)} {d(4)} {d(1)}", ("on", "page", "figure", "table")),
     )
     out = []
     for i in range(n):
-        make, leads = r.choice(yes if i % 2 else no)
+        kind, make, leads = r.choice(yes if i % 2 else no)
         head = " ".join(word() for _ in range(r.randint(1, 6))) + " " + r.choice(leads) + " "
         span = make()
-        out.append((head + span + r.choice((" ", ". ", ", ")) + word(), len(head), len(head) + len(span), i % 2))
+        out.append((head + span + r.choice((" ", ". ", ", ")) + word(), len(head), len(head) + len(span), kind))
     return out
 
 
@@ -211,7 +211,7 @@ def _model(app: str, precision: float) -> tuple[Trees, tuple[float, ...]]:
     made = spark.createDataFrame([(*x, k) for k, x in enumerate(made_texts())], "text string, a int, b int, y int, k int")
     rows = made.select("a", "b", "y", "k", F.explode(candidates(F.col("text"))).alias("c")).orderBy("k", "c.start", "c.kind").collect()
     x = np.array([[r["c"]["f"][f] for f in FEATURES] for r in rows])
-    y = np.array([float(r["y"] and r["c"]["start"] < r["b"] and r["c"]["end"] > r["a"]) for r in rows])
+    y = np.array([float(r["y"] == r["c"]["kind"] and r["c"]["start"] < r["b"] and r["c"]["end"] > r["a"]) for r in rows])
     held = np.array([r["k"] % 3 == 0 for r in rows])
     trees = Trees.fit(x[~held], y[~held])
     p = trees.predict(x[held])
