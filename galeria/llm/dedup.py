@@ -132,9 +132,10 @@ def near_duplicates(
     Documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are
     linked; a component's id is its smallest ``key`` (integers). Null and empty texts have no
     shingles and are linked with nothing; a text of fewer than ``words`` words is one
-    shingle. Rows with the same key and text each keep their row; ``n_links`` counts verified
-    links of the text's class with other classes on the way. Rows with a null key come back
-    with null results. An empty table gives no rows.
+    shingle. Rows with the same key and text each keep their row (rows of one key hold one
+    text); ``n_links`` counts verified links of the text's class with other classes on the
+    way. A row with a null key stands for no component, and ``kept`` is null. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -199,19 +200,23 @@ def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     rest = checkpoint(rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("top")).alias("out")))
     full = rest.join(sets, "rep")
     tokens = full.select("rep", "comp", "out", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = tokens.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = tokens.join(common, "s").where("f > 1 OR n = 1")
-    # single shingles take prefix places too: their number is what the set has more than the shared ones
-    own = ranked.groupBy("rep", "comp", "out", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1
-    free = keep - (F.col("n") - F.size("shared"))
-    prefix = own.where(free > 0).select("rep", "comp", "out", "n", F.explode(F.slice("shared", F.lit(1), F.least(free, F.size("shared")).cast("int"))).alias("t"))
-    prefix = prefix.select("rep", "comp", "out", "n", F.col("t.s").alias("s"))
-    one = prefix.where("out").select(F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), "s")
-    two = prefix.select(F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("out").alias("oy"), "s")
-    pairs = one.join(two, "s").where(
-        (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    common = tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    # a set's single shingles come first in its order: their number is what it has more than the shared ones
+    own = tokens.join(common, "s").groupBy("rep", "comp", "out", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
+    single = F.col("n") - F.size("shared")
+    free = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - single
+    first = F.slice("shared", F.lit(1), F.least(free, F.size("shared")).cast("int"))
+    prefix = own.where(free > 0).select("rep", "comp", "out", "n", (F.col("n") - single).alias("left"), F.posexplode(first).alias("p", "t"))
+    # from its first common shingle on, a pair can share no more than either set has left
+    prefix = prefix.select("rep", "comp", "out", "n", (F.col("left") - F.col("p")).alias("left"), F.col("t.s").alias("s"))
+    one = prefix.where("out").select(F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"), "s")
+    two = prefix.select(
+        F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("out").alias("oy"), "s"
     )
+    pairs = one.join(two, "s").where(
+        (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y")))
+        & _similar(F.col("nx"), F.col("ny"), F.least("lx", "ly"), percent)
+    )
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -222,8 +227,9 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group: the smallest key's, once."""
+    """``docs`` with one document of each group: the smallest key's, once. Rows without a key stay."""
     found = near_duplicates(docs, text, key, **options)
     name = fresh(docs, "kept_id")
     kept = found.where("kept").select(F.col("doc_id").alias(name))
-    return docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi").dropDuplicates([key])
+    once = docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi").dropDuplicates([key])
+    return once.union(docs.where(F.col(f"`{key}`").isNull()))
