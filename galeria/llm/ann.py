@@ -157,7 +157,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def neighbours(
     vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, lists: int | None = None, sample: int = 20_000,
-    replicas: int = 4, border: float = 1.15, ratio: float = 1.22, beam: int = 256, block: int = 4096,
+    replicas: int = 3, border: float = 1.15, ratio: float = 1.3, beam: int = 256, block: int = 4096,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row of ``queries`` (a condition on ``id``).
 

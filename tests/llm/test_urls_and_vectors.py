@@ -54,7 +54,7 @@ def test_cascade_is_exact(spark, max_bits):
 
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16))
+    x = rng.normal(size=(60, 16))[rng.integers(60, size=3000)] + 0.5 * rng.normal(size=(3000, 16))
     x[100:400] = x[100]  # a hot vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [1.0, None] * 8), (5200, [1.0] * 3), (None, [1.0] * 16), (50, x[50].tolist())]
