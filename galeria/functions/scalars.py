@@ -197,3 +197,28 @@ def parse_capture_time(text: Column) -> Column:
     """Epoch milliseconds of a compact UTC time in one of three forms; null if none gives more than zero."""
     zoned = [F.unix_millis(F.try_to_timestamp(text, F.lit(p))) for p in ("yyyyMMdd'T'HHmmss.SSS'Z'", "yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd'T'HHmmss")]
     return F.coalesce(*(F.when(z > 0, z) for z in zoned))
+
+
+def exif_display(exif: Column) -> dict[str, Column]:
+    """Camera, aperture, exposure, sensitivity and focal length of an EXIF map<string,string> as text; null where absent."""
+    get = lambda k: F.element_at(exif, k)
+    number = lambda k: get(k).try_cast("double")
+    comma = lambda c: F.translate(c, ".", ",")
+    seconds = number("ExposureTime")
+    short = F.concat(F.lit("1/"), round_half_up(1 / seconds).cast("string"), F.lit(" s"))
+    camera = F.trim(F.concat_ws(" ", get("Make"), get("Model")))
+    return {
+        "camera": F.when(camera != "", camera),
+        "aperture": F.concat(F.lit("f/"), comma(F.format_number(number("FNumber"), 1))),
+        "exposure": F.when((seconds > 0) & (seconds < 1), short).when(seconds >= 1, F.concat(comma(F.format_number(seconds, 1)), F.lit(" s"))),
+        "iso": F.concat(F.lit("ISO "), get("PhotographicSensitivity")),
+        "focal": F.concat(comma(F.format_number(number("FocalLength"), 1)), F.lit(" mm")),
+    }
+
+
+def face_crop(box: tuple[Column, ...], w: Column, h: Column, margin: float = 1.7) -> Column:
+    """struct<x, y, side> in pixels of the square around a face's box (shares of the image), inside the image."""
+    side = F.least(F.greatest((box[2] - box[0]) * w, (box[3] - box[1]) * h) * margin, w.cast("double"), h.cast("double"))
+    inside = lambda middle, room: F.least(F.greatest(middle - side / 2, F.lit(0.0)), room - side)
+    x, y = inside((box[0] + box[2]) / 2 * w, w), inside((box[1] + box[3]) / 2 * h, h)
+    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))

@@ -109,11 +109,10 @@ def with_headers(media: DataFrame) -> DataFrame:
     return numbered(rows.unionByName(heads), F.desc("key"), F.col("id").isNotNull(), F.desc("ts_ms"), F.col("id"), name="entry")
 
 
-def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column], limit: int) -> DataFrame:
-    """a1, b1, a2, b2 ... of two ordered frames with the same columns, as ``turn`` and ``own``; at most ``limit`` turns of each."""
+def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column]) -> DataFrame:
+    """a1, b1, a2, b2 ... of two ordered frames with the same columns: sort by ``turn`` (from 1), ``own`` first."""
 
     def ranked(df: DataFrame, order: list[Column], own: bool) -> DataFrame:
-        top = df.orderBy(*order).limit(limit)  # at most ``limit`` rows, so one window over them is small
-        return top.withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(own)).orderBy(*order))).withColumn("own", F.lit(own))
+        return numbered(df, *order, name="turn").withColumn("turn", F.col("turn") + 1).withColumn("own", F.lit(own))
 
     return ranked(a, a_order, True).unionByName(ranked(b, b_order, False))

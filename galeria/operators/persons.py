@@ -82,7 +82,7 @@ def review_queue(faces: DataFrame, person: int, centroid: Column, rejections: Da
     no = rejections.where(F.col("person_id") == person).select(F.col("face_id").alias("id"))
     others = seen.where(~F.col("person_id").eqNullSafe(F.lit(person)) & (F.col("score") >= threshold - 0.14)).join(no, "id", "left_anti")
     columns = ["id", "media_id", "score"]
-    turns = interleave(own.select(*columns), others.select(*columns), [F.asc("score"), F.asc("id")], [F.desc("score"), F.asc("id")], 2 * limit)
+    turns = interleave(own.select(*columns), others.select(*columns), [F.asc("score"), F.asc("id")], [F.desc("score"), F.asc("id")])
     there = turns.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
     return there.orderBy("turn", F.desc("own")).limit(limit).select("turn", "own", F.col("id").alias("face_id"), "media_id", "score")
 
@@ -135,6 +135,39 @@ def leader_clusters(faces: DataFrame, threshold: float, model: str = "model") ->
     return rows.groupBy("model").applyInPandas(run, "model string, id long, cluster int")
 
 
+def regrouped(persons: DataFrame, faces: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(persons, faces) after throwing away what was not confirmed and clustering again.
+
+    ``persons``: ``id, name, cover_face_id``, those without a name and a confirmed face go.
+    ``faces``: ``id, person_id``; unconfirmed faces join the nearest person or cluster in the
+    order of ids, clusters that start anew have negative numbers. One task per call, as each
+    face moves the centers that the next one meets.
+    """
+    cleared = faces.withColumn("person_id", F.when(F.col("confirmed"), F.col("person_id")))
+    sure = cleared.where("person_id IS NOT NULL").select(F.col("person_id").alias("id")).distinct()
+    kept = persons.where("name IS NOT NULL").unionByName(persons.where("name IS NULL").join(sure, "id", "left_semi"))
+    counts = cleared.where("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("n"))
+    centers = centroids(cleared).join(counts, "person_id").select(F.lit(0).alias("k"), "person_id", "centroid", "n")
+    loose = cleared.where("person_id IS NULL").select(F.lit(0).alias("k"), "id", "embedding")
+
+    def run(known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        known, rows = known.sort_values("person_id"), rows.sort_values("id")
+        leaders = Leaders(threshold, list(known["centroid"]), list(known["n"]))
+        names = list(known["person_id"])
+        numbers = [leaders.add(v) for v in rows["embedding"]]
+        return pd.DataFrame({"id": rows["id"].tolist(), "person_id": [names[i] if i < len(names) else len(names) - 1 - i for i in numbers]})
+
+    again = centers.groupBy("k").cogroup(loose.groupBy("k")).applyInPandas(run, "id long, person_id long")
+    fixed = cleared.where("person_id IS NOT NULL").select("id", F.col("person_id").cast("long").alias("person_id"))
+    return refreshed(kept, cleared), fixed.unionByName(again)
+
+
+def rename_suggestions(persons: DataFrame, typed: str, own: int, most: int = 4) -> DataFrame:
+    """Up to ``most`` other people's names that hold the typed text, in any case."""
+    fits = F.lower("name").contains(typed.strip().lower()) & (F.col("id") != own)
+    return persons.where(fits).select("name").distinct().orderBy("name").limit(most)
+
+
 def replay(faces: DataFrame, actions: DataFrame) -> DataFrame:
     """``id, person_id, confirmed`` after a log of actions (``seq, kind, face_id, person_id, other_id``).
 

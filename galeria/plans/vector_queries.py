@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -285,7 +286,13 @@ def update_by_pred(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def match_query(spark: SparkSession, d: str) -> DataFrame:
     """Names found in queries, and what is left of these."""
-    names = [r["name"] for r in T.persons(spark, d).where("name IS NOT NULL").orderBy("id").limit(10_000).collect()]
+    names = [r["name"] for r in T.persons(spark, d).where("name IS NOT NULL").orderBy("id").collect()]  # names that users gave
     asked = ["Person 1 und Person 2 am Strand", "person 3, with dog", "personal 4", "Person 5", "mit Hund & Katze"]
-    rows = [(q, ",".join(found), rest) for q in asked for found, rest in [K.match_names(q, names)]]
-    return spark.createDataFrame(rows, "query string, names string, rest string")
+
+    @F.pandas_udf("names string, rest string")
+    def match(q: pd.Series) -> pd.DataFrame:
+        found = [K.match_names(x, names) for x in q]
+        return pd.DataFrame({"names": [",".join(n) for n, _ in found], "rest": [r for _, r in found]})
+
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    return queries.select("query", match("query").alias("m")).select("query", "m.names", "m.rest")

@@ -122,6 +122,26 @@ def test_replay(spark):
     assert {tuple(r) for r in P.replay(faces, log).collect()} == {(1, 5, True), (2, None, False), (3, 9, False), (4, 9, True)}
 
 
+def test_regrouping(spark):
+    e = np.eye(3).tolist()
+    faces = [(1, 7, True, e[0]), (2, 7, False, e[1]), (3, None, False, e[0]), (4, 8, False, e[1]), (5, 9, False, e[2])]
+    faces = spark.createDataFrame([(*f, 0.5, 0.0, 0.1) for f in faces], "id long, person_id long, confirmed boolean, embedding array<double>, score double, l double, r double")
+    people = spark.createDataFrame([(7, None, 2), (8, None, 4), (9, "Ida", 5)], "id long, name string, cover_face_id long")
+    kept, again = P.regrouped(people, faces, 0.9)
+    assert {tuple(r) for r in kept.collect()} == {(7, None, 1, 1), (9, "Ida", 0, None)}
+    assert {tuple(r) for r in again.collect()} == {(1, 7), (2, -1), (3, 7), (4, -1), (5, -2)}
+    named = spark.createDataFrame([(1, "Ida"), (2, "Idris"), (3, "Bo")], "id long, name string")
+    assert [r[0] for r in P.rename_suggestions(named, " ID", 1).collect()] == ["Idris"]
+
+
+def test_exif_and_crops(spark):
+    df = spark.createDataFrame([({"Make": "A", "Model": "B", "FNumber": "1.8", "ExposureTime": "0.004", "PhotographicSensitivity": "100", "FocalLength": "24"},), ({},)], "e map<string,string>")
+    got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in S.exif_display(F.col("e")).items())).collect()]
+    assert got == [("A B", "f/1,8", "1/250 s", "ISO 100", "24,0 mm"), (None, None, None, None, None)]
+    box = tuple(F.lit(x) for x in (0.8, 0.4, 1.0, 0.6))
+    assert tuple(spark.range(1).select(S.face_crop(box, F.lit(1000), F.lit(500))).first()[0]) == (660, 80, 340)
+
+
 def test_many_centers_meet_in_blocks(spark):
     rng = np.random.default_rng(2)
     faces = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
