@@ -138,8 +138,8 @@ def test_exif_and_crops(spark):
     df = spark.createDataFrame([({"Make": "A", "Model": "B", "FNumber": "1.8", "ExposureTime": "0.004", "PhotographicSensitivity": "100", "FocalLength": "24"},), ({},)], "e map<string,string>")
     got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in S.exif_display(F.col("e")).items())).collect()]
     assert got == [("A B", "f/1,8", "1/250 s", "ISO 100", "24,0 mm"), (None, None, None, None, None)]
-    box = tuple(F.lit(x) for x in (0.8, 0.4, 1.0, 0.6))
-    assert tuple(spark.range(1).select(S.face_crop(box, F.lit(1000), F.lit(500))).first()[0]) == (660, 80, 340)
+    box = tuple(F.lit(x) for x in (0.75, 0.5, 1.0, 0.75))
+    assert tuple(spark.range(1).select(S.face_crop(box, F.lit(1000), F.lit(500))).first()[0]) == (575, 75, 425)
 
 
 def test_many_centers_meet_in_blocks(spark):
