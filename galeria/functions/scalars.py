@@ -172,8 +172,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector by its length; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
+    by = lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.transform(F.array(F.sqrt(dot(v, v))), by)[0]  # the length is a lambda's argument, so it is computed once
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

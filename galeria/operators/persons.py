@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeria.functions.scalars import dot
+from galeria.functions.scalars import dot, l2_normalize
 from galeria.operators.catalog import interleave
 
 
@@ -40,8 +40,7 @@ def centroids(faces: DataFrame) -> DataFrame:
     parts = faces.where("person_id IS NOT NULL").select("person_id", weight.alias("w"), F.posexplode("embedding").alias("i", "x"))
     sums = parts.groupBy("person_id", "i").agg(F.sum(F.col("w") * F.col("x").cast("double")).alias("s"))
     vectors = sums.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("v"))
-    norm = F.sqrt(dot(F.col("v"), F.col("v")))
-    return vectors.select("person_id", F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("centroid"))
+    return vectors.select("person_id", l2_normalize(F.col("v")).alias("centroid"))
 
 
 def cover_score() -> Column:
