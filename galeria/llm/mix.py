@@ -191,7 +191,12 @@ class Mixture:
 def cut_words(text: Column, runs: Column) -> Column:
     """The runs of words [lo, hi) of a text with single spaces between runs; runs that touch stand as in the text."""
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    return F.rtrim(F.array_join(F.transform(runs, lambda r: F.array_join(F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), "")), " "))
+
+    def cut(w: Column) -> Column:
+        parts = F.transform(runs, lambda r: F.array_join(F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""))
+        return F.rtrim(F.array_join(parts, " "))
+
+    return F.transform(F.array(words), cut)[0]  # so the text is split once, not once for each run
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
