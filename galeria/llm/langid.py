@@ -144,9 +144,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     text; only these windows come to the driver.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL").withColumn("k", F.xxhash64("doc_id"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    # before the window only rows of so low a hash that about twice as many as asked are left of each language
+    low = F.col("k") / F.lit(2.0**63) <= F.least(F.lit(1.0), 4.0 * per_lang / F.col("count") - 1.0)
+    likely = rows.join(F.broadcast(langs), "lang").where(low).select("doc_id", "lang", "k").distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
-    chosen = rows.join(F.broadcast(langs), "lang", "left_semi").distinct().withColumn("r", first).where(F.col("r") <= per_lang)
+    chosen = likely.withColumn("r", first).where(F.col("r") <= per_lang)
     texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     texts = texts.join(F.broadcast(chosen.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", "text")
     got = texts.mapInArrow(_sample(per_text), "lang string, k long, w binary").distinct().orderBy("lang", "k", "w").collect()
