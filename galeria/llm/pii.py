@@ -68,17 +68,44 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, op, zero: int = 0, block: int = 64) -> Column:
+    """For each element of an int array, ``op`` over those before it.
+
+    Arrays grow by one element at a time only within blocks and over the blocks' totals, so
+    the copies stay few where a text has very many matches.
+    """
+    none = F.from_json(F.lit("[]"), "array<int>")
+
+    def before(xs: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["a"], x).alias("a"), F.array_append(acc["out"], acc["a"]).alias("out"))
+        return F.aggregate(xs, F.struct(start.alias("a"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        totals = lambda bs: F.transform(bs, lambda x: F.aggregate(x, F.lit(zero), op))
+        parts = lambda bs: F.transform(F.arrays_zip(bs.alias("b"), before(totals(bs), F.lit(zero)).alias("s")), lambda z: before(z["b"], z["s"]))
+        return F.flatten(F.transform(F.array(blocks), parts)[0])
+
+    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))[0]
+
+
 FOUND = "struct<start:int,end:int,kind:int,base:boolean,value:string,f:struct<" + ",".join(f"{x}:double" for x in FEATURES) + ">>"
 
 
 def _generate(text: Column, kind: str, gate: str, pattern: str, base: bool) -> Column:
     """All matches of one generator: an array of ``FOUND``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    zipped = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        m, start = x["m"], acc["n"] + F.length(x["before"])
+    # As arguments of lambdas the matches and the pieces between them are made once a text, the pieces only if needed.
+    def around(m: Column) -> Column:
+        n = F.size(m)
+        return F.transform(F.array(pieces), lambda p: F.arrays_zip(m.alias("m"), F.slice(p, F.lit(1), n).alias("before"), F.slice(p, F.lit(2), n).alias("after")))[0]
+
+    zipped = F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, around(m)))[0]
+
+    def one(x: Column, passed: Column) -> Column:
+        m, start = x["m"], passed + F.length(x["before"])
         end = start + F.length(m)
         before, after = F.right(x["before"], F.lit(24)), F.substring(x["after"], 1, 1)
         digits = F.length(digits_of(m))
@@ -90,15 +117,18 @@ def _generate(text: Column, kind: str, gate: str, pattern: str, base: bool) -> C
             "against": before.rlike(AGAINST).cast("int"), "joined_before": before.rlike("[A-Za-z0-9./_-]$").cast("int"),
             "joined_after": after.rlike("^[A-Za-z0-9/_-]").cast("int"), "groups": F.size(F.split(m, "[^A-Za-z0-9]+")),
         }
-        one = F.struct(
+        return F.struct(
             start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), (valid & F.lit(base)).alias("base"),
             m.alias("value"), F.struct(*(v.cast("double").alias(k) for k, v in numbers.items())).alias("f"),
         )
-        return F.struct(end.alias("n"), F.array_append(acc["out"], one).alias("out"))
+
+    def placed(z: Column) -> Column:
+        lengths = F.transform(z, lambda x: F.length(x["before"]) + F.length(x["m"]))
+        return F.transform(F.arrays_zip(z.alias("x"), running(lengths, lambda u, v: u + v).alias("passed")), lambda y: one(y["x"], y["passed"]))
 
     none = F.from_json(F.lit("[]"), f"array<{FOUND}>")
-    all_ = F.aggregate(zipped, F.struct(F.lit(0).alias("n"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(gate), all_).otherwise(none)
+    all_ = F.transform(F.array(zipped), placed)[0]
+    return F.when(text.rlike(gate), F.coalesce(all_, none)).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
@@ -252,20 +282,16 @@ def find(docs: DataFrame, text: str = "text", precision: float = 0.9) -> tuple[D
             cut = F.when(s["kind"] == k, v).otherwise(cut)
         return ~s["added"] | (s["score"] >= cut)
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["minus_end"]
-        kind = F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["kind"] + 1)
-        one = F.struct(s["start"].alias("start"), s["kind"].alias("n"), end.alias("end"), kind.alias("kind"), (~s["added"]).alias("base"), s["score"].alias("score"))
-        drop = s["added"] & (end <= acc["to"])
-        return F.struct(F.greatest(acc["to"], end).alias("to"), F.when(drop, acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
-
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,n:int,end:int,kind:string,base:boolean,score:double>>")
-    kept = F.aggregate(
-        F.array_sort(F.filter(F.transform(found, scored), selected)), F.struct(F.lit(0).alias("to"), none.alias("out")), step, lambda a: a["out"]
-    )
+    def apart(all_: Column) -> Column:
+        reach = running(F.transform(all_, lambda s: -s["minus_end"]), lambda u, v: F.greatest(u, v))
+        kept = F.filter(F.arrays_zip(all_.alias("s"), reach.alias("to")), lambda z: ~z["s"]["added"] | (-z["s"]["minus_end"] > z["to"]))
+        return F.transform(kept, lambda z: F.struct(z["s"]["start"].alias("start"), z["s"]["kind"].alias("n"), (-z["s"]["minus_end"]).alias("end"), (~z["s"]["added"]).alias("base"), z["s"]["score"].alias("score")))
+
+    named = F.array(*(F.lit(k) for k in KINDS))
+    kept = F.transform(F.array(F.array_sort(F.filter(F.transform(found, scored), selected))), apart)[0]
     final = F.transform(
         F.array_sort(kept),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["score"].alias("score")),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(named, s["n"] + 1).alias("kind"), s["base"].alias("base"), s["score"].alias("score")),
     )
     out = out.withColumn(spans, F.when(F.size(found) > 0, final).otherwise(F.from_json(F.lit("[]"), SPAN)))
     return out.drop(found), spans
