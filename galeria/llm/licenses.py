@@ -72,17 +72,19 @@ FAMILIES = {
     "beerware": ("beerware|beer ware", "beer ?ware", "beerware"),
 }
 VERSION = "(?: (?:version |v)?[0-9]+(?: [0-9]+)*(?: or later| only)?)?"
-GRANT = "(?:licensed|released|distributed|published|available|provided|covered|governed)"
+GRANT = "(?:licensed|released|distributed|published|available|provided|covered|governed) (?:under|by|subject to)"
 ARTICLE = "(?:the |a |an )?(?:terms of |conditions of )?(?:the )?"
 #: (priority, confidence, words); {n}: the family's name, {i}: its identifier, {v}: a version.
 SIGNATURES = (
     (1, 1.0, "spdx license identifier {i}{v}"),
-    (1, 0.97, GRANT + " (?:under|by|subject to) " + ARTICLE + "{n} licen[cs]e{v}"),
-    (2, 0.95, GRANT + " (?:under|by|subject to) " + ARTICLE + "{i}{v}"),
+    (1, 0.97, GRANT + " " + ARTICLE + "{n} licen[cs]e{v}"),
+    (2, 0.95, GRANT + " " + ARTICLE + "{i}{v}"),
     (2, 0.9, "(?:under|see|subject to) " + ARTICLE + "{n} licen[cs]e{v}"),
     (3, 0.8, "{n} licen[cs]e{v}"),
     (4, 0.6, "{i} licensed|licen[cs]e {i}{v}"),
 )
+#: Every match of any signature holds one of these.
+CUES = "licen|spdx| " + GRANT + " "
 
 
 def rules() -> list[dict]:
@@ -170,7 +172,7 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, tuple[str, str
     table_ = F.from_json(F.lit(json.dumps(rules())), RULE)
     present = F.filter(table_, lambda r: F.rlike(n, r["gate"]))
     hits = F.flatten(F.transform(present, lambda r: _matches(n, r)))
-    likely = n.rlike("licen|spdx|released under|distributed under") & n.rlike(" (?:" + "|".join(gates) + ")")
+    likely = n.rlike(CUES) & n.rlike(" (?:" + "|".join(gates) + ")")
     return out.withColumn(found, F.when(likely, _unsuppressed(hits)).otherwise(F.from_json(F.lit("[]"), KEPT))), (norm, found)
 
 

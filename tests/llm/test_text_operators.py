@@ -151,6 +151,13 @@ def test_license_rules_suppress_and_gate(spark):
     assert 200 <= len(licenses.rules()) <= 400
 
 
+def test_every_grant_of_every_family_is_found(spark):
+    grants = "licensed released distributed published available provided covered governed".split()
+    rows = [(f"This program is {g} {p} the {f[2]} v2 or later.", label) for label, f in licenses.FAMILIES.items() for g in grants for p in ("under", "by", "subject to")]
+    out, (_, found) = licenses.scan(spark.createDataFrame(rows, "text string, label string").repartition(8))
+    assert [tuple(r) for r in out.where(~F.array_contains(F.col(found)["label"], F.col("label"))).select("text", "label").collect()] == []
+
+
 # -------------------------------------------------------------------- benchmark
 
 
