@@ -52,7 +52,9 @@ class Cascade:
     @staticmethod
     def _places(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
         a, b = F.xxhash64(key, F.lit(seed)), F.xxhash64(key, F.lit(seed + 1)).bitwiseOR(F.lit(1))
-        return [F.pmod(a.bitwiseXOR(F.lit(i * 0x9E3779B97F4A7)) + F.shiftrightunsigned(b, 17) * F.lit(i), F.lit(bits)) for i in range(hashes)]
+        start = [F.pmod(a.bitwiseXOR(F.lit(i * 0x9E3779B97F4A7)), F.lit(bits)) for i in range(hashes)]
+        step = F.pmod(F.shiftrightunsigned(b, 17), F.lit(bits))  # both below ``bits``: no sum leaves 64 bits
+        return [F.pmod(s + step * F.lit(i), F.lit(bits)) for i, s in enumerate(start)]
 
     def _part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(-7)), F.lit(self.parts))

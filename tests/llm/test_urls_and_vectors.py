@@ -52,6 +52,12 @@ def test_cascade_is_exact(spark, max_bits):
     assert (cascade.parts > 1) == (max_bits == 256)
 
 
+def test_cascade_of_many_keys_stays_in_range(spark):
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    universe = spark.range(1_000_000).select(F.concat(F.lit("host-"), "id").alias("key"), (F.col("id") % 17 == 3).alias("listed"))
+    assert universe.where(urls.Cascade(universe).contains(F.col("key")) != F.col("listed")).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))[rng.integers(60, size=3000)] + 0.5 * rng.normal(size=(3000, 16))
