@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,15 +125,25 @@ class Leaders:
 
 
 def leader_clusters(faces: DataFrame, threshold: float, model: str = "model") -> DataFrame:
-    """``model, id, cluster``: online clustering in the order of ids, each model by itself, as the order decides."""
+    """``model, id, cluster``: online clustering in the order of ids, each model by itself, as the order decides.
+
+    A model's vectors pass one task batch by batch, sorted by Spark; the task holds a batch
+    and the centers.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders = Leaders(threshold)
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"model": pdf["model"], "id": pdf["id"], "cluster": [leaders.add(v) for v in pdf["embedding"]]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaders, at = None, None
+        for pdf in frames:
+            numbers = []
+            for name, v in zip(pdf["model"], pdf["embedding"], strict=True):
+                name = None if pd.isna(name) else name
+                if leaders is None or name != at:
+                    leaders, at = Leaders(threshold), name
+                numbers.append(leaders.add(v))
+            yield pd.DataFrame({"model": pdf["model"], "id": pdf["id"], "cluster": np.array(numbers, np.int32)})
 
     rows = faces.select(F.col(model).cast("string").alias("model"), "id", "embedding")
-    return rows.groupBy("model").applyInPandas(run, "model string, id long, cluster int")
+    return rows.repartition("model").sortWithinPartitions("model", "id").mapInPandas(run, "model string, id long, cluster int")
 
 
 def regrouped(persons: DataFrame, faces: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -140,23 +152,32 @@ def regrouped(persons: DataFrame, faces: DataFrame, threshold: float) -> tuple[D
     ``persons``: ``id, name, cover_face_id``, those without a name and a confirmed face go.
     ``faces``: ``id, person_id``; unconfirmed faces join the nearest person or cluster in the
     order of ids, clusters that start anew have negative numbers. One task per call, as each
-    face moves the centers that the next one meets.
+    face moves the centers that the next one meets; it holds a batch of faces and the centers.
     """
     cleared = faces.withColumn("person_id", F.when(F.col("confirmed"), F.col("person_id")))
     sure = cleared.where("person_id IS NOT NULL").select(F.col("person_id").alias("id")).distinct()
     kept = persons.where("name IS NOT NULL").unionByName(persons.where("name IS NULL").join(sure, "id", "left_semi"))
     counts = cleared.where("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("n"))
-    centers = centroids(cleared).join(counts, "person_id").select(F.lit(0).alias("k"), "person_id", "centroid", "n")
-    loose = cleared.where("person_id IS NULL").select(F.lit(0).alias("k"), "id", "embedding")
-
-    def run(known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        known, rows = known.sort_values("person_id"), rows.sort_values("id")
-        leaders = Leaders(threshold, list(known["centroid"]), list(known["n"]))
-        names = list(known["person_id"])
-        numbers = [leaders.add(v) for v in rows["embedding"]]
-        return pd.DataFrame({"id": rows["id"].tolist(), "person_id": [names[i] if i < len(names) else len(names) - 1 - i for i in numbers]})
-
-    again = centers.groupBy("k").cogroup(loose.groupBy("k")).applyInPandas(run, "id long, person_id long")
+    centers = centroids(cleared).join(counts, "person_id").select(F.lit(0).alias("k"), F.col("person_id").cast("long").alias("id"), F.col("centroid").alias("v"), "n")
+    vector = F.col("embedding").cast("array<double>")
+    loose = cleared.where("person_id IS NULL").select(F.lit(1).alias("k"), F.col("id").cast("long").alias("id"), vector.alias("v"), F.lit(1).cast("long").alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaders, names = Leaders(threshold), []
+        for pdf in frames:
+            ids, people = [], []
+            for k, id_, v, n in zip(pdf["k"], pdf["id"], pdf["v"], pdf["n"], strict=True):
+                if k == 0:
+                    leaders.centers.append(np.asarray(v, float))
+                    leaders.counts.append(int(n))
+                    names.append(int(id_))
+                else:
+                    i = leaders.add(v)
+                    ids.append(id_)
+                    people.append(names[i] if i < len(names) else len(names) - 1 - i)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "person_id": np.array(people, np.int64)})
+
+    again = centers.unionByName(loose).repartition(1).sortWithinPartitions("k", "id").mapInPandas(run, "id long, person_id long")
     fixed = cleared.where("person_id IS NOT NULL").select("id", F.col("person_id").cast("long").alias("person_id"))
     return refreshed(kept, cleared), fixed.unionByName(again)
 

@@ -115,6 +115,26 @@ def test_leaders_in_order():
     assert leaders.counts == [3, 1, 1] and abs(np.linalg.norm(leaders.centers[0]) - 1) < 1e-12
 
 
+def test_leaders_pass_in_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else f"m{i % 3}", i, rng.normal(size=3).tolist()) for i in rng.permutation(90).tolist()]
+    faces = spark.createDataFrame(rows, "model string, id long, embedding array<double>").repartition(3)
+    loose = faces.select("id", F.lit(None).cast("long").alias("person_id"), F.lit(False).alias("confirmed"), "embedding", *(F.lit(0.0).alias(c) for c in ("score", "l", "r")))
+    want, one, everyone = set(), {}, P.Leaders(0.5)
+    for model, i, v in sorted(rows, key=lambda r: r[1]):
+        want.add((model, i, one.setdefault(model, P.Leaders(0.5)).add(v)))
+    whole = {(i, -1 - everyone.add(v)) for _, i, v in sorted(rows, key=lambda r: r[1])}
+    people = spark.createDataFrame([], "id long, name string, cover_face_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, again = P.leader_clusters(faces, 0.5), P.regrouped(people, loose, 0.5)[1]
+        assert {tuple(r) for r in got.collect()} == want and {tuple(r) for r in again.collect()} == whole
+        for df in (got, again):  # no task takes a whole group as one frame
+            assert "GroupsInPandas" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_replay(spark):
     faces = spark.createDataFrame([(1, 7, False), (2, 8, False), (3, None, False), (4, 9, True)], "id long, person_id long, confirmed boolean")
     log = [(1, "confirm", 1, 8, None), (2, "merge", None, 5, 8), (3, "reject", 2, 5, None), (4, "assign", 3, 9, None), (5, "reject", 4, 1, None)]
