@@ -92,13 +92,16 @@ def best_first(items: DataFrame, group: str) -> DataFrame:
 
 
 def exact_duplicates(files: DataFrame, content: str = "content", size: str = "size", prefix: int = 4 << 20) -> DataFrame:
-    """Groups of files of equal size and equal SHA-256 of the first ``prefix`` bytes, with what deleting copies frees.
+    """Groups of equal files, with what deleting copies frees; ``hash``: SHA-256 of the first ``prefix`` bytes.
 
-    Sizes are counted first, without contents: only files that share their size are hashed.
+    Sizes are counted first, without contents: only files that share their size are hashed,
+    those longer than ``prefix`` also as a whole.
     """
     shared = files.groupBy(size).agg(F.count("*").alias("c")).where("c > 1").select(size)
-    hashed = files.join(shared, size, "left_semi").withColumn("hash", F.sha2(F.substring(F.col(content).cast("binary"), 1, prefix), 256))
-    groups = hashed.groupBy(size, "hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    data = F.col(content).cast("binary")
+    hashed = files.join(shared, size, "left_semi").withColumn("hash", F.sha2(F.substring(data, 1, prefix), 256))
+    hashed = hashed.withColumn("whole", F.when(F.octet_length(data) > prefix, F.sha2(data, 256)))
+    groups = hashed.groupBy(size, "hash", "whole").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).drop("whole")
     return groups.where("n > 1").withColumn("reclaimable", F.col(size) * (F.col("n") - 1))
 
 

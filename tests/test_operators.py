@@ -135,6 +135,12 @@ def test_leaders_pass_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_copies_are_equal_to_the_end(spark):
+    files = spark.createDataFrame([(1, 5, "abcdX"), (2, 5, "abcdY"), (3, 5, "abcdX"), (4, 3, "abc"), (5, 3, "abc")], "id long, size long, content string")
+    got = C.exact_duplicates(files, prefix=4).select("size", "n", "first_id", "reclaimable").collect()
+    assert {tuple(r) for r in got} == {(5, 2, 1, 5), (3, 2, 4, 3)}
+
+
 def test_replay(spark):
     faces = spark.createDataFrame([(1, 7, False), (2, 8, False), (3, None, False), (4, 9, True)], "id long, person_id long, confirmed boolean")
     log = [(1, "confirm", 1, 8, None), (2, "merge", None, 5, 8), (3, "reject", 2, 5, None), (4, "assign", 3, 9, None), (5, "reject", 4, 1, None)]
