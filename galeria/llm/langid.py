@@ -137,16 +137,17 @@ def _sample(per_text: int):
     return run
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, max_langs: int = 64, per_text: int = 8) -> Network:
-    """A network from at most ``per_lang`` rows of each of the ``max_langs`` most frequent languages.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, most_rows: int = 25_600, per_text: int = 8) -> Network:
+    """A network of all languages, from at most ``per_lang`` rows each; fewer where that makes over ``most_rows``, one at least.
 
     Rows are chosen by a hash of their key, and ``per_text`` windows spread over each whole
     text; only these windows come to the driver.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL").withColumn("k", F.xxhash64("doc_id"))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    # before the window only rows of so low a hash that about twice as many as asked are left of each language
-    low = F.col("k") / F.lit(2.0**63) <= F.least(F.lit(1.0), 4.0 * per_lang / F.col("count") - 1.0)
+    langs = rows.groupBy("lang").count()
+    per_lang = max(1, min(per_lang, most_rows // max(1, rows.select("lang").distinct().count())))
+    # before the window only rows of so low a hash that over twice as many as asked are left of each language, 34 at least
+    low = F.col("k") / F.lit(2.0**63) <= F.least(F.lit(1.0), 4.0 * (per_lang + 16) / F.col("count") - 1.0)
     likely = rows.join(F.broadcast(langs), "lang").where(low).select("doc_id", "lang", "k").distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
     chosen = likely.withColumn("r", first).where(F.col("r") <= per_lang)

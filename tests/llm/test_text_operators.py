@@ -300,6 +300,12 @@ def test_languages_of_odd_rows(spark, odd, empty, as_table):
     assert out.count() == 0 and (pred, score) == ("lang_pred", "score")
 
 
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + k) * 9} word {i}", f"l{k:02}") for k in range(70) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, most_rows=140).langs == langid.train(docs).langs == [f"l{k:02}" for k in range(70)]
+
+
 def test_windows_cover_every_byte():
     import numpy as np
 
