@@ -6,24 +6,28 @@ rows would take. Table (i, j) is keyed by the pair (A_i, B_j); a pair of documen
 candidate if any table holds both, that is, if some A and some B agree. With similarity s
 that fails with a chance of 1 - (1 - (1 - s**k)**m)**2: 7e-5 at 0.85 for k = 2, m = 8.
 
-Copies with equal shingle sets collapse before any pairing. In every bucket each member is
-first linked to the bucket's smallest document (a star, never all pairs) and verified.
-Buckets that still span several components are finished exactly: their documents outside
-the bucket's largest component meet, through a prefix filter on rare shingles, every
-document they could still be similar to.
+Rows with equal shingle sets are one class before any pairing; classes are numbered in the
+order of their smallest document. In every bucket each class is first linked to the
+bucket's first class (a star, never all pairs) and verified. Buckets that still span
+several components are finished exactly: their classes outside the bucket's largest
+component meet, through a filter on rare shingles, positions and sizes, every class they
+could still be similar to. Joins by a key that many rows may share (bucket, class, shingle)
+have a plain shuffle of a stored table on both sides, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeria.llm.common import checkpoint, components, discard, fresh, stored, table
+from galeria.llm.shard import numbered
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,9 +83,9 @@ def _signatures(size: int, k: int, m: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            ids, n, sets, sigs = batch.column(0), [], [], []
+            n, sets, sigs = [], [], []
             with np.errstate(over="ignore"):
-                for text in batch.column(1):
+                for text in batch.column(2):
                     s = shingles(text.as_py(), size, known)
                     n.append(len(s))
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -94,8 +98,8 @@ def _signatures(size: int, k: int, m: int, seed: int):
                     else:
                         sigs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_key", "sig"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "set_key", "sig"],
             )
 
     return run
@@ -124,83 +128,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(_similar(F.size("sa"), F.size("sb"), both, percent)).select("a", "b")
 
 
-def near_duplicates(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, k: int = 2, m: int = 8, seed: int = 7
-) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept, n_links``.
+def _text_key(text: Column) -> Column:
+    """What tells two texts under one key apart; empty for null."""
+    return F.coalesce(F.md5(text), F.lit(""))
 
-    Documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are
-    linked; a component's id is its smallest ``key`` (integers). Null and empty texts have no
-    shingles and are linked with nothing; a text of fewer than ``words`` words is one
-    shingle. Rows with the same key and text each keep their row (rows of one key hold one
-    text); ``n_links`` counts verified links of the text's class with other classes on the
-    way. A row with a null key stands for no component, and ``kept`` is null. An empty table
-    gives no rows.
-    """
+
+def _grouped(docs: DataFrame, text: str, key: str, words: int, percent: int, k: int, m: int, seed: int) -> DataFrame:
+    """A row per document: ``doc_id, text_key, n, grp, component_id, n_links``; ``grp`` is null without words or key."""
     spark = docs.sparkSession
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = source.mapInArrow(_signatures(words, k, m, seed), "doc_id long, n long, set_key binary, sig array<long>")
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _text_key(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
+    signed = source.mapInArrow(_signatures(words, k, m, seed), "doc_id long, text_key string, n long, set_key binary, sig array<long>")
     signed, path = stored(signed, "signatures")
     classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
-    reps = checkpoint(classes.agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("set_key", "r.doc_id", "r.n", "r.sig"))
-    reps = reps.withColumnRenamed("doc_id", "rep")
+    classes = classes.agg(F.min(F.struct("doc_id", "text_key", "n", "sig")).alias("r")).select("set_key", "r.*")
+    reps, _, reps_path = numbered(classes, ["doc_id", "set_key"], "rep")
 
-    # Documents that share no A or no B with another one are in no bucket with another.
+    # Classes that share no A or no B with another one are in no bucket with another.
     halves = reps.select("rep", F.posexplode("sig").alias("i", "h"))
     often = halves.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1")
     sides = halves.join(often, ["i", "h"], "left_semi").groupBy("rep").agg(
         F.bool_or(F.col("i") < m).alias("x"), F.bool_or(F.col("i") >= m).alias("y")
     )
-    alive = reps.join(sides.where("x AND y"), "rep", "left_semi")
+    alive, alive_path = stored(reps.join(sides.where("x AND y"), "rep", "left_semi").select("rep", "n", "sig"), "alive")
     keys = F.flatten(
         F.transform(F.slice("sig", 1, m), lambda x, i: F.transform(F.slice("sig", m + 1, m), lambda y, j: F.xxhash64(x, y, i * m + j)))
     )
     tables = alive.select("rep", "n", F.explode(keys).alias("bucket"))
-    leads = tables.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
-    members, members_path = stored(
-        tables.join(leads, "bucket").select("bucket", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets"
-    )
-
-    wanted = members.select("rep").distinct().withColumnRenamed("rep", "doc_id")
-    sets, sets_path = stored(
-        source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets"
-    )
-    fits = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    stars = members.where((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n")))
-    stars = stars.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    leads = tables.groupBy("bucket").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("c"))
+    leads = checkpoint(leads.where("c > 1").drop("c"))
+    members, members_path = stored(tables.join(leads, "bucket"), "buckets")
+
+    wanted = members.select("rep").distinct()
+    wanted = reps.join(wanted, "rep", "left_semi").select("rep", "doc_id", "text_key")
+    sets = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("rep", "text")
+    sets, sets_path = stored(sets.mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
+    fits = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
+    stars = members.where((F.col("rep") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = checkpoint(_verified(stars, sets, percent))
     labels = components(links)
 
     more = _remaining(members, sets, labels, percent)
-    links = checkpoint(links.union(checkpoint(_verified(more, sets, percent))).distinct())
+    links = checkpoint(links.union(_verified(more, sets, percent)).distinct())
     labels = components(links)
 
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    of_class = reps.select("set_key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
-    of_class = of_class.select("set_key", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.join(of_class, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    grp = reps.select("set_key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
+    grp = grp.select("set_key", F.coalesce("comp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = reps.select(F.col("rep").alias("grp"), F.col("doc_id").alias("component_id"))
+    of_class = checkpoint(grp.join(first, "grp"))
+    out = signed.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
+    out = checkpoint(
+        out.select("doc_id", "text_key", "n", "grp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    out = checkpoint(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
-    discard(spark, path, members_path, sets_path)
-    return out.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    discard(spark, path, reps_path, alive_path, members_path, sets_path)
+    return out
 
 
-def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, k: int = 2, m: int = 8, seed: int = 7
+) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept, n_links``.
+
+    Documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are
+    linked; a component's id is its smallest ``key`` (integers). Null and empty texts have no
+    shingles and are linked with nothing; a text of fewer than ``words`` words is one
+    shingle. Each row is a document, rows that repeat a key too, whether their texts are
+    equal or not; ``n_links`` counts verified links of the text's class with other classes
+    on the way. A row with a null key stands for no component, and ``kept`` is null. An
+    empty table gives no rows.
+    """
+    out = _grouped(docs, text, key, words, percent, k, m, seed)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "n_links")
+
+
+def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int = 1 << 24) -> DataFrame:
     """Pairs still to verify: of one bucket, in different components, and sharing a prefix shingle.
 
     With shingles ordered from rare to common, similar sets of n shingles share one among
-    the first n - ceil(percent * n / 100) + 1 of either; so no link is lost.
+    the first n - ceil(percent * n / 100) + 1 of either; so no link is lost. A set that has
+    ``left`` shingles from such a place on fits no partner of more than ``most`` shingles,
+    so of two partners the smaller one has ``most`` >= its own size: only such entries look
+    for a partner, among entries of the same shingle as large as itself or larger. Sizes go
+    in bands, two at most for each search. Pages of one template, unlike enough to be no
+    links, thus form no pairs. A shingle and band of over ``block`` comparisons is dealt out.
     """
     named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top")).where("parts > 1")
-    rest = named.join(mixed.select("bucket", F.col("top.comp").alias("top")), "bucket")
-    # a document outside the largest component of any of its buckets is to be finished
+    rest = named.join(checkpoint(mixed.select("bucket", F.col("top.comp").alias("top"))), "bucket")
+    # a class outside the largest component of any of its buckets is to be finished
     rest = checkpoint(rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("top")).alias("out")))
     full = rest.join(sets, "rep")
     tokens = full.select("rep", "comp", "out", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    common = checkpoint(tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"))
     # a set's single shingles come first in its order: their number is what it has more than the shared ones
     own = tokens.join(common, "s").groupBy("rep", "comp", "out", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
     single = F.col("n") - F.size("shared")
@@ -208,16 +228,34 @@ def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     first = F.slice("shared", F.lit(1), F.least(free, F.size("shared")).cast("int"))
     prefix = own.where(free > 0).select("rep", "comp", "out", "n", (F.col("n") - single).alias("left"), F.posexplode(first).alias("p", "t"))
     # from its first common shingle on, a pair can share no more than either set has left
-    prefix = prefix.select("rep", "comp", "out", "n", (F.col("left") - F.col("p")).alias("left"), F.col("t.s").alias("s"))
-    one = prefix.where("out").select(F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"), "s")
-    two = prefix.select(
-        F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("out").alias("oy"), "s"
-    )
-    pairs = one.join(two, "s").where(
-        (F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y")))
+    left = F.col("left") - F.col("p")
+    most = F.floor(left * (100 + percent) / percent + 1e-9).cast("int") - F.col("n")
+    prefix = prefix.select("rep", "comp", "out", "n", left.alias("left"), F.col("t.s").alias("s"), most.alias("most"))
+    prefix = prefix.where(F.col("most") * 100 >= F.col("n") * percent)
+    band = lambda c: F.floor(F.log(c.cast("double")) / math.log(100 / percent)).cast("int")
+    prefix, path = stored(prefix.withColumns({"band": band(F.col("n")), "to": band(F.col("most"))}), "prefixes")
+
+    large = prefix.select("s", "band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("most").alias("mx"), F.col("out").alias("ox"))
+    seek = prefix.where("most >= n").select(
+        "s", F.explode(F.sequence("band", F.least(F.col("to"), F.col("band") + 1))).alias("band"), F.col("rep").alias("y"), F.col("comp").alias("cy"),
+        F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("most").alias("my"), F.col("out").alias("oy"),
+    )
+    counts = large.groupBy("s", "band").agg(F.count("*").alias("u")).join(seek.groupBy("s", "band").agg(F.count("*").alias("v")), ["s", "band"])
+    hot = checkpoint(counts.where(F.col("u") * F.col("v") > block).select("s", "band", F.least(F.col("u"), F.ceil(F.col("u") * F.col("v") / block)).alias("k")))
+    if hot.isEmpty():
+        met = large.join(seek, ["s", "band"])
+    else:
+        large = large.join(hot, ["s", "band"], "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("k", F.lit(1)))).drop("k")
+        seek = seek.join(hot, ["s", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        met = large.join(seek, ["s", "band", "salt"])
+    pairs = met.where(
+        (F.col("cx") != F.col("cy")) & (F.col("ox") | F.col("oy")) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
+        & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))))
         & _similar(F.col("nx"), F.col("ny"), F.least("lx", "ly"), percent)
     )
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(members.sparkSession, path)
+    return pairs
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,10 +281,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group: the smallest key's, once. Rows without a key stay."""
-    found = near_duplicates(docs, text, key, **options)
-    name = fresh(docs, "kept_id")
-    kept = found.where("kept").select(F.col("doc_id").alias(name))
-    once = docs.join(kept, F.col(f"`{key}`") == F.col(name), "left_semi").dropDuplicates([key])
+def deduplicated(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80, k: int = 2, m: int = 8, seed: int = 7
+) -> DataFrame:
+    """``docs`` with one document of each group: the smallest key's, once.
+
+    Null and empty texts and those without words are in no group: each stays, once for a
+    key and text. Rows without a key all stay. Under one key unlike texts are unlike
+    documents: each group keeps its own. Other columns of rows equal in key and text are
+    those of any one of them. An empty table gives no rows.
+    """
+    found = _grouped(docs, text, key, words, percent, k, m, seed)
+    id_, text_key = fresh(docs, "kept_id"), fresh(docs, "kept_text")
+    first = found.where("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct("doc_id", "text_key")).alias("r")).select("r.*")
+    kept = first.unionByName(found.where("grp IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct())
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text_key))
+    keyed = docs.withColumns({id_: F.col(f"`{key}`").cast("long"), text_key: _text_key(F.col(f"`{text}`"))})
+    once = keyed.join(kept, [id_, text_key], "left_semi").dropDuplicates([id_, text_key]).drop(id_, text_key)
     return once.union(docs.where(F.col(f"`{key}`").isNull()))

@@ -52,8 +52,8 @@ def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int = 0, round
     return out
 
 
-def numbered(df: DataFrame, order: list[str], number: str, partitions: int | None = None) -> tuple[DataFrame, int]:
-    """``df`` with a global row number 0 .. n - 1 in the order of ``order``, and n.
+def numbered(df: DataFrame, order: list[str], number: str, partitions: int | None = None) -> tuple[DataFrame, int, str]:
+    """``df`` with a global row number 0 .. n - 1 in the order of ``order``, n, and the path of the stored copy.
 
     Range partitioning on ``order`` and then on the row's arrival: a value that a third of
     all rows hold is spread over partitions, and rows equal in ``order`` may change places.
@@ -67,12 +67,12 @@ def numbered(df: DataFrame, order: list[str], number: str, partitions: int | Non
     dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(n, *order, arrival)
     at = F.monotonically_increasing_id()  # the partition's number, then 33 bits of position
     dealt = dealt.sortWithinPartitions(*order, arrival).drop(arrival)
-    held, _ = stored(dealt.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    held, path = stored(dealt.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     total, firsts = 0, {}
     for p, count in sorted((r[part], r["count"]) for r in held.groupBy(part).count().collect()):
         firsts[p], total = total, total + count
     base = lookup([firsts.get(p, 0) for p in range(max(firsts, default=0) + 1)])
-    return held.withColumn(number, base[F.col(part)] + F.col(place)).drop(part, place), total
+    return held.withColumn(number, base[F.col(part)] + F.col(place)).drop(part, place), total, path
 
 
 def lookup(values: list[int]) -> Column:
@@ -87,7 +87,7 @@ def shard(df: DataFrame, order: list[str], n_shards: int = 16, seed: int = 0) ->
     order columns come first. An empty table gives no rows.
     """
     names = number, shard_name, slot = tuple(fresh(df, c) for c in ("row_number", "shard", "slot"))
-    rows, total = numbered(df, order, number)
+    rows, total, _ = numbered(df, order, number)
 
     @F.pandas_udf(T.LongType())
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
