@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeria.llm.common import fresh, table
+from galeria.llm.common import fresh, running, table
 
 # Kinds in their order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
@@ -68,28 +68,6 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def running(values: Column, op, zero: int = 0, block: int = 64) -> Column:
-    """For each element of an int array, ``op`` over those before it.
-
-    Arrays grow by one element at a time only within blocks and over the blocks' totals, so
-    the copies stay few where a text has very many matches.
-    """
-    none = F.from_json(F.lit("[]"), "array<int>")
-
-    def before(xs: Column, start: Column) -> Column:
-        step = lambda acc, x: F.struct(op(acc["a"], x).alias("a"), F.array_append(acc["out"], acc["a"]).alias("out"))
-        return F.aggregate(xs, F.struct(start.alias("a"), none.alias("out")), step, lambda acc: acc["out"])
-
-    def whole(v: Column) -> Column:
-        last = F.floor((F.size(v) - 1) / block).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
-        totals = lambda bs: F.transform(bs, lambda x: F.aggregate(x, F.lit(zero), op))
-        parts = lambda bs: F.transform(F.arrays_zip(bs.alias("b"), before(totals(bs), F.lit(zero)).alias("s")), lambda z: before(z["b"], z["s"]))
-        return F.flatten(F.transform(F.array(blocks), parts)[0])
-
-    return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))[0]
-
-
 FOUND = "struct<start:int,end:int,kind:int,base:boolean,value:string,f:struct<" + ",".join(f"{x}:double" for x in FEATURES) + ">>"
 
 
