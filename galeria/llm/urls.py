@@ -9,10 +9,9 @@ are bit arrays, constants of the plan.
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +31,16 @@ class Cascade:
     ``universe`` has a string column ``key`` without nulls or repeats and a boolean column
     ``listed``. Levels are sized by counts; only their bits come to the driver, at most
     ``max_bits`` each. A list too long for that bound is split by the key's hash into parts
-    with a cascade each until every level fits.
+    with a cascade each until every level fits; more than ``max_parts`` raise an error.
     """
 
-    def __init__(self, universe: DataFrame, max_bits: int = MAX_BITS, seed: int = 0) -> None:
+    def __init__(self, universe: DataFrame, max_bits: int = MAX_BITS, seed: int = 0, max_parts: int = 64) -> None:
         n = universe.agg(F.count_if("listed").alias("r"), F.count_if(~F.col("listed")).alias("s")).first()
         self.parts = 1
         while self._size(n["r"], n["s"])[0] > max_bits * self.parts:
             self.parts *= 2
+        if self.parts > max_parts:
+            raise ValueError(f"{n['r']} listed keys need over {max_parts} parts of {max_bits} bits")
         self.levels = [self._build(universe, part, seed) for part in range(self.parts)]
 
     @staticmethod
@@ -59,30 +60,34 @@ class Cascade:
     def _part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(-7)), F.lit(self.parts))
 
-    def _build(self, universe: DataFrame, part: int, seed: int) -> list[tuple[int, int, int, list[int]]]:
+    def _build(self, universe: DataFrame, part: int, seed: int) -> list[tuple[int, int, int, bytes]]:
         rows = universe.where(self._part(F.col("key")) == part)
         inside, outside = rows.where("listed").select("key"), rows.where("NOT listed").select("key")
-        levels: list[tuple[int, int, int, list[int]]] = []
-        while n := inside.count():
-            bits, hashes = self._size(n, outside.count())
+        n, rest = inside.count(), outside.count()
+        levels: list[tuple[int, int, int, bytes]] = []
+        while n:
+            bits, hashes = self._size(n, rest)
             at = seed + 1000 * part + 10 * len(levels)
             places = inside.select(F.explode(F.array(*self._places(F.col("key"), bits, hashes, at))).alias("p"))
             words = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-            held = [0] * (bits // 64)
-            for w, b in words.collect():
-                held[w] = b
-            levels.append((bits, hashes, at, held))
+            got, held = words.toArrow(), np.zeros(bits // 64, "<i8")
+            held[got["w"].to_numpy()] = got["b"].to_numpy()
+            levels.append((bits, hashes, at, held.tobytes()))
             passed = checkpoint(outside.where(self._passes(F.col("key"), levels[-1])))
-            inside, outside = passed, inside
+            inside, outside, n, rest = passed, inside, passed.count(), n
         return levels
 
-    def _passes(self, key: Column, level: tuple[int, int, int, list[int]]) -> Column:
+    def _passes(self, key: Column, level: tuple[int, int, int, bytes]) -> Column:
         bits, hashes, seed, held = level
-        words = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
-        out = F.lit(True)
-        for p in self._places(key, bits, hashes, seed):
-            out = out & (F.call_function("getbit", words[F.shiftright(p, 6).cast("int")], p.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return out
+
+        def all_set(b: Column) -> Column:
+            out = F.lit(True)
+            for p in self._places(key, bits, hashes, seed):
+                byte = F.ascii(F.decode(F.substring(b, (F.shiftright(p, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+                out = out & (F.call_function("getbit", byte, p.bitwiseAND(F.lit(7)).cast("int")) == 1)
+            return out
+
+        return F.transform(F.array(F.lit(held)), all_set)[0]  # the bits stand in the plan once a level
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed; any answer for other keys; false for null."""
@@ -107,48 +112,62 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, pattern, 2)
 
 
-def rule_keys(host: Column, path: Column, rules: Iterable[str]) -> Column:
-    """All strings host suffix + path prefix of the rules' shapes, longest first.
+def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
+    """The distinct (labels of the host, length of the path) of rules "host/path prefix", longest first."""
+    host = F.substring_index("rule", "/", 1)
+    labels, length = F.size(F.split(host, r"\.")), F.length("rule") - F.length(host)
+    return sorted({(r[0], r[1]) for r in rules.select(labels, length).distinct().collect()}, reverse=True)
 
-    Shapes are (labels of the host, length of the path), so a long host or path costs no more.
-    """
-    shapes = sorted({(r.partition("/")[0].count(".") + 1, len(r) - r.index("/")) for r in rules}, reverse=True)
+
+def rule_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """All strings host suffix + path prefix of the rules' shapes, longest first; a long host or path costs no more."""
+    labels_of = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
     keys = [
-        F.when(
-            (F.size(F.split(host, r"\.")) >= labels) & (F.length(path) >= length),
-            F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)),
-        )
+        F.when((labels_of >= labels) & (F.length(path) >= length), F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)))
         for labels, length in shapes
     ]
     return F.array_sort(F.array_compact(F.array(*keys)), lambda a, b: F.length(b) - F.length(a)) if keys else F.array().cast("array<string>")
 
 
 def filter_urls(
-    pages: DataFrame, rules: dict[str, str], blocked: Column | None = None, url: str = "url"
+    pages: DataFrame, rules: dict[str, str] | DataFrame, blocked: DataFrame | None = None, url: str = "url", max_bits: int = MAX_BITS
 ) -> tuple[DataFrame, tuple[str, str, str, str]]:
     """``pages`` with host, path, rule and verdict; returns the frame and these names.
 
-    ``rules`` maps "host/path prefix" to allow or block; the longest that fits decides.
-    ``blocked`` is a condition on the column ``host`` that lists hosts of the corpus; a page
-    that no rule fits is blocked if its host is listed. Membership comes from cascades over
-    all keys of the table. Null URLs and those without ``://`` have empty host and path and
-    are allowed. Repeated rows each keep their row; an empty table gives no rows.
+    ``rules`` maps "host/path prefix" to allow or block, as a dict or as a table (rule,
+    verdict); the longest that fits decides. ``blocked`` is a table whose first column
+    lists hosts, of any number, nulls and repeats allowed; a page that no rule fits is
+    blocked if its host or a parent domain is listed. Membership comes from cascades over
+    all keys of the pages: tables meet only on distinct keys, never with the pages. Null
+    URLs and those without ``://`` have empty host and path and are allowed unless the empty
+    host is listed. Repeated rows each keep their row; an empty table gives no rows.
     """
+    spark = pages.sparkSession
     names = tuple(fresh(pages, c) for c in ("host", "path", "rule", "verdict"))
+    if isinstance(rules, dict):
+        rules = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
+    rules = rules.select("rule", "verdict").where("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    shapes = shapes_of(rules)
     h, p = host_and_path(F.col(f"`{url}`"))
-    keys = rule_keys(F.col("host"), F.col("path"), rules)
+    keys = rule_keys(F.col("host"), F.col("path"), shapes)
     hosts = checkpoint(pages.select(h.alias("host"), p.alias("path")).select("host", keys.alias("keys")).distinct())
-    found = checkpoint(hosts.select(F.explode("keys").alias("key")).distinct())
-    cascades = {
-        v: Cascade(found.select("key", F.col("key").isin([k for k, x in rules.items() if x == v]).alias("listed"))) for v in ("allow", "block")
-    }
-    listed = F.lit(False) if blocked is None else F.coalesce(blocked, F.lit(False))
-    bad = Cascade(checkpoint(hosts.select("host").distinct()).select(F.col("host").alias("key"), listed.alias("listed")))
+    found = hosts.select(F.explode("keys").alias("key")).distinct()
+    found = checkpoint(found.join(rules.withColumnRenamed("rule", "key"), "key", "left"))
+    cascades = {v: Cascade(found.select("key", F.col("verdict").eqNullSafe(F.lit(v)).alias("listed")), max_bits) for v in ("allow", "block")}
 
     host, path, rule, verdict = (F.col(f"`{c}`") for c in names)
+    own = F.lit("allow")
+    if blocked is not None:
+        listed = blocked.select(F.col(f"`{blocked.columns[0]}`").alias("key")).where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
+        counts = sorted(r[0] for r in listed.select(F.size(F.split("key", r"\."))).distinct().collect())
+        suffixes = lambda c: [F.substring_index(c, ".", -n) for n in counts]
+        universe = hosts.select(F.explode(F.array(*suffixes(F.col("host")))).alias("key")).distinct() if counts else hosts.select(F.col("host").alias("key")).distinct()
+        bad = Cascade(checkpoint(universe.join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))), max_bits)
+        own = F.when(F.exists(F.array(*suffixes(host)), bad.contains), "block").otherwise("allow") if counts else own
+
     keys_name, verdicts = fresh(pages, "rule_keys"), fresh(pages, "rule_hits")
     out = pages.withColumns({names[0]: h, names[1]: p})
-    out = out.withColumn(keys_name, rule_keys(host, path, rules))
+    out = out.withColumn(keys_name, rule_keys(host, path, shapes))
 
     def judged(key: Column) -> Column:
         v = F.when(cascades["block"].contains(key), "block").when(cascades["allow"].contains(key), "allow")
@@ -157,7 +176,6 @@ def filter_urls(
     hits = F.filter(F.transform(F.col(f"`{keys_name}`"), judged), lambda x: x["verdict"].isNotNull())
     out = out.withColumn(verdicts, F.get(hits, F.lit(0)))
     hit = F.col(f"`{verdicts}`")
-    own = F.when(bad.contains(host), "block").otherwise("allow")
     out = out.withColumns({names[2]: hit["key"], names[3]: F.coalesce(hit["verdict"], own)})
     return out.drop(keys_name, verdicts), names
 
@@ -167,11 +185,16 @@ def listed_host(host: Column) -> Column:
     return host.rlike("(^|[.-])(" + "|".join(WORDS) + ")([.-]|$)")
 
 
+def block_list(pages: DataFrame, url: str = "url") -> DataFrame:
+    """A table of hosts to block: those of the pages with a listed word."""
+    host, _ = host_and_path(F.col(f"`{url}`"))
+    return pages.select(host.alias("host")).where(listed_host(F.col("host"))).distinct()
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
-    pages, (host, path, rule, verdict) = filter_urls(
-        table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed_host(F.col("host"))
-    )
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages, (host, path, rule, verdict) = filter_urls(pages, RULES, block_list(pages))
     return pages.select("page_id", *(F.col(c).alias(n) for c, n in ((host, "host"), (path, "path"), (rule, "rule"), (verdict, "verdict"))))
 
 

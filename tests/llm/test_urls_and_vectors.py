@@ -58,6 +58,27 @@ def test_cascade_of_many_keys_stays_in_range(spark):
     assert universe.where(urls.Cascade(universe).contains(F.col("key")) != F.col("listed")).count() == 0
 
 
+def test_block_list_as_a_table(spark):
+    n = 2_000_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.format_string("http://%s.d%d.net/x", F.when(F.col("id") % 3 == 0, "a.www").otherwise("www"), F.col("id")).alias("url"))
+    listed = spark.range(0, n, 4).select(F.format_string("d%d.net", "id").alias("site")).union(spark.createDataFrame([(None,), ("d0.net",), ("other.org",)], "site string"))
+    out, (host, _, rule, verdict) = urls.filter_urls(pages, {}, listed)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert out.where((F.col(verdict) == "block") != (F.col("page_id") % 4 == 0)).count() == 0
+    assert out.where(F.col(rule).isNotNull()).count() == 0 and out.count() == n
+
+
+def test_rules_as_a_table_and_long_urls(spark):
+    rules = spark.createDataFrame([(f"h{i}.net/{'p' * (i % 5)}", ("allow", "block")[i % 2]) for i in range(3000)] + [(None, "block")], "rule string, verdict string")
+    pages = [(i, f"https://x.h{i % 4000}.net/pppp") for i in range(5000)] + [(9000, "http://" + "a." * 20_000 + "net/" + "p" * 50_000), (9001, "http://h1.net/" + "p" * 100_000)]
+    out, (host, path, rule, verdict) = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), rules)
+    got = {r["page_id"]: (r[rule], r[verdict]) for r in out.collect()}
+    for i, _ in pages[:5000]:
+        k = i % 4000
+        assert got[i] == ((f"h{k}.net/{'p' * (k % 5)}", ("allow", "block")[k % 2]) if k < 3000 else (None, "allow"))
+    assert got[9000] == (None, "allow") and got[9001] == ("h1.net/p", "block")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))[rng.integers(60, size=3000)] + 0.5 * rng.normal(size=(3000, 16))
