@@ -1,25 +1,27 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
 Every item's windows (``window`` consecutive words; an item of fewer words is one window)
-become patterns of a single automaton, delimited by spaces. A document's words are joined
-by single spaces and scanned once; match ends map to word numbers, and word numbers map to
-byte offsets of the original text.
+become patterns of a single automaton over words. A document's words are scanned once;
+match ends are word numbers, and word numbers map to byte offsets of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.llm.common import fresh, table
+from galeria.llm.common import checkpoint, fresh, stored, table
 
 #: Separators become spaces and A-Z become lower case; bytes of 0x80 and more are parts of words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -31,49 +33,61 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
-def windows(text: str | None, window: int) -> list[tuple[str, int]]:
-    """(pattern, words) of an item; bytes stand as Latin-1 letters, so a letter is a byte."""
-    w = words(text)
-    n = min(window, len(w))
-    return [(b" ".join([b"", *w[i : i + n], b""]).decode("latin-1"), n) for i in range(len(w) - n + 1)] if n else []
-
-
-def automaton(items: list[tuple[str | None, str | None]], window: int) -> ahocorasick.Automaton | None:
-    """The automaton of all items' windows; a value is (words, item ids that hold the window)."""
-    found: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        for pattern, n in windows(text, window):
-            ids = found.setdefault(pattern, (n, set()))[1]
-            if item_id is not None:
-                ids.add(item_id)
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for pattern, value in found.items():
-        out.add_word(pattern, value)
-    out.make_automaton()
-    return out
+class Matcher:
+    """One automaton of the windows of all items; a word is two letters, so its memory grows with words, not letters.
 
+    The two letters have alphabets of their own, of about the root of the vocabulary each:
+    matches start and end at words, and no node has many children to search.
+    """
 
-def scan(found: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of a text, merged hit ranges of words (end exclusive), ids of occurring items."""
-    w = words(text)
-    ranges: list[tuple[int, int]] = []
-    items: set[str] = set()
-    if found is None or not w:
-        return len(w), ranges, items
-    line = b" ".join([b"", *w, b""])
-    hits = [(end, value) for end, value in found.iter(line.decode("latin-1"))]
-    if hits:
-        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        lasts = np.searchsorted(spaces, [end for end, _ in hits])  # the space after the last word
-        for last, (_, (n, ids)) in sorted(zip(lasts.tolist(), hits, strict=True), key=lambda x: x[0] - x[1][1][0]):
-            items |= ids
-            if ranges and last - n <= ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], max(last, ranges[-1][1]))
-            else:
-                ranges.append((last - n, last))
-    return len(w), ranges, items
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
+        split = [(item_id, words(text)) for item_id, text in items]
+        often = Counter(w for _, ws in split for w in ws)
+        side = math.isqrt(max(0, len(often) - 1)) + 1
+        # the most frequent words first, as children are searched in the order of their coming
+        self.letters = {w: chr(0x100 + i // side) + chr(0x100 + side + i % side) for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}
+        found: dict[str, tuple[int, set[str]]] = {}
+        for item_id, ws in split:
+            line, n = self.line(ws), min(window, len(ws))
+            for i in range(len(ws) - n + 1) if n else ():
+                ids = found.setdefault(line[2 * i : 2 * (i + n)], (n, set()))[1]
+                if item_id is not None:
+                    ids.add(item_id)
+        self.values = [(n, tuple(ids)) for n, ids in found.values()]
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, pattern in enumerate(found):
+            self.trie.add_word(pattern, i)
+        if found:
+            self.trie.make_automaton()
+
+    def line(self, ws: list[bytes]) -> str:
+        """Words as letters; a word of no item has letters that no pattern has."""
+        get = self.letters.get
+        return "".join([get(w, "\0\0") for w in ws])
+
+    def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit ranges of words (end exclusive, merged) and ids of occurring items."""
+        if not self.values or not ws:
+            return [], set()
+        items: set[str] = set()
+        ranges = []
+        for end, i in self.trie.iter(self.line(ws)):
+            n, ids = self.values[i]
+            last = (end + 1) // 2
+            ranges.append((last - n, last))
+            items.update(ids)
+        return _merge(ranges), items
+
+
+_BUILT: dict[str, Matcher] = {}
+
+
+def _matcher(token: str, items: Callable[[], list], window: int) -> Matcher:
+    """The matcher of a benchmark's part, built once a Python worker, which holds one at a time."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Matcher(items(), window)
+    return _BUILT[token]
 
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,68 +108,129 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(items_of: Callable[[], list], window: int, text: str, names: tuple[str, str, str, str], first: bool, keep: list[str]) -> Callable:
+PAIRS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def _pairs(values: list) -> pa.Array:
+    return pa.array([[{"first": a, "end": b} for a, b in r] for r in values], PAIRS)
+
+
+def _hits(matcher: Callable[[], Matcher]):
+    """(row, text) to (row, hits, items) of rows with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = matcher()
+        for batch in batches:
+            rows, hits, items = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ranges, got = found.scan(words(text.as_py()))
+                if ranges:
+                    rows.append(row)
+                    hits.append(ranges)
+                    items.append(sorted(got))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _pairs(hits), pa.array(items, pa.list_(pa.string()))], ["row", "hits", "items"])
+
+    return run
+
+
+def _finish(matcher: Callable[[], Matcher] | None, text: str, names: tuple[str, str, str, str], keep: list[str]):
+    """Rows with words, hits, items and offsets; hits come from a matcher, or from columns of these names."""
     n_words, hits, items, offsets = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(items_of(), window)
+        found = matcher and matcher()
         for batch in batches:
             at = {c: i for i, c in enumerate(batch.schema.names)}
-            old = [[] for _ in range(batch.num_rows)] if first else batch.column(at[hits]).to_pylist()
-            ids = [[] for _ in range(batch.num_rows)] if first else batch.column(at[items]).to_pylist()
-            count, where = [], []
+            count, old, ids, where = [], [], [], []
+            given = None if found else (batch.column(at[hits]).to_pylist(), batch.column(at[items]).to_pylist())
             for i, value in enumerate(batch.column(at[text])):
                 value = value.as_py()
-                n, ranges, got = scan(found, value)
-                if ranges:
-                    old[i] = _merge([*((x["first"], x["end"]) for x in old[i]), *ranges])
-                    ids[i] = sorted({*ids[i], *got})
+                ws = words(value)
+                if found:
+                    ranges, got = found.scan(ws)
                 else:
-                    old[i] = [(x["first"], x["end"]) for x in old[i]]
-                count.append(n)
-                where.append(spans(value, old[i]) if old[i] else [])
-            pair = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            new = {
-                n_words: pa.array(count, pa.int64()),
-                hits: pa.array([[{"first": a, "end": b} for a, b in r] for r in old], pair),
-                items: pa.array(ids, pa.list_(pa.string())),
-                offsets: pa.array([[{"first": a, "end": b} for a, b in r] for r in where], pair),
-            }
+                    ranges, got = _merge([(x["first"], x["end"]) for x in given[0][i] or ()]), set(given[1][i] or ())
+                count.append(len(ws))
+                old.append(ranges)
+                ids.append(sorted(got))
+                where.append(spans(value, ranges))
+            new = {n_words: pa.array(count, pa.int64()), hits: _pairs(old), items: pa.array(ids, pa.list_(pa.string())), offsets: _pairs(where)}
             kept = [(c, batch.column(i)) for c, i in at.items() if c in keep]
             yield pa.RecordBatch.from_arrays([*(v for _, v in kept), *new.values()], [*(c for c, _ in kept), *new])
 
     return run
 
 
+def _slices(window: int, most: int):
+    """Items cut into runs of words of at most ``most`` bytes (one window at least) that overlap by a window less one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ws, at = words(value.as_py()), 0
+                while at < len(ws):
+                    end, size = min(len(ws), at + window), 0
+                    size = sum(len(w) + 1 for w in ws[at:end])
+                    while end < len(ws) and size + len(ws[end]) + 1 <= most:
+                        size += len(ws[end]) + 1
+                        end += 1
+                    ids.append(item_id)
+                    texts.append(b" ".join(ws[at:end]).decode("utf-8", "surrogatepass"))
+                    at = len(ws) if end == len(ws) else end - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "text"])
+
+    return run
+
+
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_items_bytes: int = 64 << 20, keep_text: bool = True
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_items_bytes: int = 1 << 20, keep_text: bool = True
 ) -> tuple[DataFrame, tuple[str, str, str, str]]:
     """``docs`` with four columns more: words, hit word ranges, item ids and hit byte ranges.
 
     Returns the frame and the four names (clashing names get an underscore). The benchmark
-    is sent to the executors in parts of at most ``max_items_bytes`` of text, one automaton
-    each, by a checked size: a small benchmark is one part and each text is scanned once.
+    is sent to the executors in parts of at most ``max_items_bytes`` of text (one slice of
+    an item at least), by a checked size; a part's automaton takes about 160 bytes for each
+    of text. A benchmark of one part is scanned for in one pass over the texts. For more,
+    the texts are written once to the shared folder, each part is a pass over them that
+    gives only rows with hits, and these are put together by row.
     ``keep_text=False`` leaves the text column out of the result.
     Null and empty texts have no words and no hits; items without words match nothing; an
-    item without an id still marks words. Repeated rows each keep their row.
+    item without an id still marks words. Repeated rows each keep their row. An empty
+    benchmark hits nothing; an empty table gives no rows.
     """
     spark = docs.sparkSession
     names = tuple(fresh(docs, c) for c in ("n_words", "hit_words", "hit_items", "hit_bytes"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-total // max_items_bytes))
-    items = items.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text")).distinct()
+    items = checkpoint(items.mapInArrow(_slices(window, max(1, max_items_bytes // 4)), "id string, text string"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
+    parts = max(1, -(-size["n"] // max_items_bytes))
+    number = lambda parts: F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    while parts > 1 and parts < 4 * size["c"]:
+        if items.groupBy(number(parts)).agg(F.sum(F.octet_length("text")).alias("n")).where(F.col("n") > max_items_bytes).isEmpty():
+            break
+        parts *= 2
     pair = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = (T.LongType(), pair, T.ArrayType(T.StringType()), pair)
     added = [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]
-    out = docs
-    for part in range(parts):
-        rows = [(r["id"], r["text"]) for r in items.where(F.col("part") == part).select("id", "text").distinct().collect()]
-        sent = spark.sparkContext.broadcast(rows)
-        kept = [f for f in docs.schema.fields if keep_text or part < parts - 1 or f.name != text]
-        step = _pass(lambda sent=sent: sent.value, window, text, names, part == 0, [f.name for f in kept])
-        out = out.mapInArrow(step, T.StructType([*kept, *added]))
-    return out, names
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+
+    def sent(part: int) -> Callable[[], Matcher]:
+        rows = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in items.where(number(parts) == part).collect()])
+        token = uuid.uuid4().hex
+        return lambda: _matcher(token, lambda: rows.value, window)
+
+    if parts == 1:
+        return docs.mapInArrow(_finish(sent(0), text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
+    row = fresh(docs, "row")
+    held, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    given = T.StructType([T.StructField("row", T.LongType()), T.StructField("hits", pair), T.StructField("items", T.ArrayType(T.StringType()))])
+    texts = held.select(row, F.col(f"`{text}`"))
+    used = [r[0] for r in items.select(number(parts)).distinct().collect()]
+    found = reduce(DataFrame.union, (texts.mapInArrow(_hits(sent(part)), given) for part in sorted(used)))
+    found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias(names[1]), F.flatten(F.collect_list("items")).alias(names[2]))
+    met = held.join(found.withColumnRenamed("row", row), row, "left").drop(row)
+    return met.mapInArrow(_finish(None, text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
 
 
 def digest(ids: list[str]) -> str:
@@ -198,6 +273,6 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents without any hit word, with their own columns."""
+    """The documents without any hit word, with their own columns; see ``contamination`` for odd rows, which all stay."""
     found, (_, hits, _, _) = contamination(docs, benchmark, text, **options)
     return found.where(F.size(hits) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
