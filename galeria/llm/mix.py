@@ -4,8 +4,9 @@ Each source's documents, in the order of (doc_id, size), form one stream of word
 packed into blocks of a fixed length. Source counts of every output shard are multinomial
 draws from what is left of the sources' quotas; a source's draws, counted through all
 shards, map through pseudorandom permutations of its block numbers, one per round over the
-blocks, so no block comes a second time before all have come once. Slots and blocks then
-meet in a join by (source, block number).
+blocks, so no block comes a second time before all have come once; a source's last draw is
+cut to the words its target still asks. Slots and blocks then meet in a join by (source,
+block number).
 """
 
 from __future__ import annotations
@@ -47,17 +48,39 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def quotas(sizes: list[int], wanted: list[float], block: int, repeats: int = REPEATS) -> list[tuple[int, int]]:
-    """(blocks, draws) of each source: whole rounds take all its words, the rest goes by full blocks."""
+def round_key(seed: int, source: int, rounds: np.ndarray | int) -> np.ndarray:
+    """The key of a source's permutation in a round."""
+    return (np.uint64(seed) << np.uint64(40)) + (np.uint64(source) << np.uint64(8)) + np.asarray(rounds, np.uint64)
+
+
+def quotas(sizes: list[int], wanted: list[float], block: int, repeats: int = REPEATS, seed: int = 0) -> list[tuple[int, int, int]]:
+    """(blocks, draws, words of the last draw) of each source, so that it takes its target, rounded to words.
+
+    Whole rounds take all of its words; the rest goes by blocks in the order of the next
+    round's permutation, the last of them cut. A stream's last block may be short: its place
+    in that order, which the inverse permutation tells, decides how many draws there are.
+    """
     out = []
-    for size, target in zip(sizes, wanted, strict=True):
-        n = -(-size // block)
-        rounds = int(target // size) if size else 0
-        out.append((n, min(repeats * n, rounds * n + round((target - rounds * size) / block)) if size else 0))
+    for source, (size, target) in enumerate(zip(sizes, wanted, strict=True)):
+        n, target = -(-size // block), min(round(target), repeats * size)
+        if not target:
+            out.append((n, 0, block))
+            continue
+        rounds, rest = divmod(target, size)
+        tail = size - (n - 1) * block
+        if not rest:
+            out.append((n, rounds * n, block))
+            continue
+        short = int(permute(np.array([n - 1]), n, round_key(seed, source, rounds), inverse=True)[0])
+        words = lambda q, short=short, tail=tail: block * q - (block - tail if short < q else 0)
+        draws = -(-rest // block)
+        if words(draws) < rest:
+            draws = -(-(rest + block - tail) // block)
+        out.append((n, rounds * n + draws, rest - words(draws - 1)))
     return out
 
 
-def shard_counts(draws: list[int], slots: int, seed: int) -> Iterator[np.ndarray]:
+def shard_counts(draws: list[int], slots: int, seed: int | list[int]) -> Iterator[np.ndarray]:
     """Each shard's source counts: multinomial over the quotas' rests, what exceeds a rest is drawn again."""
     rng, rest = np.random.default_rng(seed), np.array(draws, np.int64)
     while rest.sum():
@@ -70,19 +93,25 @@ def shard_counts(draws: list[int], slots: int, seed: int) -> Iterator[np.ndarray
         yield counts
 
 
-def _slots(blocks: list[int], seed: int, batch: int = 1 << 16):
+def _slots(quota: list[tuple[int, int, int]], block: int, slots: int, seed: int):
+    """Groups of shards (first shard, first draws and draws of the sources) to slots."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            for shard, source, slot, first, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for at in range(0, count, batch):
-                    k = np.arange(at, min(count, at + batch))
-                    rounds, place = np.divmod(first + k, blocks[source])
-                    key = (np.uint64(seed) << np.uint64(40)) + (np.uint64(source) << np.uint64(8)) + rounds.astype(np.uint64)
-                    index = permute(place, blocks[source], key).astype(np.int64)
-                    n = len(k)
-                    columns = (np.full(n, shard), slot + k, np.full(n, source), rounds, index)
+            for shard, used, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                used = np.array(used, np.int64)
+                for at, own in enumerate(shard_counts(counts, slots, [seed, 1, shard])):
+                    source = np.repeat(np.arange(len(own)), own)
+                    slot = np.arange(len(source))
+                    draw = used[source] + slot - np.repeat(np.cumsum(own) - own, own)
+                    n, all_, last = (np.array(x, np.int64)[source] for x in zip(*quota, strict=True))
+                    rounds, place = np.divmod(draw, n)
+                    index = permute(place, n, round_key(seed, 0, rounds) + (source.astype(np.uint64) << np.uint64(8)))
+                    most = np.where(draw == all_ - 1, last, block)
+                    used += own
+                    columns = (np.full(len(source), shard + at), slot, source, rounds, index, most)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.astype(np.int64)) for c in columns], ["shard", "slot", "source_index", "round", "block"]
+                        [pa.array(c.astype(np.int64)) for c in columns], ["shard", "slot", "source_index", "round", "block", "most"]
                     )
 
     return run
@@ -93,14 +122,17 @@ class Mixture:
 
     ``rows``: documents with ``size``, ``source_index``, ``part``, ``place`` (the row's
     identity) and ``first_word`` in its source's stream. ``slots``: (shard, slot,
-    source_index, round, block). Sources are at most ``max_sources`` (one number each on
-    the driver). Null sources are a source of their own, the last; null and empty texts
-    have no words and are never taken; repeated rows each have a place in the stream.
+    source_index, round, block, most), ``most`` words of the block being taken. Every shard
+    but the last has ``slots`` slots. Shards are drawn in tasks, by at most ``groups``
+    groups; the groups' source counts, drawn on the driver, are at most 4 million numbers. Sources are at most
+    ``max_sources`` (one number each on the driver). Null sources are a source of their
+    own, the last; null and empty texts have no words and are never taken; repeated rows
+    each have a place in the stream. An empty table has no sources and no slots.
     """
 
     def __init__(
         self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 64,
-        slots: int = 4096, seed: int = 0, keep: list[str] | None = None, max_sources: int = 100_000,
+        slots: int = 4096, seed: int = 0, keep: list[str] | None = None, max_sources: int = 100_000, groups: int = 4096,
     ) -> None:
         spark = docs.sparkSession
         self.block, self.names = block, {c: fresh(docs, c) for c in ("size", "source_index", "part", "place", "first_word", "arrival")}
@@ -126,7 +158,7 @@ class Mixture:
             starts.append((s, number[s], p, sizes[number[s]]))
             sizes[number[s]] += words
         self.sizes, self.targets = sizes, targets(sizes)
-        self.blocks, draws = zip(*quotas(sizes, self.targets, block), strict=True) if sizes else ((), ())
+        quota = quotas(sizes, self.targets, block, seed=seed)
 
         kind = rows.schema[source].dataType.simpleString()
         starts = spark.createDataFrame(starts, f"s {kind}, i long, p long, start long")
@@ -136,19 +168,17 @@ class Mixture:
         self.narrow = narrow.withColumn("first", F.col("start") + F.coalesce(before, F.lit(0))).drop("start")
         self.rows = rows
 
-        total = sum(draws)
-        most = max(1, min(4096, (1 << 22) // max(1, len(sizes))))
-        slots = max(slots, -(-total // most))
+        draws = [d for _, d, _ in quota]
+        shards = -(-sum(draws) // slots)
+        together = -(-shards // max(1, min(groups, (1 << 22) // max(1, len(sizes)))))  # shards of a group
         plan, used = [], np.zeros(len(sizes), np.int64)
-        for shard, counts in enumerate(shard_counts(list(draws), slots, seed) if total else ()):
-            slot = 0
-            for i in np.flatnonzero(counts).tolist():
-                plan.append((shard, i, slot, int(used[i]), int(counts[i])))
-                slot += int(counts[i])
-            used += counts
-        plan = spark.createDataFrame(plan, "shard long, source_index long, slot long, first long, count long")
-        plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_index")
-        self.slots = plan.mapInArrow(_slots(list(self.blocks), seed), "shard long, slot long, source_index long, round long, block long")
+        for group, counts in enumerate(shard_counts(draws, slots * together, [seed, 0]) if shards else ()):
+            plan.append((group * together, used.tolist(), counts.tolist()))
+            used = used + counts
+        plan = spark.createDataFrame(plan, "shard long, used array<long>, counts array<long>")
+        plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        kinds = "shard long, slot long, source_index long, round long, block long, most long"
+        self.slots = plan.mapInArrow(_slots(quota, block, slots, seed), kinds)
 
     def pieces(self) -> DataFrame:
         """One row per document and block it lies in: p, at, key, n, i, block, words lo to hi of the document."""
@@ -158,14 +188,17 @@ class Mixture:
         out = self.narrow.select("*", F.explode_outer(blocks).alias("block"))
         lo = F.greatest(F.col("block") * b - F.col("first"), F.lit(0))
         hi = F.least(F.col("block") * b + b - F.col("first"), F.col("n"))
-        return out.withColumns({"lo": lo, "hi": hi})
+        within = F.greatest(F.col("first") - F.col("block") * b, F.lit(0))  # words of the block before the document's
+        return out.withColumns({"lo": lo, "hi": hi, "within": within})
 
     def taken(self) -> DataFrame:
         """Every document row with the words that the mixture takes of it, repeats counted."""
-        times = self.slots.groupBy("source_index", "block").agg(F.count("*").alias("times"))
+        whole = F.col("most") == self.block
+        times = self.slots.groupBy("source_index", "block").agg(F.count_if(whole).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("most"))), F.lit(0)).alias("cut"))
         times = times.withColumnRenamed("source_index", "i")
         met = self.pieces().join(times, ["i", "block"], "left")
-        words = F.sum(F.coalesce((F.col("hi") - F.col("lo")) * F.col("times"), F.lit(0)))
+        own = F.col("hi") - F.col("lo")  # of a cut block, the words before its cut
+        words = F.sum(F.coalesce(own * F.col("times") + F.greatest(F.lit(0), F.least(own, F.col("cut") - F.col("within"))), F.lit(0)))
         return met.groupBy("p", "at", "key", "n", "i").agg(words.alias("taken"))
 
     def documents(self, text: str, n_chars: str | None, columns: list[str]) -> DataFrame:
@@ -174,8 +207,9 @@ class Mixture:
         A row's text is the document's if the round takes all its words, else the taken
         runs of words as they stand, joined by single spaces.
         """
-        drawn = self.slots.select(F.col("source_index").alias("i"), "block", "round")
-        met = self.pieces().join(drawn, ["i", "block"]).groupBy("p", "at", "n", "round")
+        drawn = self.slots.select(F.col("source_index").alias("i"), "block", "round", "most")
+        met = self.pieces().join(drawn, ["i", "block"]).withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("most") - F.col("within")))
+        met = met.where("hi > lo").groupBy("p", "at", "n", "round")
         part, place = self.names["part"], self.names["place"]
         runs = fresh(self.rows, "runs")
         met = met.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("got"))

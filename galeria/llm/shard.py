@@ -27,8 +27,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int = 0, rounds: int = 6) -> np.ndarray:
-    """A keyed bijection of 0 .. n - 1, element by element (``n`` and ``key`` may be arrays).
+def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int = 0, rounds: int = 6, inverse: bool = False) -> np.ndarray:
+    """A keyed bijection of 0 .. n - 1, element by element (``n`` and ``key`` may be arrays), or its inverse.
 
     A balanced Feistel network permutes the smallest power of four that holds n; values
     outside are permuted again until they fall inside, fewer than four times on average.
@@ -45,8 +45,11 @@ def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int = 0, round
         while todo.size:
             b, m, v = bits[todo], mask[todo], out[todo]
             left, right = v >> b, v & m
-            for k in keys:
-                left, right = right, left ^ (_mix(right + k[todo]) & m)
+            for k in reversed(keys) if inverse else keys:
+                if inverse:
+                    left, right = right ^ (_mix(left + k[todo]) & m), left
+                else:
+                    left, right = right, left ^ (_mix(right + k[todo]) & m)
             out[todo] = v = (left << b) | right
             todo = todo[v >= n[todo]]
     return out
