@@ -29,13 +29,13 @@ class Index:
     graph: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, lists: int, rounds: int = 10, degree: int = 24, seed: int = 3) -> Index:
-        """Balanced spherical k-means: centroids of few vectors move into the fullest lists."""
+    def fit(x: np.ndarray, lists: int, rounds: int = 10, degree: int = 24, seed: int = 3, rows: int = 2048) -> Index:
+        """Balanced spherical k-means: centroids of few vectors move into the fullest lists. Works by blocks of ``rows``."""
         rng = np.random.default_rng(seed)
         x = np.unique(x, axis=0)
         c = x[rng.permutation(len(x))[:lists]]
         for _ in range(rounds):
-            near = (x @ c.T).argmax(1)
+            near = np.concatenate([(x[at : at + rows] @ c.T).argmax(1) for at in range(0, len(x), rows)])
             sizes = np.bincount(near, minlength=len(c))
             sums = np.zeros_like(c)
             np.add.at(sums, near, x)
@@ -47,7 +47,8 @@ class Index:
                 own = np.flatnonzero(near == b)
                 if sizes[b] > 2 * len(x) / len(c):
                     c[a] = x[own[rng.integers(len(own))]]
-        return Index(c, np.argsort(-(c @ c.T), axis=1, kind="stable")[:, : min(degree, len(c))])
+        nearest = lambda part: np.argsort(-(part @ c.T), axis=1, kind="stable")[:, : min(degree, len(c))]
+        return Index(c, np.concatenate([nearest(c[at : at + rows]) for at in range(0, len(c), rows)]))
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids of each row: (ids, distances), nearest first, by best-first search of the graph."""
@@ -92,12 +93,33 @@ class Index:
         rows, at = np.nonzero(chosen)
         return rows, ids[rows, at]
 
-    def probes(self, x: np.ndarray, ratio: float, beam: int, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs of the lists that a query reads: within the ratio, and until they hold ``least`` vectors."""
+    def probes(self, x: np.ndarray, ratio: float, beam: int, sizes: np.ndarray, least: int, slack: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs of the lists that a query reads: all within the ratio, and the nearest ones until they hold ``least`` vectors.
+
+        From the ``beam`` nearest centroids that the search found, the walk goes on along the
+        graph through every centroid within the ratio, with some slack, however many they are.
+        """
         ids, d = self.search(x, beam)
         before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
-        rows, at = np.nonzero((d <= ratio * d[:, :1]) | (before < least))
-        return rows, ids[rows, at]
+        limit = ratio * d[:, 0]
+        rows, at = np.nonzero((d <= limit[:, None]) | (before < least))
+        out = [(rows, ids[rows, at])]
+        seen = np.zeros((len(x), len(self.centroids)), bool)
+        np.put_along_axis(seen, ids, True, 1)
+        rows, at = np.nonzero(d <= slack * limit[:, None])
+        lists = ids[rows, at]
+        while rows.size:
+            near = np.unique(np.repeat(rows, self.graph.shape[1]) * len(self.centroids) + self.graph[lists].ravel())
+            rows, lists = np.divmod(near, len(self.centroids))
+            new = ~seen[rows, lists]
+            rows, lists = rows[new], lists[new]
+            seen[rows, lists] = True
+            parts = [np.einsum("rd,rd->r", x[rows[i : i + 65536]], self.centroids[lists[i : i + 65536]]) for i in range(0, len(rows), 65536)]
+            far = np.sqrt(np.maximum(2 - 2 * np.concatenate([np.empty(0), *parts]), 0))
+            inside, go = far <= limit[rows], far <= slack * limit[rows]
+            out.append((rows[inside], lists[inside]))
+            rows, lists = rows[go], lists[go]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -113,8 +135,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _deal(choose, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 rows, lists = choose(_unit(_matrix(part.column(1), dim)))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", "id", "v"])
@@ -157,14 +179,18 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def neighbours(
     vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, lists: int | None = None, sample: int = 20_000,
-    replicas: int = 3, border: float = 1.15, ratio: float = 1.3, beam: int = 256, block: int = 4096,
+    replicas: int = 3, border: float = 1.15, ratio: float = 1.3, beam: int = 32, block: int = 4096, most_sample: int = 200_000,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row of ``queries`` (a condition on ``id``).
 
-    All usable rows are indexed. The centroids are fitted on at most ``sample`` rows, those
-    with the smallest hash of their id. Null, zero and non-finite vectors, and those of
-    another length than the most frequent one, take no part; rows that repeat an id count
-    once, with their best score; ties go to the smaller id. An empty table gives no rows.
+    All usable rows are indexed, in as many lists as the root of their number unless
+    ``lists`` says otherwise. The centroids are fitted on ``sample`` rows or eight a list, at
+    most ``most_sample``, those with the smallest hash of their id; the lists are at most an
+    eighth of ``most_sample``, which the driver and each task hold. A query reads every list
+    within the ratio. Null, zero and non-finite vectors, and those of another length than
+    the most frequent one, take no part; rows that repeat an id count once, with their best
+    score, and are no neighbours of themselves; ties go to the smaller id. Other columns
+    are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
@@ -174,11 +200,13 @@ def neighbours(
         return empty
     dim, n = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("v") == dim)
+    lists = lists or int(min(most_sample // 8, max(1, round(n**0.5))))
+    sample = min(most_sample, max(sample, 8 * lists))
     low = F.xxhash64("id") <= min(2**63 - 1, int(-(2**63) + min(1.0, 1.25 * sample / n) * 2**64))
     got = rows.where(low).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"]
     x = _unit(_matrix(got, dim)) if len(got) else np.eye(1, dim)
-    index = Index.fit(x, lists or int(min(4096, max(1, round(n**0.5)))))
-    sent = spark.sparkContext.broadcast(index)  # at most 4096 centroids
+    index = Index.fit(x, lists)
+    sent = spark.sparkContext.broadcast(index)  # at most most_sample / 8 centroids
 
     schema = rows.select(F.lit(0).alias("list"), "id", "v").schema
     posted = checkpoint(rows.mapInArrow(_deal(lambda u: sent.value.postings(u, border, replicas), dim), schema))

@@ -103,6 +103,25 @@ def test_neighbours(spark):
     assert [v for _, v, _ in sorted(found[100])] == [101, 102, 103, 104, 105]
 
 
+def test_queries_walk_the_graph(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 64))  # no structure: many lists lie within the ratio
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("ID", F.lit(0)).withColumn("v", F.lit(1))
+    got = {(r["query_id"], r["vec_id"]) for r in ann.neighbours(df, F.col("id") % 50 == 0, lists=400).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, 9000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        want |= {(q, int(v)) for v in np.argsort(-s)[:5]}
+    assert len(got & want) / len(want) >= 0.9
+    index = ann.Index.fit(u[:4000], 400)
+    rows, lists = index.probes(u[:200], 1.3, 32, np.full(400, 20), 10)
+    far = np.sqrt(np.maximum(2 - 2 * u[:200] @ index.centroids.T, 0))
+    inside = far <= 1.3 * far.min(1)[:, None]
+    assert inside.sum(1).max() > 32 and inside[rows, lists].sum() >= 0.99 * inside.sum()
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r["rank"], r["vec_id"]) for r in ann.neighbours(df, F.col("id") == 0).orderBy("rank").collect()]
