@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeria.functions.scalars import dot
-from galeria.plans.numbering import checkpoint
+from galeria.plans.shared import components
 
 
 def literal(vector: list[float]) -> Column:
@@ -93,13 +93,6 @@ def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 *
 
 def groups(pairs: DataFrame) -> DataFrame:
     """``id, grp``: connected components of ``pairs(a, b)``, named by their smallest id."""
-    both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("grp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("grp").alias("near"))
-        moved = labels.join(near, "id").select("id", F.col("grp").alias("old"), F.least("grp", "near").alias("grp"))
-        jump = labels.select(F.col("id").alias("grp"), F.col("grp").alias("further"))
-        new = checkpoint(moved.join(jump, "grp", "left").select("id", "old", F.coalesce("further", "grp").alias("grp")))
-        labels = new.select("id", "grp")
-        if new.where("grp <> old").isEmpty():
-            return labels
+    found = components(pairs.select("a", "b"))
+    alone = pairs.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("comp")).distinct().join(found, "v", "left_anti")
+    return found.unionByName(alone).select(F.col("v").alias("id"), F.col("comp").alias("grp"))
