@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galeria.llm.common import checkpoint, table
-from galeria.llm.shard import lookup
+from galeria.plans.numbering import lookup
 
 
 @dataclass

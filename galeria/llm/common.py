@@ -1,17 +1,14 @@
-"""Helpers shared by the training-data operators: tables, shared folders, components.
-
-Nothing here reads a local path: intermediate tables go to the folder named by
-``spark.checkpoint.dir``, which every executor and the driver can see.
-"""
+"""Helpers shared by the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galeria.plans.shared import checkpoint, components, discard, fresh, path_of, scratch, shared_dir, stored
+
+__all__ = ["ascii_lower", "checkpoint", "components", "discard", "fresh", "path_of", "running", "scratch", "shared_dir", "stored", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,59 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if root is None and jsc.getCheckpointDir().isDefined():
-        root = jsc.getCheckpointDir().get()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="galeria-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder; return it reread, and its path.
-
-    The table goes when the driver's JVM ends, or earlier through ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
-    jvm = spark._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; null stays null."""
     return F.translate(c, UPPER, LOWER)
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name starting with ``stem`` that ``df`` has not, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem
-
-
 def running(values: Column, op, zero: int = 0, block: int = 64) -> Column:
     """For each element of an int array, ``op`` over those before it.
 
@@ -93,30 +42,3 @@ def running(values: Column, op, zero: int = 0, block: int = 64) -> Column:
         return F.flatten(F.transform(F.array(blocks), parts)[0])
 
     return F.transform(F.array(values), lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))[0]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: one row ``(v, comp)`` per vertex.
-
-    ``comp`` is the smallest vertex reachable. Minimum labels travel along edges and each
-    round also jumps to the label's own label, so the rounds grow with the logarithm of a
-    component's diameter. All joins are keyed; a hub's edges only meet in map-side minima.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpoint(both.where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-    labels = checkpoint(labels.select("v", F.least("v", "m").alias("comp")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("v").alias("b"), "comp"), "b")
-            .groupBy(F.col("a").alias("v"))
-            .agg(F.min("comp").alias("m"))
-        )
-        moved = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("v").alias("comp"), F.col("comp").alias("further"))
-        new = checkpoint(
-            moved.join(jump, "comp", "left").select("v", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        )
-        labels = new.select("v", "comp")
-        if new.where("comp <> old").isEmpty():
-            return labels

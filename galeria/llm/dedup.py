@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeria.llm.common import checkpoint, components, discard, fresh, stored, table
-from galeria.llm.shard import numbered
+from galeria.llm.common import checkpoint, components, fresh, path_of, scratch, stored, table
+from galeria.plans.numbering import counted
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -135,52 +135,52 @@ def _text_key(text: Column) -> Column:
 
 def _grouped(docs: DataFrame, text: str, key: str, words: int, percent: int, k: int, m: int, seed: int) -> DataFrame:
     """A row per document: ``doc_id, text_key, n, grp, component_id, n_links``; ``grp`` is null without words or key."""
-    spark = docs.sparkSession
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _text_key(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    signed = source.mapInArrow(_signatures(words, k, m, seed), "doc_id long, text_key string, n long, set_key binary, sig array<long>")
-    signed, path = stored(signed, "signatures")
-    classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
-    classes = classes.agg(F.min(F.struct("doc_id", "text_key", "n", "sig")).alias("r")).select("set_key", "r.*")
-    reps, _, reps_path = numbered(classes, ["doc_id", "set_key"], "rep")
-
-    # Classes that share no A or no B with another one are in no bucket with another.
-    halves = reps.select("rep", F.posexplode("sig").alias("i", "h"))
-    often = halves.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1")
-    sides = halves.join(often, ["i", "h"], "left_semi").groupBy("rep").agg(
-        F.bool_or(F.col("i") < m).alias("x"), F.bool_or(F.col("i") >= m).alias("y")
-    )
-    alive, alive_path = stored(reps.join(sides.where("x AND y"), "rep", "left_semi").select("rep", "n", "sig"), "alive")
-    keys = F.flatten(
-        F.transform(F.slice("sig", 1, m), lambda x, i: F.transform(F.slice("sig", m + 1, m), lambda y, j: F.xxhash64(x, y, i * m + j)))
-    )
-    tables = alive.select("rep", "n", F.explode(keys).alias("bucket"))
-    leads = tables.groupBy("bucket").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("c"))
-    leads = checkpoint(leads.where("c > 1").drop("c"))
-    members, members_path = stored(tables.join(leads, "bucket"), "buckets")
-
-    wanted = members.select("rep").distinct()
-    wanted = reps.join(wanted, "rep", "left_semi").select("rep", "doc_id", "text_key")
-    sets = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("rep", "text")
-    sets, sets_path = stored(sets.mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
-    fits = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
-    stars = members.where((F.col("rep") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = checkpoint(_verified(stars, sets, percent))
-    labels = components(links)
-
-    more = _remaining(members, sets, labels, percent)
-    links = checkpoint(links.union(_verified(more, sets, percent)).distinct())
-    labels = components(links)
-
-    degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
-    grp = reps.select("set_key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
-    grp = grp.select("set_key", F.coalesce("comp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    first = reps.select(F.col("rep").alias("grp"), F.col("doc_id").alias("component_id"))
-    of_class = checkpoint(grp.join(first, "grp"))
-    out = signed.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
-    out = checkpoint(
-        out.select("doc_id", "text_key", "n", "grp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    discard(spark, path, reps_path, alive_path, members_path, sets_path)
+    with scratch(docs.sparkSession) as keep:
+        source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), _text_key(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
+        signed = source.mapInArrow(_signatures(words, k, m, seed), "doc_id long, text_key string, n long, set_key binary, sig array<long>")
+        signed, _ = stored(signed, "signatures")
+        classes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
+        classes = classes.agg(F.min(F.struct("doc_id", "text_key", "n", "sig")).alias("r")).select("set_key", "r.*")
+        reps, _ = counted(classes, ["doc_id", "set_key"], "rep")
+
+        # Classes that share no A or no B with another one are in no bucket with another.
+        halves = reps.select("rep", F.posexplode("sig").alias("i", "h"))
+        often = halves.groupBy("i", "h").agg(F.count("*").alias("c")).where("c > 1")
+        sides = halves.join(often, ["i", "h"], "left_semi").groupBy("rep").agg(
+            F.bool_or(F.col("i") < m).alias("x"), F.bool_or(F.col("i") >= m).alias("y")
+        )
+        alive, _ = stored(reps.join(sides.where("x AND y"), "rep", "left_semi").select("rep", "n", "sig"), "alive")
+        keys = F.flatten(
+            F.transform(F.slice("sig", 1, m), lambda x, i: F.transform(F.slice("sig", m + 1, m), lambda y, j: F.xxhash64(x, y, i * m + j)))
+        )
+        tables = alive.select("rep", "n", F.explode(keys).alias("bucket"))
+        leads = tables.groupBy("bucket").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("lead_n"), F.count("*").alias("c"))
+        leads = checkpoint(leads.where("c > 1").drop("c"))
+        members, _ = stored(tables.join(leads, "bucket"), "buckets")
+
+        wanted = members.select("rep").distinct()
+        wanted = reps.join(wanted, "rep", "left_semi").select("rep", "doc_id", "text_key")
+        sets = source.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("rep", "text")
+        sets, _ = stored(sets.mapInArrow(_sets(words), "rep long, shingles array<long>"), "sets")
+        fits = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
+        stars = members.where((F.col("rep") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        links = checkpoint(_verified(stars, sets, percent))
+        labels = components(links)
+
+        more = _remaining(members, sets, labels, percent)
+        links = checkpoint(links.union(_verified(more, sets, percent)).distinct())
+        labels = components(links)
+
+        degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+        grp = reps.select("set_key", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(degree, "rep", "left")
+        grp = grp.select("set_key", F.coalesce("comp", "rep").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        first = reps.select(F.col("rep").alias("grp"), F.col("doc_id").alias("component_id"))
+        of_class = checkpoint(grp.join(first, "grp"))
+        out = signed.select("doc_id", "text_key", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
+        out = checkpoint(
+            out.select("doc_id", "text_key", "n", "grp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        )
+        keep.add(path_of(out))
     return out
 
 
@@ -233,7 +233,7 @@ def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     prefix = prefix.select("rep", "comp", "out", "n", left.alias("left"), F.col("t.s").alias("s"), most.alias("most"))
     prefix = prefix.where(F.col("most") * 100 >= F.col("n") * percent)
     band = lambda c: F.floor(F.log(c.cast("double")) / math.log(100 / percent)).cast("int")
-    prefix, path = stored(prefix.withColumns({"band": band(F.col("n")), "to": band(F.col("most"))}), "prefixes")
+    prefix, _ = stored(prefix.withColumns({"band": band(F.col("n")), "to": band(F.col("most"))}), "prefixes")
 
     large = prefix.select("s", "band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("most").alias("mx"), F.col("out").alias("ox"))
     seek = prefix.where("most >= n").select(
@@ -253,9 +253,7 @@ def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
         & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))))
         & _similar(F.col("nx"), F.col("ny"), F.least("lx", "ly"), percent)
     )
-    pairs = checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    discard(members.sparkSession, path)
-    return pairs
+    return checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

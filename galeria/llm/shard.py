@@ -8,16 +8,16 @@ one apart (the law ``rows``), and slots have no gaps.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.llm.common import fresh, stored, table
+from galeria.llm.common import fresh, table
+from galeria.plans.numbering import counted
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,34 +55,6 @@ def permute(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int = 0, round
     return out
 
 
-def numbered(df: DataFrame, order: list[str], number: str, partitions: int | None = None) -> tuple[DataFrame, int, str]:
-    """``df`` with a global row number 0 .. n - 1 in the order of ``order``, n, and the path of the stored copy.
-
-    Range partitioning on ``order`` and then on the row's arrival: a value that a third of
-    all rows hold is spread over partitions, and rows equal in ``order`` may change places.
-    The sorted rows are written to the shared folder with their partition and place, so
-    that counts and numbers come from the same rows. Only one count per partition comes to
-    the driver.
-    """
-    spark = df.sparkSession
-    arrival, part, place = fresh(df, "arrival"), fresh(df, "part"), fresh(df, "place")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(n, *order, arrival)
-    at = F.monotonically_increasing_id()  # the partition's number, then 33 bits of position
-    dealt = dealt.sortWithinPartitions(*order, arrival).drop(arrival)
-    held, path = stored(dealt.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
-    total, firsts = 0, {}
-    for p, count in sorted((r[part], r["count"]) for r in held.groupBy(part).count().collect()):
-        firsts[p], total = total, total + count
-    base = lookup([firsts.get(p, 0) for p in range(max(firsts, default=0) + 1)])
-    return held.withColumn(number, base[F.col(part)] + F.col(place)).drop(part, place), total, path
-
-
-def lookup(values: list[int]) -> Column:
-    """A constant array; the optimizer folds the JSON text into one literal."""
-    return F.from_json(F.lit(json.dumps(values)), T.ArrayType(T.LongType()))
-
-
 def shard(df: DataFrame, order: list[str], n_shards: int = 16, seed: int = 0) -> tuple[DataFrame, tuple[str, str, str]]:
     """``df`` with row number, shard and slot; returns the frame and these columns' names.
 
@@ -90,7 +62,7 @@ def shard(df: DataFrame, order: list[str], n_shards: int = 16, seed: int = 0) ->
     order columns come first. An empty table gives no rows.
     """
     names = number, shard_name, slot = tuple(fresh(df, c) for c in ("row_number", "shard", "slot"))
-    rows, total, _ = numbered(df, order, number)
+    rows, total = counted(df, order, number)
 
     @F.pandas_udf(T.LongType())
     def place(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
