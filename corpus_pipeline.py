@@ -1,14 +1,18 @@
 """The corpus pipeline: quality, near copies, benchmark passages, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next one reads as
-its docs; all but the last return the columns of ``documents``.
+its docs; all but the last return the columns of ``documents``. Null and empty texts and
+those without words score 0 and go with the first stage; rows without a doc_id are in no
+group of near copies and stay; rows that repeat a doc_id and text are one document, unlike
+texts under one doc_id are several; columns beyond those of ``documents`` are carried
+along, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galeria.llm.common import discard, stored, table
+from galeria.llm.common import discard, scratch, stored, table
 from galeria.llm.decontam import clean
 from galeria.llm.dedup import deduplicated
 from galeria.llm.mix import mix_documents
@@ -55,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, path = stored(stage(spark, docs, sf_dir), name.split()[0])
+        with scratch(spark) as keep:
+            docs, path = stored(stage(spark, docs, sf_dir), name.split()[0])
+            keep.add(path)
         if last:
             discard(spark, last)
         last = path
