@@ -10,8 +10,6 @@ same or a better priority is suppressed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -220,13 +218,11 @@ FORMS = (
     (5, 0.6, "(?:{i}{v} licen[cs]ed|licen[cs]e {i}{v})"),
 )
 PRIORITIES = 5
-#: Every match of any rule holds one of these, and one of the rules' keywords.
+#: Every match of any rule has a word that starts like this, and one of the rules' keywords.
 CUES = (
-    "licen", "spdx", *(g + " " for g in "released distributed published available provided covered governed offered redistributed".split()),
-    "permission", "redistribution", "sublicense", "endorse", "advertising", "grant of", "terms and conditions", "copy", "gnu ", "if a copy", "altered source",
-    "origin of this", "png reference", "public domain", "buy me a beer", "you just do", "openssl", "font software", "deal with the software", "x consortium",
-    "other dealings", "copies of vim", "change date", "all rights reserved", "proprietary", "unauthori", " org ", " net ", "joinup", "cecill", "same terms as perl",
-    "some rights reserved", "anyone is free",
+    "licen", "sublicen", "unlicen", "spdx", *(g + " " for g in "released distributed published available provided covered governed offered redistributed".split()),
+    "permission", "redistribution", "software", "copyright", "public domain", "anyone is free", "png reference", "advertising", "copies of vim", "openssl", "font software", "php software",
+    "org ", "net ", "joinup", "cecill", "same terms as perl", "rights reserved", "proprietary", "prohibited", "unauthori", "change date", "a beer", "you just do", "if a copy", "gnu ", "terms and",
 )
 
 
@@ -252,17 +248,16 @@ def spaces(c: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """A space, the lower-cased words with single spaces between, a space; " " without words."""
-    words = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " ")
-    words = F.trim(words)
-    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text, F.lit(""))), F.lit(" ")), SEPARATORS, " ")
 
 
 def _holds(norm: Column, literals: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (norm.contains(x) for x in literals))
+    """Whether a text has a word that starts like one of the literals: an expression that fails at once inside words."""
+    return norm.rlike(" (?:" + "|".join(literals) + ")")
 
 
 def _found(norm: str, gated: bool) -> Column:
-    """The rules that match: structs of priority, rule, label, confidence, matches and the pieces between.
+    """The rules that match: structs of priority, rule, label, confidence, matches and pattern.
 
     Patterns are literals, so each is compiled once a task. The text is a lambda's argument,
     so that the rules are evaluated one by one instead of as one huge generated method.
@@ -272,15 +267,16 @@ def _found(norm: str, gated: bool) -> Column:
         gate = " OR ".join(f"contains(t, '{g}')" for g in r["gate"]) if gated else "true"
         return (
             f"CASE WHEN {gate} THEN named_struct('priority', {r['priority']}, 'rule', {r['id']}, 'label', '{r['label']}', 'confidence', "
-            f"{r['confidence']}D, 'found', regexp_extract_all(t, '{r['pattern']}', 0), 'pieces', split(t, '{r['pattern']}', -1)) END"
+            f"{r['confidence']}D, 'found', regexp_extract_all(t, '{r['pattern']}', 0), 'pattern', '{r['pattern']}') END"
         )
 
     return F.expr(f"transform(array(`{norm}`), t -> filter(array({', '.join(map(one, rules()))}), r -> size(r.found) > 0))")[0]
 
 
-def _places(r: Column) -> Column:
+def _places(norm: Column, r: Column) -> Column:
     """A rule's matches as hits: structs of first word, minus end word, priority, rule, label, confidence."""
-    pairs = F.zip_with(F.slice(r["pieces"], F.lit(1), F.size(r["found"])), r["found"], lambda b, m: F.struct(spaces(b).alias("gap"), spaces(m).alias("own")))
+    pieces = F.split(norm, r["pattern"], -1)  # of rules that match only
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(r["found"])), r["found"], lambda b, m: F.struct(spaces(b).alias("gap"), spaces(m).alias("own")))
     passed = running(F.transform(pairs, lambda x: x["gap"] + x["own"]), lambda u, v: u + v)
 
     def hit(x: Column, before: Column) -> Column:
@@ -330,9 +326,9 @@ def scan(docs: DataFrame, text: str = "text", gated: bool = True) -> tuple[DataF
     matches = _found(norm, gated)
     if gated:
         keywords = sorted({g for r in rules() for g in r["gate"]})
-        matches = F.when(_holds(n, list(CUES)) & _holds(n, keywords), matches)
+        matches = F.when(_holds(n, list(CUES)), F.when(_holds(n, [k[1:] for k in keywords]), matches))
     out = out.withColumn(present, matches)
-    detections = F.when(F.size(present) > 0, _unsuppressed(F.flatten(F.transform(F.col(present), _places)))).otherwise(none)
+    detections = F.when(F.size(present) > 0, _unsuppressed(F.flatten(F.transform(F.col(present), lambda r: _places(n, r))))).otherwise(none)
     return out.withColumn(found, detections).drop(present), (norm, found)
 
 
