@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ def from_half(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else decode_half(x))
 
 
-#: How text is cut before merging: contractions, letters, single digits, other marks.
+# Fixed value: how text is cut before merging: contractions, letters, single digits, other marks.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -49,14 +50,43 @@ def byte_letters() -> list[str]:
 
 
 def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the adjacent pair of the lowest rank, the leftmost of equals, until none is left."""
-    symbols = list(symbols)
-    while len(symbols) > 1:
-        rank, i = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-        if rank == len(ranks):
-            break
-        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-    return symbols
+    """Merge the adjacent pair of the lowest rank, the leftmost of equals, until none is left.
+
+    A heap of pairs over a linked list: time grows with n log n.
+    """
+    out: list[str | None] = list(symbols)
+    before, after = list(range(-1, len(out) - 1)), list(range(1, len(out) + 1))
+    heap = [(ranks[pair], i, pair) for i, pair in enumerate(zip(out, out[1:], strict=False)) if pair in ranks]
+    heapify(heap)
+
+    def push(i: int, j: int) -> None:
+        if i >= 0 and j < len(out) and (pair := (out[i], out[j])) in ranks:
+            heappush(heap, (ranks[pair], i, pair))
+
+    while heap:
+        _, i, pair = heappop(heap)
+        j = after[i]
+        if out[i] != pair[0] or j >= len(out) or out[j] != pair[1]:
+            continue  # one of them has been merged since
+        out[i], out[j], after[i] = pair[0] + pair[1], None, after[j]
+        if after[j] < len(out):
+            before[after[j]] = i
+        push(before[i], i)
+        push(i, after[i])
+    return [s for s in out if s is not None]
+
+
+def known_merges(vocab: dict[str, int], merges: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """Ranks of the merges whose sides and result the vocabulary has; of repeated ones the first counts."""
+    ranks: dict[tuple[str, str], int] = {}
+    for i, (a, b) in enumerate(merges):
+        if a in vocab and b in vocab and a + b in vocab:
+            ranks.setdefault((a, b), i)
+    return ranks
+
+
+#: Stands for symbols that the vocabulary has not, before any merging; no merge has it.
+UNKNOWN = ""
 
 
 def clip_ids(text: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int], unknown: int, end: str = "</w>") -> list[int]:
@@ -66,7 +96,7 @@ def clip_ids(text: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int]
     for piece in PIECES.findall(text):
         letters = [byte_letters()[b] for b in piece.encode()]
         letters[-1] += end
-        out += [vocab.get(s, unknown) for s in merge(letters, ranks)]
+        out += [vocab.get(s, unknown) for s in merge([x if x in vocab else UNKNOWN for x in letters], ranks)]
     return out
 
 
@@ -75,19 +105,33 @@ def piece_ids(text: str, vocab: dict[str, int], ranks: dict[tuple[str, str], int
     symbols: list[str] = []
     for c in text.replace(" ", "▁"):
         symbols += [c] if c in vocab else [f"<0x{b:02X}>" for b in c.encode()]
-    return [vocab.get(s, unknown) for s in merge(symbols, ranks)]
+    return [vocab.get(s, unknown) for s in merge([x if x in vocab else UNKNOWN for x in symbols], ranks)]
 
 
-def tokenizer(kind: str, vocab: dict[str, int], merges: list[tuple[str, str]], unknown: int = 0):
-    """A pandas UDF string -> array<int> for ``kind`` "clip" or "pieces"; of repeated merges the first counts."""
-    ranks: dict[tuple[str, str], int] = {}
-    for i, pair in enumerate(merges):
-        ranks.setdefault(pair, i)
+def framed(ids: list[int], head: list[int], end: int, length: int, pad: int = 0) -> list[int]:
+    """Exactly ``length`` ids: the head, as many ids as fit, the end mark, padding."""
+    out = [*head, *ids][: length - 1] + [end]
+    return out + [pad] * (length - len(out))
+
+
+def tokenizer(kind: str, vocab: dict[str, int], merges: list[tuple[str, str]], unknown: int = 0, begin: int = 0, end: int = 1, length: int | None = None, pad: int = 0):
+    """A pandas UDF string -> array<int> for ``kind`` "clip" or "pieces".
+
+    With ``length`` the ids are framed: "clip" texts have a begin and an end mark, "pieces"
+    an end mark. ``galeria.sources.tables.read_tokenizer`` gives all but the last two.
+    """
+    ranks = known_merges(vocab, merges)
     encode = clip_ids if kind == "clip" else piece_ids
 
+    def one(text: str | None) -> list[int] | None:
+        if text is None:
+            return None
+        ids = encode(text, vocab, ranks, unknown)
+        return ids if length is None else framed(ids, [begin] if kind == "clip" else [], end, length, pad)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else encode(t, vocab, ranks, unknown))
+        return text.map(one)
 
     return ids
 
@@ -110,6 +154,7 @@ def suppress(boxes: pd.DataFrame, most: float = 0.4) -> pd.DataFrame:
 def match_names(query: str, names: list[str]) -> tuple[list[str], str]:
     """Names that stand in a query, the longest first, and the rest without them and without joining words."""
     rest, found = f" {query.strip()} ", []
+    # The borders of a name, and the joining words.
     for name in sorted(names, key=lambda n: (-len(n), n)):
         pattern = re.compile(r"(?i)(?:(?<=\s)|^)" + re.escape(name) + r"(?=\s|$|[,.!?])")
         if pattern.search(rest):

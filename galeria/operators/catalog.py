@@ -112,10 +112,17 @@ def with_headers(media: DataFrame) -> DataFrame:
     return numbered(rows.unionByName(heads), F.desc("key"), F.col("id").isNotNull(), F.desc("ts_ms"), F.col("id"), name="entry")
 
 
-def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column]) -> DataFrame:
-    """a1, b1, a2, b2 ... of two ordered frames with the same columns: sort by ``turn`` (from 1), ``own`` first."""
+def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[Column], first: int | None = None) -> DataFrame:
+    """a1, b1, a2, b2 ... of two ordered frames with the same columns: sort by ``turn`` (from 1), ``own`` first.
+
+    With ``first``, only so many of each are taken, and ranked without sorting the others.
+    """
 
     def ranked(df: DataFrame, order: list[Column], own: bool) -> DataFrame:
-        return numbered(df, *order, name="turn").withColumn("turn", F.col("turn") + 1).withColumn("own", F.lit(own))
+        if first is None:
+            out = numbered(df, *order, name="turn").withColumn("turn", F.col("turn") + 1)
+        else:  # a window over ``first`` rows
+            out = df.orderBy(*order).limit(first).withColumn("turn", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return out.withColumn("own", F.lit(own))
 
     return ranked(a, a_order, True).unionByName(ranked(b, b_order, False))

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from galeria.functions.kernels import match_names
 from galeria.functions.scalars import dot, l2_normalize
 from galeria.operators.catalog import interleave
 
@@ -56,18 +58,26 @@ def cover_faces(faces: DataFrame) -> DataFrame:
     return faces.where("person_id IS NOT NULL").groupBy("person_id").agg(best.alias("cover_face_id"), F.count("*").alias("n"))
 
 
-def assign_nearest(faces: DataFrame, centers: DataFrame, rejections: DataFrame, threshold: float, most_centers: int = 20_000) -> DataFrame:
+def assign_nearest(faces: DataFrame, centers: DataFrame, rejections: DataFrame, threshold: float, most_centers: int = 20_000, most_parts: int = 4) -> DataFrame:
     """``face_id, person_id, score``: the nearest center that was not rejected for the face; no person below the threshold.
 
     Centers go in parts of about ``most_centers``, an array each; a face meets each part
-    once and keeps its best, so rows are faces times parts, not faces times centers.
+    once and keeps its best, so rows are faces times parts, not faces times centers. Up to
+    ``most_parts`` parts are sent to every task, and no face moves; more of them are copied
+    to each of as many slices of the faces as there are shuffle partitions.
     """
     parts = max(1, -(-centers.count() // most_centers))
     salt = F.pmod(F.xxhash64("person_id"), F.lit(parts)).cast("int")
     packed = centers.groupBy(salt.alias("part")).agg(F.collect_list(F.struct("person_id", "centroid")).alias("all"))
     no = rejections.groupBy("face_id").agg(F.collect_set("person_id").alias("no"))
     faces = faces.select(F.col("id").alias("face_id"), F.col("embedding").alias("v")).join(no, "face_id", "left")
-    met = faces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed, "part")
+    faces = faces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if parts <= most_parts:
+        met = faces.join(F.broadcast(packed), "part")
+    else:
+        slices = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        met = faces.withColumn("slice", F.pmod(F.xxhash64("face_id"), F.lit(slices)).cast("int")).join(packed, ["part", "slice"])
     allowed = F.filter("all", lambda c: ~F.coalesce(F.array_contains("no", c["person_id"]), F.lit(False)))
     near = F.transform(allowed, lambda c: F.struct(dot(F.col("v"), c["centroid"]).alias("score"), (-c["person_id"]).alias("minus")))
     top = met.select("face_id", F.array_max(near).alias("t")).where("t IS NOT NULL")
@@ -77,15 +87,24 @@ def assign_nearest(faces: DataFrame, centers: DataFrame, rejections: DataFrame,
 
 
 def review_queue(faces: DataFrame, person: int, centroid: Column, rejections: DataFrame, media: DataFrame, threshold: float, limit: int = 50) -> DataFrame:
-    """``turn, own, face_id, media_id, score``: a person's least certain faces and others' most similar ones by turns."""
+    """``turn, own, face_id, media_id, score``: a person's least certain faces and others' most similar ones by turns.
+
+    Only the first faces of both sides are ranked; more of them where too many of their
+    photos are gone.
+    """
     seen = faces.where(~F.col("confirmed")).withColumn("score", dot(F.col("embedding"), centroid))
     own = seen.where(F.col("person_id") == person)
     no = rejections.where(F.col("person_id") == person).select(F.col("face_id").alias("id"))
     others = seen.where(~F.col("person_id").eqNullSafe(F.lit(person)) & (F.col("score") >= threshold - 0.14)).join(no, "id", "left_anti")
-    columns = ["id", "media_id", "score"]
-    turns = interleave(own.select(*columns), others.select(*columns), [F.asc("score"), F.asc("id")], [F.desc("score"), F.asc("id")])
-    there = turns.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
-    return there.orderBy("turn", F.desc("own")).limit(limit).select("turn", "own", F.col("id").alias("face_id"), "media_id", "score")
+    columns, first = ["id", "media_id", "score"], 2 * limit
+    while True:
+        turns = interleave(own.select(*columns), others.select(*columns), [F.asc("score"), F.asc("id")], [F.desc("score"), F.asc("id")], first)
+        there = turns.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+        out = there.orderBy("turn", F.desc("own")).limit(limit).select("turn", "own", F.col("id").alias("face_id"), "media_id", "score")
+        n = out.agg(F.count("*").alias("n"), F.max("turn").alias("turn")).first()
+        if n["n"] >= limit or turns.agg(F.max("turn")).first()[0] in (None, *range(first)):
+            return out
+        first *= 4
 
 
 def refreshed(persons: DataFrame, faces: DataFrame) -> DataFrame:
@@ -146,40 +165,48 @@ def leader_clusters(faces: DataFrame, threshold: float, model: str = "model") ->
     return rows.repartition("model").sortWithinPartitions("model", "id").mapInPandas(run, "model string, id long, cluster int")
 
 
-def regrouped(persons: DataFrame, faces: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def regrouped(persons: DataFrame, faces: DataFrame, threshold: float, model: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(persons, faces) after throwing away what was not confirmed and clustering again.
 
     ``persons``: ``id, name, cover_face_id``, those without a name and a confirmed face go.
     ``faces``: ``id, person_id``; unconfirmed faces join the nearest person or cluster in the
-    order of ids, clusters that start anew have negative numbers. One task per call, as each
-    face moves the centers that the next one meets; it holds a batch of faces and the centers.
+    order of ids, clusters that start anew have negative numbers. Each face moves the centers
+    that the next one meets, so a model's faces pass one task in batches, with its centers;
+    with ``model``, a column of the faces, models are independent, and ``faces`` has it first.
     """
     cleared = faces.withColumn("person_id", F.when(F.col("confirmed"), F.col("person_id")))
+    cleared = cleared.withColumn("of_model", F.lit("") if model is None else F.coalesce(F.col(model).cast("string"), F.lit("")))
     sure = cleared.where("person_id IS NOT NULL").select(F.col("person_id").alias("id")).distinct()
     kept = persons.where("name IS NOT NULL").unionByName(persons.where("name IS NULL").join(sure, "id", "left_semi"))
-    counts = cleared.where("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("n"))
-    centers = centroids(cleared).join(counts, "person_id").select(F.lit(0).alias("k"), F.col("person_id").cast("long").alias("id"), F.col("centroid").alias("v"), "n")
+    counts = cleared.where("person_id IS NOT NULL").groupBy("person_id").agg(F.count("*").alias("n"), F.min("of_model").alias("m"))
+    centers = centroids(cleared).join(counts, "person_id").select("m", F.lit(0).alias("k"), F.col("person_id").cast("long").alias("id"), F.col("centroid").alias("v"), "n")
     vector = F.col("embedding").cast("array<double>")
-    loose = cleared.where("person_id IS NULL").select(F.lit(1).alias("k"), F.col("id").cast("long").alias("id"), vector.alias("v"), F.lit(1).cast("long").alias("n"))
+    loose = cleared.where("person_id IS NULL").select(
+        F.col("of_model").alias("m"), F.lit(1).alias("k"), F.col("id").cast("long").alias("id"), vector.alias("v"), F.lit(1).cast("long").alias("n")
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders, names = Leaders(threshold), []
+        leaders, names, at = Leaders(threshold), [], None
         for pdf in frames:
-            ids, people = [], []
-            for k, id_, v, n in zip(pdf["k"], pdf["id"], pdf["v"], pdf["n"], strict=True):
+            models, ids, people = [], [], []
+            for m, k, id_, v, n in zip(pdf["m"], pdf["k"], pdf["id"], pdf["v"], pdf["n"], strict=True):
+                if m != at:
+                    leaders, names, at = Leaders(threshold), [], m
                 if k == 0:
                     leaders.centers.append(np.asarray(v, float))
                     leaders.counts.append(int(n))
                     names.append(int(id_))
                 else:
                     i = leaders.add(v)
+                    models.append(m)
                     ids.append(id_)
                     people.append(names[i] if i < len(names) else len(names) - 1 - i)
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "person_id": np.array(people, np.int64)})
+            yield pd.DataFrame({"m": models, "id": np.array(ids, np.int64), "person_id": np.array(people, np.int64)})
 
-    again = centers.unionByName(loose).repartition(1).sortWithinPartitions("k", "id").mapInPandas(run, "id long, person_id long")
-    fixed = cleared.where("person_id IS NOT NULL").select("id", F.col("person_id").cast("long").alias("person_id"))
-    return refreshed(kept, cleared), fixed.unionByName(again)
+    again = centers.unionByName(loose).repartition("m").sortWithinPartitions("m", "k", "id").mapInPandas(run, "m string, id long, person_id long")
+    fixed = cleared.where("person_id IS NOT NULL").select(F.col("of_model").alias("m"), "id", F.col("person_id").cast("long").alias("person_id"))
+    out = fixed.unionByName(again)
+    return refreshed(kept, cleared.drop("of_model")), out.drop("m") if model is None else out.withColumnRenamed("m", model)
 
 
 def rename_suggestions(persons: DataFrame, typed: str, own: int, most: int = 4) -> DataFrame:
@@ -188,13 +215,34 @@ def rename_suggestions(persons: DataFrame, typed: str, own: int, most: int = 4)
     return persons.where(fits).select("name").distinct().orderBy("name").limit(most)
 
 
-def replay(faces: DataFrame, actions: DataFrame) -> DataFrame:
+@F.pandas_udf(T.StructType([T.StructField("names", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType())]))
+def _match(query: pd.Series, names: pd.Series) -> pd.DataFrame:
+    found = [match_names(q, list(n)) for q, n in zip(query, names, strict=True)]
+    return pd.DataFrame({"names": [n for n, _ in found], "rest": [r for _, r in found]})
+
+
+def matched_queries(queries: DataFrame, persons: DataFrame) -> DataFrame:
+    """``query, names, rest``: people's names that stand in each query, the longest first, and what is left.
+
+    Queries are a short list that goes to every task; of the people, only those whose name
+    occurs in a query are gathered with it. Null queries find nothing.
+    """
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    named = persons.where("name IS NOT NULL").select("name").distinct()
+    met = named.join(F.broadcast(asked), F.lower("query").contains(F.lower("name")), "right")
+    names = met.groupBy("query").agg(F.collect_list("name").alias("names"))
+    return names.select("query", _match("query", "names").alias("m")).select("query", "m.names", "m.rest")
+
+
+def replay(faces: DataFrame, actions: DataFrame, most_merges: int = 100_000) -> DataFrame:
     """``id, person_id, confirmed`` after a log of actions (``seq, kind, face_id, person_id, other_id``).
 
     confirm assigns and confirms, reject takes a face from that person, assign moves it, and
-    merge moves all faces of ``other_id`` to ``person_id``. Merges are few and go along with
-    every face; a face's own actions are gathered by face.
+    merge moves all faces of ``other_id`` to ``person_id``. Merges go along with every face,
+    so more than ``most_merges`` raise an error; a face's own actions are gathered by face.
     """
+    if (n := actions.where("kind = 'merge'").count()) > most_merges:
+        raise ValueError(f"{n} merges are more than {most_merges}")
     own = actions.where("kind <> 'merge'").groupBy(F.col("face_id").alias("id"))
     step_kind = F.struct("seq", "kind", "person_id", "other_id")
     own = own.agg(F.collect_list(step_kind).alias("own"))

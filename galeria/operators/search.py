@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeria.functions.scalars import dot
-from galeria.plans.shared import components
+from galeria.plans.shared import checkpoint, components
 
 
 def literal(vector: list[float]) -> Column:
@@ -77,17 +77,26 @@ def best_per_concept(vectors: DataFrame, concepts: list[tuple[int, list[float]]]
     return first.select("f.concept", "id", "f.score")
 
 
-def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000) -> DataFrame:
+def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000, block: int = 1 << 24) -> DataFrame:
     """``a, b``: items (``id``, ``ts_ms``, ``vector``) within the window whose vectors' product reaches the threshold.
 
     An equi-join on time buckets, not a comparison of all pairs: the earlier item stands in
-    its bucket, the later one in its own and the one before.
+    its bucket, the later one in its own and the one before. A bucket of more than ``block``
+    comparisons, such as one of missing times, is dealt out over tasks.
     """
     bucket = F.floor(F.col("ts_ms") / window_ms)
     a = items.select(F.col("id").alias("a"), F.col("ts_ms").alias("ta"), F.col("vector").alias("va"), bucket.alias("k"))
     b = items.select(F.col("id").alias("b"), F.col("ts_ms").alias("tb"), F.col("vector").alias("vb"), F.explode(F.array(bucket, bucket - 1)).alias("k"))
+    n = items.groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
+    hot = n.join(n.select((F.col("k") - 1).alias("k"), F.col("n").alias("next")), "k", "left").withColumn("next", F.coalesce("next", F.lit(0)))
+    hot = checkpoint(hot.select("k", F.least(F.col("n"), F.ceil(F.col("n") * (F.col("n") + F.col("next")) / block)).alias("salts")).where("salts > 1"))
+    on = ["k"]
+    if not hot.isEmpty():
+        salts, on = F.coalesce("salts", F.lit(1)), ["k", "salt"]
+        a = a.join(hot, "k", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts)).drop("salts")
+        b = b.join(hot, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     later = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
-    met = a.join(b, "k").where(later & (F.col("tb") - F.col("ta") <= window_ms))
+    met = a.join(b, on).where(later & (F.col("tb") - F.col("ta") <= window_ms))
     return met.where(dot(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galeria.functions import kernels as K
 from galeria.functions import scalars as S
 from galeria.plans.catalog_queries import query
+from galeria.sources import tables as T
 from galeria.sources.tables import load
 from galeria.streaming import streams as ST
 
@@ -42,6 +43,42 @@ def drop_first(spark: SparkSession, d: str) -> DataFrame:
     return ST.after_first(events(spark, d), "user_id").select("event_id")
 
 
+@query("SELECT event_id, user_id FROM events WHERE user_id = (SELECT user_id FROM events WHERE event_type = 'click' ORDER BY ts DESC LIMIT 1)", "")
+def switch_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the user who clicked last."""
+    e = events(spark, d)
+    keys = e.where("event_type = 'click'").select("ts", F.col("user_id").alias("key"))
+    return ST.switch_latest(keys, e.withColumn("key", F.col("user_id"))).select("event_id", "user_id")
+
+
+_SIDE = "least(greatest((r - l) * 1000, (l + 0.3 - l / 2) * 600) * 1.7, 1000, 600)"
+
+
+@query(f"""WITH b AS (SELECT id, l, r, {_SIDE} AS side FROM faces) SELECT id, CAST(trunc(least(greatest((l + r) / 2 * 1000 - side / 2, 0), 1000 - side)) AS INT) AS x,
+ CAST(trunc(least(greatest((l / 2 + (l + 0.3)) / 2 * 600 - side / 2, 0), 600 - side)) AS INT) AS y, CAST(trunc(side) AS INT) AS side FROM b""", "faces")
+def face_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The square around every face, in pixels of its photo."""
+    left = F.col("l")
+    box = (left, left / 2, F.col("r"), left + 0.3)
+    return T.faces(spark, d).select("id", S.face_crop(box, F.lit(1000), F.lit(600)).alias("s")).select("id", "s.*")
+
+
+@query("""SELECT doc_id AS id, 'Make' || doc_id % 3 || CASE WHEN doc_id % 4 > 0 THEN ' Model' || doc_id % 4 ELSE '' END AS camera, 'f/' || CASE doc_id % 3 WHEN 0 THEN '1,8' WHEN 1 THEN '2,0' ELSE '11,0' END AS aperture,
+ CASE doc_id % 5 WHEN 0 THEN '1/250 s' WHEN 1 THEN '1/2 s' WHEN 2 THEN '2,5 s' END AS exposure, 'ISO ' || (doc_id % 7 + 1) * 100 AS iso FROM documents""", "")
+def exif_display(spark: SparkSession, d: str) -> DataFrame:
+    """Capture data of every item as text."""
+    i = F.col("doc_id")
+    pick = lambda n, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (i % n).cast("int") + 1)
+    model = F.when(i % 4 > 0, F.concat(F.lit("Model"), (i % 4).cast("string")))
+    exif = F.map_from_arrays(
+        F.array(*(F.lit(k) for k in ("Make", "Model", "FNumber", "ExposureTime", "PhotographicSensitivity"))),
+        F.array(F.concat(F.lit("Make"), (i % 3).cast("string")), model, pick(3, "1.8", "2", "11.0"), pick(5, "0.004", "0.5", "2.5", None, "x"), ((i % 7 + 1) * 100).cast("string")),
+    )
+    shown = load(spark, d, "documents").select("doc_id", exif.alias("e"))
+    text = S.exif_display(F.col("e"))
+    return shown.select(i.alias("id"), *(text[c].alias(c) for c in ("camera", "aperture", "exposure", "iso")))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1", "")
 def live_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums by type."""
@@ -104,7 +141,15 @@ def clamp_box(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(30).select("id", clamp(F.col("id") * 37 - 100).alias("l"), clamp(F.col("id") * 53 + 40).alias("r"))
 
 
-@query()
+_KEPT = "{{'l': {0}.l, 't': {0}.t, 'r': {0}.r, 'b': {0}.b}}"
+_OVER = "greatest(least(x.r, o.r) - greatest(x.l, o.l), 0) * greatest(least(x.b, o.b) - greatest(x.t, o.t), 0)"
+_FREE = f"len(list_filter(s.kept, lambda x: {_OVER} > 0.4 * ((x.r - x.l) * (x.b - x.t) + (o.r - o.l) * (o.b - o.t) - {_OVER}))) = 0"
+
+
+@query(f"""WITH RECURSIVE box AS ({_BOX}), o AS (SELECT id % 4 AS image, id, (id * 17 % 40) / 40.0::DOUBLE AS score, l, t, r, b, row_number() OVER (PARTITION BY id % 4 ORDER BY id * 17 % 40 DESC, id) AS k FROM box),
+ s AS (SELECT image, k, id, score, true AS ok, [{_KEPT.format("o")}] AS kept FROM o WHERE k = 1 UNION ALL
+  SELECT o.image, o.k, o.id, o.score, {_FREE}, CASE WHEN {_FREE} THEN list_append(s.kept, {_KEPT.format("o")}) ELSE s.kept END FROM s JOIN o ON o.image = s.image AND o.k = s.k + 1)
+ SELECT image, id, score FROM s WHERE ok""", "")
 def nms(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of each image that no better one overlaps too much."""
     rows = boxes(spark).select((F.col("id") % 4).alias("image"), "id", ((F.col("id") * 17 % 40) / F.lit(40.0)).alias("score"), "l", "t", "r", "b")
@@ -179,12 +224,49 @@ def adjusted(base: Column, brightness: float, contrast: float, sat: float, warmt
     return base
 
 
-@query()
+# The filters by name, each one or two matrices, the second after the first.
+SAME = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+FILTERS = {
+    "Original": (SAME, SAME),
+    "Lebendig": (saturation(1.35), SAME),
+    "Warm": (shifted((1.08, 1.0, 0.9), (12.0, 4.0, -8.0)), SAME),
+    "Kühl": (shifted((0.92, 1.0, 1.1), (-6.0, 2.0, 14.0)), SAME),
+    "S/W": (saturation(0.0), SAME),
+    "Noir": (saturation(0.0), shifted((1.35, 1.35, 1.35), (-40.0, -40.0, -40.0))),
+    "Sepia": ([0.393, 0.769, 0.189, 0.0, 0.0, 0.349, 0.686, 0.168, 0.0, 0.0, 0.272, 0.534, 0.131, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], SAME),
+    "Vintage": (saturation(0.7), shifted((0.95, 0.92, 0.8), (20.0, 14.0, 10.0))),
+}
+
+
+def _colour_sql(b: float, c: float, s: float, w: float, t: float) -> str:
+    """The filters and adjustments as products of 5 by 5 matrices; saturation is written out from the luminance weights."""
+    grey = lambda x: f"SELECT r, c, CASE WHEN r < 3 AND c < 3 THEN (1 - ({x})) * [{', '.join(map(str, LUMA))}][c + 1] + CASE WHEN r = c THEN {x} ELSE 0 END WHEN r = c THEN 1 ELSE 0 END AS x FROM cells"
+    lin = lambda m, h: f"SELECT r, c, CASE WHEN r < 3 AND r = c THEN [{m}][r + 1] WHEN r < 3 AND c = 4 THEN [{h}][r + 1] WHEN r = c THEN 1.0 ELSE 0.0 END AS x FROM cells"
+    same, sepia = lin("1.0, 1.0, 1.0", "0.0, 0.0, 0.0"), "0.393, 0.769, 0.189, 0, 0, 0.349, 0.686, 0.168, 0, 0, 0.272, 0.534, 0.131, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1"
+    pairs = {
+        "Original": (same, same), "Lebendig": (grey(1.35), same), "Warm": (lin("1.08, 1.0, 0.9", "12, 4, -8"), same), "Kühl": (lin("0.92, 1.0, 1.1", "-6, 2, 14"), same),
+        "S/W": (grey(0), same), "Noir": (grey(0), lin("1.35, 1.35, 1.35", "-40, -40, -40")), "Sepia": (f"SELECT r, c, [{sepia}][r * 5 + c + 1] AS x FROM cells", same),
+        "Vintage": (grey(0.7), lin("0.95, 0.92, 0.8", "20, 14, 10")),
+    }
+    first, second = (" UNION ALL ".join(f"SELECT '{n}' AS f, r, c, CAST(x AS DOUBLE) AS x FROM ({p[k]})" for n, p in pairs.items()) for k in (0, 1))
+    contrast, level = 1 + c, 128 * (1 - (1 + c)) + b * 100
+    steps = (grey(1 + s), lin(", ".join([str(contrast)] * 3), ", ".join([str(level)] * 3)), lin("1.0, 1.0, 1.0", f"{w * 30}, {t * 25}, {-w * 30}"))
+    ctes = [f"m0 AS ({first})", f"two AS ({second})", "m1 AS (SELECT a.f, a.r, b.c, sum(a.x * b.x) AS x FROM two a JOIN m0 b ON b.f = a.f AND a.c = b.r GROUP BY ALL)"]
+    for k, step in enumerate(steps, 2):
+        ctes.append(f"m{k} AS (SELECT b.f, a.r, b.c, sum(CAST(a.x AS DOUBLE) * b.x) AS x FROM ({step}) a JOIN m{k - 1} b ON a.c = b.r GROUP BY ALL)")
+    cells = "cells AS (SELECT r, c FROM range(5) i(r), range(5) j(c))"
+    return f"WITH {cells}, {', '.join(ctes)} SELECT f AS filter, CAST(r * 5 + c AS INT) AS i, round(x, 6) + 0.0 AS x FROM m4 WHERE r < 4"
+
+
+ADJUSTMENTS = (0.1, 0.2, -0.3, 0.5, -0.25)
+
+
+@query(_colour_sql(*ADJUSTMENTS), "")
 def color_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """A monochrome filter with adjustments, as one matrix."""
-    base = F.array(*(F.lit(float(x)) for x in saturation(0.0)))
-    m = spark.range(1).select(F.posexplode(adjusted(base, 0.1, 0.2, -0.3, 0.5, -0.25)).alias("i", "x"))
-    return m.select("i", F.round("x", 6).alias("x"))
+    """Every filter with adjustments, as one matrix each."""
+    names = spark.createDataFrame([(n, *([float(x) for x in m] for m in pair)) for n, pair in FILTERS.items()], "filter string, first array<double>, second array<double>")
+    m = names.select("filter", F.posexplode(adjusted(concat_matrix(F.col("second"), F.col("first")), *ADJUSTMENTS)).alias("i", "x"))
+    return m.select("filter", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("""WITH t AS (SELECT id, list_transform(range(id % 14), lambda x: CAST(x + 100 AS INT)) AS ids FROM range(30) r(id))

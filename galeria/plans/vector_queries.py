@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +150,9 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", F.round(F.col("v")[0], 9).alias("first"), F.round(F.sqrt(S.dot(F.col("v"), F.col("v"))), 6).alias("length"))
 
 
-@query()
+@query("""WITH x AS (SELECT vec_id AS id, len(embedding) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings),
+ q AS (SELECT id, n, v, CASE WHEN v <> 0 THEN pow(2, greatest(floor(log2(abs(v))), -14) - 10) END AS step FROM x)
+ SELECT id, CAST(2 * max(n) AS INT) AS bytes, CAST(max(abs(v - coalesce(round_even(v / step, 0) * step, 0))) AS FLOAT) AS error FROM q GROUP BY id""", "")
 def fp16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Vectors through half floats and back: bytes and the largest error."""
     v = vectors(spark, d).withColumn("half", K.to_half("vector"))
@@ -160,11 +161,11 @@ def fp16_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("id", F.length("half").alias("bytes"), error.alias("error"))
 
 
-@query("""WITH l AS (SELECT DISTINCT person_id, media_id FROM faces WHERE person_id IS NOT NULL AND id < 40 AND media_id IN (SELECT id FROM media)), c AS (SELECT person_id, count(*) AS n FROM l GROUP BY 1)
+@query("""WITH l AS (SELECT DISTINCT person_id, media_id FROM faces WHERE person_id IS NOT NULL AND media_id IN (SELECT id FROM media)), c AS (SELECT person_id, count(*) AS n FROM l GROUP BY 1)
  SELECT p.id, p.name, p.hidden, coalesce(c.n, 0) AS n FROM persons p LEFT JOIN c ON c.person_id = p.id WHERE coalesce(c.n, 0) >= 3 OR p.name IS NOT NULL""", "media", "faces", "persons")
 def persons_view(spark: SparkSession, d: str) -> DataFrame:
-    """Persons of the first forty faces with a name or three photos, the named and the frequent first."""
-    out = P.persons_view(T.persons(spark, d), T.faces(spark, d).where("id < 40"), media(spark, d))
+    """Persons with a name or three photos, the named and the frequent first."""
+    out = P.persons_view(T.persons(spark, d), T.faces(spark, d), media(spark, d))
     return out.orderBy(F.col("name").isNull(), F.desc("n"), "id")
 
 
@@ -174,10 +175,10 @@ def people_intersect(spark: SparkSession, d: str) -> DataFrame:
     return P.photos_with_all(T.faces(spark, d), [0, 1])
 
 
-@query("SELECT f.media_id, p.id AS person_id, p.name, min(f.id) AS face_id FROM faces f JOIN persons p ON p.id = f.person_id WHERE f.media_id < 20 GROUP BY ALL", "faces", "persons")
+@query("SELECT f.media_id, p.id AS person_id, p.name, min(f.id) AS face_id FROM faces f JOIN persons p ON p.id = f.person_id GROUP BY ALL", "faces", "persons")
 def people_in_photo(spark: SparkSession, d: str) -> DataFrame:
-    """The people on twenty photos, each with their first face there."""
-    f = T.faces(spark, d).where("media_id < 20").select("media_id", F.col("person_id").alias("pid"), F.col("id").alias("fid"))
+    """The people on every photo, each with their first face there."""
+    f = T.faces(spark, d).select("media_id", F.col("person_id").alias("pid"), F.col("id").alias("fid"))
     met = f.join(T.persons(spark, d), F.col("pid") == F.col("id"))
     return met.groupBy("media_id", F.col("id").alias("person_id"), "name").agg(F.min("fid").alias("face_id"))
 
@@ -242,14 +243,60 @@ def refresh_persons(spark: SparkSession, d: str) -> DataFrame:
     return P.refreshed(p.union(more), T.faces(spark, d))
 
 
-@query()
+def _online(first: str, threshold: float) -> str:
+    """Recursive SQL of online clusters: ``first`` are the rows (model, k, id, person, centers, counts, names) before the first vector of ``v``."""
+    unit = "list_transform({x}, lambda y: y / sqrt(list_inner_product({x}, {x})))"
+    mean = "list_transform(list_zip(coalesce(centers[pos], v.v), v.v), lambda z: (z[1] * coalesce(counts[pos], 0) + z[2]) / (coalesce(counts[pos], 0) + 1))"
+    return f"""r AS ({first} UNION ALL
+ SELECT model, k, id, CASE WHEN hit THEN CASE WHEN pos <= len(names) THEN names[pos] ELSE len(names) - pos END ELSE len(names) - len(centers) - 1 END AS person,
+  CASE WHEN hit THEN list_concat(centers[1:pos - 1], [{unit.format(x="mean")}], centers[pos + 1:]) ELSE list_append(centers, vec) END AS centers,
+  CASE WHEN hit THEN list_concat(counts[1:pos - 1], [counts[pos] + 1], counts[pos + 1:]) ELSE list_append(counts, 1) END AS counts, names
+ FROM (SELECT *, {mean.replace("v.v", "vec")} AS mean
+  FROM (SELECT *, list_position(sims, list_max(sims)) AS pos, len(sims) > 0 AND coalesce(list_max(sims), -2) >= {threshold} AS hit
+   FROM (SELECT v.model, v.k, v.id, v.v AS vec, r.centers, r.counts, r.names, list_transform(r.centers, lambda c: list_inner_product(c, v.v)) AS sims
+    FROM r JOIN v ON v.model = r.model AND v.k = r.k + 1))))"""
+
+
+_NONE = "SELECT DISTINCT model, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS person, CAST([] AS DOUBLE[][]) AS centers, CAST([] AS BIGINT[]) AS counts, CAST([] AS BIGINT[]) AS names FROM v"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT CAST(vec_id % 4 AS VARCHAR) AS model, vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) AS k FROM embeddings),
+ {_online(_NONE, 0.25)} SELECT model, id, CAST(-1 - person AS INT) AS cluster FROM r WHERE id IS NOT NULL""", "")
 def leader_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Online clusters of all vectors for four models."""
     f = T.faces(spark, d).withColumn("model", F.col("id") % 4)
     return P.leader_clusters(f, 0.25)
 
 
-@query()
+_REGROUP = f"""RECURSIVE faces AS ({T.SQL["faces"]}), g AS (SELECT *, CAST(coalesce(person_id, id) % 2 AS VARCHAR) AS model, CASE WHEN confirmed THEN person_id END AS sure FROM faces),
+ w AS (SELECT sure, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM g WHERE sure IS NOT NULL), s AS (SELECT sure, i, sum(2.0 * x) AS s FROM w GROUP BY ALL),
+ n AS (SELECT sure, sqrt(sum(s * s)) AS n FROM s GROUP BY 1), c AS (SELECT sure, list(s / n ORDER BY i) AS c FROM s JOIN n USING (sure) GROUP BY 1),
+ k AS (SELECT sure, min(model) AS model, count(*) AS n FROM g WHERE sure IS NOT NULL GROUP BY 1),
+ v AS (SELECT model, id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY model ORDER BY id) AS k FROM g WHERE sure IS NULL),
+ {{rows}} SELECT model, id, CAST(sure AS BIGINT) AS person_id FROM g WHERE sure IS NOT NULL UNION ALL SELECT model, id, person FROM r WHERE id IS NOT NULL"""
+_SURE = "SELECT model, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS person, list(c ORDER BY sure) AS centers, list(CAST(n AS BIGINT) ORDER BY sure) AS counts, list(CAST(sure AS BIGINT) ORDER BY sure) AS names FROM k JOIN c USING (sure) GROUP BY model"
+
+
+@query("WITH " + _REGROUP.replace("{rows}", _online(_SURE, 0.3)), "")
+def regroup_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Faces of two models grouped anew from their confirmed ones; new groups have negative numbers."""
+    f = T.faces(spark, d).withColumn("model", (F.coalesce(F.col("person_id").cast("long"), F.col("id")) % 2).cast("string"))
+    p = T.persons(spark, d).select("id", "name", F.lit(None).cast("long").alias("cover_face_id"))
+    return P.regrouped(p, f, 0.3, "model")[1]
+
+
+@query("SELECT DISTINCT name FROM persons WHERE contains(lower(name), 'pers') AND id <> 2 ORDER BY name LIMIT 4", "persons")
+def rename_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Other people's names for what was typed."""
+    return P.rename_suggestions(T.persons(spark, d), " PERS ", 2)
+
+
+@query("""WITH RECURSIVE faces AS ({faces}), a AS (SELECT id AS seq, CASE WHEN id % 2 = 0 THEN 'confirm' ELSE 'reject' END AS kind, id AS face, CAST(coalesce(person_id, 1) AS BIGINT) AS person, CAST(NULL AS BIGINT) AS other FROM faces WHERE id % 3 = 0
+  UNION ALL SELECT 100, 'merge', NULL, 0, 1 UNION ALL SELECT 250, 'merge', NULL, 2, 0), o AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM a),
+ r AS (SELECT CAST(0 AS BIGINT) AS k, id, CAST(person_id AS BIGINT) AS p, confirmed AS c FROM faces UNION ALL
+  SELECT o.k, id, CASE WHEN kind = 'merge' THEN CASE WHEN p = other THEN person ELSE p END WHEN face <> id THEN p WHEN kind = 'confirm' THEN person WHEN p IS NOT DISTINCT FROM person THEN NULL ELSE p END,
+   CASE WHEN kind = 'merge' OR face <> id THEN c WHEN kind = 'confirm' THEN true WHEN p IS NOT DISTINCT FROM person THEN false ELSE c END FROM r JOIN o ON o.k = r.k + 1)
+ SELECT id, p AS person_id, c AS confirmed FROM r WHERE k = (SELECT max(k) FROM o)""".replace("{faces}", T.SQL["faces"]), "")
 def replay_actions(spark: SparkSession, d: str) -> DataFrame:
     """Faces after a log of confirmations, rejections and merges."""
     f = T.faces(spark, d)
@@ -262,11 +309,11 @@ def replay_actions(spark: SparkSession, d: str) -> DataFrame:
     return P.replay(f, log.unionByName(merges))
 
 
-@query("SELECT id, name FROM persons p WHERE NOT (name IS NULL AND id NOT IN (SELECT DISTINCT person_id FROM faces WHERE confirmed AND person_id IS NOT NULL AND person_id < 8))", "faces", "persons")
+@query("SELECT id, name FROM persons p WHERE NOT (name IS NULL AND id NOT IN (SELECT DISTINCT person_id FROM faces WHERE confirmed AND person_id IS NOT NULL))", "faces", "persons")
 def anti_unnamed_persons(spark: SparkSession, d: str) -> DataFrame:
     """People without those that have neither a name nor a confirmed face."""
     p = T.persons(spark, d)
-    sure = T.faces(spark, d).where("confirmed AND person_id IS NOT NULL AND person_id < 8").select(F.col("person_id").alias("id"))
+    sure = T.faces(spark, d).where("confirmed AND person_id IS NOT NULL").select(F.col("person_id").alias("id"))
     gone = p.where("name IS NULL").join(sure, "id", "left_anti")
     return M.delete_keys(p, gone, ["id"]).select("id", "name")
 
@@ -283,16 +330,16 @@ def update_by_pred(spark: SparkSession, d: str) -> DataFrame:
     return M.update_where(T.faces(spark, d), ~F.col("confirmed"), person_id=F.lit(None).cast("int")).select("id", "person_id")
 
 
-@query()
-def match_query(spark: SparkSession, d: str) -> DataFrame:
-    """Names found in queries, and what is left of these."""
-    names = [r["name"] for r in T.persons(spark, d).where("name IS NOT NULL").orderBy("id").collect()]  # names that users gave
-    asked = ["Person 1 und Person 2 am Strand", "person 3, with dog", "personal 4", "Person 5", "mit Hund & Katze"]
+_ASKED = ("Person 1 und Person 2 am Strand", "person 3, with dog", "personal 4", "Person 5", "mit Hund & Katze")
+_NAME = "'(?i)(\\s|^)' || regexp_escape(x.name) || '(\\s|$|[,.!?])'"
 
-    @F.pandas_udf("names string, rest string")
-    def match(q: pd.Series) -> pd.DataFrame:
-        found = [K.match_names(x, names) for x in q]
-        return pd.DataFrame({"names": [",".join(n) for n, _ in found], "rest": [r for _, r in found]})
 
-    queries = spark.createDataFrame([(q,) for q in asked], "query string")
-    return queries.select("query", match("query").alias("m")).select("query", "m.names", "m.rest")
+@query("""WITH q AS (SELECT unnest([{asked}]) AS query), n AS (SELECT list({{'name': name, 'rest': '', 'found': CAST([] AS VARCHAR[])}} ORDER BY length(name) DESC, name) AS names FROM persons WHERE name IS NOT NULL),
+ m AS (SELECT query, list_reduce(list_concat([{{'name': '', 'rest': ' ' || trim(query) || ' ', 'found': CAST([] AS VARCHAR[])}}], names), lambda a, x: {{'name': '',
+  'rest': regexp_replace(a.rest, {name}, '\\1 \\2', 'g'), 'found': CASE WHEN regexp_matches(a.rest, {name}) THEN list_append(a.found, x.name) ELSE a.found END}}) AS m FROM q, n)
+ SELECT query, array_to_string(m.found, ',') AS names, trim(regexp_replace(regexp_replace(m.rest, '(?i)\\b(und|and|mit|with|&)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS rest FROM m""".format(
+    asked=", ".join(f"'{q}'" for q in _ASKED), name=_NAME), "persons")
+def match_query(spark: SparkSession, d: str) -> DataFrame:
+    """Names found in queries, and what is left of these."""
+    asked = spark.createDataFrame([(q,) for q in _ASKED], "query string")
+    return P.matched_queries(asked, T.persons(spark, d)).select("query", F.array_join("names", ",").alias("names"), "rest")

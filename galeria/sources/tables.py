@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +65,10 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(face, person) pairs that were rejected: persons are a dimension, at most a few thousand."""
-    f, p = faces(spark, sf_dir).select(F.col("id").alias("face_id")), F.broadcast(persons(spark, sf_dir).select(F.col("id").alias("person_id")))
-    return f.join(p, (F.col("face_id") * 7 + F.col("person_id")) % 11 == 0)
+    """(face, person) pairs that were rejected: those with face * 7 + person divisible by 11, met by remainder."""
+    f = faces(spark, sf_dir).select(F.col("id").alias("face_id"), F.pmod(F.col("id") * -7, F.lit(11)).alias("k"))
+    p = persons(spark, sf_dir).select(F.col("id").alias("person_id"), F.pmod(F.col("id").cast("long"), F.lit(11)).alias("k"))
+    return f.join(p, "k").select("face_id", "person_id")
 
 
 def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +100,25 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return jobs.select("settings", F.posexplode("ids").alias("position", "id"))
 
 
+def read_tokenizer(spark: SparkSession, path: str) -> dict:
+    """What ``kernels.tokenizer`` takes, from a tokenizer's JSON file.
+
+    Added tokens stand in the vocabulary unless their text does already; merges are "a b" or
+    [a, b]; a suffix that marks the end of words makes the kind "clip", else it is "pieces".
+    """
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    model = data["model"]
+    vocab = dict(model["vocab"])
+    for token in data.get("added_tokens", ()):
+        vocab.setdefault(token["content"], token["id"])
+    pairs = ((m[: m.find(" ", 1)], m[m.find(" ", 1) + 1 :]) if isinstance(m, str) else tuple(m[:2]) for m in model["merges"] if not isinstance(m, str) or " " in m[1:])
+    first = lambda names, other: next((vocab[n] for n in names if n in vocab), other)
+    return {
+        "kind": "clip" if model.get("end_of_word_suffix") else "pieces", "vocab": vocab, "merges": list(pairs),
+        "unknown": vocab.get(model.get("unk_token") or "", 0), "begin": first(("<|startoftext|>", "<bos>", "<s>"), 0), "end": first(("<|endoftext|>", "<eos>", "</s>"), 1),
+    }
+
+
 # The same views for DuckDB.
 _MS = "(epoch_us(e.ts) // 1000)"
 SQL = {

@@ -51,6 +51,37 @@ def test_word_and_piece_ids():
     assert K.piece_ids("a ä", {"a": 1, "▁": 2, "<0xC3>": 3, "<0xA4>": 4, "a▁": 5}, {("a", "▁"): 0}, 0) == [5, 3, 4]
 
 
+def test_long_texts_merge_fast_and_alike():
+    rng = np.random.default_rng(3)
+    ranks = {("a", "b"): 3, ("b", "a"): 1, ("ab", "a"): 0, ("ba", "b"): 2, ("a", "a"): 4, ("aa", "ba"): 5}
+
+    def plain(symbols):
+        symbols = list(symbols)
+        while True:
+            best = min(((ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks), default=None)
+            if best is None:
+                return symbols
+            symbols[best[1] : best[1] + 2] = [symbols[best[1]] + symbols[best[1] + 1]]
+
+    for n in (1, 2, 7, 60, 300):
+        text = "".join(rng.choice(list("abc"), n, p=[0.5, 0.4, 0.1]))
+        assert K.merge(list(text), ranks) == plain(text)
+    assert "".join(K.merge(list("ab" * 100_000), ranks)) == "ab" * 100_000
+
+
+def test_tokenizer_files(spark, tmp_path):
+    model = {"vocab": {"a": 5, "b</w>": 6, "ab</w>": 7, "b": 8, " c": 9, "<unk>": 3}, "merges": ["a b</w>", "a b</w>", ["a", "b"], "x y"], "end_of_word_suffix": "</w>", "unk_token": "<unk>"}
+    data = {"model": model, "added_tokens": [{"id": 1, "content": "<|startoftext|>"}, {"id": 2, "content": "<|endoftext|>"}, {"id": 99, "content": "a"}]}
+    (tmp_path / "t.json").write_text(json.dumps(data))
+    t = T.read_tokenizer(spark, f"{tmp_path}/t.json")
+    assert t["kind"] == "clip" and t["vocab"]["a"] == 5 and (t["begin"], t["end"], t["unknown"]) == (1, 2, 3)
+    assert K.known_merges(t["vocab"], t["merges"]) == {("a", "b</w>"): 0}
+    df = spark.createDataFrame([("AB ab q",), ("a " * 20,), ("",), (None,)], "text string")
+    got = [r[0] for r in df.select(K.tokenizer(**t, length=6)("text")).collect()]
+    assert got == [[1, 7, 7, 3, 2, 0], [1, 3, 3, 3, 3, 2], [1, 2, 0, 0, 0, 0], None]
+    assert K.framed([7, 8, 9], [], 2, 3) == [7, 8, 2]
+
+
 def test_suppression_keeps_the_best():
     boxes = pd.DataFrame({"image": 1, "id": [1, 2, 3], "score": [0.5, 0.9, 0.8], "l": [0, 0.05, 5.0], "t": 0.0, "r": [1, 1.05, 6.0], "b": 1.0})
     assert K.suppress(boxes)["id"].tolist() == [2, 3]
@@ -91,6 +122,8 @@ def test_near_pairs_at_the_window(spark):
     v = [1.0, 0.0]
     items = spark.createDataFrame([(1, 0, v), (2, 0, v), (3, 100, v), (4, 201, v), (5, 301, [0.0, 1.0])], "id long, ts_ms long, vector array<double>")
     assert {tuple(r) for r in V.near_pairs(items, 0.9, 100).collect()} == {(1, 2), (1, 3), (2, 3)}
+    hot = items.unionByName(spark.createDataFrame([(10 + i, 5000, v) for i in range(30)], items.schema))
+    assert sorted(map(tuple, V.near_pairs(hot, 0.9, 100, block=40).collect())) == sorted(map(tuple, V.near_pairs(hot, 0.9, 100).collect()))
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 30)], "a long, b long")
     assert {tuple(r) for r in V.groups(chain).collect()} == {(i, 1) for i in range(1, 21)} | {(30, 30), (40, 30)}
 
@@ -173,15 +206,19 @@ def test_many_centers_meet_in_blocks(spark):
     faces = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
     centers = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "person_id long, centroid array<double>")
     no = spark.createDataFrame([(i, i % 9) for i in range(50)], "face_id long, person_id long")
-    one, many = (P.assign_nearest(faces, centers, no, 0.1, most_centers=m) for m in (20_000, 3))
-    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    one, *many = (P.assign_nearest(faces, centers, no, 0.1, most_centers=m, most_parts=p) for m, p in ((20_000, 4), (3, 4), (3, 1)))
+    for df in many:
+        assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
 def test_colour_matrices_compose():
     a, b = np.eye(5), np.eye(5)
     a[:4], b[:4] = np.array(EQ.saturation(0.3)).reshape(4, 5), np.array(EQ.shifted((2.0, 1.0, 0.5), (1.0, 2.0, 3.0))).reshape(4, 5)
     assert np.allclose(np.array(EQ.saturation(1.0)).reshape(4, 5)[:3, :3], np.eye(3))
-    assert np.allclose((a @ b)[:4].sum(), (a @ b)[:4].sum())
+    rgb = np.array([10.0, 20.0, 30.0, 255.0, 1.0])
+    grey = np.array([0.213, 0.715, 0.072]) @ rgb[:3]
+    want = 0.7 * grey + 0.3 * (rgb[:3] * [2.0, 1.0, 0.5] + [1.0, 2.0, 3.0]) + 0.7 * (np.array([0.213, 0.715, 0.072]) @ (rgb[:3] * [1.0, 0.0, -0.5] + [1.0, 2.0, 3.0]))
+    assert np.allclose((a @ b @ rgb)[:3], want)
 
 
 def test_colour_matrix_columns(spark):
