@@ -126,3 +126,15 @@ def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[
         return out.withColumn("own", F.lit(own))
 
     return ranked(a, a_order, True).unionByName(ranked(b, b_order, False))
+
+
+def headers(items: DataFrame, key: Column, *order: Column) -> DataFrame:
+    """``pos, key`` of the headers that a list in any order needs: wherever the key is not that of the row before."""
+    rows = numbered(items.withColumn("key", key), *order).select("pos", "key")
+    before = rows.select((F.col("pos") + 1).alias("pos"), F.col("key").alias("before"), F.lit(True).alias("there"))
+    return rows.join(before, "pos", "left").where(F.col("there").isNull() | ~F.col("key").eqNullSafe(F.col("before"))).select("pos", "key")
+
+
+def timeline_items(media: DataFrame, screenshots: bool) -> DataFrame:
+    """The timeline's items, screenshots among them only if the setting says so."""
+    return media if screenshots else media.where(~is_screenshot())

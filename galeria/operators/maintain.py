@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,25 @@ def restore_missing(backup: DataFrame, media: DataFrame) -> DataFrame:
     """Files of the backup that neither gallery nor trash hold, by lower-cased path, name and size."""
     have = media.select(F.lower(F.regexp_replace("path", "^/+|/+$", "")).alias("low"), "name", "size")
     return backup.withColumn("low", F.lower("path")).join(have, ["low", "name", "size"], "left_anti").select("path", "name", "size")
+
+
+def apply_changes(stored: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """``stored`` after a log of changes: columns of ``stored``, and ``seq`` and ``op`` (put or remove); a key's last change counts."""
+    columns = [c for c in stored.columns if c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct("op", *columns), "seq").alias("c")).select(key, "c.*")
+    return stored.join(last.select(key), key, "left_anti").unionByName(last.where("op = 'put'").drop("op"))
+
+
+def set_for_keys(stored: DataFrame, keys: DataFrame, key: str, **values: Column) -> DataFrame:
+    """``stored`` with new values in the rows of the given keys."""
+    hit = keys.select(F.col(key)).distinct().withColumn("_hit", F.lit(True))
+    return update_where(stored.join(hit, key, "left"), F.col("_hit"), **values).drop("_hit")
+
+
+def progress(log: DataFrame, job: str, order: list[str], outcome: str, ms: str) -> DataFrame:
+    """A job's log with running counts by outcome (done, failed, skipped), the mean time so far and what is left at that pace."""
+    so_far = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counts = {c: F.count_if(F.col(outcome) == c).over(so_far) for c in ("done", "failed", "skipped")}
+    mean, seen = F.avg(ms).over(so_far), F.count("*").over(so_far)
+    left = F.count("*").over(Window.partitionBy(job)) - seen
+    return log.withColumns({**counts, "ms_mean": mean, "ms_left": mean * left})

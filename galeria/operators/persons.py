@@ -209,6 +209,11 @@ def regrouped(persons: DataFrame, faces: DataFrame, threshold: float, model: str
     return refreshed(kept, cleared.drop("of_model")), out.drop("m") if model is None else out.withColumnRenamed("m", model)
 
 
+def section(name: Column, hidden: Column) -> Column:
+    """Where a person stands: hidden, named or unnamed."""
+    return F.when(hidden, "hidden").when(name.isNotNull(), "named").otherwise("unnamed")
+
+
 def rename_suggestions(persons: DataFrame, typed: str, own: int, most: int = 4) -> DataFrame:
     """Up to ``most`` other people's names that hold the typed text, in any case."""
     fits = F.lower("name").contains(typed.strip().lower()) & (F.col("id") != own)

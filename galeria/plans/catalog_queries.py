@@ -500,3 +500,67 @@ def exact_dups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal documents, by size, then by hash."""
     files = T.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), F.col("text").alias("content"))
     return C.exact_duplicates(files).select("size", "hash", "n", "first_id", "reclaimable")
+
+
+@query("SELECT pos, bucket AS key FROM (SELECT row_number() OVER (ORDER BY size DESC, id) - 1 AS pos, bucket, lag(bucket) OVER (ORDER BY size DESC, id) AS before FROM media) WHERE pos = 0 OR bucket IS DISTINCT FROM before")
+def headers_unsorted(spark: SparkSession, d: str) -> DataFrame:
+    """Headers by album of the list by size, where an album's header repeats."""
+    return C.headers(media(spark, d), F.col("bucket"), F.desc("size"), F.col("id"))
+
+
+@query("SELECT id FROM media WHERE NOT (contains(lower(path), 'screenshot') OR starts_with(lower(name), 'screenshot'))")
+def timeline_setting(spark: SparkSession, d: str) -> DataFrame:
+    """The timeline's items without screenshots."""
+    return C.timeline_items(media(spark, d), screenshots=False).select("id")
+
+
+@query("SELECT path, sum(size)::BIGINT AS bytes, count(*) AS files FROM media GROUP BY 1")
+def bytes_by_folder(spark: SparkSession, d: str) -> DataFrame:
+    """What each folder takes on disk."""
+    return media(spark, d).groupBy("path").agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
+
+
+@query("SELECT DISTINCT lower(trim('  ' || name || ' ')) AS key FROM media")
+def query_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys of what was typed."""
+    typed = media(spark, d).select(F.concat(F.lit("  "), "name", F.lit(" ")).alias("typed"))
+    return typed.select(F.lower(F.trim("typed")).alias("key")).distinct()
+
+
+@query("""SELECT id, size FROM media WHERE id % 5 <> 0 AND id % 7 <> 0 UNION ALL SELECT id, size + 1 FROM media WHERE id % 5 = 0 AND id % 35 <> 0 AND id % 4 <> 0
+ UNION ALL SELECT id, size FROM media WHERE id % 7 = 0 AND id % 5 <> 0 UNION ALL SELECT id, size + 2 FROM media WHERE id % 35 = 0 AND id % 4 <> 0""")
+def index_put_remove(spark: SparkSession, d: str) -> DataFrame:
+    """An index after puts and removals, some of the same keys."""
+    m, i = media(spark, d).select("id", "size"), F.col("id")
+    first = m.where(i % 5 == 0).select("id", (F.col("size") + 1).alias("size"), F.lit(1).alias("seq"), F.lit("put").alias("op"))
+    again = m.where(i % 35 == 0).select("id", (F.col("size") + 2).alias("size"), F.lit(2).alias("seq"), F.lit("put").alias("op"))
+    gone = m.where(i % 20 == 0).select("id", "size", F.lit(3).alias("seq"), F.lit("remove").alias("op"))
+    return M.apply_changes(m, first.unionByName(again).unionByName(gone))
+
+
+@query("SELECT id, is_trashed OR id % 6 = 1 AS is_trashed, is_favorite AND id % 6 <> 1 AS is_favorite FROM media")
+def trash_items(spark: SparkSession, d: str) -> DataFrame:
+    """The table after a request to trash every sixth item."""
+    m = media(spark, d).select("id", "is_trashed", "is_favorite")
+    asked = m.where(F.col("id") % 6 == 1).select("id")
+    return M.set_for_keys(m, asked, "id", is_trashed=F.lit(True), is_favorite=F.lit(False)).select("id", "is_trashed", "is_favorite")
+
+
+@query("SELECT id, name FROM media m WHERE EXISTS (SELECT 1 FROM backup_files b WHERE lower(b.name) = lower(m.name) AND b.name NOT LIKE 'OLD%')", "media", "backup_files")
+def import_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Items that a picked file of the same name brings, whatever the case."""
+    picked = T.backup_files(spark, d).where(~F.col("name").startswith("OLD")).select(F.lower("name").alias("low"))
+    return media(spark, d).withColumn("low", F.lower("name")).join(picked, "low", "left_semi").select("id", "name")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS ms, CASE WHEN event_type IN ('view', 'purchase') THEN 'done' WHEN event_type = 'click' THEN 'failed' ELSE 'skipped' END AS outcome FROM events)
+ SELECT event_id, count(*) FILTER (outcome = 'done') OVER w AS done, count(*) FILTER (outcome = 'failed') OVER w AS failed, count(*) FILTER (outcome = 'skipped') OVER w AS skipped,
+ CAST(floor(avg(ms) OVER w) AS BIGINT) AS ms_mean, CAST(floor(avg(ms) OVER w * (count(*) OVER (PARTITION BY user_id) - count(*) OVER w)) AS BIGINT) AS ms_left
+ FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Running progress of every user's job."""
+    kind = F.col("event_type")
+    log = T.load(spark, d, "events").withColumn("outcome", F.when(kind.isin("view", "purchase"), "done").when(kind == "click", "failed").otherwise("skipped"))
+    log = log.withColumn("ms", F.round(F.col("value") * 100).cast("long"))
+    out = M.progress(log, "user_id", ["ts", "event_id"], "outcome", "ms")
+    return out.select("event_id", "done", "failed", "skipped", F.floor("ms_mean").alias("ms_mean"), F.floor("ms_left").alias("ms_left"))

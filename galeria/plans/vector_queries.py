@@ -343,3 +343,9 @@ def match_query(spark: SparkSession, d: str) -> DataFrame:
     """Names found in queries, and what is left of these."""
     asked = spark.createDataFrame([(q,) for q in _ASKED], "query string")
     return P.matched_queries(asked, T.persons(spark, d)).select("query", F.array_join("names", ",").alias("names"), "rest")
+
+
+@query("SELECT id, CASE WHEN hidden THEN 'hidden' WHEN name IS NOT NULL THEN 'named' ELSE 'unnamed' END AS section FROM persons", "persons")
+def people_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Where each person stands in the people's list."""
+    return T.persons(spark, d).select("id", P.section(F.col("name"), F.col("hidden")).alias("section"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galeria.operators.maintain import upsert
 from galeria.operators.persons import Leaders
 
 
@@ -77,3 +78,28 @@ def switch_latest(keys: DataFrame, events: DataFrame) -> DataFrame:
     """Events of the newest key only (``keys``: ``ts, key``), the older ones' are dropped (a table operator)."""
     newest = keys.agg(F.max_by("key", "ts").alias("key"))
     return events.join(F.broadcast(newest), "key")
+
+
+def upsert_batches(stream: DataFrame, path: str, keys: list[str]):
+    """A writer that upserts every micro-batch into the snapshot under ``path``, once a batch.
+
+    Batch n reads snapshot n and writes snapshot n + 1 whole, so a batch that runs again
+    gives the same snapshot; of rows that share their keys in a batch any one counts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys)
+        old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number}") if number else new.limit(0)
+        upsert(old, new, keys).write.mode("overwrite").parquet(f"{path}/{number + 1}")
+
+    return stream.writeStream.foreachBatch(write)
+
+
+def start_once(spark: SparkSession, writer, name: str, replace: bool = False):
+    """The running query of that name, or the writer started under it; ``replace`` stops a running one first."""
+    for query in spark.streams.active:
+        if query.name == name:
+            if not replace:
+                return query
+            query.stop()
+    return writer.queryName(name).start()

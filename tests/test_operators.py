@@ -276,3 +276,19 @@ def test_cluster_stream_equals_table(spark, small, tmp_path):
     drained(ST.cluster_stream(stream, 0.25).writeStream.outputMode("append").format("memory").queryName("clusters").start())
     want = {tuple(r) for r in P.leader_clusters(faces, 0.25).collect()}
     assert {tuple(r) for r in spark.table("clusters").collect()} == want
+
+
+def test_upserts_by_batch_and_one_query_a_name(spark, tmp_path):
+    schema = "k long, v string"
+    for i, rows in enumerate(([(1, "a"), (2, "b")], [(2, "x"), (3, "y")], [(1, "z")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    writer = ST.upsert_batches(stream, f"{tmp_path}/out", ["k"]).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="0 seconds")
+    one = ST.start_once(spark, writer, "upserts")
+    assert ST.start_once(spark, writer, "upserts").id == one.id
+    drained(one)
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/3").collect()} == {(1, "z"), (2, "x"), (3, "y")}
+    two = ST.start_once(spark, stream.writeStream.format("memory"), "other")
+    three = ST.start_once(spark, stream.writeStream.format("memory"), "other", replace=True)
+    assert three.id != two.id and not two.isActive
+    drained(three)
