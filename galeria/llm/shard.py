@@ -97,6 +97,42 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _mixed(source: str, z: str, keep: str, out: str) -> str:
+    """SQL: the rows of ``source`` with ``out``, SplitMix64's finaliser of ``z``; 128-bit numbers hold the products."""
+    low, xor = "% 18446744073709551616::UHUGEINT", "xor({0}, {0} // {1}::UHUGEINT)"
+    one = f"SELECT {keep}, ({xor.format(z, 1 << 30)} * 13787848793156543929::UHUGEINT) {low} AS z1 FROM {source}"
+    two = f"SELECT {keep}, ({xor.format('z1', 1 << 27)} * 10723151780598845931::UHUGEINT) {low} AS z2 FROM ({one})"
+    return f"SELECT {keep}, {xor.format('z2', 1 << 31)} AS {out} FROM ({two})"
+
+
+def _permuted(rounds: int = 6) -> str:
+    """SQL: one pass through the Feistel network of the rows ``w(r, v)``, as (r, v)."""
+    inner = "SELECT r, v // side AS a, v % side AS b FROM w, dim WHERE v >= n OR step = 0"
+    for k in range(rounds):
+        inner = f"SELECT r, b AS a, xor(a, f[{k + 1}][CAST(b AS INT) + 1]) AS b FROM ({inner}), fs"
+    return f"SELECT r, a * side + b AS v, 1 AS step FROM ({inner}), dim"
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(i))),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (
+  SELECT doc_id, n + 1 AS size, xor(4294967295, list_reduce(list_concat([4294967295],
+    list_transform(range(n), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))), lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INT) + 1]))) AS text_crc32
+  FROM d, tab),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS r FROM c),
+dim AS (SELECT count(*) AS n, CAST(pow(2, greatest(1, ceil(log2(greatest(count(*), 2)) / 2 + 1e-9))) AS BIGINT) AS side FROM o),
+rk AS ({_mixed("(SELECT k, ((k + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM range(6) x(k))", "z", "k", "q")}),
+fx AS ({_mixed("(SELECT k, b, side, (q + b::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM rk, dim, LATERAL (SELECT unnest(range(side)) AS b))", "z", "k, b, side", "y")}),
+fs AS MATERIALIZED (SELECT list(l ORDER BY k) AS f FROM (SELECT k, list(CAST(y % side::UHUGEINT AS BIGINT) ORDER BY b) AS l FROM fx GROUP BY k)),
+w AS (SELECT r, r AS v, 0 AS step FROM o UNION ALL {_permuted()}),
+p AS (SELECT r, v FROM w, dim WHERE step = 1 AND v < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % 16 AS INT) AS shard, v // 16 AS slot, CAST(NULL AS INT) AS grown_shard FROM o JOIN p USING (r)
+"""
+
+
 def sharded_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 16, seed: int = 0) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (clashing names get an underscore)."""
     sized, size, crc = measured(docs, text)

@@ -23,6 +23,8 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 WORDS = ("spam", "casino", "adult", "porn", "malware", "phishing", "warez", "torrent", "clickbait", "tracker")
 #: Bits of one level that a plan may carry as a constant (2 MiB); see ``Cascade``.
 MAX_BITS = 1 << 24
+#: Shapes (labels of the host, length of the path) that a table of rules may have.
+MAX_SHAPES = 500
 
 
 class Cascade:
@@ -114,10 +116,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
-    """The distinct (labels of the host, length of the path) of rules "host/path prefix", longest first."""
+    """The distinct (labels of the host, length of the path) of rules "host/path prefix", longest first.
+
+    Each is an expression of the plan, so over ``MAX_SHAPES`` raise an error.
+    """
     host = F.substring_index("rule", "/", 1)
     labels, length = F.size(F.split(host, r"\.")), F.length("rule") - F.length(host)
-    return sorted({(r[0], r[1]) for r in rules.select(labels, length).distinct().collect()}, reverse=True)
+    found = rules.select(labels, length).distinct().limit(MAX_SHAPES + 1).collect()
+    if len(found) > MAX_SHAPES:
+        raise ValueError(f"the rules have over {MAX_SHAPES} shapes")
+    return sorted({(r[0], r[1]) for r in found}, reverse=True)
 
 
 def rule_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
