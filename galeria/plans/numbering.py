@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.plans.shared import fresh, stored
+from galeria.plans.shared import fresh, partitions, stored
 
 
 def lookup(values: list[int]) -> Column:
@@ -26,8 +26,7 @@ def counted(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFr
     the driver, and Spark's sample of the order columns, a hundred rows a partition.
     """
     arrival, part, place = fresh(df, "arrival"), fresh(df, "part"), fresh(df, "place")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(n, *order, arrival)
+    dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(partitions(df), *order, arrival)
     at = F.monotonically_increasing_id()  # the partition's number, then 33 bits of position
     dealt = dealt.sortWithinPartitions(*order, arrival).drop(arrival)
     held, _ = stored(dealt.withColumns({part: F.shiftright(at, 33).cast("int"), place: at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")

@@ -92,6 +92,18 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def partitions(df: DataFrame, each: int = 64 << 20, most: int = 100_000) -> int:
+    """Partitions to deal ``df`` out to: the session's shuffle partitions, more where its input is larger than ``each`` bytes a partition.
+
+    Sizes are Spark's estimate, taken only for plans of one input, where no join multiplies it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() == 1:
+        n = max(n, min(most, int(str(plan.stats().sizeInBytes())) // each))
+    return n
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(v, comp)`` per vertex.
 
