@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galeria.llm.common import checkpoint, fresh, stored, table
-from galeria.llm.shard import permute
+from galeria.llm.common import fresh, stored, table
+from galeria.llm.shard import _mixed, permute
+from galeria.plans.shared import partitions
 
 # Weights of the sources by code point, repeating; the share of all words; the most repeats.
 WEIGHTS, SHARE, REPEATS = (5.0, 2.0, 1.0), 1.5, 2
@@ -140,8 +141,7 @@ class Mixture:
         kept = [f"`{c}`" for c in (docs.columns if keep is None else dict.fromkeys([*keep, source, key]))]
         sized = docs.withColumn(size, word_count(F.col(f"`{text}`"))).select(*kept, size)
         order = [F.col(f"`{source}`").asc_nulls_last(), F.col(f"`{key}`"), F.col(size)]
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = sized.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(n, *order, arrival)
+        dealt = sized.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order, arrival)
         dealt = dealt.sortWithinPartitions(*order, arrival).drop(arrival)
         at = F.monotonically_increasing_id()
         dealt = dealt.withColumn(part, F.shiftright(at, 33)).withColumn(place, at.bitwiseAND(F.lit((1 << 33) - 1)))
@@ -175,8 +175,8 @@ class Mixture:
         for group, counts in enumerate(shard_counts(draws, slots * together, [seed, 0]) if shards else ()):
             plan.append((group * together, used.tolist(), counts.tolist()))
             used = used + counts
-        plan = spark.createDataFrame(plan, "shard long, used array<long>, counts array<long>")
-        plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+        tasks = max(1, min(len(plan), partitions(docs)))
+        plan = spark.createDataFrame(plan, "shard long, used array<long>, counts array<long>").repartition(tasks, "shard")
         kinds = "shard long, slot long, source_index long, round long, block long, most long"
         self.slots = plan.mapInArrow(_slots(quota, block, slots, seed), kinds)
 
@@ -195,7 +195,7 @@ class Mixture:
         """Every document row with the words that the mixture takes of it, repeats counted."""
         whole = F.col("most") == self.block
         times = self.slots.groupBy("source_index", "block").agg(F.count_if(whole).alias("times"), F.coalesce(F.max(F.when(~whole, F.col("most"))), F.lit(0)).alias("cut"))
-        times = times.withColumnRenamed("source_index", "i")
+        times = times.withColumnRenamed("source_index", "i").hint("merge")  # grows with the words: never to be broadcast
         met = self.pieces().join(times, ["i", "block"], "left")
         own = F.col("hi") - F.col("lo")  # of a cut block, the words before its cut
         words = F.sum(F.coalesce(own * F.col("times") + F.greatest(F.lit(0), F.least(own, F.col("cut") - F.col("within"))), F.lit(0)))
@@ -207,14 +207,14 @@ class Mixture:
         A row's text is the document's if the round takes all its words, else the taken
         runs of words as they stand, joined by single spaces.
         """
-        drawn = self.slots.select(F.col("source_index").alias("i"), "block", "round", "most")
+        drawn = self.slots.select(F.col("source_index").alias("i"), "block", "round", "most").hint("merge")
         met = self.pieces().join(drawn, ["i", "block"]).withColumn("hi", F.least(F.col("hi"), F.col("lo") + F.col("most") - F.col("within")))
         met = met.where("hi > lo").groupBy("p", "at", "n", "round")
         part, place = self.names["part"], self.names["place"]
         runs = fresh(self.rows, "runs")
         met = met.agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
         met = met.select(F.col("p").alias(part), F.col("at").alias(place), F.when(F.col("got") < F.col("n"), F.col("runs")).alias(runs))
-        rows = self.rows.join(met, [part, place])
+        rows = self.rows.join(met.hint("merge"), [part, place])
         cut = cut_words(F.col(f"`{text}`"), F.col(runs))
         rows = rows.withColumn(text, F.when(F.col(runs).isNull(), F.col(f"`{text}`")).otherwise(cut))
         if n_chars:
@@ -245,6 +245,46 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEY = "((i::UHUGEINT * 256 + rounds::UHUGEINT + (k + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _network(rounds: int = 6) -> str:
+    """SQL: one pass of the sources' places ``w(i, x, v)`` through their Feistel networks."""
+    inner = "SELECT w.i, x, v // side AS a, v % side AS b, side FROM w JOIN dim ON dim.i = w.i WHERE step = 0 OR v >= blocks"
+    for k in range(rounds):
+        inner = f"SELECT z.i, x, b AS a, xor(a, f[{k + 1}][CAST(b AS INT) + 1]) AS b, side FROM ({inner}) z JOIN fs ON fs.i = z.i"
+    return f"SELECT i, x, a * side + b AS v, 1 AS step FROM ({inner})"
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+s AS (SELECT source, sum(n)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+weighed AS (SELECT *, list_extract(CAST([5, 2, 1] AS DOUBLE[]), CAST(i % 3 + 1 AS INT)) AS w, 2.0::DOUBLE * size AS cap, (SELECT 1.5::DOUBLE * sum(size) FROM s) AS all_ FROM s),
+levels AS (
+  SELECT *, (all_ - coalesce(sum(cap) OVER (ORDER BY cap / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+capped AS (SELECT *, bool_and(w * level >= cap) OVER (ORDER BY cap / w, i) AS full_ FROM levels),
+aims AS (SELECT *, CASE WHEN full_ THEN cap ELSE w * (SELECT first(level ORDER BY cap / w, i) FROM capped WHERE NOT full_) END AS target FROM capped),
+dim AS MATERIALIZED (
+  SELECT *, words // size AS rounds, words % size AS rest, size - (blocks - 1) * 64 AS tail, CAST(pow(2, greatest(1, ceil(log2(greatest(blocks, 2)) / 2 + 1e-9))) AS BIGINT) AS side
+  FROM (SELECT source, i, size, target, least(CAST(round_even(target, 0) AS BIGINT), 2 * size) AS words, (size + 63) // 64 AS blocks FROM aims) WHERE size > 0),
+rk AS ({_mixed(f"(SELECT i, side, k, {_KEY} AS z FROM dim, range(6) x(k))", "z", "i, side, k", "q")}),
+fx AS ({_mixed("(SELECT i, k, b, side, (q + b::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM rk, LATERAL (SELECT unnest(range(side)) AS b))", "z", "i, k, b, side", "y")}),
+fs AS MATERIALIZED (SELECT i, list(l ORDER BY k) AS f FROM (SELECT i, k, list(CAST(y % side::UHUGEINT AS BIGINT) ORDER BY b) AS l FROM fx GROUP BY i, k) GROUP BY i),
+w AS (SELECT i, x, x AS v, 0 AS step FROM dim, LATERAL (SELECT unnest(range(blocks)) AS x) WHERE rest > 0 UNION ALL {_network()}),
+placed AS MATERIALIZED (SELECT w.i, x, v FROM w JOIN dim ON dim.i = w.i WHERE step = 1 AND v < blocks),
+short AS (SELECT dim.*, coalesce(x, 0) AS place FROM dim LEFT JOIN placed p ON p.i = dim.i AND p.v = dim.blocks - 1),
+one AS (SELECT *, (rest + 63) // 64 AS q FROM short),
+two AS (SELECT * EXCLUDE q, CASE WHEN 64 * q - CASE WHEN place < q THEN 64 - tail ELSE 0 END < rest THEN (rest + 64 - tail + 63) // 64 ELSE q END AS q FROM one),
+cut AS (SELECT *, rest - (64 * (q - 1) - CASE WHEN place < q - 1 THEN 64 - tail ELSE 0 END) AS last FROM two),
+drawn AS (SELECT p.i, p.v AS block, CASE WHEN p.x = q - 1 THEN last ELSE 64 END AS most FROM placed p JOIN cut ON cut.i = p.i WHERE p.x < q),
+where_ AS (SELECT row, doc_id, n, d.source, coalesce(sum(n) OVER (PARTITION BY d.source ORDER BY doc_id, n, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d),
+pieces AS (SELECT row, i, first, n, unnest(range(first // 64, (first + n - 1) // 64 + 1)) AS block FROM where_ JOIN cut ON cut.source IS NOT DISTINCT FROM where_.source WHERE n > 0),
+part AS (SELECT row, sum(greatest(0, least(first + n, pieces.block * 64 + most) - greatest(first, pieces.block * 64))) AS got FROM pieces JOIN drawn ON drawn.i = pieces.i AND drawn.block = pieces.block GROUP BY row)
+SELECT doc_id, n AS size, aims.size AS source_size, aims.target, CAST(coalesce(cut.rounds, 0) * n + coalesce(got, 0) AS BIGINT) AS taken
+FROM where_ JOIN aims ON aims.source IS NOT DISTINCT FROM where_.source LEFT JOIN cut ON cut.i = aims.i LEFT JOIN part USING (row)
+"""
+
+
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """The mixture of ``docs`` as documents with the same columns; see ``Mixture``."""
     has = n_chars if n_chars in docs.columns else None

@@ -65,3 +65,12 @@ def test_shards_in_groups_keep_their_size(spark):
     slots = mix.Mixture(docs, block=8, slots=16, groups=4).slots.groupBy("shard").count().orderBy("shard").collect()
     assert [x["shard"] for x in slots] == list(range(len(slots))) and len(slots) > 16
     assert all(x["count"] == 16 for x in slots[:-1])
+
+
+def test_mixture_equals_sql(spark, small):
+    import duckdb
+
+    got = mix.op9_mix(spark, small).select("doc_id", "size", "source_size", "target", "taken").collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duck.sql(mix.ORACLE_SQL).fetchall())
