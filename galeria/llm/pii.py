@@ -30,19 +30,20 @@ BASE = {
     "card": ("[0-9][ -]?[0-9]", "[0-9](?:[ -]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
-MORE = {
-    "email": (r"(?i)\bat\b", r"(?i)\b[a-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{1,63}){1,4}"),
-    "phone": ("[0-9]{3}[ .-][0-9]{3}", r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"),
-    "ssn": ("[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": ("[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-}
-SET = r"(?:password|passwd|pwd|secret|token|api[_ -]?key|credentials?)"
-#: What is set as a password or token, and long runs of letters and digits, marks of keys among them.
-MORE["secret"] = (
-    rf"(?i){SET}[\"']? ?[:=]|[A-Za-z0-9_+/-]{{20}}|-----BEGIN",
-    rf"(?i:(?<={SET}[\"']{{0,1}} {{0,2}}[:=] {{0,2}}[\"']{{0,1}}))[^\s\"',;]{{6,128}}|-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{20,512}+(?:\.[A-Za-z0-9_-]{16,2048}+){0,2}={0,2}",
-)
+SET = r"(?i:password|passwd|pwd|secret|token|api[_ -]?key|credentials?)"
+RUN = "A-Za-z0-9_+/-"
+#: (kind, gates, pattern); every match's text passes all of the gates. Secrets: what is set as a password or token, long runs of
+#: letters and digits, marks of private keys. Patterns look first for what is rare or at the borders of words.
+MORE = (
+    ("email", (r"(?i)\bat\b",), r"(?i)\b[a-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[a-z0-9-]{1,63}){1,4}"),
+    ("phone", ("[0-9]{3}[ .-][0-9]{3}",), r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"),
+    ("ssn", ("[0-9]-[0-9]{2}-[0-9]",), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("iban", ("[A-Z]{2}[0-9]{2}",), r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("secret", (rf"[:=](?<={SET}[\"']{{0,1}} {{0,2}}[:=])",), rf"(?<=[:= \"'])(?<={SET}[\"']{{0,1}} {{0,2}}[:=] {{0,2}}[\"']{{0,1}})[^\s\"',;]{{6,128}}"),
+    ("secret", ("-----BEGIN ",), "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("secret", ("[0-9]", f"(?<![{RUN}])[{RUN}]{{20}}"),
+     rf"(?<![=.{RUN}])(?=[A-Za-z_+/-]{{0,40}}[0-9])(?=[0-9_+/-]{{0,40}}[A-Za-z])[{RUN}]{{20,512}}+(?:\.[A-Za-z0-9_-]{{16,2048}}+){{0,2}}={{0,2}}"),
+)
 FOR = "(?i)(?:tel|phone|call|fax|mobile|contact|mail|write to|reach|ip|address|host|card|visa|payment|ssn|social security|iban|account|token|key|secret|password|bearer)[^a-z0-9]{0,4}(?:is|at|no|number|of)?[^a-z0-9]{0,3}$"
 AGAINST = "(?i)(?:version|release|ver|v|build|isbn|order|ticket|invoice|section|figure|table|page|chapter|serial|part|id|commit|checksum|sha|md5|hash|digest|revision|etag)[^a-z0-9]{0,4}(?:is|no|number)?[^a-z0-9]{0,3}$"
 FEATURES = (
@@ -81,7 +82,7 @@ def _valid(kind: str, m: Column) -> Column:
 FOUND = "struct<start:int,end:int,kind:int,base:boolean,value:string,f:struct<" + ",".join(f"{x}:double" for x in FEATURES) + ">>"
 
 
-def _generate(text: Column, kind: str, gate: str, pattern: str, base: bool) -> Column:
+def _generate(text: Column, kind: str, gates: tuple[str, ...], pattern: str, base: bool) -> Column:
     """All matches of one generator: an array of ``FOUND``."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
@@ -118,13 +119,17 @@ def _generate(text: Column, kind: str, gate: str, pattern: str, base: bool) -> C
 
     none = F.from_json(F.lit("[]"), f"array<{FOUND}>")
     all_ = F.transform(F.array(zipped), placed)[0]
-    return F.when(text.rlike(gate), F.coalesce(all_, none)).otherwise(none)
+    out = F.coalesce(all_, none)
+    for gate in reversed(gates):
+        out = F.when(text.rlike(gate), out).otherwise(none)
+    return out
 
 
 def candidates(text: Column) -> Column:
     """Every generator's spans with features, in no special order; null texts count as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.concat(*(_generate(text, k, *v, base) for source, base in ((BASE, True), (MORE, False)) for k, v in source.items()))
+    own = (_generate(text, kind, (gate,), pattern, True) for kind, (gate, pattern) in BASE.items())
+    return F.concat(*own, *(_generate(text, *more, False) for more in MORE))
 
 
 @dataclass(frozen=True)
