@@ -141,7 +141,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """A network of all languages, from at most ``per_lang`` rows each; fewer where that makes over ``most_rows``, one at least.
 
     Rows are chosen by a hash of their key, and ``per_text`` windows spread over each whole
-    text; only these windows come to the driver.
+    text; only these windows come to the driver. Rows without a language are not learned;
+    null texts and those without a letter give no windows; equal windows of a language and
+    key count once; an empty table gives a network without languages.
     """
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL").withColumn("k", F.xxhash64("doc_id"))
     langs = rows.groupBy("lang").count()

@@ -286,6 +286,6 @@ FROM where_ JOIN aims ON aims.source IS NOT DISTINCT FROM where_.source LEFT JOI
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", n_chars: str | None = "n_chars", **options) -> DataFrame:
-    """The mixture of ``docs`` as documents with the same columns; see ``Mixture``."""
+    """The mixture of ``docs`` as documents with the same columns; see ``Mixture`` for odd rows."""
     has = n_chars if n_chars in docs.columns else None
     return Mixture(docs, text, source, **options).documents(text, has, docs.columns)

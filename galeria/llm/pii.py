@@ -341,12 +341,15 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     out, spans = find(docs, text, **options)
     t = F.col(f"`{text}`")
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["to"], F.concat(F.substring(t, acc["to"] + 1, s["start"] - acc["to"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.concat(acc["out"], gap).alias("out"))
+    def cleaned(all_: Column) -> Column:
+        reach = running(F.transform(all_, lambda s: s["end"]), lambda u, v: F.greatest(u, v))
 
-    start = F.struct(F.lit(0).alias("to"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col(spans), start, step, lambda a: F.concat(a["out"], F.substring(t, a["to"] + 1, F.length(t))))
+        def piece(s: Column, to: Column) -> Column:
+            return F.when(s["start"] >= to, F.concat(F.substring(t, to + 1, s["start"] - to), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+        return F.concat(F.array_join(F.zip_with(all_, reach, piece), ""), F.substring(t, F.array_max(all_["end"]) + 1, F.length(t)))
+
+    clean = F.transform(F.array(F.col(spans)), cleaned)[0]
     return out.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(t)).drop(spans)
 
 

@@ -200,7 +200,9 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = 8000, bits: int = 1
 
     Vote patterns, at most 3 to the number of labellers, are counted over all documents. The
     scorer learns from at most ``max_rows`` documents with words, those with the smallest
-    hash of their text: a bounded sample, whatever the size of the table.
+    hash of their text: a bounded sample, whatever the size of the table. Texts without words
+    count as votes of nobody; equal texts are learned once; an empty table gives a scorer
+    that knows nothing.
     """
     texts = docs.select(F.col(f"`{text}`").alias("t"))
     counts = texts.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
@@ -237,7 +239,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, text: str = "text", least: float = 0.5, **options) -> DataFrame:
-    """The documents that score at least ``least``, with their own columns."""
+    """The documents that score at least ``least``, with their own columns.
+
+    Null and empty texts and those without words score 0 and go; very long texts are read
+    whole; repeated rows are judged alike and each stay or go; an empty table gives no rows.
+    """
     scorer, _, _ = fit(docs, text, **options)
     out, score = scored(docs, scorer, text)
     return out.where(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -134,7 +134,11 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % 16 AS INT) AS shard, v
 
 
 def sharded_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", n_shards: int = 16, seed: int = 0) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot`` (clashing names get an underscore)."""
+    """``docs`` with ``shard`` and ``slot`` (clashing names get an underscore).
+
+    Null texts count as empty; null keys come first; repeated rows each have a place of
+    their own; an empty table gives no rows.
+    """
     sized, size, crc = measured(docs, text)
     rows, (number, _, _) = shard(sized, [key, size, crc], n_shards, seed)
     return rows.drop(size, crc, number)

@@ -60,3 +60,20 @@ def test_added_spans_against_python(spark, small):
                 want.append((start, kind, -end))
             reach = max(reach, -end)
         assert [(s["start"], pii.KINDS.index(s["kind"]), s["end"]) for s in r[spans]] == sorted(want)
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    many = "ä a@b.org, 10.0.0.1; " * 5000
+    rows = [(1, many), (2, "a@b.org"), (3, "id +1 212 555 0100.20.30.40 end"), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    out, spans = pii.find(docs)
+    got = {r["doc_id"]: (r["text"], r[spans]) for r in out.collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[1] == "ä [email], [ip]; " * 5000 and clean[2] == "[email]" and clean[4] == "" and clean[5] is None
+    for k, (text, found) in got.items():
+        want, to = "", 0
+        for s in found or ():
+            if s["start"] >= to:
+                want += text[to : s["start"]] + f"[{s['kind']}]"
+            to = max(to, s["end"])
+        assert clean[k] == (None if text is None else want + text[to:])
