@@ -227,8 +227,8 @@ def cut_words(text: Column, runs: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
     def cut(w: Column) -> Column:
-        parts = F.transform(runs, lambda r: F.array_join(F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), ""))
-        return F.rtrim(F.array_join(parts, " "))
+        run = lambda r: F.array_join(F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), "")
+        return F.array_join(F.transform(runs, lambda r: F.rtrim(run(r), F.lit(" \t\n\x0b\x0c\r"))), " ")
 
     return F.transform(F.array(words), cut)[0]  # so the text is split once, not once for each run
 
