@@ -69,6 +69,26 @@ def test_long_texts_merge_fast_and_alike():
     assert "".join(K.merge(list("ab" * 100_000), ranks)) == "ab" * 100_000
 
 
+def test_encoders_equal_a_public_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    rng = np.random.default_rng(6)
+    letters = "abcdeth"
+    merges = [("t", "h"), ("th", "e</w>"), ("a", "b"), ("ab", "c"), ("c", "d"), ("d", "e"), ("ab", "cd"), ("e", "a"), ("h", "e</w>"), ("b", "a"), ("a", "a</w>")]
+    vocab = {s: i for i, s in enumerate(["<unk>", *letters, *(x + "</w>" for x in letters), *dict.fromkeys(a + b for a, b in merges)])}
+    theirs = tokenizers.Tokenizer(tokenizers.models.BPE(vocab, merges, unk_token="<unk>", end_of_word_suffix="</w>"))
+    ranks = K.known_merges(vocab, merges)
+    for n in rng.integers(1, 40, 200):
+        word = "".join(rng.choice(list(letters), n))
+        assert K.clip_ids(word, vocab, ranks, 0) == theirs.encode(word).ids
+    pieces = [("▁", "t"), ("t", "h"), ("▁t", "h"), ("a", "b"), ("b", "a"), ("ab", "ab")]
+    vocab = {s: i for i, s in enumerate(["<unk>", "▁", *letters, *dict.fromkeys(a + b for a, b in pieces), *(f"<0x{b:02X}>" for b in range(256))])}
+    theirs = tokenizers.Tokenizer(tokenizers.models.BPE(vocab, pieces, unk_token="<unk>", byte_fallback=True))
+    ranks = K.known_merges(vocab, pieces)
+    for n in rng.integers(1, 60, 200):
+        text = "".join(rng.choice([*letters, " ", "ä", "日", "Z"], n))
+        assert K.piece_ids(text, vocab, ranks, 0) == theirs.encode(text.replace(" ", "▁")).ids
+
+
 def test_tokenizer_files(spark, tmp_path):
     model = {"vocab": {"a": 5, "b</w>": 6, "ab</w>": 7, "b": 8, " c": 9, "<unk>": 3}, "merges": ["a b</w>", "a b</w>", ["a", "b"], "x y"], "end_of_word_suffix": "</w>", "unk_token": "<unk>"}
     data = {"model": model, "added_tokens": [{"id": 1, "content": "<|startoftext|>"}, {"id": 2, "content": "<|endoftext|>"}, {"id": 99, "content": "a"}]}
