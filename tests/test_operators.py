@@ -20,6 +20,7 @@ from galeria.operators import persons as P
 from galeria.operators import search as V
 from galeria.plans import event_queries as EQ
 from galeria.plans.numbering import numbered
+from galeria.plans.shared import checkpoint, partitions, path_of, scratch, stored
 from galeria.sources import tables as T
 from galeria.streaming import streams as ST
 
@@ -138,6 +139,23 @@ def test_numbers_follow_the_order(spark):
     assert numbered(df.limit(0), F.col("x")).count() == 0
 
 
+def test_partitions_follow_the_input(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert partitions(docs) == 4 and partitions(docs.select("doc_id", "text"), each=1000, most=50) == 50
+    assert partitions(docs.join(docs.select("doc_id"), "doc_id"), each=1) == 4  # no estimate through a join
+
+
+def test_scratch_clears_what_was_written(spark):
+    df = spark.range(10)
+    with scratch(spark) as keep:
+        gone, path = stored(df, "gone")
+        kept = checkpoint(df.withColumn("x", F.col("id") * 2))
+        keep.add(path_of(kept))
+    assert kept.count() == 10
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+
+
 def test_near_pairs_at_the_window(spark):
     v = [1.0, 0.0]
     items = spark.createDataFrame([(1, 0, v), (2, 0, v), (3, 100, v), (4, 201, v), (5, 301, [0.0, 1.0])], "id long, ts_ms long, vector array<double>")
