@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from galeria.llm.common import checkpoint, components, fresh, path_of, scratch, stored, table
 from galeria.plans.numbering import counted
@@ -39,31 +40,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit BLAKE2 hashes of words; ``known`` is a bounded memory of them."""
-    if len(known) > 1 << 18:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def shingles(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of ``size`` words (fewer words: one shingle; none: empty)."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = _word_hashes(words, known)
+    h = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(size, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = _mix(out * _BASE + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    out.sort()
+    first = np.empty(len(out), bool)
+    first[0] = True
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 def _signatures(size: int, k: int, m: int, seed: int):
@@ -71,32 +63,36 @@ def _signatures(size: int, k: int, m: int, seed: int):
     a = rng.integers(1, 1 << 63, 2 * m * k, np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, 2 * m * k, np.uint64)
 
-    def minima(s: np.ndarray) -> np.ndarray:
-        out = np.full(2 * m * k, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 4096):
-            part = s[at : at + 4096]
-            for j in range(2 * m * k):
-                v = part * a[j] + b[j]
-                out[j] = min(out[j], (v ^ (v >> np.uint64(32))).min())
-        return out
+    def keys(held: list[np.ndarray]) -> list[list[int]]:
+        """The half keys of some sets, all of their minhashes over one array."""
+        flat, starts = np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+        mixed = np.full((len(held), 2 * m), 1, np.uint64)
+        for i in range(k):
+            for j in range(2 * m):
+                v = flat * a[j * k + i]
+                v += b[j * k + i]
+                v ^= v >> np.uint64(32)
+                mixed[:, j] = _mix(mixed[:, j] * _BASE + np.minimum.reduceat(v, starts))
+        return mixed.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            n, sets, sigs = [], [], []
+            n, sets = [], []
+            sigs: list[list[int] | None] = [None] * batch.num_rows
+            held, rows, total = [], [], 0
             with np.errstate(over="ignore"):
-                for text in batch.column(2):
-                    s = shingles(text.as_py(), size, known)
+                for row, text in enumerate(batch.column(2)):
+                    s = shingles(text.as_py(), size)
                     n.append(len(s))
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
-                        h = minima(s).reshape(2 * m, k)
-                        mixed = np.full(2 * m, 1, np.uint64)
-                        for i in range(k):
-                            mixed = _mix(mixed * _BASE + h[:, i])
-                        sigs.append(mixed.view(np.int64).tolist())
-                    else:
-                        sigs.append(None)
+                        held.append(s)
+                        rows.append(row)
+                        total += len(s)
+                    if held and (total >= 1 << 14 or row == batch.num_rows - 1):
+                        for r, sig in zip(rows, keys(held), strict=True):
+                            sigs[r] = sig
+                        held, rows, total = [], [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 ["doc_id", "text_key", "n", "set_key", "sig"],
@@ -107,9 +103,8 @@ def _signatures(size: int, k: int, m: int, seed: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
-            sets = [shingles(t.as_py(), size, known).view(np.int64) for t in batch.column(1)]
+            sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
     return run
