@@ -23,7 +23,8 @@ def counted(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFr
     all rows hold is spread over partitions, and rows equal in ``order`` may change places.
     The sorted rows are written to the shared folder with their partition and place, so
     that counts and numbers come from the same rows. Only one count per partition comes to
-    the driver, and Spark's sample of the order columns, a hundred rows a partition.
+    the driver, and Spark's sample of the order columns: some hundred rows a partition, three
+    million at most.
     """
     arrival, part, place = fresh(df, "arrival"), fresh(df, "part"), fresh(df, "place")
     dealt = df.withColumn(arrival, F.monotonically_increasing_id()).repartitionByRange(partitions(df), *order, arrival)
