@@ -2,7 +2,7 @@
 
 Rules are hand-written regular expressions over a text's normalised words: wordings of
 whole licenses, notices and headers, and the names and identifiers of the license families
-in four forms. A rule runs only on texts that hold one of its keywords, and none runs on a
+in five forms. A rule runs only on texts that hold one of its keywords, and none runs on a
 text without any cue; both are implied by the rules, so nothing is lost. Overlapping
 detections are resolved by priority and containment: a detection inside another one of the
 same or a better priority is suppressed.

@@ -8,11 +8,14 @@ sample on which a logistic scorer over hashed features is trained; the scorer de
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 SYMBOLS = b"#$%&*^~<>{}[]\\=_@"
 SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
-LONE = re.compile(rb"(?<![^\x09-\x0D\x20])[!-/:-@\[-`{-~]+(?![^\x09-\x0D\x20])")
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 RUNS = re.compile(rb"(.)\1+")
 
 
@@ -47,8 +50,8 @@ def measures(text: str | None) -> dict[str, float] | None:
         "symbols": count(SYMBOLS) / size,
         "bang": min(1.0, data.count(b"!") / n),
         "bars": words.count(b"|") / n,
-        "lone": len(LONE.findall(data)) / n,
-        "runs": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "lone": (n - len(data.translate(None, MARKS).split())) / n,  # words of marks alone are gone without them
+        "runs": sum(map(eq, words, words[1:])) / n,
         "lines": 1 - sum(len(x) for x in set(lines)) / sum(len(x) for x in lines),
         "distinct": len(set(words)) / min(n, 200),
         "stops": min(1.0, (data.count(b".") + data.count(b"?")) / n),
@@ -87,20 +90,36 @@ def votes(m: dict[str, float] | None) -> str:
     return "".join("-0+"[(f(m) if m else 0) + 1] for f in LABELLERS.values())
 
 
+class _Places(dict):
+    """The hashed place of a word's shape, with runs of one sign as one, computed once while their number is bounded."""
+
+    def __init__(self, bits: int) -> None:
+        super().__init__()
+        self.mask = (1 << bits) - 1
+
+    def __missing__(self, shape: bytes) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        i = self[shape] = zlib.crc32(b"shape " + RUNS.sub(rb"\1", shape)[:16]) & self.mask
+        return i
+
+
+@lru_cache(maxsize=4)
+def _places(bits: int) -> _Places:
+    return _Places(bits)
+
+
 def hashed(text: str | None, m: dict[str, float] | None, bits: int) -> dict[int, float]:
     """Hashed features: shares of word shapes, and the rates' bins."""
     if not m:
         return {}
-    found: Counter = Counter()
-    for shape, c in Counter(text.encode("utf-8", "surrogatepass").translate(SHAPES).split()).items():
-        found[RUNS.sub(rb"\1", shape)[:16]] += c
-    out: Counter = Counter()
-    for shape, c in found.items():
-        out[zlib.crc32(b"shape " + shape) & ((1 << bits) - 1)] += c / m["words"]
+    shapes = text.encode("utf-8", "surrogatepass").translate(SHAPES).split()
+    out = {i: c / m["words"] for i, c in Counter(map(_places(bits).__getitem__, shapes)).items()}
     for name, v in m.items():
-        step = min(8, int(np.log2(v + 1))) if name == "words" else int(np.ceil(min(1.0, v) * 10))
-        out[zlib.crc32(f"{name} {step}".encode()) & ((1 << bits) - 1)] += 1.0
-    return dict(out)
+        step = min(8, int(math.log2(v + 1))) if name == "words" else math.ceil(min(1.0, v) * 10)
+        i = zlib.crc32(f"{name} {step}".encode()) & ((1 << bits) - 1)
+        out[i] = out.get(i, 0.0) + 1.0
+    return out
 
 
 def estimate(counts: dict[str, int], rounds: int = 100) -> tuple[np.ndarray, float, dict[str, float]]:
