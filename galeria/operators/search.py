@@ -102,6 +102,7 @@ def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 *
 
 def groups(pairs: DataFrame) -> DataFrame:
     """``id, grp``: connected components of ``pairs(a, b)``, named by their smallest id."""
-    found = components(pairs.select("a", "b"))
+    pairs = checkpoint(pairs.select("a", "b"))  # joined once, read twice
+    found = components(pairs)
     alone = pairs.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("comp")).distinct().join(found, "v", "left_anti")
     return found.unionByName(alone).select(F.col("v").alias("id"), F.col("comp").alias("grp"))
