@@ -15,6 +15,9 @@ MODULES = {
     "op8_language": "langid",
     "op9_mix": "mix",
     "op10_pii": "pii",
+    "op11_filter_audit": "audit",
+    "op12_pieces": "pieces",
+    "op13_collocations": "phrases",
 }
 
 
