@@ -5,8 +5,8 @@ vocabulary. Where no piece has a marker behind another character, no piece and n
 crosses the place before a run of markers: a text is cut there into chunks (the markers and
 the word behind them), each distinct chunk is segmented once, and the ids and the decoded
 text are joined back by position. Chunks that are common in the corpus stand in one table
-that every task gets, of bounded size; the others are segmented once in each block of
-texts that holds them.
+that every task gets, of bounded size; a rarer one is segmented once by each task that
+meets it, while as many of them again are remembered.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.llm.common import fresh, table
+from galeria.llm.common import checkpoint, fresh, scratch, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Bounds of the table that goes to every task: chunks, and UTF-8 bytes of one.
-MOST_CHUNKS, LONGEST = 1 << 17, 64
-#: Characters of text in one block.
+#: Bounds of the table that goes to every task: chunks, and UTF-8 bytes of one. A worker remembers as many rarer ones.
+MOST_CHUNKS, LONGEST = 1 << 16, 64
+#: Bytes of text in one block.
 BLOCK = 4 << 20
 
 
@@ -52,55 +52,62 @@ def splittable(model: bytes) -> bool:
 
 
 def chunks(text: str) -> list[str]:
-    """The marked text, cut before every run of markers; nothing of an empty text."""
-    if not text:
-        return []
-    if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-        return CHUNK.findall(MARK + text.replace(" ", MARK))
-    return [MARK + word for word in text.split(" ")]
+    """The marked text, cut before every run of markers, each without its first marker; nothing of an empty text."""
+    return [c[1:] for c in CHUNK.findall(MARK + text.replace(" ", MARK))] if text else []
+
+
+def cut(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """The chunks of texts in up to two groups: (rows, chunks of all of them, how many each has).
+
+    Where single spaces stand between words, the words are the chunks.
+    """
+    plain = pc.and_(pc.invert(pc.match_substring_regex(texts, f"  |{MARK}|^ | $")), pc.greater(pc.binary_length(texts), 0))
+    plain = pc.fill_null(plain, False).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(plain)
+    if len(rows):
+        words = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        yield rows, words.flatten(), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(~plain)
+    if len(rows):
+        own = [chunks(t or "") for t in texts.take(pa.array(rows)).to_pylist()]
+        yield rows, pa.array([c for cs in own for c in cs], pa.string()), np.array([len(cs) for cs in own], np.int64)
 
 
 def segment(model: bytes, found: list[str]) -> list[tuple[list[int], str]]:
     """Ids and decoded text of each chunk; the library itself puts the first marker back."""
     sp = _processor(model)
-    ids = sp.encode([c[1:] for c in found], num_threads=1)
-    ids = [[sp.piece_to_id(MARK)] if c == MARK else i for c, i in zip(found, ids, strict=True)]
+    ids = sp.encode(found, num_threads=1)
+    ids = [i if c else [sp.piece_to_id(MARK)] for c, i in zip(found, ids, strict=True)]
     return [(i, " " + d) for i, d in zip(ids, sp.decode(ids, num_threads=1) if ids else [], strict=True)]
 
 
-def _blocks(values: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of rows of about ``BLOCK`` characters: their first row and texts; one text alone may be longer."""
-    start, size, held = 0, 0, []
-    for i, v in enumerate(values):
-        text = v.as_py()
-        if held and size + len(text or "") > BLOCK:
-            yield start, held
-            start, size, held = i, 0, []
-        held.append(text)
-        size += len(text or "")
-    if held:
-        yield start, held
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of rows of about ``BLOCK`` bytes: their first row and texts; one text alone may be longer."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    number = (np.cumsum(sizes) - sizes) // BLOCK
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)], strict=False):
+        yield start, texts.slice(start, end - start)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in _blocks(batch.column(0)):
-            found = Counter()
-            for text in texts:
-                found.update(chunks(text or ""))
-            short = {c: n for c, n in found.items() if len(c) <= LONGEST and len(c.encode()) <= LONGEST}
-            yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["chunk", "n"])
+            for _, found, _ in cut(texts):
+                found = found.filter(pc.less_equal(pc.binary_length(found), LONGEST))
+                counts = pc.value_counts(found)
+                yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["chunk", "n"])
 
 
 def common_chunks(docs: DataFrame, text: str = "text", most: int = MOST_CHUNKS) -> DataFrame:
-    """``chunk, n``: the commonest distinct chunks of all texts, at most ``most``.
+    """``chunk, n``: the commonest distinct chunks of all texts, at most ``most``, without their first marker.
 
     All chunks of up to ``LONGEST`` bytes are counted, once a block before they are
     shuffled. The least count that is taken comes from a histogram of the counts' magnitudes,
     so no task sorts the chunks.
     """
     counts = docs.select(F.col(f"`{text}`")).mapInArrow(_count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("size", F.floor(F.log2("n") * 16).cast("int"))
+    counts = checkpoint(counts.where("n > 1").withColumn("size", F.floor(F.log2("n") * 16).cast("int")))  # read twice
     held, least = 0, None
     for r in sorted(counts.groupBy("size").count().collect(), key=lambda r: -r["size"]):
         held += r["count"]
@@ -127,39 +134,43 @@ def chunk_table(docs: DataFrame, model, text: str = "text", most: int = MOST_CHU
     return common_chunks(docs, text, most).select("chunk").mapInArrow(_segmented(model), "chunk string, ids array<int>, decoded string")
 
 
-def _joined(model: bytes, held: dict[str, tuple], texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+def _joined(model: bytes, known: dict[str, tuple], lately: dict[str, tuple], texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Ids and decoded texts of a block: its distinct chunks, looked up or segmented, put back by position."""
-    found, sizes = [], np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        own = chunks(text or "")
-        found += own
-        sizes[i + 1] = len(own)
-    coded = pa.array(found, pa.string()).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    new = [c for c in distinct if c not in held]
-    extra = dict(zip(new, segment(model, new), strict=True))
-    got = [held.get(c) or extra[c] for c in distinct]
-    offsets = np.cumsum(sizes)
-    ids = pa.array([i for i, _ in got], pa.list_(pa.int32())).take(coded.indices)
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends[offsets]), ids.flatten())
-    words = pa.array([d for _, d in got], pa.string()).take(coded.indices)
-    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), "")
+    rows, all_ids, all_decoded = [], [], []
+    for at, found, sizes in cut(texts):
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in known and c not in lately]
+        if len(lately) + len(new) > MOST_CHUNKS:
+            lately.clear()
+            new = [c for c in distinct if c not in known]
+        extra = dict(zip(new, segment(model, new), strict=True))
+        got = [known.get(c) or lately.get(c) or extra[c] for c in distinct]
+        lately.update((c, v) for c, v in extra.items() if len(c) <= LONGEST and len(lately) < MOST_CHUNKS)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        ids = pa.array([i for i, _ in got], pa.list_(pa.int32())).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        words = pa.array([d for _, d in got], pa.string()).take(coded.indices)
+        rows.append(at)
+        all_ids.append(pa.ListArray.from_arrays(pa.array(ends[offsets]), ids.flatten()))
+        all_decoded.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), words), ""))
+    order = pa.array(np.argsort(np.concatenate(rows)))
+    ids, decoded = (pa.concat_arrays(x).take(order) if len(rows) > 1 else x[0] for x in (all_ids, all_decoded))
     return ids, pc.utf8_slice_codeunits(decoded, 1)
 
 
-def _whole(model: bytes, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+def _whole(model: bytes, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     sp = _processor(model)
-    ids = sp.encode([t or "" for t in texts], num_threads=1)
+    ids = sp.encode([t or "" for t in texts.to_pylist()], num_threads=1)
     return pa.array(ids, pa.list_(pa.int32())), pa.array(sp.decode(ids, num_threads=1), pa.string())
 
 
 def _encoded(model, held, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if held is None else _known(held)
+        known, lately = None if held is None else _known(held), {}
         for batch in batches:
             for at, texts in _blocks(batch.column(batch.num_columns - 1)):
-                ids, decoded = _whole(model.value, texts) if known is None else _joined(model.value, known, texts)
+                ids, decoded = _whole(model.value, texts) if known is None else _joined(model.value, known, lately, texts)
                 rest = batch.slice(at, len(texts)).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*rest, ids, decoded], [*batch.schema.names[:-1], *names])
 
@@ -190,7 +201,8 @@ def encoded(docs: DataFrame, model: str, text: str = "text", keep: list[str] | N
     context = docs.sparkSession.sparkContext
     shared, held = context.broadcast(data), None
     if splittable(data):
-        held = context.broadcast(chunk_table(docs, shared, text, most).toArrow())
+        with scratch(docs.sparkSession):
+            held = context.broadcast(chunk_table(docs, shared, text, most).toArrow())
     names, value = (fresh(docs, "ids"), fresh(docs, "decoded")), fresh(docs, "text_")
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
     rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias(value))
