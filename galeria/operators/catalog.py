@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeria.functions.scalars import local_date
+from galeria.operators.running import Running, prefix_scan
 from galeria.plans.numbering import numbered
 
 NEWEST = ("ts_ms", "id")
@@ -129,10 +130,13 @@ def interleave(a: DataFrame, b: DataFrame, a_order: list[Column], b_order: list[
 
 
 def headers(items: DataFrame, key: Column, *order: Column) -> DataFrame:
-    """``pos, key`` of the headers that a list in any order needs: wherever the key is not that of the row before."""
-    rows = numbered(items.withColumn("key", key), *order).select("pos", "key")
-    before = rows.select((F.col("pos") + 1).alias("pos"), F.col("key").alias("before"), F.lit(True).alias("there"))
-    return rows.join(before, "pos", "left").where(F.col("there").isNull() | ~F.col("key").eqNullSafe(F.col("before"))).select("pos", "key")
+    """``pos, key`` of the headers that a list in any order needs: wherever the key is not that of the row before.
+
+    The list is one key of a ``prefix_scan``: no row meets the whole list again.
+    """
+    rows = prefix_scan(items.withColumn("key", key), [], list(order), Running(before={"before": F.col("key")}, number="pos"))
+    new = (F.col("pos") == 1) | ~F.col("key").eqNullSafe(F.col("before"))
+    return rows.where(new).select((F.col("pos") - 1).alias("pos"), "key")
 
 
 def timeline_items(media: DataFrame, screenshots: bool) -> DataFrame:

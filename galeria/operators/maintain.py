@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeria.operators.running import Running, prefix_scan
+from galeria.plans.shared import fresh
+
 
 def index_diff(present: DataFrame, known: DataFrame, key: str = "id", known_key: str = "media_id", stamp: str = "date_modified") -> DataFrame:
     """``key, status, date_modified``: gone, new, accept (replaced in place), changed or same."""
@@ -60,9 +63,14 @@ def set_for_keys(stored: DataFrame, keys: DataFrame, key: str, **values: Column)
 
 
 def progress(log: DataFrame, job: str, order: list[str], outcome: str, ms: str) -> DataFrame:
-    """A job's log with running counts by outcome (done, failed, skipped), the mean time so far and what is left at that pace."""
-    so_far = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counts = {c: F.count_if(F.col(outcome) == c).over(so_far) for c in ("done", "failed", "skipped")}
-    mean, seen = F.avg(ms).over(so_far), F.count("*").over(so_far)
-    left = F.count("*").over(Window.partitionBy(job)) - seen
-    return log.withColumns({**counts, "ms_mean": mean, "ms_left": mean * left})
+    """A job's log with running counts by outcome (done, failed, skipped), the mean time so far and what is left at that pace.
+
+    One job may be the whole log: see ``prefix_scan``. Null times are in no mean, which is
+    null until the first time; null jobs are one job.
+    """
+    counts = {c: F.when(F.col(outcome) == c, 1).otherwise(0).cast("long") for c in ("done", "failed", "skipped")}
+    total, times, seen, all_ = (fresh(log, c) for c in ("ms_sum", "ms_count", "seen", "rows"))
+    timed = {total: F.col(ms), times: F.col(ms).isNotNull().cast("long")}
+    out = prefix_scan(log, [job], list(order), Running(sums=counts | timed, number=seen, totals={all_: F.lit(1).cast("long")}))
+    mean = F.when(F.col(times) > 0, F.col(total).cast("double") / F.col(times))
+    return out.withColumns({"ms_mean": mean, "ms_left": mean * (F.col(all_) - F.col(seen))}).drop(total, times, seen, all_)

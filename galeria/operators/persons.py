@@ -237,31 +237,3 @@ def matched_queries(queries: DataFrame, persons: DataFrame) -> DataFrame:
     met = named.join(F.broadcast(asked), F.lower("query").contains(F.lower("name")), "right")
     names = met.groupBy("query").agg(F.collect_list("name").alias("names"))
     return names.select("query", _match("query", "names").alias("m")).select("query", "m.names", "m.rest")
-
-
-def replay(faces: DataFrame, actions: DataFrame, most_merges: int = 100_000) -> DataFrame:
-    """``id, person_id, confirmed`` after a log of actions (``seq, kind, face_id, person_id, other_id``).
-
-    confirm assigns and confirms, reject takes a face from that person, assign moves it, and
-    merge moves all faces of ``other_id`` to ``person_id``. Merges go along with every face,
-    so more than ``most_merges`` raise an error; a face's own actions are gathered by face.
-    """
-    if (n := actions.where("kind = 'merge'").count()) > most_merges:
-        raise ValueError(f"{n} merges are more than {most_merges}")
-    own = actions.where("kind <> 'merge'").groupBy(F.col("face_id").alias("id"))
-    step_kind = F.struct("seq", "kind", "person_id", "other_id")
-    own = own.agg(F.collect_list(step_kind).alias("own"))
-    merges = F.broadcast(actions.where("kind = 'merge'").agg(F.collect_list(step_kind).alias("merges")).withColumn("k", F.lit(0)))
-    rows = faces.select("id", "person_id", "confirmed").join(own, "id", "left").withColumn("k", F.lit(0)).join(merges, "k")
-    log = F.array_sort(F.concat(F.coalesce("own", F.slice("merges", 1, 0)), "merges"))
-
-    def step(s: Column, a: Column) -> Column:
-        rejected = (a["kind"] == "reject") & s["p"].eqNullSafe(a["person_id"])
-        merged = (a["kind"] == "merge") & s["p"].eqNullSafe(a["other_id"])
-        takes = a["kind"].isin("confirm", "assign") | merged
-        p = F.when(takes, a["person_id"]).when(~rejected, s["p"])
-        c = F.when(a["kind"] == "confirm", True).when((a["kind"] == "assign") | rejected, False).otherwise(s["c"])
-        return F.struct(p.alias("p"), c.alias("c"))
-
-    end = F.aggregate(log, F.struct(F.col("person_id").cast("long").alias("p"), F.col("confirmed").alias("c")), step)
-    return rows.select("id", end.alias("e")).select("id", F.col("e.p").alias("person_id"), F.col("e.c").alias("confirmed"))

@@ -9,6 +9,7 @@ from galeria.functions import kernels as K
 from galeria.functions import scalars as S
 from galeria.operators import catalog as C
 from galeria.operators import maintain as M
+from galeria.operators import merges as G
 from galeria.operators import persons as P
 from galeria.operators import search as V
 from galeria.plans.catalog_queries import query
@@ -306,7 +307,62 @@ def replay_actions(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce("person_id", F.lit(1)).cast("long").alias("person_id"), F.lit(None).cast("long").alias("other_id"),
     )
     merges = spark.createDataFrame([(100, "merge", None, 0, 1), (250, "merge", None, 2, 0)], log.schema)
-    return P.replay(f, log.unionByName(merges))
+    return G.replay(f, log.unionByName(merges))
+
+
+_LOG = """l AS (SELECT id AS seq, CASE id % 5 WHEN 0 THEN 'confirm' WHEN 1 THEN 'assign' WHEN 2 THEN 'merge' WHEN 3 THEN 'unreject' ELSE 'reject' END AS kind, CAST(id * 7 % 100 AS BIGINT) AS face,
+  CAST(CASE WHEN id % 5 = 4 THEN coalesce(person_id, 1) ELSE id * 3 % 10 END AS BIGINT) AS person, CAST(CASE WHEN id % 5 = 2 THEN id % 10 + id // 7 % 3 END AS BIGINT) AS other FROM faces),
+ o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS at FROM l), m AS (SELECT * FROM o WHERE kind = 'merge' AND person <> other)"""
+
+
+def action_log(faces: DataFrame) -> DataFrame:
+    """A log that grows with the faces: every face is a confirmation, move, merge, rejection or its undoing."""
+    i = F.col("id")
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("confirm", "assign", "merge", "unreject", "reject"))), (i % 5 + 1).cast("int"))
+    person = F.when(i % 5 == 4, F.coalesce("person_id", F.lit(1))).otherwise(i * 3 % 10)
+    other = F.when(i % 5 == 2, i % 10 + F.floor(i / 7) % 3)
+    return faces.select(i.alias("seq"), kind.alias("kind"), (i * 7 % 100).alias("face_id"), person.cast("long").alias("person_id"), other.cast("long").alias("other_id"))
+
+
+_REPLAYED = f"""{_LOG}, r AS (SELECT CAST(-1 AS BIGINT) AS at, id, CAST(person_id AS BIGINT) AS p, confirmed AS c FROM faces UNION ALL
+  SELECT o.at, id, CASE WHEN kind = 'merge' THEN CASE WHEN p = other THEN person ELSE p END WHEN face <> id OR kind = 'unreject' THEN p WHEN kind IN ('confirm', 'assign') THEN person WHEN p = person THEN NULL ELSE p END,
+   CASE WHEN kind IN ('merge', 'unreject') OR face <> id THEN c WHEN kind IN ('confirm', 'assign') THEN kind = 'confirm' WHEN p = person THEN false ELSE c END FROM r JOIN o ON o.at = r.at + 1),
+ after AS (SELECT id, p AS person_id, c AS confirmed FROM r WHERE at = (SELECT max(at) FROM o))"""
+
+
+@query(f"WITH RECURSIVE faces AS ({T.SQL['faces']}), {_REPLAYED} SELECT * FROM after", "")
+def replay_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Faces after a log of as many actions as there are faces, a fifth of them merges."""
+    f = T.faces(spark, d)
+    return G.replay(f, action_log(f))
+
+
+@query(f"""WITH RECURSIVE faces AS ({T.SQL['faces']}), persons AS ({T.SQL['persons']}), rejections AS ({T.SQL['rejections']}), {_LOG},
+ s AS (SELECT face_id, CAST(person_id AS BIGINT) AS person, CAST(-1 AS BIGINT) AS since FROM rejections UNION SELECT face, person, at FROM o WHERE kind = 'reject'),
+ t AS (SELECT DISTINCT person, since FROM s),
+ c AS (SELECT person, since, person AS there, since AS came FROM t UNION ALL
+  SELECT c.person, c.since, m.person, m.at FROM c JOIN m ON m.other = c.there AND m.at > c.came AND NOT EXISTS (SELECT 1 FROM m AS e WHERE e.other = c.there AND e.at > c.came AND e.at < m.at)),
+ p AS (SELECT *, lead(came) OVER (PARTITION BY person, since ORDER BY came) AS left_ FROM c),
+ gone AS (SELECT DISTINCT s.face_id, s.person, s.since FROM s JOIN o ON o.face = s.face_id AND o.kind = 'unreject' AND o.at > s.since JOIN p ON p.person = s.person AND p.since = s.since
+  WHERE p.there = o.person AND p.came < o.at AND (p.left_ IS NULL OR p.left_ >= o.at))
+ SELECT DISTINCT s.face_id, p.there AS person_id FROM s JOIN p ON p.person = s.person AND p.since = s.since AND p.left_ IS NULL
+ WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.face_id = s.face_id AND g.person = s.person AND g.since = s.since)""", "")
+def replay_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Rejections after the same log: merges carry them along, a pair that both persons reject stays once."""
+    return G.replay_rejections(T.rejections(spark, d), action_log(T.faces(spark, d)))
+
+
+@query(f"""WITH RECURSIVE faces AS ({T.SQL['faces']}), persons AS ({T.SQL['persons']}), {_REPLAYED},
+ n AS (SELECT f.id, a.person_id, a.confirmed, f.score, f.l, f.r FROM faces f JOIN after a ON a.id = f.id),
+ b AS (SELECT person_id, first(id ORDER BY confirmed::INT::DOUBLE + score + (r - l) DESC, id) AS best, count(*) AS n FROM n WHERE person_id IS NOT NULL GROUP BY 1)
+ SELECT p.id, name, coalesce(b.n, 0) AS n, CASE WHEN b.n IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM n f WHERE f.id = p.id * 10 AND f.person_id = p.id) THEN CAST(p.id * 10 AS BIGINT) ELSE best END END AS cover_face_id
+ FROM persons p LEFT JOIN b ON b.person_id = p.id WHERE b.n IS NOT NULL OR name IS NOT NULL""", "")
+def replay_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """People after the log, with fresh counts and covers; those left without faces and name go."""
+    f = T.faces(spark, d)
+    moved = f.drop("person_id", "confirmed").join(G.replay(f, action_log(f)), "id")
+    p = T.persons(spark, d).select("id", "name", (F.col("id") * 10).cast("long").alias("cover_face_id"))
+    return P.refreshed(p, moved)
 
 
 @query("SELECT id, name FROM persons p WHERE NOT (name IS NULL AND id NOT IN (SELECT DISTINCT person_id FROM faces WHERE confirmed AND person_id IS NOT NULL))", "faces", "persons")

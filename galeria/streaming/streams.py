@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeria.operators.maintain import upsert
 from galeria.operators.persons import Leaders
+from galeria.operators.running import Running, prefix_scan
+from galeria.plans.shared import fresh
+from galeria.streaming.inorder import after_first_stream, changes_stream, latest_values_stream, switched_stream
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -30,23 +33,28 @@ def debounced(events: DataFrame, key: str, gap: str, late: str = "0 seconds") ->
 
 
 def latest_values(events: DataFrame, key: str, kinds: list[str]) -> DataFrame:
-    """Every event with the latest value of each kind so far, null before the first (a table operator)."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    latest = [F.last(F.when(F.col("event_type") == k, F.col("value")), ignorenulls=True).over(w).alias(f"latest_{k}") for k in kinds]
-    return events.select("event_id", key, *latest)
+    """Every event with the latest value of each kind so far, null before the first; on a table by ``prefix_scan``, on a stream with state by key."""
+    if events.isStreaming:
+        return latest_values_stream(events, key, kinds)
+    latest = {f"latest_{k}": F.when(F.col("event_type") == k, F.col("value")) for k in kinds}
+    return prefix_scan(events, [key], ["ts", "event_id"], Running(lasts=latest)).select("event_id", key, *latest)
 
 
 def changes(events: DataFrame, key: str, value: str) -> DataFrame:
-    """Events whose value is not that of the key's event before (a table operator)."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    first = F.row_number().over(w) == 1
-    return events.withColumn("_new", first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_new").drop("_new")
+    """Events whose value is not that of the key's event before; a first event is one, nulls are values."""
+    if events.isStreaming:
+        return changes_stream(events, key, value)
+    before, number = fresh(events, "before"), fresh(events, "number")
+    rows = prefix_scan(events, [key], ["ts", "event_id"], Running(before={before: F.col(value)}, number=number))
+    return rows.where((F.col(number) == 1) | ~F.col(value).eqNullSafe(F.col(before))).drop(before, number)
 
 
 def after_first(events: DataFrame, key: str) -> DataFrame:
-    """All but each key's first event (a table operator)."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    return events.withColumn("_rank", rank).where("_rank > 1").drop("_rank")
+    """All but each key's first event."""
+    if events.isStreaming:
+        return after_first_stream(events, key)
+    number = fresh(events, "number")
+    return prefix_scan(events, [key], ["ts", "event_id"], Running(number=number)).where(F.col(number) > 1).drop(number)
 
 
 def live_counts(events: DataFrame) -> DataFrame:
@@ -75,11 +83,24 @@ def cluster_stream(faces: DataFrame, threshold: float) -> DataFrame:
 
 
 def switch_latest(keys: DataFrame, events: DataFrame) -> DataFrame:
-    """Events of the newest key only (``keys``: ``ts, key``), the older ones' are dropped (a table operator)."""
+    """Events of the newest key only (``keys``: ``ts, key``), the older ones' are dropped (a table operator; see ``switched`` for streams)."""
     newest = keys.agg(F.max_by("key", "ts").alias("key"))
     return events.join(F.broadcast(newest), "key")
 
 
+def switched(events: DataFrame, scope: str, key: str, selects: Column) -> DataFrame:
+    """Events of the key that their scope has selected last: rows where ``selects`` holds select their key, the others pass while theirs is the selected one.
+
+    Before the first selection nothing passes; a null key is never selected.
+    """
+    if events.isStreaming:
+        return switched_stream(events, scope, key, selects)
+    now, own = fresh(events, "selected"), fresh(events, "selects")
+    rows = events.withColumn(own, F.coalesce(selects, F.lit(False)))
+    rows = prefix_scan(rows, [scope], ["ts", "event_id"], Running(lasts={now: F.when(F.col(own), F.col(key))}))
+    return rows.where(~F.col(own) & (F.col(now) == F.col(key))).drop(now, own)
+
+
 def upsert_batches(stream: DataFrame, path: str, keys: list[str]):
     """A writer that upserts every micro-batch into the snapshot under ``path``, once a batch.
 

@@ -16,6 +16,7 @@ from galeria.functions import kernels as K
 from galeria.functions import scalars as S
 from galeria.operators import catalog as C
 from galeria.operators import maintain as M
+from galeria.operators import merges as G
 from galeria.operators import persons as P
 from galeria.operators import search as V
 from galeria.plans import event_queries as EQ
@@ -216,7 +217,7 @@ def test_replay(spark):
     faces = spark.createDataFrame([(1, 7, False), (2, 8, False), (3, None, False), (4, 9, True)], "id long, person_id long, confirmed boolean")
     log = [(1, "confirm", 1, 8, None), (2, "merge", None, 5, 8), (3, "reject", 2, 5, None), (4, "assign", 3, 9, None), (5, "reject", 4, 1, None)]
     log = spark.createDataFrame(log, "seq long, kind string, face_id long, person_id long, other_id long")
-    assert {tuple(r) for r in P.replay(faces, log).collect()} == {(1, 5, True), (2, None, False), (3, 9, False), (4, 9, True)}
+    assert {tuple(r) for r in G.replay(faces, log).collect()} == {(1, 5, True), (2, None, False), (3, 9, False), (4, 9, True)}
 
 
 def test_regrouping(spark):
