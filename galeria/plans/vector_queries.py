@@ -312,7 +312,7 @@ def replay_actions(spark: SparkSession, d: str) -> DataFrame:
 
 _LOG = """l AS (SELECT id AS seq, CASE id % 5 WHEN 0 THEN 'confirm' WHEN 1 THEN 'assign' WHEN 2 THEN 'merge' WHEN 3 THEN 'unreject' ELSE 'reject' END AS kind, CAST(id * 7 % 100 AS BIGINT) AS face,
   CAST(CASE WHEN id % 5 = 4 THEN coalesce(person_id, 1) ELSE id * 3 % 10 END AS BIGINT) AS person, CAST(CASE WHEN id % 5 = 2 THEN id % 10 + id // 7 % 3 END AS BIGINT) AS other FROM faces),
- o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS at FROM l), m AS (SELECT * FROM o WHERE kind = 'merge' AND person <> other)"""
+ o AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS nr FROM l), m AS (SELECT * FROM o WHERE kind = 'merge' AND person <> other)"""
 
 
 def action_log(faces: DataFrame) -> DataFrame:
@@ -324,10 +324,10 @@ def action_log(faces: DataFrame) -> DataFrame:
     return faces.select(i.alias("seq"), kind.alias("kind"), (i * 7 % 100).alias("face_id"), person.cast("long").alias("person_id"), other.cast("long").alias("other_id"))
 
 
-_REPLAYED = f"""{_LOG}, r AS (SELECT CAST(-1 AS BIGINT) AS at, id, CAST(person_id AS BIGINT) AS p, confirmed AS c FROM faces UNION ALL
-  SELECT o.at, id, CASE WHEN kind = 'merge' THEN CASE WHEN p = other THEN person ELSE p END WHEN face <> id OR kind = 'unreject' THEN p WHEN kind IN ('confirm', 'assign') THEN person WHEN p = person THEN NULL ELSE p END,
-   CASE WHEN kind IN ('merge', 'unreject') OR face <> id THEN c WHEN kind IN ('confirm', 'assign') THEN kind = 'confirm' WHEN p = person THEN false ELSE c END FROM r JOIN o ON o.at = r.at + 1),
- after AS (SELECT id, p AS person_id, c AS confirmed FROM r WHERE at = (SELECT max(at) FROM o))"""
+_REPLAYED = f"""{_LOG}, r AS (SELECT CAST(-1 AS BIGINT) AS nr, id, CAST(person_id AS BIGINT) AS p, confirmed AS c FROM faces UNION ALL
+  SELECT o.nr, id, CASE WHEN kind = 'merge' THEN CASE WHEN p = other THEN person ELSE p END WHEN face <> id OR kind = 'unreject' THEN p WHEN kind IN ('confirm', 'assign') THEN person WHEN p = person THEN NULL ELSE p END,
+   CASE WHEN kind IN ('merge', 'unreject') OR face <> id THEN c WHEN kind IN ('confirm', 'assign') THEN kind = 'confirm' WHEN p = person THEN false ELSE c END FROM r JOIN o ON o.nr = r.nr + 1),
+ after AS (SELECT id, p AS person_id, c AS confirmed FROM r WHERE nr = (SELECT max(nr) FROM o))"""
 
 
 @query(f"WITH RECURSIVE faces AS ({T.SQL['faces']}), {_REPLAYED} SELECT * FROM after", "")
@@ -338,13 +338,13 @@ def replay_merges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE faces AS ({T.SQL['faces']}), persons AS ({T.SQL['persons']}), rejections AS ({T.SQL['rejections']}), {_LOG},
- s AS (SELECT face_id, CAST(person_id AS BIGINT) AS person, CAST(-1 AS BIGINT) AS since FROM rejections UNION SELECT face, person, at FROM o WHERE kind = 'reject'),
+ s AS (SELECT face_id, CAST(person_id AS BIGINT) AS person, CAST(-1 AS BIGINT) AS since FROM rejections UNION SELECT face, person, nr FROM o WHERE kind = 'reject'),
  t AS (SELECT DISTINCT person, since FROM s),
  c AS (SELECT person, since, person AS there, since AS came FROM t UNION ALL
-  SELECT c.person, c.since, m.person, m.at FROM c JOIN m ON m.other = c.there AND m.at > c.came AND NOT EXISTS (SELECT 1 FROM m AS e WHERE e.other = c.there AND e.at > c.came AND e.at < m.at)),
+  SELECT c.person, c.since, m.person, m.nr FROM c JOIN m ON m.other = c.there AND m.nr > c.came AND NOT EXISTS (SELECT 1 FROM m AS e WHERE e.other = c.there AND e.nr > c.came AND e.nr < m.nr)),
  p AS (SELECT *, lead(came) OVER (PARTITION BY person, since ORDER BY came) AS left_ FROM c),
- gone AS (SELECT DISTINCT s.face_id, s.person, s.since FROM s JOIN o ON o.face = s.face_id AND o.kind = 'unreject' AND o.at > s.since JOIN p ON p.person = s.person AND p.since = s.since
-  WHERE p.there = o.person AND p.came < o.at AND (p.left_ IS NULL OR p.left_ >= o.at))
+ gone AS (SELECT DISTINCT s.face_id, s.person, s.since FROM s JOIN o ON o.face = s.face_id AND o.kind = 'unreject' AND o.nr > s.since JOIN p ON p.person = s.person AND p.since = s.since
+  WHERE p.there = o.person AND p.came < o.nr AND (p.left_ IS NULL OR p.left_ >= o.nr))
  SELECT DISTINCT s.face_id, p.there AS person_id FROM s JOIN p ON p.person = s.person AND p.since = s.since AND p.left_ IS NULL
  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.face_id = s.face_id AND g.person = s.person AND g.since = s.since)""", "")
 def replay_rejections(spark: SparkSession, d: str) -> DataFrame:
