@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-#: Paths of the tables and checkpoints that stand in the shared folder, in the order of their making.
-_MADE: list[str] = []
+#: The lists of paths that the open ``scratch`` blocks of this thread (or other context) have made, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def _made(spark: SparkSession, path: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    _MADE.append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 
@@ -70,18 +72,24 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        if path in _MADE:
-            _MADE.remove(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[set[str]]:
-    """Delete all that is written inside to the shared folder at the end, but the paths put into the set that it gives."""
-    before, keep = set(_MADE), set()
+    """Delete all that this thread wrote inside to the shared folder at the end, but the paths put into the set that it gives.
+
+    What is kept belongs to the block around it, if there is one. Other threads have blocks
+    of their own.
+    """
+    mine, keep = [], set()
+    token = _OPEN.set((*_OPEN.get(), mine))
     try:
         yield keep
     finally:
-        discard(spark, *(p for p in list(_MADE) if p not in before and p not in keep))
+        _OPEN.reset(token)
+        discard(spark, *(p for p in mine if p not in keep))
+        if _OPEN.get():
+            _OPEN.get()[-1].extend(p for p in mine if p in keep)
 
 
 def fresh(df: DataFrame, stem: str) -> str:

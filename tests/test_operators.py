@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
 
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from galeria.functions import kernels as K
@@ -157,6 +159,34 @@ def test_scratch_clears_what_was_written(spark):
     assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
 
 
+def test_scratch_is_of_its_thread(spark):
+    started, written, read = threading.Event(), threading.Event(), []
+
+    def other():
+        with scratch(spark):
+            held, path = stored(spark.range(7), "other")
+            started.set()
+            written.wait(60)
+            read.append((held.count(), path))
+
+    def exists(path):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    thread = InheritableThread(target=other)
+    with scratch(spark):
+        thread.start()
+        assert started.wait(60)
+        mine, path = stored(spark.range(5), "mine")
+        with scratch(spark) as keep:  # what an inner block keeps is the outer one's
+            inner = stored(spark.range(3), "inner")[1]
+            keep.add(inner)
+        assert exists(inner) and mine.count() == 5
+    written.set()
+    thread.join(120)
+    assert read[0][0] == 7 and not exists(path) and not exists(inner) and not exists(read[0][1])
+
+
 def test_near_pairs_at_the_window(spark):
     v = [1.0, 0.0]
     items = spark.createDataFrame([(1, 0, v), (2, 0, v), (3, 100, v), (4, 201, v), (5, 301, [0.0, 1.0])], "id long, ts_ms long, vector array<double>")
