@@ -40,7 +40,7 @@ def sample(pattern, r):
                 out.append(run(r.choice(arg[1])))
             elif op == "SUBPATTERN":
                 out.append(run(arg[-1]))
-            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
                 low, high, inner = arg
                 out += [run(inner) for _ in range(r.randint(low, min(int(high), low + 2)))]
             elif op != "ASSERT":
@@ -110,3 +110,44 @@ def test_many_matches_in_one_text(spark, n):
     out, (_, found) = licenses.scan(docs)
     rows = {x["doc_id"]: x["k"] for x in out.select("doc_id", F.size(found).alias("k")).collect()}
     assert rows == {1: n, 2: 0} and time.perf_counter() - began < 60
+
+
+def test_long_runs_of_numbers_in_every_rule(spark):
+    """Numbers after a name, as a table has them: no rule may recurse over them."""
+    r = random.Random(7)
+    rules = [x for x in licenses.rules() if licenses.VERSION in x["pattern"]]
+    assert len(rules) > 200
+    bare = [sample(x["pattern"][9:-6].replace(licenses.VERSION, " version 1"), r) for x in rules]
+    rows = [(x["id"], f"{text}{' 1' * 100_000} end") for x, text in zip(rules, bare, strict=True) if text.endswith(" 1")]
+    assert len(rows) > 200
+    docs = spark.createDataFrame([(i, t[: t.index(" 1 1")]) for i, t in rows], "rule int, text string").repartition(16)
+    docs = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" 1"), 100_000), F.lit(" end")))
+    out, (_, found) = licenses.scan(docs)
+    got = {x["rule"]: x["end"] for x in out.select("rule", F.array_max(f"{found}.end").alias("end")).collect()}
+    assert len(got) == len(rows) and all(end is not None and end > 100_000 for end in got.values())
+
+
+def test_repeats_of_groups_are_bounded_or_possessive():
+    for rule in licenses.rules():
+        assert not re.search(r"\)[*+](?!\+)", rule["pattern"]), rule["pattern"]
+
+
+def test_numbers_stop_before_a_word(spark):
+    docs = spark.createDataFrame([(1, "mit license version 2 0x"), (2, "mit license version 2 0 or later.")], "doc_id long, text string")
+    out, (_, found) = licenses.scan(docs)
+    assert {x["doc_id"]: x[found][0]["end"] for x in out.collect()} == {1: 4, 2: 7}
+
+
+NOT_LICENSES = [
+    "The weather data provided by Elastic covers ten years.", "Slides published by Boost last week.", "These examples are distributed by Ruby and Tom.",
+    "The function is provided by PHP itself.", "The figures released by ISC show growth.", "A study published by MIT 2020.", "Headers provided by Apache 2 servers, offered by X11 and w3c.",
+]
+
+
+def test_names_of_others_are_no_licenses(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(NOT_LICENSES)], "doc_id long, text string")
+    out, (_, found) = licenses.scan(docs)
+    assert {x["doc_id"]: [d["label"] for d in x[found]] for x in out.collect()} == {i: [] for i in range(len(NOT_LICENSES))}
+    kept = ["covered by the GPL version 2", "published under Boost", "provided by the PHP License", "distributed under MIT", "governed by the MPL 2.0"]
+    out, (_, found) = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(kept)], "doc_id long, text string"))
+    assert [[d["label"] for d in x[found]] for x in out.orderBy("doc_id").collect()] == [["gpl"], ["bsl"], ["php"], ["mit"], ["mpl"]]
