@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galeria.plans.shared import checkpoint, components, discard, fresh, path_of, scratch, shared_dir, stored
 
-__all__ = ["ascii_lower", "checkpoint", "components", "discard", "fresh", "path_of", "running", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["ascii_lower", "checkpoint", "components", "discard", "fresh", "lowest", "path_of", "running", "scratch", "shared_dir", "stored", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,6 +22,23 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def lowest(rows: DataFrame, h: str, most: int, about: int, *values: Column) -> DataFrame:
+    """``h`` and ``values`` of the groups with the ``most`` smallest hashes ``h``: a bounded sample of the distinct hashes.
+
+    A cut keeps larger hashes out of the shuffle. It starts from ``about`` rows as if all
+    were distinct, and is widened by what it finds until it holds enough, so a hash that
+    very many rows share changes nothing of what is taken.
+    """
+    share = 1.25 * most / max(1, about)
+    while True:
+        low = rows if share >= 1 else rows.where(F.col(h) <= int(-(2**63) + share * 2**64))
+        first = low.groupBy(h).count().orderBy(h).limit(most).agg(F.count("*").alias("n"), F.max(h).alias("last")).first()
+        if share >= 1 or first["n"] == most:
+            break
+        share = max(4 * share, 1.25 * most * share / max(1, first["n"]))
+    return low.where(F.col(h) <= (first["last"] if first["n"] else 0)).groupBy(h).agg(*values)
+
+
 def running(values: Column, op, zero: int = 0, block: int = 64) -> Column:
     """For each element of an int array, ``op`` over those before it.
 

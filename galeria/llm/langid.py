@@ -140,21 +140,25 @@ def _sample(per_text: int):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 400, most_rows: int = 25_600, per_text: int = 8) -> Network:
     """A network of all languages, from at most ``per_lang`` rows each; fewer where that makes over ``most_rows``, one at least.
 
-    Rows are chosen by a hash of their key, and ``per_text`` windows spread over each whole
-    text; only these windows come to the driver. Rows without a language are not learned;
-    null texts and those without a letter give no windows; equal windows of a language and
-    key count once; an empty table gives a network without languages.
+    Rows are chosen by a hash of their key and text, so rows that repeat a key neither
+    crowd a language out nor add to its number, and ``per_text`` windows spread over each
+    whole text; only these windows come to the driver. Rows without a language are not
+    learned; null texts and those without a letter give no windows and are not chosen;
+    equal rows count once; an empty table gives a network without languages.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL").withColumn("k", F.xxhash64("doc_id"))
-    langs = rows.groupBy("lang").count()
-    per_lang = max(1, min(per_lang, most_rows // max(1, rows.select("lang").distinct().count())))
+    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64("key", "text").alias("k"), "text")
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct("k", 0.02).alias("n"))
+    many = langs.count()
+    per_lang = max(1, min(per_lang, most_rows // max(1, many)))
+    bounded = F.broadcast if many <= most_rows else (lambda df: df)  # at most ``most_rows`` languages, and as many rows, go to every task
     # before the window only rows of so low a hash that over twice as many as asked are left of each language, 34 at least
-    low = F.col("k") / F.lit(2.0**63) <= F.least(F.lit(1.0), 4.0 * (per_lang + 16) / F.col("count") - 1.0)
-    likely = rows.join(F.broadcast(langs), "lang").where(low).select("doc_id", "lang", "k").distinct()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
-    chosen = likely.withColumn("r", first).where(F.col("r") <= per_lang)
-    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(F.broadcast(chosen.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", "text")
+    low = F.col("k") / F.lit(2.0**63) <= F.least(F.lit(1.0), 4.0 * (per_lang + 16) / F.col("n") - 1.0)
+    likely = rows.select("lang", "k").join(bounded(langs), "lang").where(low).select("lang", "k").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    chosen = likely.withColumn("r", first).where(F.col("r") <= per_lang).select("lang", "k")
+    texts = rows.join(bounded(chosen), ["lang", "k"]).select("lang", "k", "text")
     got = texts.mapInArrow(_sample(per_text), "lang string, k long, w binary").distinct().orderBy("lang", "k", "w").collect()
     names = sorted({r["lang"] for r in got})
     number = {n: i for i, n in enumerate(names)}

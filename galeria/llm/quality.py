@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeria.llm.common import fresh, table
+from galeria.llm.common import fresh, lowest, table
 
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -218,22 +218,20 @@ def fit(docs: DataFrame, text: str = "text", max_rows: int = 8000, bits: int = 1
     """The scorer, the labellers' estimated rates and the share of good documents.
 
     Vote patterns, at most 3 to the number of labellers, are counted over all documents. The
-    scorer learns from at most ``max_rows`` documents with words, those with the smallest
-    hash of their text: a bounded sample, whatever the size of the table. Texts without words
-    count as votes of nobody; equal texts are learned once; an empty table gives a scorer
-    that knows nothing.
+    scorer learns from at most ``max_rows`` different texts with words, those with the
+    smallest hashes: a bounded sample, whatever the size of the table and however often a
+    text is repeated. Texts without words count as votes of nobody; equal texts are learned
+    once; a table without any text with words gives a scorer that has learned nothing, and
+    nothing but texts without words, which score 0, can meet it there.
     """
     texts = docs.select(F.col(f"`{text}`").alias("t"))
     counts = texts.mapInArrow(_votes, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     counts = {r["votes"]: r["n"] for r in counts}
     rates, good, posterior = estimate(counts)
-    total = sum(counts.values())
-    share = min(1.0, 1.25 * max_rows / max(1, total))
-    h = F.xxhash64("t", F.lit(3))
-    low = texts.withColumn("h", h).where((F.col("h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))) & F.col("t").isNotNull())
-    rows = low.select("h", "t").mapInArrow(_examples(bits), "h long, votes string, i array<int>, x array<double>")
-    rows = sorted(rows.dropDuplicates(["h"]).orderBy("h").limit(max_rows).collect(), key=lambda r: r["h"])
-    rows = [r for r in rows if r["i"]]
+    wordy = texts.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("t", F.lit(3)))
+    some = lowest(wordy, "h", max_rows, sum(counts.values()), F.first("t").alias("t"))
+    rows = some.mapInArrow(_examples(bits), "h long, votes string, i array<int>, x array<double>")
+    rows = sorted(rows.collect(), key=lambda r: r["h"])
     labels = np.array([posterior.get(r["votes"], 0.5) for r in rows])
     return Scorer.fit([dict(zip(r["i"], r["x"], strict=True)) for r in rows], labels, bits), rates, good
 

@@ -113,3 +113,46 @@ def test_odd_rows_and_empty_tables_through_the_pipeline(spark, tmp_path):
     assert not any("seven eight" in r["text"] for r in rows)
     deduped = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, docs, f"{tmp_path}/odd").collect()
     assert sorted(str(r["doc_id"]) for r in deduped) == sorted(["1", "2", "3", "4", "None", "6", "7", "7"])
+
+
+def test_a_key_of_many_rows_keeps_every_language(spark):
+    """20,000 rows under one key: the sample neither loses a language nor grows beyond its bound."""
+    r = F.pmod(F.xxhash64("id"), F.lit(26)).cast("int")
+    word = lambda a: F.concat(*(F.char(F.lit(a) + (r + i) % 5) for i in range(6)), F.lit(" "))
+    many = lambda key: spark.range(20_000).select(F.lit(key).cast("long").alias("doc_id"), F.lit("aa").alias("lang"), F.concat(F.repeat(word(97), 40), F.col("id").cast("string")).alias("text"))
+    few = spark.range(300).select((F.col("id") + 1000).alias("doc_id"), F.lit("zz").alias("lang"), F.repeat(word(117), 40).alias("text"))
+    held = []
+    fit = langid.Network.fit
+    try:
+        langid.Network.fit = staticmethod(lambda x, y, langs, **o: held.append((len(x), langs)) or fit(x, y, langs, epochs=1))
+        for key in (7, 115):
+            langid.train(many(key).union(few), per_lang=400, per_text=8)
+    finally:
+        langid.Network.fit = fit
+    for windows, langs in held:
+        assert langs == ["aa", "zz"] and 400 < windows <= 2 * 400 * 8
+
+
+def test_few_texts_in_many_rows_are_all_learned(spark, monkeypatch):
+    texts = [f"{'This is a plain sentence with several words in it. ' * (i % 7 + 1)} {i}" if i % 2 else f"BUY NOW!!! $$$ {i} " * 20 for i in range(40)]
+    learned = []
+    fit = quality.Scorer.fit
+    monkeypatch.setattr(quality.Scorer, "fit", staticmethod(lambda rows, labels, bits: learned.append(len(rows)) or fit(rows, labels, bits)))
+    for rows, n in ((400_000, 40), (60_000, 6)):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "k int, text string")
+        docs = spark.range(rows).select((F.col("id") % n).cast("int").alias("k")).join(F.broadcast(docs), "k").select("text")
+        scorer, _, _ = quality.fit(docs)
+        assert learned[-1] == n
+    out, score = quality.scored(spark.createDataFrame([(t,) for t in texts], "text string"), scorer)
+    by = {r["text"]: r[score] for r in out.collect()}
+    assert all((by[t] > 0.5) == bool(i % 2) for i, t in enumerate(texts))
+
+
+def test_a_bounded_sample_takes_the_lowest_hashes(spark):
+    from galeria.llm.common import lowest
+
+    df = spark.range(5000).select(F.xxhash64(F.col("id") % 700).alias("h"), "id")
+    want = sorted(r[0] for r in df.select("h").distinct().collect())
+    for most, about in ((50, 5000), (700, 5000), (900, 5000), (10, 10**9), (50, 1)):
+        assert sorted(r["h"] for r in lowest(df, "h", most, about, F.first("id")).collect()) == want[:most]
+    assert lowest(df.limit(0), "h", 10, 0, F.first("id")).count() == 0
