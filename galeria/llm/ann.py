@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galeria.llm.common import checkpoint, table
+from galeria.llm.common import checkpoint, lowest, stored, table
 from galeria.plans.numbering import lookup
 
 
@@ -128,7 +128,15 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between 0.5 and 1: exact, and no square leaves the range of doubles."""
+    _, e = np.frexp(np.abs(x).max(1, initial=0))
+    half = -e // 2  # in two steps: the power itself may leave the range
+    return np.ldexp(np.ldexp(x, half[:, None]), (-e - half)[:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -137,9 +145,9 @@ def _deal(choose, dim: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows, lists = choose(_unit(_matrix(part.column(1), dim)))
+                rows, lists = choose(_unit(_matrix(part.column(2), dim)))
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(part.column(i).take(take) for i in range(3))], ["list", "id", "row", "v"])
 
     return run
 
@@ -148,29 +156,33 @@ def _score(k: int, dim: int):
     def run(posted: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if posted.num_rows and asked.num_rows:
-            ids, x = posted["id"].to_numpy(), _matrix(posted["v"], dim)
+            ids, own, x = posted["id"].to_numpy(), posted["row"].to_numpy(), _scaled(_matrix(posted["v"], dim))
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], np.ascontiguousarray(x[order])
+            ids, own, x = ids[order], own[order], np.ascontiguousarray(x[order])
             norms = np.sqrt((x * x).sum(1))
-            qids, q = asked["id"].to_numpy(), _matrix(asked["v"], dim)
+            qids, qown, q = asked["id"].to_numpy(), asked["row"].to_numpy(), _scaled(_matrix(asked["v"], dim))
             qnorms = np.sqrt((q * q).sum(1))
             for a in range(0, len(q), 256):
                 rough = (q[a : a + 256] @ x.T) / norms / qnorms[a : a + 256, None]
-                rough[qids[a : a + 256, None] == ids] = -np.inf
-                for i, row in enumerate(rough, a):
-                    kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    near = np.flatnonzero((row >= kth - 1e-9) & (row > -np.inf))
+                rough[(qids[a : a + 256, None] == ids) & (qown[a : a + 256, None] == own)] = -np.inf
+                for i, near_to in enumerate(rough, a):
+                    kth = np.partition(near_to, -k)[-k] if len(near_to) > k else -np.inf
+                    near = np.flatnonzero((near_to >= kth - 1e-9) & (near_to > -np.inf))
                     exact = (x[near] * q[i]).sum(1) / (norms[near] * qnorms[i])  # one order of adding: equal vectors tie
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.extend((int(qids[i]), int(ids[near[b]]), float(exact[b])) for b in best)
-        columns = list(zip(*out, strict=True)) if out else ((), (), ())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+                    best = np.lexsort((own[near], ids[near], -exact))[:k]
+                    out.extend((int(qids[i]), int(qown[i]), int(ids[near[b]]), int(own[near[b]]), float(exact[b])) for b in best)
+        columns = list(zip(*out, strict=True)) if out else ((),) * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(FOUND, columns, kinds, strict=True)})
 
     return run
 
 
+FOUND = ("query_id", "query_row", "vec_id", "vec_row", "score")
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of vectors that take part: not null, not zero, finite, and of the most frequent length."""
+    """(id, v) of vectors that take part: not null, not zero, finite."""
     v = F.col(f"`{vector}`")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v"))
@@ -184,13 +196,15 @@ def neighbours(
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row of ``queries`` (a condition on ``id``).
 
     All usable rows are indexed, in as many lists as the root of their number unless
-    ``lists`` says otherwise. The centroids are fitted on ``sample`` rows or eight a list, at
-    most ``most_sample``, those with the smallest hash of their id; the lists are at most an
-    eighth of ``most_sample``, which the driver and each task hold. A query reads every list
-    within the ratio. Null, zero and non-finite vectors, and those of another length than
-    the most frequent one, take no part; rows that repeat an id count once, with their best
-    score, and are no neighbours of themselves; ties go to the smaller id. Other columns
-    are not read. An empty table gives no rows.
+    ``lists`` says otherwise. The centroids are fitted on ``sample`` different rows or eight
+    a list, at most ``most_sample``, those with the smallest hash of id and vector; the lists
+    are at most an eighth of ``most_sample``, which the driver and each task hold. A query
+    reads every list within the ratio. Null, zero and non-finite vectors, and those of
+    another length than the most frequent one, take no part; vectors are scaled by powers of
+    two first, so no finite component is too large or small for a score. Rows that repeat an
+    id are rows of their own: each is a query if its id is one, and a candidate for the
+    others; ties go to the smaller id. Other columns are not read. An empty table gives no
+    rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
@@ -200,15 +214,17 @@ def neighbours(
         return empty
     dim, n = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("v") == dim)
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.select("id", F.lit(0).cast("long").alias("row"), "v")
+    else:  # written with their numbers, which tell rows of one id apart
+        rows, _ = stored(rows.select("id", F.monotonically_increasing_id().alias("row"), "v"), "vectors")
     lists = lists or int(min(most_sample // 8, max(1, round(n**0.5))))
     sample = min(most_sample, max(sample, 8 * lists))
-    low = F.xxhash64("id") <= min(2**63 - 1, int(-(2**63) + min(1.0, 1.25 * sample / n) * 2**64))
-    got = rows.where(low).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()["v"]
-    x = _unit(_matrix(got, dim)) if len(got) else np.eye(1, dim)
-    index = Index.fit(x, lists)
+    got = lowest(rows.withColumn("h", F.xxhash64("id", "v")), "h", sample, n, F.first("v").alias("v")).orderBy("h").select("v").toArrow()["v"]
+    index = Index.fit(_unit(_matrix(got, dim)), lists)
     sent = spark.sparkContext.broadcast(index)  # at most most_sample / 8 centroids
 
-    schema = rows.select(F.lit(0).alias("list"), "id", "v").schema
+    schema = rows.select(F.lit(0).alias("list"), "id", "row", "v").schema
     posted = checkpoint(rows.mapInArrow(_deal(lambda u: sent.value.postings(u, border, replicas), dim), schema))
 
     def counted(df: DataFrame) -> np.ndarray:
@@ -218,14 +234,14 @@ def neighbours(
     sizes, least = counted(posted), 10 * k * replicas
     asked = checkpoint(rows.where(queries).mapInArrow(_deal(lambda u: sent.value.probes(u, ratio, beam, sizes, least), dim), schema))
     own, other = (lookup((-(-n // block)).tolist())[F.col("list")] for n in (sizes, counted(asked)))
-    salt = lambda count: F.pmod(F.xxhash64("id", F.lit(1)), count)
+    salt = lambda count: F.pmod(F.xxhash64("id", "row"), count)
     each = lambda count: F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)))
-    posted = posted.select("list", salt(own).alias("p"), each(other).alias("q"), "id", "v")
-    asked = asked.select("list", each(own).alias("p"), salt(other).alias("q"), "id", "v")
+    posted = posted.select("list", salt(own).alias("p"), each(other).alias("q"), "id", "row", "v")
+    asked = asked.select("list", each(own).alias("p"), salt(other).alias("q"), "id", "row", "v")
     met = posted.groupBy("list", "p", "q").cogroup(asked.groupBy("list", "p", "q"))
-    found = met.applyInArrow(_score(k, dim), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.applyInArrow(_score(k, dim), "query_id long, query_row long, vec_id long, vec_row long, score double")
+    found = found.groupBy(*FOUND[:4]).agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -92,6 +92,8 @@ def test_neighbours(spark):
     for r in got:
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert sorted(found) == list(range(0, 3000, 50))
+    twice = sorted(found.pop(50))  # two rows of one id: each asks, and finds the other first
+    assert [k for k, _, _ in twice] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and all(v == 50 and abs(score - 1) < 1e-12 for _, v, score in twice[:2])
     for q, near in found.items():
         s = u @ u[q]
         s[q] = -2
@@ -129,6 +131,34 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.neighbours(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_rows_of_one_id_find_each_other(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.neighbours(df, F.col("id") % 50 == 0, k=3).collect())
+    half = round(0.5**0.5, 6)
+    assert got == sorted([
+        (50, 1, 50, half), (50, 2, 50, half), (50, 3, 7, 0.0),
+        (50, 1, 50, 1.0), (50, 2, 7, half), (50, 3, 7, half), (50, 1, 50, 1.0), (50, 2, 7, half), (50, 3, 7, half),
+    ])
+
+
+def test_scores_of_extreme_values(spark):
+    rows = [(0, [1e-170, 1e-170]), (1, [1.0, 1.0]), (2, [1e200, 1e200]), (3, [5e-324, 0.0]), (4, [1.7e308, -1.7e308]), (5, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.neighbours(df, F.col("id") >= 0).collect()}
+    half = 0.5**0.5
+    want = {0: {1: 1, 2: 1, 3: half, 4: 0}, 3: {0: half, 1: half, 2: half, 4: half}}
+    for q, near in want.items():
+        assert all(abs(got[q, v] - s) < 1e-12 for v, s in near.items())
+    assert len(got) == 20 and all(np.isfinite(s) for s in got.values())
+
+
+def test_many_equal_vectors_leave_a_sample(spark):
+    df = spark.range(30_000).select(F.col("id").alias("vec_id"), F.array(*(F.when(F.col("id") % 1000 == 0, F.rand(i)).otherwise(1.0) for i in range(4))).alias("embedding"))
+    got = ann.neighbours(df, F.col("id") == 1, sample=20).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [2, 3, 4, 5, 6]
+
+
 def test_recall_of_whole_query(spark, small):
     got = {(r["query_id"], r["vec_id"]) for r in ann.op7_neighbours(spark, small).collect()}
     rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
