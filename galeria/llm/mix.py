@@ -38,14 +38,14 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     out, left, free = [0.0] * len(sizes), share * sum(sizes), [i for i, c in enumerate(caps) if c > 0]
     while free:
         level = left / sum(w[i] for i in free)
-        over = [i for i in free if w[i] * level >= caps[i]]
+        over = {i for i in free if w[i] * level >= caps[i]}
         if not over:
             for i in free:
                 out[i] = w[i] * level
             break
-        for i in over:
+        for i in sorted(over):
             out[i], left = float(caps[i]), left - caps[i]
-        free = [i for i in free if i not in set(over)]
+        free = [i for i in free if i not in over]
     return out
 
 
