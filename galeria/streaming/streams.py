@@ -8,11 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeria.operators.maintain import upsert
 from galeria.operators.persons import Leaders
 from galeria.operators.running import Running, prefix_scan
 from galeria.plans.shared import fresh
 from galeria.streaming.inorder import after_first_stream, changes_stream, latest_values_stream, switched_stream
+from galeria.streaming.snapshots import upsert_batches
+
+__all__ = [
+    "after_first", "changes", "cluster_stream", "debounced", "event_stream", "latest_values", "live_counts", "start_once", "switch_latest", "switched", "upsert_batches",
+]
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -101,21 +105,6 @@ def switched(events: DataFrame, scope: str, key: str, selects: Column) -> DataFr
     return rows.where(~F.col(own) & (F.col(now) == F.col(key))).drop(now, own)
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str]):
-    """A writer that upserts every micro-batch into the snapshot under ``path``, once a batch.
-
-    Batch n reads snapshot n and writes snapshot n + 1 whole, so a batch that runs again
-    gives the same snapshot; of rows that share their keys in a batch any one counts.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(keys)
-        old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number}") if number else new.limit(0)
-        upsert(old, new, keys).write.mode("overwrite").parquet(f"{path}/{number + 1}")
-
-    return stream.writeStream.foreachBatch(write)
-
-
 def start_once(spark: SparkSession, writer, name: str, replace: bool = False):
     """The running query of that name, or the writer started under it; ``replace`` stops a running one first."""
     for query in spark.streams.active:

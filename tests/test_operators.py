@@ -26,6 +26,7 @@ from galeria.plans.numbering import numbered
 from galeria.plans.shared import checkpoint, partitions, path_of, scratch, stored
 from galeria.sources import tables as T
 from galeria.streaming import streams as ST
+from galeria.streaming.snapshots import Snapshots
 
 
 @given(st.lists(st.floats(-0.25, 0.25, width=32), max_size=50))
@@ -356,7 +357,7 @@ def test_upserts_by_batch_and_one_query_a_name(spark, tmp_path):
     one = ST.start_once(spark, writer, "upserts")
     assert ST.start_once(spark, writer, "upserts").id == one.id
     drained(one)
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/3").collect()} == {(1, "z"), (2, "x"), (3, "y")}
+    assert {tuple(r) for r in Snapshots(spark, f"{tmp_path}/out", ["k"]).read().collect()} == {(1, "z"), (2, "x"), (3, "y")}
     two = ST.start_once(spark, stream.writeStream.format("memory"), "other")
     three = ST.start_once(spark, stream.writeStream.format("memory"), "other", replace=True)
     assert three.id != two.id and not two.isActive
