@@ -11,7 +11,7 @@ order of their smallest document. In every bucket each class is first linked to
 bucket's first class (a star, never all pairs) and verified. Buckets that still span
 several components are finished exactly: their classes outside the bucket's largest
 component meet, through a filter on rare shingles, positions and sizes, every class they
-could still be similar to. Joins by a key that many rows may share (bucket, class, shingle)
+could still be similar to; shingles that stand in the same sets count as one there. Joins by a key that many rows may share (bucket, class, shingle)
 have a plain shuffle of a stored table on both sides, which adaptive execution splits.
 """
 
@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from galeria.llm.common import checkpoint, components, fresh, path_of, scratch, stored, table
+from galeria.llm.common import checkpoint, components, fresh, path_of, running, scratch, stored, table
 from galeria.plans.numbering import counted
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,8 +163,7 @@ def _grouped(docs: DataFrame, text: str, key: str, words: int, percent: int, k:
         links = checkpoint(_verified(stars, sets, percent))
         labels = components(links)
 
-        more = _remaining(members, sets, labels, percent)
-        links = checkpoint(links.union(_verified(more, sets, percent)).distinct())
+        links = checkpoint(links.union(_remaining(members, sets, labels, percent)).distinct())
         labels = components(links)
 
         degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
@@ -197,15 +197,18 @@ def near_duplicates(
 
 
 def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, block: int = 1 << 24) -> DataFrame:
-    """Pairs still to verify: of one bucket, in different components, and sharing a prefix shingle.
+    """Links still missing: of one bucket's classes in different components, found by a shared prefix and verified.
 
-    With shingles ordered from rare to common, similar sets of n shingles share one among
-    the first n - ceil(percent * n / 100) + 1 of either; so no link is lost. A set that has
+    Shingles that stand in the same sets are one atom, whose weight is their number: a block
+    that many pages share is one atom, not hundreds of shingles. With atoms ordered from
+    rare to common, similar sets of n shingles share one among the first
+    n - ceil(percent * n / 100) + 1 shingles of either; so no link is lost. A set that has
     ``left`` shingles from such a place on fits no partner of more than ``most`` shingles,
     so of two partners the smaller one has ``most`` >= its own size: only such entries look
-    for a partner, among entries of the same shingle as large as itself or larger. Sizes go
-    in bands, two at most for each search. Pages of one template, unlike enough to be no
-    links, thus form no pairs. A shingle and band of over ``block`` comparisons is dealt out.
+    for a partner, among entries of the same atom as large as itself or larger. Sizes go in
+    bands, two at most for each search. Pages of one template, unlike enough to be no links,
+    thus form no pairs; other pairs are given once, at their first common atom. An atom and
+    band of over ``block`` comparisons is dealt out.
     """
     named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
     sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
@@ -215,40 +218,95 @@ def _remaining(members: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     rest = checkpoint(rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("top")).alias("out")))
     full = rest.join(sets, "rep")
     tokens = full.select("rep", "comp", "out", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    common = checkpoint(tokens.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"))
+    # sets that hold a shingle are told apart by 128 bits of a sum over them
+    held_by = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    common = checkpoint(tokens.groupBy("s").agg(F.count("*").alias("f"), *held_by).where("f > 1"))
     # a set's single shingles come first in its order: their number is what it has more than the shared ones
-    own = tokens.join(common, "s").groupBy("rep", "comp", "out", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("shared"))
-    single = F.col("n") - F.size("shared")
-    free = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - single
-    first = F.slice("shared", F.lit(1), F.least(free, F.size("shared")).cast("int"))
-    prefix = own.where(free > 0).select("rep", "comp", "out", "n", (F.col("n") - single).alias("left"), F.posexplode(first).alias("p", "t"))
-    # from its first common shingle on, a pair can share no more than either set has left
-    left = F.col("left") - F.col("p")
+    own = tokens.join(common, "s").repartition("rep").groupBy("rep", "comp", "out", "n", "f", "h1", "h2").agg(F.count("*").cast("int").alias("w"))
+    own = own.groupBy("rep", "comp", "out", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h1", "h2", "w"))).alias("atoms"))
+    atoms, _ = stored(own.withColumn("shared", F.aggregate("atoms", F.lit(0), lambda t, x: t + x["w"])), "atoms")
+    free = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.col("shared"))
+    before = running(F.transform("atoms", lambda x: x["w"]), lambda u, v: u + v)
+    names = F.transform("atoms", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2")))
+    prefix = atoms.where(free > 0).select("rep", "comp", "out", "n", "shared", free.alias("free"), names.alias("names"), before.alias("before"))
+    places = F.filter(F.arrays_zip("names", "before"), lambda z: z["before"] < F.col("free"))
+    prefix = prefix.select("rep", "comp", "out", "n", "shared", "names", F.posexplode(places).alias("p", "z"))
+    # from its first common atom on, a pair can share no more than either set has left
+    left = F.col("shared") - F.col("z.before")
     most = F.floor(left * (100 + percent) / percent + 1e-9).cast("int") - F.col("n")
-    prefix = prefix.select("rep", "comp", "out", "n", left.alias("left"), F.col("t.s").alias("s"), most.alias("most"))
+    pre = F.slice("names", F.lit(1), F.col("p"))
+    prefix = prefix.select("rep", "comp", "out", "n", left.alias("left"), F.col("z.names.h1").alias("h1"), F.col("z.names.h2").alias("h2"), pre.alias("pre"), most.alias("most"))
     prefix = prefix.where(F.col("most") * 100 >= F.col("n") * percent)
     band = lambda c: F.floor(F.log(c.cast("double")) / math.log(100 / percent)).cast("int")
     prefix, _ = stored(prefix.withColumns({"band": band(F.col("n")), "to": band(F.col("most"))}), "prefixes")
 
-    large = prefix.select("s", "band", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("most").alias("mx"), F.col("out").alias("ox"))
-    seek = prefix.where("most >= n").select(
-        "s", F.explode(F.sequence("band", F.least(F.col("to"), F.col("band") + 1))).alias("band"), F.col("rep").alias("y"), F.col("comp").alias("cy"),
-        F.col("n").alias("ny"), F.col("left").alias("ly"), F.col("most").alias("my"), F.col("out").alias("oy"),
-    )
-    counts = large.groupBy("s", "band").agg(F.count("*").alias("u")).join(seek.groupBy("s", "band").agg(F.count("*").alias("v")), ["s", "band"])
-    hot = checkpoint(counts.where(F.col("u") * F.col("v") > block).select("s", "band", F.least(F.col("u"), F.ceil(F.col("u") * F.col("v") / block)).alias("k")))
+    at = ["h1", "h2", "band"]
+    side = lambda s: [F.col(c).alias(f"{c[0] if c != 'left' else 'l'}{s}") for c in ("comp", "n", "left", "most", "out", "pre")]
+    large = prefix.select(*at, F.col("rep").alias("x"), *side("x"))
+    seek = prefix.where("most >= n").select("h1", "h2", F.explode(F.sequence("band", F.least(F.col("to"), F.col("band") + 1))).alias("band"), F.col("rep").alias("y"), *side("y"))
+    counts = large.groupBy(*at).agg(F.count("*").alias("u")).join(seek.groupBy(*at).agg(F.count("*").alias("v")), at)
+    hot = checkpoint(counts.where(F.col("u") * F.col("v") > block).select(*at, F.least(F.col("u"), F.ceil(F.col("u") * F.col("v") / block)).alias("k")))
     if hot.isEmpty():
-        met = large.join(seek, ["s", "band"])
+        met = large.join(seek, at)
     else:
-        large = large.join(hot, ["s", "band"], "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("k", F.lit(1)))).drop("k")
-        seek = seek.join(hot, ["s", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
-        met = large.join(seek, ["s", "band", "salt"])
+        large = large.join(hot, at, "left").withColumn("salt", F.pmod(F.xxhash64("x"), F.coalesce("k", F.lit(1)))).drop("k")
+        seek = seek.join(hot, at, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        met = large.join(seek, [*at, "salt"])
     pairs = met.where(
         (F.col("cx") != F.col("cy")) & (F.col("ox") | F.col("oy")) & (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
         & ((F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))))
         & _similar(F.col("nx"), F.col("ny"), F.least("lx", "ly"), percent)
+        & ~F.arrays_overlap("px", "py")
     )
-    return checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs, _ = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "pairs")
+    return _weighed(pairs, atoms, percent)
+
+
+def _weighed(pairs: DataFrame, atoms: DataFrame, percent: int, each: int = 1 << 18) -> DataFrame:
+    """Of distinct pairs (a, b), those whose sets' atoms are similar.
+
+    Classes are dealt into as many groups as make squares of about ``each`` pairs, and a
+    square gets the atoms of its two groups once, not once a pair.
+    """
+    n = pairs.count()
+    groups = max(1, math.ceil(math.sqrt(n / each)))
+    of = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(groups)).cast("int")
+    squares = pairs.select(of("a").alias("g"), of("b").alias("h"), "a", "b")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    held = atoms.join(wanted, "rep", "left_semi").select("rep", "n", F.col("atoms.h1").alias("h1"), F.col("atoms.h2").alias("h2"), F.col("atoms.w").alias("w"), of("rep").alias("own"))
+    all_ = F.sequence(F.lit(0), F.lit(groups - 1))
+    places = F.array_distinct(F.concat(F.transform(all_, lambda o: F.struct(F.col("own").alias("g"), o.alias("h"))), F.transform(all_, lambda o: F.struct(o.alias("g"), F.col("own").alias("h")))))
+    held = held.withColumn("z", F.explode(places)).select("z.g", "z.h", "rep", "n", "h1", "h2", "w")
+    return squares.groupBy("g", "h").cogroup(held.groupBy("g", "h")).applyInArrow(_linked(percent), "a long, b long")
+
+
+def _linked(percent: int):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        if not len(a):
+            return pa.table({"a": a, "b": b})
+        flat = lambda c: sets[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        reps, size, w = sets["rep"].to_numpy(), sets["n"].to_numpy(), flat("w").astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(sets["w"]).to_numpy().astype(np.int64))])
+        both = np.empty(len(w), [("h1", np.int64), ("h2", np.int64)])
+        both["h1"], both["h2"] = flat("h1"), flat("h2")
+        atom = np.unique(both, return_inverse=True)[1]
+        order = np.argsort(reps, kind="stable")
+        x, y = (order[np.searchsorted(reps, v, sorter=order)] for v in (a, b))
+        by = np.argsort(x, kind="stable")
+        starts = np.flatnonzero(np.diff(x[by], prepend=-1))
+        mark, shared = np.zeros(atom.max(initial=0) + 1, np.int64), np.zeros(len(a), np.int64)
+        for rows in np.split(by, starts[1:]):  # a class and all its partners at a time
+            own = slice(ends[x[rows[0]]], ends[x[rows[0]] + 1])
+            mark[atom[own]] = w[own]
+            sums = np.concatenate([[0], np.cumsum(mark[np.concatenate([atom[ends[j] : ends[j + 1]] for j in y[rows]])])])
+            stop = np.cumsum(ends[y[rows] + 1] - ends[y[rows]])
+            shared[rows] = sums[stop] - sums[np.concatenate([[0], stop[:-1]])]
+            mark[atom[own]] = 0
+        keep = 100 * shared >= percent * (size[x] + size[y] - shared)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    return run
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,14 +39,13 @@ def template(n, shared=182, own=18, seed=0):
 def test_pages_of_one_template_make_no_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(template(600), "doc_id long, text string").repartition(4)
     seen = []
-    whole = dedup._remaining
+    whole = dedup._weighed
 
-    def counted(*args, **kw):
-        pairs = whole(*args, **kw)
+    def counted(pairs, *args):
         seen.append(pairs.count())
-        return pairs
+        return whole(pairs, *args)
 
-    monkeypatch.setattr(dedup, "_remaining", counted)
+    monkeypatch.setattr(dedup, "_weighed", counted)
     got = dedup.near_duplicates(docs, words=3, percent=85).collect()
     assert all(r["component_id"] == r["doc_id"] and r["n_links"] == 0 for r in got)
     assert seen == [0]
@@ -65,3 +64,38 @@ def test_hot_shingles_are_dealt_out(spark, monkeypatch):
         monkeypatch.setattr(dedup, "_remaining", lambda *a, block=block: plain(*a, block=block))
         got = dedup.near_duplicates(df.withColumn("n", F.lit(0)), words=3, percent=83).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def blocks(n, of=40, take=34, words=25, seed=0, shuffled=False):
+    """Pages that are each a choice of common blocks."""
+    r = random.Random(seed)
+    held = [" ".join(f"b{i}w{j}" for j in range(words)) for i in range(of)]
+    out = []
+    for k in range(n):
+        some = r.sample(range(of), take)
+        out.append((k, " ".join(held[i] for i in (some if shuffled else sorted(some)))))
+    return out
+
+
+def test_pages_of_common_blocks(spark, monkeypatch):
+    """Links equal a comparison of all pairs, and a pair is verified once, by its atoms."""
+    from test_text_operators import components
+
+    seen = []
+    whole = dedup._weighed
+
+    def counted(pairs, atoms, percent, each=1 << 18):
+        rows = [tuple(r) for r in pairs.collect()]
+        seen.append((len(rows), len(set(rows)), atoms.agg(F.max(F.size("atoms"))).first()[0]))
+        return whole(pairs, atoms, percent, 500)
+
+    monkeypatch.setattr(dedup, "_weighed", counted)
+    for seed, shuffled in ((1, False), (2, True)):
+        docs = blocks(120, of=20, take=17, words=12, seed=seed, shuffled=shuffled)
+        want = components(docs, 3, 85)
+        assert 1 < len({c for _, c in want.values()}) < 120 or shuffled
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        got = dedup.near_duplicates(df, words=3, percent=85).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(n == once for n, once, _ in seen) and max(n for n, _, _ in seen) > 500
+    assert max(width for _, _, width in seen) < 17 * 10  # atoms, not shingles
