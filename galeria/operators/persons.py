@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from galeria.functions.kernels import match_names
 from galeria.functions.scalars import dot, l2_normalize
@@ -58,32 +60,82 @@ def cover_faces(faces: DataFrame) -> DataFrame:
     return faces.where("person_id IS NOT NULL").groupBy("person_id").agg(best.alias("cover_face_id"), F.count("*").alias("n"))
 
 
-def assign_nearest(faces: DataFrame, centers: DataFrame, rejections: DataFrame, threshold: float, most_centers: int = 20_000, most_parts: int = 4) -> DataFrame:
+def assign_nearest(
+    faces: DataFrame, centers: DataFrame, rejections: DataFrame, threshold: float, part_bytes: int = 64 << 20, most_parts: int = 2, slice_rows: int = 1 << 16
+) -> DataFrame:
     """``face_id, person_id, score``: the nearest center that was not rejected for the face; no person below the threshold.
 
-    Centers go in parts of about ``most_centers``, an array each; a face meets each part
-    once and keeps its best, so rows are faces times parts, not faces times centers. Up to
-    ``most_parts`` parts are sent to every task, and no face moves; more of them are copied
-    to each of as many slices of the faces as there are shuffle partitions.
+    Scores are products of matrices, a block of faces by a block of centers, and the best
+    ones are added again in one order, so equal centers tie and the smaller person wins.
+    Centers go in parts of about ``part_bytes``, by their checked size. Up to ``most_parts``
+    are sent to every task, and no face moves; of more, each meets each slice of about
+    ``slice_rows`` faces. Vectors of another length than the centers' score nothing, and a
+    face that no center may take has no row.
     """
-    parts = max(1, -(-centers.count() // most_centers))
-    salt = F.pmod(F.xxhash64("person_id"), F.lit(parts)).cast("int")
-    packed = centers.groupBy(salt.alias("part")).agg(F.collect_list(F.struct("person_id", "centroid")).alias("all"))
-    no = rejections.groupBy("face_id").agg(F.collect_set("person_id").alias("no"))
-    faces = faces.select(F.col("id").alias("face_id"), F.col("embedding").alias("v")).join(no, "face_id", "left")
-    faces = faces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spark = faces.sparkSession
+    size = centers.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    kind, dim = centers.schema["person_id"].dataType.simpleString(), size["d"] or 0
+    centers = centers.select("person_id", F.col("centroid").cast("array<double>").alias("c")).where(F.size("c") == dim)
+    parts = max(1, -(-size["n"] * dim * 8 // part_bytes))
+    no = rejections.groupBy("face_id").agg(F.collect_set(F.col("person_id").cast("long")).alias("no"))
+    rows = faces.select(F.col("id").alias("face_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") == dim)
+    rows = rows.join(no, "face_id", "left")
+    out = f"face_id {rows.schema['face_id'].dataType.simpleString()}, person_id {kind}, score double"
     if parts <= most_parts:
-        met = faces.join(F.broadcast(packed), "part")
+        held = spark.sparkContext.broadcast(centers.toArrow())
+        scored = rows.mapInArrow(_nearest(lambda: held.value, dim), out)
+        best = F.col("person_id"), F.col("score")
     else:
-        slices = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        met = faces.withColumn("slice", F.pmod(F.xxhash64("face_id"), F.lit(slices)).cast("int")).join(packed, ["part", "slice"])
-    allowed = F.filter("all", lambda c: ~F.coalesce(F.array_contains("no", c["person_id"]), F.lit(False)))
-    near = F.transform(allowed, lambda c: F.struct(dot(F.col("v"), c["centroid"]).alias("score"), (-c["person_id"]).alias("minus")))
-    top = met.select("face_id", F.array_max(near).alias("t")).where("t IS NOT NULL")
-    scored = top.select("face_id", (-F.col("t.minus")).alias("person_id"), F.col("t.score").alias("score"))
-    best = scored.groupBy("face_id").agg(F.max_by(F.struct("person_id", "score"), F.struct(F.col("score"), -F.col("person_id"))).alias("b"))
-    return best.select("face_id", F.when(F.col("b.score") >= threshold, F.col("b.person_id")).alias("person_id"), "b.score")
+        slices = max(1, -(-rows.count() // slice_rows))
+        left = rows.withColumn("slice", F.pmod(F.xxhash64("face_id"), F.lit(slices))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = centers.withColumn("part", F.pmod(F.xxhash64("person_id"), F.lit(parts)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        schema = to_arrow_schema(T._parse_datatype_string(out))
+        score = lambda f, c: pa.Table.from_batches(_nearest(lambda: c, dim)(f.to_batches()), schema)
+        met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInArrow(score, out)
+        scored = met.groupBy("face_id").agg(F.max_by(F.struct("person_id", "score"), F.struct(F.col("score"), -F.col("person_id"))).alias("b"))
+        best = F.col("b.person_id"), F.col("b.score")
+    return scored.select("face_id", F.when(best[1] >= threshold, best[0]).alias("person_id"), best[1].alias("score"))
+
+
+def _nearest(centers, dim: int, rows: int = 1024, columns: int = 4096):
+    """Faces (``face_id, v, no``) to their best center of a table (``person_id, c``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = centers()
+        people = table["person_id"].to_numpy()
+        order = np.argsort(people, kind="stable")
+        people, c = people[order], np.ascontiguousarray(_matrix(table["c"], dim)[order])
+        for batch in batches:
+            ids, v, no = (batch.column(batch.schema.get_field_index(n)) for n in ("face_id", "v", "no"))
+            who, best = np.zeros(len(batch), people.dtype), np.full(len(batch), -np.inf)
+            for at in range(0, len(batch) if len(people) else 0, rows):
+                x = _matrix(v.slice(at, rows), dim)
+                refused = [(i, p) for i, ps in enumerate(no.slice(at, rows).to_pylist()) if ps for p in ps]
+                f, p = (np.array(a, np.int64) for a in (zip(*refused, strict=True) if refused else ((), ())))
+                place = np.searchsorted(people, p)
+                fits = (place < len(people)) & (people[np.minimum(place, len(people) - 1)] == p)
+                f, place = f[fits], place[fits]
+                for k in range(0, len(people), columns):
+                    s = x @ c[k : k + columns].T
+                    inside = (place >= k) & (place < k + columns)
+                    s[f[inside], place[inside] - k] = -np.inf
+                    i, j = np.nonzero(s >= np.maximum(s.max(1), best[at : at + rows] - 1e-9)[:, None] - 1e-9)
+                    real = s[i, j] > -np.inf
+                    i, j = i[real], j[real]
+                    exact = (x[i] * c[k + j]).sum(1)  # one order of adding
+                    for face, person, value in zip(i.tolist(), j.tolist(), exact.tolist(), strict=True):
+                        if value > best[at + face]:
+                            best[at + face], who[at + face] = value, people[k + person]
+            there = np.flatnonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(there)), pa.array(who[there]), pa.array(best[there])], ["face_id", "person_id", "score"])
+
+    return run
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def review_queue(faces: DataFrame, person: int, centroid: Column, rejections: DataFrame, media: DataFrame, threshold: float, limit: int = 50) -> DataFrame:
@@ -226,14 +278,28 @@ def _match(query: pd.Series, names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"names": [n for n, _ in found], "rest": [r for _, r in found]})
 
 
-def matched_queries(queries: DataFrame, persons: DataFrame) -> DataFrame:
+def matched_queries(queries: DataFrame, persons: DataFrame, most_words: int = 64) -> DataFrame:
     """``query, names, rest``: people's names that stand in each query, the longest first, and what is left.
 
-    Queries are a short list that goes to every task; of the people, only those whose name
-    occurs in a query are gathered with it. Null queries find nothing.
+    Queries are cut into runs of as many words as names have, and met with the names by
+    equality, so neither side is sent to every task and a common first word costs nothing;
+    only the names that stand in a query are gathered with it. A name of over ``most_words``
+    words raises an error. Null queries are left out, null and empty names match nothing.
     """
     asked = queries.select("query").where("query IS NOT NULL").distinct()
-    named = persons.where("name IS NOT NULL").select("name").distinct()
-    met = named.join(F.broadcast(asked), F.lower("query").contains(F.lower("name")), "right")
-    names = met.groupBy("query").agg(F.collect_list("name").alias("names"))
+    cut = lambda c: F.array_remove(F.split(F.lower(c), r"(?U)\s+"), "")
+    named = persons.where("name IS NOT NULL").select("name").distinct().withColumn("w", cut(F.col("name"))).where(F.size("w") > 0)
+    counts = sorted(r[0] for r in named.select(F.size("w")).distinct().limit(most_words + 1).collect())
+    if counts and counts[-1] > most_words:
+        raise ValueError(f"a name has over {most_words} words")
+    words = asked.withColumn("w", cut(F.col("query")))
+    # a name ends with its word, or before a mark within it
+    ends = lambda x: F.filter(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when((i == F.length(x)) | F.substring(x, i + 1, F.lit(1)).isin(*",.!?"), F.substring(x, F.lit(1), i))), lambda y: y.isNotNull())
+    runs = lambda n: F.when(
+        F.size("w") >= n,
+        F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.transform(ends(F.element_at("w", i + n - 1)), lambda e: F.array_join(F.concat(F.slice("w", i, F.lit(n - 1)), F.array(e)), " ")))),
+    )
+    keys = F.flatten(F.array_compact(F.array(*(runs(n) for n in counts)))) if counts else F.array().cast("array<string>")
+    met = words.select("query", F.explode(F.array_distinct(keys)).alias("key")).join(named.select("name", F.array_join("w", " ").alias("key")), "key")
+    names = asked.join(met.select("query", "name"), "query", "left").groupBy("query").agg(F.collect_list("name").alias("names"))
     return names.select("query", _match("query", "names").alias("m")).select("query", "m.names", "m.rest")

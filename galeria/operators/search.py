@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeria.functions.scalars import dot
-from galeria.plans.shared import checkpoint, components
+from galeria.plans.shared import checkpoint, components, stored
 
 
 def literal(vector: list[float]) -> Column:
@@ -77,27 +82,176 @@ def best_per_concept(vectors: DataFrame, concepts: list[tuple[int, list[float]]]
     return first.select("f.concept", "id", "f.score")
 
 
-def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000, block: int = 1 << 24) -> DataFrame:
+def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000, block: int = 1 << 24, most_pivots: int = 2048) -> DataFrame:
     """``a, b``: items (``id``, ``ts_ms``, ``vector``) within the window whose vectors' product reaches the threshold.
 
     An equi-join on time buckets, not a comparison of all pairs: the earlier item stands in
     its bucket, the later one in its own and the one before. A bucket of more than ``block``
-    comparisons, such as one of missing times, is dealt out over tasks.
+    comparisons, such as one burst or one of missing times, goes through ``burst_pairs``.
     """
     bucket = F.floor(F.col("ts_ms") / window_ms)
-    a = items.select(F.col("id").alias("a"), F.col("ts_ms").alias("ta"), F.col("vector").alias("va"), bucket.alias("k"))
-    b = items.select(F.col("id").alias("b"), F.col("ts_ms").alias("tb"), F.col("vector").alias("vb"), F.explode(F.array(bucket, bucket - 1)).alias("k"))
+    rows = items.select("id", F.col("ts_ms").alias("ts"), F.col("vector").alias("v"), bucket.alias("k"))
     n = items.groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
-    hot = n.join(n.select((F.col("k") - 1).alias("k"), F.col("n").alias("next")), "k", "left").withColumn("next", F.coalesce("next", F.lit(0)))
-    hot = checkpoint(hot.select("k", F.least(F.col("n"), F.ceil(F.col("n") * (F.col("n") + F.col("next")) / block)).alias("salts")).where("salts > 1"))
-    on = ["k"]
+    size = n.join(n.select((F.col("k") - 1).alias("k"), F.col("n").alias("next")), "k", "left").withColumn("next", F.coalesce("next", F.lit(0)))
+    hot = checkpoint(size.where(F.col("n") * (F.col("n") + F.col("next")) > block).select("k", "n", "next"))
+    later = rows.withColumn("k", F.explode(F.array("k", F.col("k") - 1)))
+    calm, found = (rows, later), []
     if not hot.isEmpty():
-        salts, on = F.coalesce("salts", F.lit(1)), ["k", "salt"]
-        a = a.join(hot, "k", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts)).drop("salts")
-        b = b.join(hot, "k", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
-    later = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))
-    met = a.join(b, on).where(later & (F.col("tb") - F.col("ta") <= window_ms))
-    return met.where(dot(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+        calm = tuple(df.join(hot.select("k"), "k", "left_anti") for df in calm)
+        found = [burst_pairs(rows, later, hot, threshold, window_ms, block, most_pivots)]
+    a, b = (df.select("k", *(F.col(c).alias(f"{c}{s}") for c in ("id", "ts", "v"))) for df, s in zip(calm, "ab", strict=True))
+    after = (F.col("tsa") < F.col("tsb")) | ((F.col("tsa") == F.col("tsb")) & (F.col("ida") < F.col("idb")))
+    met = a.join(b, "k").where(after & (F.col("tsb") - F.col("tsa") <= window_ms))
+    out = met.where(dot(F.col("va"), F.col("vb")) >= threshold).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    return out.union(found[0]) if found else out
+
+
+def burst_cells(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: float, block: int, most_pivots: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The earlier items in their cell and the later ones in every cell where a partner may be: ``k, cell, p, q, id, ts, v`` of both.
+
+    Some items of each hot bucket are its pivots, drawn so that a sample of the bucket lies
+    within the threshold's angle of them. An item's cell is the pivot at the smallest angle
+    and the ring around it, as wide as that angle, in which it lies. Angles obey the triangle
+    inequality: an item whose angle to a pivot is larger than to its own by over twice the
+    threshold's has no partner there, and partners lie in the same ring or the next. So
+    nothing is lost. Cells of more than ``block`` comparisons are dealt out: ``p`` are slices
+    of the earlier items, ``q`` of the later ones. Vectors must have one length.
+    """
+    both = rows.select("k", "id", "v").join(hot, "k")
+    share = F.least(F.lit(1.0), F.lit(1.5 * SAMPLE) / F.col("n"))
+    drawn = both.where((F.xxhash64("id") / F.lit(2.0**64) + 0.5 <= share) & (_norm("v") > 0))
+    first = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("id"), "id"))
+    drawn = drawn.withColumn("r", first).where(F.col("r") <= SAMPLE).select("k", F.col("v").cast("array<double>").alias("v"))
+    longest = later.join(hot, "k").groupBy("k").agg(F.max(_norm("v")).alias("longest"))
+    per = hot.join(longest, "k").withColumn("slices", F.ceil((F.col("n") + F.col("next")) / F.lit(4096.0)))
+    pivots = drawn.join(per.select("k", "longest"), "k").groupBy("k").applyInArrow(_spread(threshold, most_pivots), "k long, pivots array<array<double>>")
+    per = checkpoint(per.join(pivots, "k", "left"))
+
+    def angles(df: DataFrame, own: bool) -> DataFrame:
+        parts = per.select("k", "pivots", "longest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+        met = df.join(per.select("k", "slices"), "k").select("k", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "ts", F.col("v").cast("array<double>").alias("v"))
+        kind = "k long, id long, ts long, v array<double>, cell int"
+        return met.groupBy("k", "slice").cogroup(parts.groupBy("k", "slice")).applyInArrow(_angles(threshold, own), kind)
+
+    homes, _ = stored(angles(rows, True), "homes")
+    there = homes.groupBy("k", "cell").agg(F.count("*").alias("n"))
+    visits, _ = stored(angles(later, False).join(checkpoint(there), ["k", "cell"]).drop("n"), "visits")
+    counts = there.join(visits.groupBy("k", "cell").agg(F.count("*").alias("m")), ["k", "cell"])
+    side = F.lit(math.sqrt(block))
+    counts = checkpoint(counts.select("k", "cell", F.ceil(F.col("n") / side).alias("ps"), F.ceil(F.col("m") / side).alias("qs")))
+    salt = lambda c: F.pmod(F.xxhash64("id", F.lit(5)), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = homes.join(counts, ["k", "cell"]).withColumn("p", salt("ps")).withColumn("q", each("qs"))
+    b = visits.join(counts, ["k", "cell"]).withColumn("p", each("ps")).withColumn("q", salt("qs"))
+    columns = ["k", "cell", "p", "q", "id", "ts", "v"]
+    return a.select(*columns), b.select(*columns)
+
+
+def burst_pairs(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: float, window_ms: int, block: int, most_pivots: int = 2048) -> DataFrame:
+    """``a, b`` of the hot buckets: the cells of ``burst_cells`` met block by block, as products of matrices."""
+    a, b = burst_cells(rows, later, hot, threshold, block, most_pivots)
+    keys = ["k", "cell", "p", "q"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_products(threshold, window_ms), "a long, b long")
+
+
+def _norm(v: str) -> Column:
+    return F.sqrt(dot(F.col(v), F.col(v)))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+#: Slack of angles in radians, rings of a pivot at most, and items of a bucket that its pivots are chosen from.
+SLACK, RINGS, SAMPLE = 1e-6, 1 << 12, 4096
+
+
+def _far(threshold: float, longest: float | None) -> float | None:
+    """The largest angle of two vectors that reach the threshold; infinite if any may, None if none does."""
+    if threshold <= 0:
+        return math.inf
+    limit = threshold / longest**2 if longest else math.inf
+    return None if limit > 1 + SLACK else math.acos(min(1.0, limit)) + SLACK
+
+
+def _spread(threshold: float, most: int):
+    """A bucket's sample to its pivots: each next one is the item farthest from those before, until all are near one."""
+
+    def run(sample: pa.Table) -> pa.Table:
+        x, far = _matrix(sample["v"]), _far(threshold, sample["longest"][0].as_py())
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        chosen: list[int] = []
+        if far is not None and math.isfinite(far):
+            nearest, at, close = np.full(len(x), -2.0), 0, math.cos(min(math.pi, far))
+            while len(chosen) < most:
+                chosen.append(at)
+                nearest = np.maximum(nearest, x @ x[at])
+                at = int(nearest.argmin())
+                if nearest[at] >= close:
+                    break
+        return pa.table({"k": sample["k"].slice(0, 1), "pivots": pa.array([x[chosen].tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    return run
+
+
+def _angles(threshold: float, own: bool):
+    """A slice of a bucket's items and its pivots to items by cell: the home cell only, or every cell that may hold a partner."""
+
+    def run(items: pa.Table, per: pa.Table) -> pa.Table:
+        x, far, pivots = _matrix(items["v"]), _far(threshold, per["longest"][0].as_py()), per["pivots"][0].as_py()
+        norms = np.sqrt((x * x).sum(1))
+        if threshold > 0:  # without a length, or with too short ones, no product reaches it
+            keep = np.flatnonzero((norms > 0) & (far is not None))
+            x, items, norms = x[keep], items.take(pa.array(keep)), norms[keep]
+        if not pivots or not len(x):
+            rows, cells = np.arange(len(x)), np.zeros(len(x), np.int64)
+        else:
+            angle = np.arccos(np.clip(x @ np.array(pivots).T / norms[:, None], -1, 1))
+            home = angle.argmin(1)
+            least = angle[np.arange(len(x)), home]
+            rows, at = (np.arange(len(x)), home) if own else np.nonzero(angle - least[:, None] <= 2 * far)
+            ring = np.minimum(angle[rows, at] // far, RINGS - 1).astype(np.int64)
+            if not own:  # a partner's ring is this one or one beside it
+                rows, at = np.repeat(rows, 3), np.repeat(at, 3)
+                ring = (ring[:, None] + np.array([-1, 0, 1])).ravel()
+                fits = (ring >= 0) & (ring < RINGS)
+                rows, at, ring = rows[fits], at[fits], ring[fits]
+            cells = at * RINGS + ring
+        taken = items.take(pa.array(rows))
+        return pa.table({n: taken[n] for n in ("k", "id", "ts", "v")} | {"cell": pa.array(cells.astype(np.int32))})
+
+    return run
+
+
+def _products(threshold: float, window_ms: int, rows: int = 1024):
+    """Earlier and later items of a block to the pairs that reach the threshold.
+
+    Products near the threshold are added again in the order of the elements, so they are
+    those of ``dot``.
+    """
+
+    def run(first: pa.Table, second: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        if first.num_rows and second.num_rows:
+            (ia, ta, xa), (ib, tb, xb) = ((t["id"].to_numpy(), t["ts"].to_numpy(), _matrix(t["v"])) for t in (first, second))
+            for at in range(0, len(ia), rows):
+                i, t, x = ia[at : at + rows, None], ta[at : at + rows, None], xa[at : at + rows]
+                s = x @ xb.T
+                ok = (s >= threshold - 1e-9) & (tb - t <= window_ms) & ((t < tb) | ((t == tb) & (i < ib)))
+                p, q = np.nonzero(ok)
+                unsure = np.flatnonzero(np.abs(s[p, q] - threshold) <= 1e-9)
+                keep = s[p, q] >= threshold
+                for u in unsure:
+                    total = 0.0
+                    for v, w in zip(x[p[u]].tolist(), xb[q[u]].tolist(), strict=True):
+                        total += v * w
+                    keep[u] = total >= threshold
+                out.append((i[p[keep], 0], ib[q[keep]]))
+        return pa.table({n: pa.array(np.concatenate([np.empty(0, np.int64), *(o[j] for o in out)])) for j, n in enumerate("ab")})
+
+    return run
 
 
 def groups(pairs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over events and over small relations given as values."""
+"""Queries over events, faces' boxes and landmarks, colours and ids."""
 
 from __future__ import annotations
 
@@ -92,53 +92,61 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", "p.missing")
 
 
-_GEO = ("+48.1371+011.5754/", "-33.8688+151.2093/", "+00.0000+000.0000/", "+95.0+010.0/", "nowhere", "x+1.5-2.25", "+12+34")
+_LAT, _LON = "(event_id * 7919 % 18001) / 100.0::DOUBLE - 90", "(event_id * 104729 % 36001) / 100.0::DOUBLE - 180"
+_GEO_SQL = f"""CASE event_id % 11 WHEN 3 THEN 'nowhere' WHEN 5 THEN '+00.0000+000.0000/' WHEN 7 THEN concat('x+1.5-', CAST(event_id % 400 AS VARCHAR), '.25') WHEN 9 THEN printf('%+08.4f%+09.4f/', {_LAT} + 20, {_LON})
+ ELSE printf('%+08.4f%+09.4f/', {_LAT}, {_LON}) END"""
 
 
-@query("""WITH t AS (SELECT unnest([{}]) AS text), m AS (SELECT text, TRY_CAST(regexp_extract(text, '([+-]\\d+(?:\\.\\d+)?)([+-]\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS lat, TRY_CAST(regexp_extract(text, '([+-]\\d+(?:\\.\\d+)?)([+-]\\d+(?:\\.\\d+)?)', 2) AS DOUBLE) AS lon FROM t),
- f AS (SELECT *, lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS ok FROM m) SELECT text, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lon END AS lon FROM f""".format(", ".join(f"'{g}'" for g in _GEO)), "")
+@query(f"""WITH t AS (SELECT event_id, {_GEO_SQL} AS text FROM events), m AS (SELECT event_id, TRY_CAST(regexp_extract(text, '([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)', 1) AS DOUBLE) AS lat, TRY_CAST(regexp_extract(text, '([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)', 2) AS DOUBLE) AS lon FROM t),
+ f AS (SELECT *, lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS ok FROM m) SELECT event_id, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lon END AS lon FROM f""", "")
 def parse_geo(spark: SparkSession, d: str) -> DataFrame:
-    """Places of ISO 6709 texts."""
-    t = spark.createDataFrame([(g,) for g in _GEO], "text string")
-    return t.select("text", S.parse_location(F.col("text")).alias("g")).select("text", "g.lat", "g.lon")
-
-
-_TIMES = ("20240229T123456.789Z", "20240229T123456Z", "20240229T123456", "19700101T000000Z", "garbage", "20231231T235959.001Z")
+    """Places of the ISO 6709 texts that events are written down with."""
+    i = F.col("event_id")
+    lat, lon = (i * 7919 % 18001) / F.lit(100.0) - 90, (i * 104729 % 36001) / F.lit(100.0) - 180
+    text = (
+        F.when(i % 11 == 3, "nowhere").when(i % 11 == 5, "+00.0000+000.0000/").when(i % 11 == 7, F.concat(F.lit("x+1.5-"), (i % 400).cast("string"), F.lit(".25")))
+        .otherwise(F.format_string("%+08.4f%+09.4f/", F.when(i % 11 == 9, lat + 20).otherwise(lat), lon))
+    )
+    return load(spark, d, "events").select("event_id", S.parse_location(text).alias("g")).select("event_id", "g.lat", "g.lon")
 
 
-@query("""WITH t AS (SELECT unnest([{}]) AS text), p AS (SELECT text, coalesce(epoch_ms(try_strptime(text, '%Y%m%dT%H%M%S.%gZ')), epoch_ms(try_strptime(text, '%Y%m%dT%H%M%SZ')), epoch_ms(try_strptime(text, '%Y%m%dT%H%M%S'))) AS ms FROM t)
- SELECT text, CASE WHEN ms > 0 THEN ms END AS ms FROM p""".format(", ".join(f"'{t}'" for t in _TIMES)), "")
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y%m%dT%H%M%S.%gZ') WHEN 1 THEN strftime(ts, '%Y%m%dT%H%M%SZ') WHEN 2 THEN strftime(ts, '%Y%m%dT%H%M%S') WHEN 3 THEN event_type ELSE '19700101T000000Z' END AS text FROM events),
+ p AS (SELECT event_id, coalesce(epoch_ms(try_strptime(text, '%Y%m%dT%H%M%S.%gZ')), epoch_ms(try_strptime(text, '%Y%m%dT%H%M%SZ')), epoch_ms(try_strptime(text, '%Y%m%dT%H%M%S'))) AS ms FROM t)
+ SELECT event_id, CASE WHEN ms > 0 THEN ms END AS ms FROM p""", "")
 def parse_ts(spark: SparkSession, d: str) -> DataFrame:
-    """Capture times in three forms."""
-    t = spark.createDataFrame([(x,) for x in _TIMES], "text string")
-    return t.select("text", S.parse_capture_time(F.col("text")).alias("ms"))
+    """Capture times in the three forms that events are written down with, and in none."""
+    kind, base = F.col("event_id") % 5, F.date_format("ts", "yyyyMMdd'T'HHmmss")
+    text = (
+        F.when(kind == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss.SSS'Z'")).when(kind == 1, F.concat(base, F.lit("Z"))).when(kind == 2, base)
+        .when(kind == 3, F.col("event_type")).otherwise("19700101T000000Z")
+    )
+    return events(spark, d).select("event_id", S.parse_capture_time(text).alias("ms"))
 
 
-_BOX = "SELECT id, (id % 7) / 10.0::DOUBLE AS l, (id % 5) / 10.0::DOUBLE AS t, (id % 7) / 10.0::DOUBLE + 0.25 AS r, (id % 5) / 10.0::DOUBLE + 0.3 AS b FROM range(40) x(id)"
+_BOX = "SELECT id, score, l, (id % 5) / 10.0::DOUBLE AS t, r, (id % 5) / 10.0::DOUBLE + 0.3 AS b FROM faces"
 
 
-def boxes(spark: SparkSession) -> DataFrame:
-    """Forty boxes."""
-    i = F.col("id")
-    left, top = (i % 7) / F.lit(10.0), (i % 5) / F.lit(10.0)
-    return spark.range(40).select("id", left.alias("l"), top.alias("t"), (left + 0.25).alias("r"), (top + 0.3).alias("b"))
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The faces' boxes: ``id, score, l, t, r, b``."""
+    top = (F.col("id") % 5) / F.lit(10.0)
+    return T.faces(spark, d).select("id", "score", "l", top.alias("t"), "r", (top + 0.3).alias("b"))
 
 
 @query(f"""WITH box AS ({_BOX}), p AS (SELECT a.id AS a, b.id AS b, greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * greatest(least(a.b, b.b) - greatest(a.t, b.t), 0) AS i,
- (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS s FROM box a JOIN box b ON a.id % 4 = b.id % 4 AND a.id < b.id) SELECT a, b, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END, 9) AS iou FROM p""", "")
+ (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS s FROM box a JOIN box b ON a.id // 8 = b.id // 8 AND a.id < b.id) SELECT a, b, round(CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END, 9) AS iou FROM p""", "faces")
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps of the boxes of one image."""
-    x, y = (boxes(spark).select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "l", "t", "r", "b"))) for k in (1, 2))
-    met = x.withColumn("k", F.col("id1") % 4).join(y.withColumn("k", F.col("id2") % 4), "k").where("id1 < id2")
+    """Overlaps of the faces of one picture, eight each."""
+    x, y = (boxes(spark, d).select(F.floor(F.col("id") / 8).alias("image"), *(F.col(c).alias(f"{c}{k}") for c in ("id", "l", "t", "r", "b"))) for k in (1, 2))
+    met = x.join(y, "image").where("id1 < id2")
     side = lambda k: tuple(F.col(f"{c}{k}") for c in ("l", "t", "r", "b"))
     return met.select(F.col("id1").alias("a"), F.col("id2").alias("b"), F.round(S.iou(side(1), side(2)), 9).alias("iou"))
 
 
-@query("SELECT id, least(greatest((id * 37 - 100) / 640.0::DOUBLE, 0), 1) AS l, least(greatest((id * 53 + 40) / 640.0::DOUBLE, 0), 1) AS r FROM range(30) t(id)", "")
+@query("SELECT id, least(greatest((l * 1000 - 100) / 150.0::DOUBLE, 0), 1) AS l, least(greatest((r * 1000 + 40) / 640.0::DOUBLE, 0), 1) AS r FROM faces", "faces")
 def clamp_box(spark: SparkSession, d: str) -> DataFrame:
-    """Box edges as shares of the image, 0 to 1."""
-    clamp = lambda c: F.least(F.greatest(c / F.lit(640.0), F.lit(0.0)), F.lit(1.0))
-    return spark.range(30).select("id", clamp(F.col("id") * 37 - 100).alias("l"), clamp(F.col("id") * 53 + 40).alias("r"))
+    """Edges of boxes found beside and beyond the image, as shares of it, 0 to 1."""
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return T.faces(spark, d).select("id", clamp((F.col("l") * 1000 - 100) / F.lit(150.0)).alias("l"), clamp((F.col("r") * 1000 + 40) / F.lit(640.0)).alias("r"))
 
 
 _KEPT = "{{'l': {0}.l, 't': {0}.t, 'r': {0}.r, 'b': {0}.b}}"
@@ -146,13 +154,13 @@ _OVER = "greatest(least(x.r, o.r) - greatest(x.l, o.l), 0) * greatest(least(x.b,
 _FREE = f"len(list_filter(s.kept, lambda x: {_OVER} > 0.4 * ((x.r - x.l) * (x.b - x.t) + (o.r - o.l) * (o.b - o.t) - {_OVER}))) = 0"
 
 
-@query(f"""WITH RECURSIVE box AS ({_BOX}), o AS (SELECT id % 4 AS image, id, (id * 17 % 40) / 40.0::DOUBLE AS score, l, t, r, b, row_number() OVER (PARTITION BY id % 4 ORDER BY id * 17 % 40 DESC, id) AS k FROM box),
+@query(f"""WITH RECURSIVE faces AS ({T.SQL["faces"]}), box AS ({_BOX}), o AS (SELECT id // 10 AS image, id, score, l, t, r, b, row_number() OVER (PARTITION BY id // 10 ORDER BY score DESC, id) AS k FROM box),
  s AS (SELECT image, k, id, score, true AS ok, [{_KEPT.format("o")}] AS kept FROM o WHERE k = 1 UNION ALL
   SELECT o.image, o.k, o.id, o.score, {_FREE}, CASE WHEN {_FREE} THEN list_append(s.kept, {_KEPT.format("o")}) ELSE s.kept END FROM s JOIN o ON o.image = s.image AND o.k = s.k + 1)
  SELECT image, id, score FROM s WHERE ok""", "")
 def nms(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of each image that no better one overlaps too much."""
-    rows = boxes(spark).select((F.col("id") % 4).alias("image"), "id", ((F.col("id") * 17 % 40) / F.lit(40.0)).alias("score"), "l", "t", "r", "b")
+    """Faces of each picture of ten that no better one overlaps too much."""
+    rows = boxes(spark, d).select(F.floor(F.col("id") / 10).alias("image"), "id", "score", "l", "t", "r", "b")
     return rows.groupBy("image").applyInPandas(lambda pdf: K.suppress(pdf), "image long, id long, score double")
 
 
@@ -164,28 +172,24 @@ def _landmarks() -> str:
     return ", ".join(f"({i}, {TEMPLATE[2 * i]}::DOUBLE, {TEMPLATE[2 * i + 1]}::DOUBLE)" for i in range(5))
 
 
-@query(f"""WITH tpl(i, qx, qy) AS (VALUES {_landmarks()}), p AS (SELECT id, i, qx, qy, 10 + id + qx * 1.5::DOUBLE - qy * (id % 3) * 0.25::DOUBLE AS px, 5 - id + qy * 1.5::DOUBLE + qx * (id % 3) * 0.25::DOUBLE AS py FROM range(12) r(id), tpl),
+@query(f"""WITH tpl(i, qx, qy) AS (VALUES {_landmarks()}), p AS (SELECT id, i, qx, qy, 1000 * l + qx * (r - l) * 10 - qy * (id % 3) * 0.25::DOUBLE AS px, 1000 * score + qy * (r - l) * 10 + qx * (id % 3) * 0.25::DOUBLE AS py FROM faces, tpl),
  m AS (SELECT id, avg(px) AS sx, avg(py) AS sy, avg(qx) AS dx, avg(qy) AS dy FROM p GROUP BY id),
  n AS (SELECT p.id, sum((px - sx) * (qx - dx) + (py - sy) * (qy - dy)) / sum((px - sx) ** 2 + (py - sy) ** 2) AS a, sum((px - sx) * (qy - dy) - (py - sy) * (qx - dx)) / sum((px - sx) ** 2 + (py - sy) ** 2) AS b FROM p JOIN m ON m.id = p.id GROUP BY p.id)
- SELECT n.id, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(dx - (a * sx - b * sy), 6) + 0.0 AS tx, round(dy - (b * sx + a * sy), 6) + 0.0 AS ty FROM n JOIN m ON m.id = n.id""", "")
+ SELECT n.id, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(dx - (a * sx - b * sy), 6) + 0.0 AS tx, round(dy - (b * sx + a * sy), 6) + 0.0 AS ty FROM n JOIN m ON m.id = n.id""", "faces")
 def ls_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Least-squares rotation, scale and shift of landmarks onto the template."""
-    i = F.col("id")
+    """Least-squares rotation, scale and shift of every face's landmarks onto the template."""
+    i, left, wide, top = F.col("id"), F.col("l"), F.col("r") - F.col("l"), F.col("score")
     tpl = F.array(*(F.struct(F.lit(TEMPLATE[2 * k]).alias("qx"), F.lit(TEMPLATE[2 * k + 1]).alias("qy")) for k in range(5)))
-    p = spark.range(12).select("id", F.explode(tpl).alias("q")).select("id", "q.*")
-    p = p.withColumn("px", 10 + i + F.col("qx") * 1.5 - F.col("qy") * (i % 3) * 0.25).withColumn("py", 5 - i + F.col("qy") * 1.5 + F.col("qx") * (i % 3) * 0.25)
-    sums = {n: F.sum(e) for n, e in {
-        "sx": F.col("px"), "sy": F.col("py"), "dx": F.col("qx"), "dy": F.col("qy"), "same": F.col("px") * F.col("qx") + F.col("py") * F.col("qy"),
-        "turn": F.col("px") * F.col("qy") - F.col("py") * F.col("qx"), "len": F.col("px") ** 2 + F.col("py") ** 2,
-    }.items()}
-    s = p.groupBy("id").agg(F.count("*").alias("n"), *(e.alias(n) for n, e in sums.items()))
-    n, sx, sy, dx, dy = (F.col(c) for c in ("n", "sx", "sy", "dx", "dy"))
-    den = F.col("len") - (sx * sx + sy * sy) / n
-    s = s.withColumn("a", (F.col("same") - (sx * dx + sy * dy) / n) / den).withColumn("b", (F.col("turn") - (sx * dy - sy * dx) / n) / den)
+    p = T.faces(spark, d).select("id", (1000 * left).alias("x0"), (1000 * top).alias("y0"), (wide * 10).alias("by"), F.explode(tpl).alias("q")).select("*", "q.*")
+    p = p.withColumn("px", F.col("x0") + F.col("qx") * F.col("by") - F.col("qy") * (i % 3) * 0.25).withColumn("py", F.col("y0") + F.col("qy") * F.col("by") + F.col("qx") * (i % 3) * 0.25)
+    means = p.groupBy("id").agg(*(F.avg(c).alias(n) for c, n in (("px", "sx"), ("py", "sy"), ("qx", "dx"), ("qy", "dy"))))
+    c = p.join(means, "id").select("id", "sx", "sy", "dx", "dy", *((F.col(f"{q}{k}") - F.col(m)).alias(f"{q}{k}") for q, k, m in (("p", "x", "sx"), ("p", "y", "sy"), ("q", "x", "dx"), ("q", "y", "dy"))))
+    same, turn = F.col("px") * F.col("qx") + F.col("py") * F.col("qy"), F.col("px") * F.col("qy") - F.col("py") * F.col("qx")
+    s = c.groupBy("id", "sx", "sy", "dx", "dy").agg(F.sum(same).alias("same"), F.sum(turn).alias("turn"), F.sum(F.col("px") ** 2 + F.col("py") ** 2).alias("len"))
+    s = s.withColumn("a", F.col("same") / F.col("len")).withColumn("b", F.col("turn") / F.col("len"))
     a, b = F.col("a"), F.col("b")
-    shift = ((dx - (a * sx - b * sy)) / n).alias("tx"), ((dy - (b * sx + a * sy)) / n).alias("ty")
-    s = s.select("id", "a", "b", *shift)
-    return s.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("a", "b", "tx", "ty")))
+    s = s.withColumn("tx", F.col("dx") - (a * F.col("sx") - b * F.col("sy"))).withColumn("ty", F.col("dy") - (b * F.col("sx") + a * F.col("sy")))
+    return s.select("id", *((F.round(x, 6) + 0.0).alias(x) for x in ("a", "b", "tx", "ty")))
 
 
 # Luminance weights of saturation.
@@ -219,8 +223,8 @@ def adjusted(base: Column, brightness: float, contrast: float, sat: float, warmt
     c = 1 + contrast
     t = 128 * (1 - c) + brightness * 100
     steps = (saturation(1 + sat), shifted((c, c, c), (t, t, t)), shifted((1.0, 1.0, 1.0), (warmth * 30, tint * 25, -warmth * 30)))
-    for step in steps:
-        base = concat_matrix(F.array(*(F.lit(float(x)) for x in step)), base)
+    for step in steps:  # the matrix so far is a lambda's argument, so it is computed once
+        base = F.transform(F.array(base), lambda m, step=step: concat_matrix(F.array(*(F.lit(float(x)) for x in step)), m))[0]
     return base
 
 
@@ -255,7 +259,10 @@ def _colour_sql(b: float, c: float, s: float, w: float, t: float) -> str:
     for k, step in enumerate(steps, 2):
         ctes.append(f"m{k} AS (SELECT b.f, a.r, b.c, sum(CAST(a.x AS DOUBLE) * b.x) AS x FROM ({step}) a JOIN m{k - 1} b ON a.c = b.r GROUP BY ALL)")
     cells = "cells AS (SELECT r, c FROM range(5) i(r), range(5) j(c))"
-    return f"WITH {cells}, {', '.join(ctes)} SELECT f AS filter, CAST(r * 5 + c AS INT) AS i, round(x, 6) + 0.0 AS x FROM m4 WHERE r < 4"
+    names = "[" + ", ".join(f"'{n}'" for n in pairs) + "]"
+    colours = f"d AS (SELECT doc_id, {names}[1 + doc_id % 8] AS f, [doc_id * 37 % 256, n_chars % 256, (doc_id * 11 + n_chars) % 256, 255, 1] AS v FROM documents)"
+    out = "SELECT doc_id, d.f AS filter, CAST(r AS INT) AS channel, round(least(greatest(sum(x * v[c + 1]), 0), 255), 6) + 0.0 AS x FROM d JOIN m4 ON m4.f = d.f WHERE r < 3 GROUP BY ALL"
+    return f"WITH {cells}, {', '.join(ctes)}, {colours} {out}"
 
 
 ADJUSTMENTS = (0.1, 0.2, -0.3, 0.5, -0.25)
@@ -263,25 +270,31 @@ ADJUSTMENTS = (0.1, 0.2, -0.3, 0.5, -0.25)
 
 @query(_colour_sql(*ADJUSTMENTS), "")
 def color_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Every filter with adjustments, as one matrix each."""
-    names = spark.createDataFrame([(n, *([float(x) for x in m] for m in pair)) for n, pair in FILTERS.items()], "filter string, first array<double>, second array<double>")
-    m = names.select("filter", F.posexplode(adjusted(concat_matrix(F.col("second"), F.col("first")), *ADJUSTMENTS)).alias("i", "x"))
-    return m.select("filter", "i", (F.round("x", 6) + 0.0).alias("x"))
-
-
-@query("""WITH t AS (SELECT id, list_transform(range(id % 14), lambda x: CAST(x + 100 AS INT)) AS ids FROM range(30) r(id))
- SELECT id, array_to_string(list_concat(list_concat([1], ids[1:8], [2]), list_transform(range(greatest(0, 8 - len(ids))), lambda x: 0)), ',') AS clip,
+    """A colour of every document through one of the filters with adjustments, a matrix each; channels stay within 0 to 255."""
+    names = spark.createDataFrame([(i, n, *([float(x) for x in m] for m in pair)) for i, (n, pair) in enumerate(FILTERS.items())], "k long, filter string, first array<double>, second array<double>")
+    names = names.select("k", "filter", adjusted(concat_matrix(F.col("second"), F.col("first")), *ADJUSTMENTS).alias("m"))
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = load(spark, d, "documents").select("doc_id", (i % 8).alias("k"), F.array(*(c.cast("double") for c in (i * 37 % 256, n % 256, (i * 11 + n) % 256, F.lit(255)))).alias("v"))
+    channel = lambda r: sum((F.col("m")[5 * r + c] * F.col("v")[c] for c in range(4)), F.col("m")[5 * r + 4])
+    out = rows.join(F.broadcast(names), "k").select("doc_id", "filter", F.posexplode(F.array(*(channel(r) for r in range(3)))).alias("channel", "x"))  # eight filters
+    return out.select("doc_id", "filter", "channel", (F.round(F.least(F.greatest("x", F.lit(0.0)), F.lit(255.0)), 6) + 0.0).alias("x"))
+
+
+@query("""WITH t AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda w: CAST(length(w) + 100 AS INT)) AS ids FROM documents)
+ SELECT doc_id, array_to_string(list_concat(list_concat([1], ids[1:8], [2]), list_transform(range(greatest(0, 8 - len(ids))), lambda x: 0)), ',') AS clip,
  array_to_string(list_concat(list_concat(ids[1:9], [2]), list_transform(range(greatest(0, 9 - len(ids))), lambda x: 0)), ',') AS pieces FROM t""", "")
 def pad_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Ids between their marks, cut and padded to ten."""
-    ids = F.when(F.col("id") % 14 > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("id") % 14 - 1), lambda x: (x + 100).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """Every document's ids, one by each word's length, between their marks, cut and padded to ten."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "")
+    ids = F.transform(words, lambda w: (F.length(w) + 100).cast("int"))
 
     def framed(head: list[int], x: Column) -> Column:
         room = 10 - len(head) - 1
         body = F.concat(F.array(*(F.lit(h) for h in head)).cast("array<int>"), F.slice(x, 1, room), F.array(F.lit(2)))
         return F.array_join(F.concat(body, F.array_repeat(F.lit(0), F.lit(10) - F.size(body))), ",")
 
-    return spark.range(30).select("id", framed([1], ids).alias("clip"), framed([], ids).alias("pieces"))
+    rows = load(spark, d, "documents").select("doc_id", ids.alias("ids"))
+    return rows.select("doc_id", framed([1], F.col("ids")).alias("clip"), framed([], F.col("ids")).alias("pieces"))
 
 
 #: A small vocabulary for the encoders' queries.

@@ -12,8 +12,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,17 +114,21 @@ def partitions(df: DataFrame, each: int = 64 << 20, most: int = 100_000) -> int:
     return n
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = 8192) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(v, comp)`` per vertex.
 
-    ``comp`` is the smallest vertex reachable. Minimum labels travel along edges and each
-    round also jumps to the label's own label, so the rounds grow with the logarithm of a
-    component's diameter. All joins are keyed, with a plain shuffle of a checkpoint on each
-    side, so that adaptive execution splits the edges of a hub and the vertices of a large
-    component; minima combine before their shuffle.
+    ``comp`` is the smallest vertex reachable. At most ``few`` edge ends, a checked number,
+    are joined by one task. Of more, minimum labels travel along edges and each round also
+    jumps to the label's own label, so the rounds grow with the logarithm of a component's
+    diameter. All joins are keyed, with a plain shuffle of a checkpoint on each side, so
+    that adaptive execution splits the edges of a hub and the vertices of a large component;
+    minima combine before their shuffle.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpoint(both.where("a <> b").distinct())
+    if both.limit(few + 1).count() <= few:
+        kind = both.schema["a"].dataType
+        return both.coalesce(1).mapInArrow(_united, T.StructType([T.StructField("v", kind), T.StructField("comp", kind)]))
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
     labels = checkpoint(labels.select("v", F.least("v", "m").alias("comp")))
     while True:
@@ -139,3 +145,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task to (vertex, smallest vertex reachable)."""
+    up: dict = {}
+
+    def root(v):
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(v) for v in up], kind)], ["v", "comp"])

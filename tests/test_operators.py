@@ -23,7 +23,7 @@ from galeria.operators import persons as P
 from galeria.operators import search as V
 from galeria.plans import event_queries as EQ
 from galeria.plans.numbering import numbered
-from galeria.plans.shared import checkpoint, partitions, path_of, scratch, stored
+from galeria.plans.shared import checkpoint, components, partitions, path_of, scratch, stored
 from galeria.sources import tables as T
 from galeria.streaming import streams as ST
 from galeria.streaming.snapshots import Snapshots
@@ -118,6 +118,14 @@ def test_names_in_queries():
     assert K.match_names("Hund & Katze", []) == ([], "Hund & Katze")
 
 
+def test_queries_meet_names_by_their_words(spark):
+    names = ["Ida", "Ida B.", "Mary Ann", "J.R. Smith", "Bo", "bo", "Ann", "Person 1", "Person 12", "Ö"]
+    asked = ["ida, bo!", "IDA b. at the sea", "mary  ann", "Mary Ann und Ann.", "j.r. smith? bo.", "Person 12", "person 1.", "nobody", "", "idaho bob", "ö mit Bo"]
+    got = {r["query"]: (r["names"], r["rest"]) for r in P.matched_queries(spark.createDataFrame([(q,) for q in [*asked, None]], "query string"), spark.createDataFrame([(n,) for n in [*names, None, "", " "]], "name string")).collect()}
+    assert got == {q: K.match_names(q, [n for n in names if n]) for q in asked}
+    assert P.matched_queries(spark.createDataFrame([("Ida",)], "query string"), spark.createDataFrame([], "name string")).first()["names"] == []
+
+
 def test_day_labels(spark):
     today = dt.date(2024, 3, 1)
     days = [dt.date(2024, 3, 1), dt.date(2024, 2, 29), dt.date(2024, 2, 27), dt.date(2024, 2, 24), dt.date(2024, 2, 23), dt.date(2023, 12, 31), dt.date(2024, 3, 9)]
@@ -273,12 +281,71 @@ def test_exif_and_crops(spark):
 
 def test_many_centers_meet_in_blocks(spark):
     rng = np.random.default_rng(2)
-    faces = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
-    centers = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)], "person_id long, centroid array<double>")
-    no = spark.createDataFrame([(i, i % 9) for i in range(50)], "face_id long, person_id long")
-    one, *many = (P.assign_nearest(faces, centers, no, 0.1, most_centers=m, most_parts=p) for m, p in ((20_000, 4), (3, 4), (3, 1)))
-    for df in many:
-        assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    x, c = rng.normal(size=(50, 4)), rng.normal(size=(9, 4))
+    c[7] = c[2]  # equal centers: the smaller person
+    faces = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, [1.0])], "id long, embedding array<double>")
+    centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "person_id long, centroid array<double>")
+    no = [(i, i % 9) for i in range(50)] + [(3, p) for p in range(9)] + [(4, 77)]
+    want = {}
+    for i in range(50):
+        allowed = [p for p in range(9) if (i, p) not in no]
+        if allowed:
+            score = max((float((x[i] * c[p]).sum()), -p) for p in allowed)
+            want[i] = (-score[1] if score[0] >= 0.1 else None, score[0])
+    no = spark.createDataFrame(no, "face_id long, person_id long")
+    for options in ({}, {"part_bytes": 96}, {"part_bytes": 96, "most_parts": 9}, {"part_bytes": 96, "slice_rows": 7}):
+        got = {r["face_id"]: (r["person_id"], r["score"]) for r in P.assign_nearest(faces, centers, no, 0.1, **options).collect()}
+        assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want)
+    assert P.assign_nearest(faces, centers.limit(0), no, 0.1).count() == 0
+
+
+def plain_pairs(rows, threshold, window):
+    x = np.array([v for _, _, v in rows])
+    s = x @ x.T
+    return {
+        (a, b) for i, (a, ta, _) in enumerate(rows) for j, (b, tb, _) in enumerate(rows)
+        if s[i, j] >= threshold and (ta, a) < (tb, b) and tb - ta <= window
+    }
+
+
+@pytest.mark.parametrize(("threshold", "length"), [(0.93, 1.0), (0.93, 1.3), (0.2, 1.0), (-0.1, 1.0), (1.9, 1.0)])
+def test_bursts_lose_no_pair(spark, threshold, length):
+    rng = np.random.default_rng(4)
+    scenes = rng.normal(size=(12, 8))
+    x = scenes[rng.integers(12, size=300)] + 0.15 * rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= rng.uniform(0.7, length, size=(300, 1)) if length > 1 else 1
+    x[5] = 0
+    rows = [(i, int(rng.integers(0, 2500)), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, ts_ms long, vector array<double>")
+    want = plain_pairs(rows, threshold, 1000)
+    for block in (1 << 24, 200):
+        got = [tuple(r) for r in V.near_pairs(df, threshold, 1000, block=block, most_pivots=9).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert want or threshold > 1
+
+
+def test_bursts_multiply_few(spark):
+    """A burst of 20,000 photos of 100 scenes: cells hold a tenth of all pairs at most."""
+    rng = np.random.default_rng(6)
+    n = 20_000
+    x = rng.normal(size=(100, 32))[rng.integers(100, size=n)] + 0.2 * rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pdf = pd.DataFrame({"id": np.arange(n), "ts": rng.integers(0, 1000, n), "v": x.tolist()})
+    rows = spark.createDataFrame(pdf, "id long, ts long, v array<double>").withColumn("k", F.lit(0).cast("long"))
+    hot = spark.createDataFrame([(0, n, 0)], "k long, n long, next long")
+    a, b = V.burst_cells(rows, rows, hot, 0.93, 1 << 24)
+    keys = ["k", "cell", "p", "q"]
+    met = a.groupBy(*keys).count().withColumnRenamed("count", "n").join(b.groupBy(*keys).count(), keys)
+    assert met.agg(F.sum(F.col("n") * F.col("count"))).first()[0] < n * (n - 1) / 2 / 10
+
+
+def test_components_of_few_and_many_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (5, 2), (7, 8), (9, 9), (8, 10), (10, 7), (3, 1)], "a long, b long")
+    want = {(1, 1), (2, 1), (3, 1), (5, 1), (7, 7), (8, 7), (10, 7)}
+    for few in (8192, 0):
+        assert {tuple(r) for r in components(edges, few).collect()} == want
+        assert components(edges.limit(0), few).count() == 0
 
 
 def test_colour_matrices_compose():
