@@ -9,6 +9,7 @@ are bit arrays, constants of the plan.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -21,9 +22,11 @@ from galeria.llm.common import checkpoint, fresh, scratch, table
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Hosts with one of these words in a label are listed for blocking where no rule fits.
 WORDS = ("spam", "casino", "adult", "porn", "malware", "phishing", "warez", "torrent", "clickbait", "tracker")
+#: What marks a title as junk, and how far a host's share of such pages must exceed that of all pages.
+JUNK, EXCESS = r"<title>[^<]*([*][*][*]|###|%%%)", 3
 #: Bits of one level that a plan may carry as a constant (2 MiB); see ``Cascade``.
 MAX_BITS = 1 << 24
-#: Shapes (labels of the host, length of the path) that a table of rules may have.
+#: Shapes (labels of the host, length of the path) that a table of rules may have, and numbers of labels that listed hosts may.
 MAX_SHAPES = 500
 
 
@@ -129,13 +132,20 @@ def shapes_of(rules: DataFrame) -> list[tuple[int, int]]:
 
 
 def rule_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """All strings host suffix + path prefix of the rules' shapes, longest first; a long host or path costs no more."""
-    labels_of = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
-    keys = [
-        F.when((labels_of >= labels) & (F.length(path) >= length), F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length)))
-        for labels, length in shapes
-    ]
-    return F.array_sort(F.array_compact(F.array(*keys)), lambda a, b: F.length(b) - F.length(a)) if keys else F.array().cast("array<string>")
+    """All strings host suffix + path prefix of the rules' shapes, longest first, of equally long ones that of the longer host first."""
+    if not shapes:
+        return F.array().cast("array<string>")
+    known = F.from_json(F.lit(json.dumps([{"labels": a, "length": b} for a, b in shapes])), "array<struct<labels:int,length:int>>")
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+    fits = F.filter(known, lambda x: (x["labels"] <= labels) & (x["length"] <= F.length(path)))
+    keys = F.transform(fits, lambda x: F.concat(_suffix(host, x["labels"]), F.substring(path, F.lit(1), x["length"])))
+    own = lambda k: F.length(F.substring_index(k, "/", 1))
+    return F.array_sort(keys, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(own(b) - own(a)))
+
+
+def _suffix(host: Column, labels: Column) -> Column:
+    """The last labels of a host, or all of it."""
+    return F.call_function("substring_index", host, F.lit("."), -labels)
 
 
 def filter_urls(
@@ -144,12 +154,14 @@ def filter_urls(
     """``pages`` with host, path, rule and verdict; returns the frame and these names.
 
     ``rules`` maps "host/path prefix" to allow or block, as a dict or as a table (rule,
-    verdict); the longest that fits decides. ``blocked`` is a table whose first column
-    lists hosts, of any number, nulls and repeats allowed; a page that no rule fits is
-    blocked if its host or a parent domain is listed. Membership comes from cascades over
-    all keys of the pages: tables meet only on distinct keys, never with the pages. Null
-    URLs and those without ``://`` have empty host and path and are allowed unless the empty
-    host is listed. Repeated rows each keep their row; an empty table gives no rows.
+    verdict); the longest that fits decides, of equally long ones that of the longer host;
+    a rule under both verdicts blocks. ``blocked`` is a table whose first column lists
+    hosts, of any number of labels, nulls and repeats allowed; a page that no rule fits is
+    blocked if its host or a parent domain is listed. Membership comes from one cascade over
+    all keys of the pages, tagged by what they are: tables meet only on distinct keys, never
+    with the pages. Null URLs and those without ``://`` have empty host and path and are
+    allowed unless the empty host is listed. Repeated rows each keep their row; an empty
+    table gives no rows.
     """
     spark = pages.sparkSession
     names = tuple(fresh(pages, c) for c in ("host", "path", "rule", "verdict"))
@@ -158,59 +170,82 @@ def filter_urls(
     rules = rules.select("rule", "verdict").where("rule IS NOT NULL").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     shapes = shapes_of(rules)
     h, p = host_and_path(F.col(f"`{url}`"))
-    keys = rule_keys(F.col("host"), F.col("path"), shapes)
     host, path, rule, verdict = (F.col(f"`{c}`") for c in names)
-    own = F.lit("allow")
+    tagged = lambda tag, key: F.concat(F.lit(tag), key)
+    counts: list[int] = []
     with scratch(spark):
-        hosts = checkpoint(pages.select(h.alias("host"), p.alias("path")).select("host", keys.alias("keys")).distinct())
-        found = hosts.select(F.explode("keys").alias("key")).distinct()
-        found = checkpoint(found.join(rules.withColumnRenamed("rule", "key"), "key", "left"))
-        cascades = {v: Cascade(found.select("key", F.col("verdict").eqNullSafe(F.lit(v)).alias("listed")), max_bits) for v in ("allow", "block")}
+        listed = rules.select(tagged(ALLOWED, F.col("rule")).alias("key")).where("verdict = 'allow'").union(rules.where("verdict = 'block'").select(tagged(BLOCKED, F.col("rule"))))
+        hosts = pages.select(h.alias("host"), p.alias("path"))
+        keys = F.transform(rule_keys(F.col("host"), F.col("path"), shapes), lambda k: F.array(tagged(ALLOWED, k), tagged(BLOCKED, k)))
+        keys = F.flatten(keys)
         if blocked is not None:
-            listed = blocked.select(F.col(f"`{blocked.columns[0]}`").alias("key")).where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
-            counts = sorted(r[0] for r in listed.select(F.size(F.split("key", r"\."))).distinct().collect())
-            suffixes = lambda c: [F.substring_index(c, ".", -n) for n in counts]
-            universe = hosts.select(F.explode(F.array(*suffixes(F.col("host")))).alias("key")).distinct() if counts else hosts.select(F.col("host").alias("key")).distinct()
-            bad = Cascade(checkpoint(universe.join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))), max_bits)
-            own = F.when(F.exists(F.array(*suffixes(host)), bad.contains), "block").otherwise("allow") if counts else own
+            own = checkpoint(blocked.select(F.col(f"`{blocked.columns[0]}`").alias("key")).where("key IS NOT NULL").distinct())
+            counts = sorted(r[0] for r in own.select(F.size(F.split("key", r"\."))).distinct().limit(MAX_SHAPES + 1).collect())
+            if len(counts) > MAX_SHAPES:
+                raise ValueError(f"the listed hosts have over {MAX_SHAPES} numbers of labels")
+            listed = listed.union(own.select(tagged(HOST, F.col("key"))))
+            keys = F.concat(keys, F.transform(_suffixes(F.col("host"), counts), lambda k: tagged(HOST, k)))
+        universe = hosts.select(F.explode(F.array_distinct(keys)).alias("key")).distinct()
+        universe = universe.join(listed.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+        cascade = Cascade(checkpoint(universe), max_bits)
 
     keys_name, verdicts = fresh(pages, "rule_keys"), fresh(pages, "rule_hits")
     out = pages.withColumns({names[0]: h, names[1]: p})
     out = out.withColumn(keys_name, rule_keys(host, path, shapes))
 
     def judged(key: Column) -> Column:
-        v = F.when(cascades["block"].contains(key), "block").when(cascades["allow"].contains(key), "allow")
-        return F.struct(key.alias("key"), v.alias("verdict"))
+        tag = F.transform(F.array(F.lit(BLOCKED), F.lit(ALLOWED)), lambda t: F.when(cascade.contains(F.concat(t, key)), t))
+        return F.struct(key.alias("key"), F.get(F.array_compact(tag), F.lit(0)).alias("tag"))
 
-    hits = F.filter(F.transform(F.col(f"`{keys_name}`"), judged), lambda x: x["verdict"].isNotNull())
+    hits = F.filter(F.transform(F.col(f"`{keys_name}`"), judged), lambda x: x["tag"].isNotNull())
     out = out.withColumn(verdicts, F.get(hits, F.lit(0)))
     hit = F.col(f"`{verdicts}`")
-    out = out.withColumns({names[2]: hit["key"], names[3]: F.coalesce(hit["verdict"], own)})
+    rest = F.when(F.exists(F.transform(_suffixes(host, counts), lambda k: F.concat(F.lit(HOST), k)), cascade.contains), "block").otherwise("allow") if counts else F.lit("allow")
+    decided = F.when(hit["tag"] == BLOCKED, "block").when(hit["tag"] == ALLOWED, "allow").otherwise(rest)
+    out = out.withColumns({names[2]: hit["key"], names[3]: decided})
     return out.drop(keys_name, verdicts), names
 
 
+#: What a key of the cascade is.
+ALLOWED, BLOCKED, HOST = "a ", "b ", "h "
+
+
+def _suffixes(host: Column, counts: list[int]) -> Column:
+    """The host's suffixes of so many labels each, the host itself where it has no more."""
+    return F.array_distinct(F.transform(F.from_json(F.lit(json.dumps(counts)), "array<int>"), lambda n: _suffix(host, n)))
+
+
 def listed_host(host: Column) -> Column:
     """The condition that lists hosts: a listed word stands between dots or hyphens."""
     return host.rlike("(^|[.-])(" + "|".join(WORDS) + ")([.-]|$)")
 
 
-def block_list(pages: DataFrame, url: str = "url") -> DataFrame:
-    """A table of hosts to block: those of the pages with a listed word."""
+def block_list(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """A table of hosts to block: those of the pages with a listed word, and those whose pages' titles hold junk.
+
+    A host is listed if the share of its pages with a run of marks in the title is over
+    ``EXCESS`` times the share among all pages; null pages have none.
+    """
     host, _ = host_and_path(F.col(f"`{url}`"))
-    return pages.select(host.alias("host")).where(listed_host(F.col("host"))).distinct()
+    junk = F.coalesce(F.col(f"`{html}`").rlike(JUNK), F.lit(False)).cast("int")
+    counts = checkpoint(pages.select(host.alias("host"), junk.alias("junk")).groupBy("host").agg(F.count("*").alias("n"), F.sum("junk").alias("junk")))
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("junk").alias("junk")).first()
+    over = F.col("junk") * F.lit(whole["n"] or 0) > F.lit(EXCESS * (whole["junk"] or 0)) * F.col("n")
+    return counts.where(listed_host(F.col("host")) | over).select("host")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    pages, (host, path, rule, verdict) = filter_urls(pages, RULES, block_list(pages))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    with scratch(spark):
+        pages, (host, path, rule, verdict) = filter_urls(pages, RULES, block_list(pages))
     return pages.select("page_id", *(F.col(c).alias(n) for c, n in ((host, "host"), (path, "path"), (rule, "rule"), (verdict, "verdict"))))
 
 
 _VALUES = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in RULES.items())
 ORACLE_SQL = f"""
 WITH split AS (
-  SELECT row_number() OVER () AS n, page_id,
+  SELECT row_number() OVER () AS n, page_id, coalesce(regexp_matches(html, '{JUNK}'), false) AS junk,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM pages),
@@ -218,8 +253,10 @@ rules(rule, rule_host, rule_path, verdict) AS (VALUES {_VALUES}),
 best AS (
   SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
   FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY n)
+  GROUP BY n),
+per AS (SELECT host, count(*) AS pages, count(*) FILTER (junk) AS junk FROM split GROUP BY 1),
+bad AS (SELECT host FROM per, (SELECT sum(pages) AS p, sum(junk) AS j FROM per) WHERE regexp_matches(host, '(^|[.-])({"|".join(WORDS)})([.-]|$)') OR per.junk * p > {EXCESS} * j * per.pages)
 SELECT page_id, host, path, rule,
-  coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE split.host = bad.host OR ends_with(split.host, '.' || bad.host)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM split LEFT JOIN best USING (n)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,27 @@ def test_rules_as_a_table_and_long_urls(spark):
     assert got[9000] == (None, "allow") and got[9001] == ("h1.net/p", "block")
 
 
+def test_equally_long_rules_and_many_label_counts(spark):
+    out, (_, _, rule, verdict) = urls.filter_urls(spark.createDataFrame([(1, "http://a.b.org/xx/y"), (2, "http://c.org/xx"), (3, "http://b.org/")], "page_id long, url string"), {"b.org/": "block", "org/xx": "allow"})
+    assert {r["page_id"]: (r[rule], r[verdict]) for r in out.collect()} == {1: ("b.org/", "block"), 2: ("org/xx", "allow"), 3: ("b.org/", "block")}
+    hosts = [".".join(["x"] * n + ["net"]) for n in range(1, 400)]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["net", *hosts, "a.org"])], "page_id long, url string")
+    began = time.perf_counter()
+    out, (_, _, _, verdict) = urls.filter_urls(pages, {}, spark.createDataFrame([(h,) for h in hosts[4:]], "host string"))
+    assert [r["page_id"] for r in out.orderBy("page_id").collect() if r[verdict] == "block"] == list(range(5, 400)) and time.perf_counter() - began < 60
+
+
+def test_hosts_of_junk_titles_are_listed(spark):
+    title = lambda junk: f"<html><title>a {'***' if junk else '**'} b</title>###</html>"
+    rows = [("http://bad.net/1", title(True)), ("http://bad.net/2", title(False)), ("http://www.bad.net/", title(False)), (None, None), ("http://y.spam.org/", None)]
+    rows += [(f"http://good{i}.net/", title(False)) for i in range(20)] + [("http://some.net/", title(i == 0)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert {r["host"] for r in urls.block_list(pages).collect()} == {"bad.net", "y.spam.org"}
+    out, (_, _, _, verdict) = urls.filter_urls(pages, {}, urls.block_list(pages))
+    assert {r["url"] for r in out.collect() if r[verdict] == "block"} == {"http://bad.net/1", "http://bad.net/2", "http://www.bad.net/", "http://y.spam.org/"}
+    assert urls.block_list(pages.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 16))[rng.integers(60, size=3000)] + 0.5 * rng.normal(size=(3000, 16))
