@@ -416,6 +416,12 @@ def index_diff(spark: SparkSession, d: str) -> DataFrame:
     return M.index_diff(media(spark, d), T.known_keys(spark, d))
 
 
+@query(_DIFF.replace("FROM media m", "FROM (SELECT * FROM media WHERE mime_type LIKE 'image/%') m"), "media", "known_keys")
+def index_settings(spark: SparkSession, d: str) -> DataFrame:
+    """What an index has to do once videos are switched off: their keys are gone, too."""
+    return M.index_diff(media(spark, d).where(C.is_image()), T.known_keys(spark, d))
+
+
 @query(f"WITH x AS ({_DIFF}) SELECT key AS media_id, date_modified, 0 AS vector_bytes FROM x WHERE status IN ('new', 'changed') AND key % 4 = 1", "media", "known_keys")
 def tombstones(spark: SparkSession, d: str) -> DataFrame:
     """Empty vectors for files that fail, so that they are not tried again."""

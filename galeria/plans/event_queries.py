@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def switch_latest(spark: SparkSession, d: str) -> DataFrame:
     return ST.switch_latest(keys, e.withColumn("key", F.col("user_id"))).select("event_id", "user_id")
 
 
+@query("""WITH e AS (SELECT *, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS now FROM events)
+ SELECT event_id, user_id FROM e WHERE event_id % 3 <> 0 AND event_type = now""", "")
+def switch_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the type that their user has selected last; every third event selects its own."""
+    return ST.switched(events(spark, d), "user_id", "event_type", F.col("event_id") % 3 == 0).select("event_id", "user_id")
+
+
 _SIDE = "least(greatest((r - l) * 1000, (l + 0.3 - l / 2) * 600) * 1.7, 1000, 600)"
 
 
@@ -97,7 +106,7 @@ _GEO_SQL = f"""CASE event_id % 11 WHEN 3 THEN 'nowhere' WHEN 5 THEN '+00.0000+00
  ELSE printf('%+08.4f%+09.4f/', {_LAT}, {_LON}) END"""
 
 
-@query(f"""WITH t AS (SELECT event_id, {_GEO_SQL} AS text FROM events), m AS (SELECT event_id, TRY_CAST(regexp_extract(text, '([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)', 1) AS DOUBLE) AS lat, TRY_CAST(regexp_extract(text, '([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)', 2) AS DOUBLE) AS lon FROM t),
+@query(f"""WITH t AS (SELECT event_id, {_GEO_SQL} AS text FROM events), m AS (SELECT event_id, TRY_CAST(regexp_extract(text, '([+-]\\d+(?:\\.\\d+)?)([+-]\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS lat, TRY_CAST(regexp_extract(text, '([+-]\\d+(?:\\.\\d+)?)([+-]\\d+(?:\\.\\d+)?)', 2) AS DOUBLE) AS lon FROM t),
  f AS (SELECT *, lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS ok FROM m) SELECT event_id, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lon END AS lon FROM f""", "")
 def parse_geo(spark: SparkSession, d: str) -> DataFrame:
     """Places of the ISO 6709 texts that events are written down with."""
@@ -224,7 +233,8 @@ def adjusted(base: Column, brightness: float, contrast: float, sat: float, warmt
     t = 128 * (1 - c) + brightness * 100
     steps = (saturation(1 + sat), shifted((c, c, c), (t, t, t)), shifted((1.0, 1.0, 1.0), (warmth * 30, tint * 25, -warmth * 30)))
     for step in steps:  # the matrix so far is a lambda's argument, so it is computed once
-        base = F.transform(F.array(base), lambda m, step=step: concat_matrix(F.array(*(F.lit(float(x)) for x in step)), m))[0]
+        after = F.array(*(F.lit(float(x)) for x in step))
+        base = F.transform(F.array(base), partial(concat_matrix, after))[0]
     return base
 
 
@@ -297,24 +307,55 @@ def pad_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", framed([1], F.col("ids")).alias("clip"), framed([], F.col("ids")).alias("pieces"))
 
 
-#: A small vocabulary for the encoders' queries.
+#: Small vocabularies for the encoders' queries.
 MERGES = [("t", "h"), ("th", "e</w>"), ("a", "n"), ("i", "n"), ("in", "g</w>"), ("e", "r"), ("an", "d</w>")]
+PIECE_MERGES = [("▁", "t"), ("▁t", "h"), ("▁th", "e"), ("a", "n")]
+LETTERS = K.byte_letters()
+CLIP = ["<unk>", *LETTERS, *(x + "</w>" for x in LETTERS), *(a + b for a, b in MERGES)]
+PIECE = ["<unk>", "▁", *"abcdefghijklmnopqrstuvwxyz", *(a + b for a, b in PIECE_MERGES), *(f"<0x{b:02X}>" for b in range(256))]
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
+def _merged_sql(symbols: str, merges: list[tuple[str, str]], vocabulary: list[str]) -> str:
+    """Ids of symbols that stand between marks (character 1): merged by rank, as no merge here makes a pair of a lower one."""
+    for a, b in merges:
+        symbols = f"replace({symbols}, chr(1) || {_quoted(a)} || chr(1) || chr(1) || {_quoted(b)} || chr(1), chr(1) || {_quoted(a + b)} || chr(1))"
+    known = "[" + ", ".join(map(_quoted, vocabulary)) + "]"
+    return f"list_transform(list_filter(string_split({symbols}, chr(1)), lambda x: x <> ''), lambda x: coalesce(list_position({known}, x), 1) - 1)"
 
-@query()
+
+_PIECES = K.PIECES.pattern.replace("'", "''")
+_BYTES = "list_transform(range(1, len(hex(encode({0}))), 2), lambda i: CAST('0x' || hex(encode({0}))[i:i + 1] AS INT))"
+_LETTER = "[" + ", ".join(map(_quoted, LETTERS)) + "][b + 1]"
+_DIGESTED = "SELECT {0}, CAST(len(ids) AS INT) AS n, md5(array_to_string(ids, ',')) AS digest"
+
+
+@query(f"""WITH p AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')), '{_PIECES}') AS ps FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM p), u AS (SELECT DISTINCT p FROM w),
+ l AS (SELECT p, array_to_string(list_transform({_BYTES.format("p")}, lambda b: chr(1) || {_LETTER}), chr(1)) || '</w>' || chr(1) AS s FROM u),
+ e AS (SELECT p, {_merged_sql("s", MERGES, CLIP)} AS ids FROM l),
+ d AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM w JOIN e USING (p) GROUP BY doc_id),
+ a AS (SELECT documents.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(ids, []) END AS ids FROM documents LEFT JOIN d ON d.doc_id = documents.doc_id) {_DIGESTED.format("doc_id")} FROM a""", "")
 def bpe_clip(spark: SparkSession, d: str) -> DataFrame:
     """Ids of all documents by words and merges."""
-    letters = K.byte_letters()
-    symbols = ["<unk>", *letters, *(x + "</w>" for x in letters), *(a + b for a, b in MERGES)]
-    encode = K.tokenizer("clip", {s: i for i, s in enumerate(symbols)}, MERGES)
-    return load(spark, d, "documents").select("doc_id", encode("text").alias("ids")).select("doc_id", F.size("ids").alias("n"), F.hash("ids").alias("h"))
+    encode = K.tokenizer("clip", {s: i for i, s in enumerate(CLIP)}, MERGES)
+    return digested(load(spark, d, "documents").select("doc_id", encode("text").alias("ids")))
 
 
-@query()
+@query(f"""WITH t AS (SELECT item_id, string_split(replace(lower(text), ' ', '▁'), '') AS cs FROM benchmark WHERE text IS NOT NULL),
+ s AS (SELECT item_id, array_to_string(list_transform(cs, lambda c: CASE WHEN regexp_full_match(c, '[a-z▁]') THEN chr(1) || c || chr(1) ELSE regexp_replace(hex(encode(c)), '(..)', chr(1) || '<0x\\1>' || chr(1), 'g') END), '') AS s FROM t),
+ a AS (SELECT benchmark.item_id, {_merged_sql("s", PIECE_MERGES, PIECE)} AS ids FROM benchmark LEFT JOIN s ON s.item_id = benchmark.item_id) {_DIGESTED.format("item_id")} FROM a""", "")
 def bpe_sp(spark: SparkSession, d: str) -> DataFrame:
     """Ids of short texts as one word, with bytes for unknown characters."""
-    merges = [("▁", "t"), ("▁t", "h"), ("▁th", "e"), ("a", "n")]
-    symbols = ["<unk>", "▁", *"abcdefghijklmnopqrstuvwxyz", *(a + b for a, b in merges), *(f"<0x{b:02X}>" for b in range(256))]
-    encode = K.tokenizer("pieces", {s: i for i, s in enumerate(symbols)}, merges)
+    encode = K.tokenizer("pieces", {s: i for i, s in enumerate(PIECE)}, PIECE_MERGES)
     texts = load(spark, d, "benchmark").select("item_id", F.lower("text").alias("text"))
-    return texts.select("item_id", encode("text").alias("ids")).select("item_id", F.size("ids").alias("n"), F.hash("ids").alias("h"))
+    return digested(texts.select("item_id", encode("text").alias("ids")))
+
+
+def digested(encoded: DataFrame) -> DataFrame:
+    """The first column, the number of ids, and a digest of them; null without a text."""
+    n, ids = F.when(F.col("ids").isNotNull(), F.size("ids")), F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(encoded.columns[0], n.alias("n"), F.md5(ids).alias("digest"))
