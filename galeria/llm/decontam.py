@@ -2,7 +2,8 @@
 
 Every item's windows (``window`` consecutive words; an item of fewer words is one window)
 become patterns of a single automaton over words. A document's words are scanned once;
-match ends are word numbers, and word numbers map to byte offsets of the original text.
+match ends are word numbers, and word numbers map to byte offsets of the original text. A
+benchmark too large for one automaton is found by the keys of its windows instead.
 """
 
 from __future__ import annotations
@@ -13,15 +14,17 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from galeria.llm.common import checkpoint, fresh, stored, table
+from galeria.llm.phrases import PRIME, has, places
 
 #: Separators become spaces and A-Z become lower case; bytes of 0x80 and more are parts of words.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -83,7 +86,7 @@ _BUILT: dict[str, Matcher] = {}
 
 
 def _matcher(token: str, items: Callable[[], list], window: int) -> Matcher:
-    """The matcher of a benchmark's part, built once a Python worker, which holds one at a time."""
+    """The matcher of a benchmark, built once a Python worker, which holds one at a time."""
     if token not in _BUILT:
         _BUILT.clear()
         _BUILT[token] = Matcher(items(), window)
@@ -115,20 +118,86 @@ def _pairs(values: list) -> pa.Array:
     return pa.array([[{"first": a, "end": b} for a, b in r] for r in values], PAIRS)
 
 
-def _hits(matcher: Callable[[], Matcher]):
-    """(row, text) to (row, hits, items) of rows with hits."""
+def _keys(window: int):
+    """Slices of items (id, text) to their windows: a key of 128 bits, the filter's hash and the item's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = matcher()
         for batch in batches:
-            rows, hits, items = [], [], []
+            keys, hashes, lengths, ids = [], [], [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ws = words(text.as_py())
+                n = min(window, len(ws))
+                if n:
+                    h = _rolled(_hashed(ws), n)
+                    hashes.append(h)
+                    keys += [xxh3_128_digest(b" ".join(ws[i : i + n])) for i in range(len(h))]
+                    lengths += [n] * len(h)
+                    ids += [item_id] * len(h)
+            h = np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(h), pa.array(lengths, pa.int32()), pa.array(ids, pa.string())], ["key", "h", "n", "id"])
+
+    return run
+
+
+def _hashed(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, ws), np.uint64, len(ws))
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n words, from those of the words; unlike for unlike n."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(h) - n + 1, n, np.uint64)
+        for j in range(n):
+            out = out * PRIME + h[j : len(h) - n + 1 + j]
+    return out
+
+
+def _marks(bits: int):
+    """Hashes to the words of a bit filter that they set, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            place = np.unique(np.concatenate(places(h, bits)))
+            cells, first = np.unique(place >> np.uint64(6), return_index=True)
+            one = np.uint64(1) << (place & np.uint64(63))
+            masks = np.bitwise_or.reduceat(one, first) if len(first) else one
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), pa.array(masks.view(np.int64))], ["cell", "mask"])
+
+    return run
+
+
+def _bits(windows: DataFrame, most: int) -> np.ndarray:
+    """A filter of the windows' hashes of 16 bits each, at most ``most``; a false positive costs a looked-up key."""
+    bits = 1 << 10
+    while bits < most and bits < 16 * windows.count():
+        bits *= 2
+    got = windows.select("h").mapInArrow(_marks(bits), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[got["cell"].to_numpy()] = got["mask"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _candidates(shared, lengths: list[int]):
+    """(row, text) to (row, key, n, at): the windows that pass the filter, each once a row with all its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            rows, keys, sizes, at = [], [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ranges, got = found.scan(words(text.as_py()))
-                if ranges:
-                    rows.append(row)
-                    hits.append(ranges)
-                    items.append(sorted(got))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _pairs(hits), pa.array(items, pa.list_(pa.string()))], ["row", "hits", "items"])
+                ws = words(text.as_py())
+                h = _hashed(ws)
+                for n in lengths:
+                    found: dict[bytes, list[int]] = {}
+                    if n <= len(ws):
+                        for i in np.flatnonzero(has(bits, _rolled(h, n))).tolist():
+                            found.setdefault(xxh3_128_digest(b" ".join(ws[i : i + n])), []).append(i)
+                    rows += [row] * len(found)
+                    keys += found.keys()
+                    at += found.values()
+                    sizes += [n] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["row", "key", "n", "at"])
 
     return run
 
@@ -184,16 +253,17 @@ def _slices(window: int, most: int):
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_items_bytes: int = 1 << 20, keep_text: bool = True
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_items_bytes: int = 1 << 20, keep_text: bool = True, most_bits: int = 1 << 27
 ) -> tuple[DataFrame, tuple[str, str, str, str]]:
     """``docs`` with four columns more: words, hit word ranges, item ids and hit byte ranges.
 
-    Returns the frame and the four names (clashing names get an underscore). The benchmark
-    is sent to the executors in parts of at most ``max_items_bytes`` of text (one slice of
-    an item at least), by a checked size; a part's automaton takes about 160 bytes for each
-    of text. A benchmark of one part is scanned for in one pass over the texts. For more,
-    the texts are written once to the shared folder, each part is a pass over them that
-    gives only rows with hits, and these are put together by row.
+    Returns the frame and the four names (clashing names get an underscore). A benchmark of
+    at most ``max_items_bytes`` of text, a checked size, is sent to the executors and
+    scanned for by one automaton in one pass over the texts; it takes about 160 bytes for
+    each of text. Of a larger one only a bit filter of its windows goes there, at most
+    ``most_bits``: the texts are written once to the shared folder, one pass gives the
+    windows that pass the filter, once a row, and these meet the benchmark's by a key of 128
+    bits. However large the benchmark is, texts are read twice and no task holds it.
     ``keep_text=False`` leaves the text column out of the result.
     Null and empty texts have no words and no hits; items without words match nothing; an
     item without an id still marks words. Repeated rows each keep their row. An empty
@@ -202,35 +272,30 @@ def contamination(
     spark = docs.sparkSession
     names = tuple(fresh(docs, c) for c in ("n_words", "hit_words", "hit_items", "hit_bytes"))
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text")).distinct()
-    items = checkpoint(items.mapInArrow(_slices(window, max(1, max_items_bytes // 4)), "id string, text string"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("c")).first()
-    parts = max(1, -(-size["n"] // max_items_bytes))
-    number = lambda parts: F.pmod(F.xxhash64("id", "text"), F.lit(parts))
-    while parts > 1 and parts < 4 * size["c"]:
-        if items.groupBy(number(parts)).agg(F.sum(F.octet_length("text")).alias("n")).where(F.col("n") > max_items_bytes).isEmpty():
-            break
-        parts *= 2
+    items = checkpoint(items.mapInArrow(_slices(window, max(1, min(max_items_bytes, 1 << 20) // 4)), "id string, text string"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     pair = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = (T.LongType(), pair, T.ArrayType(T.StringType()), pair)
     added = [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
-
-    def sent(part: int) -> Callable[[], Matcher]:
-        rows = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in items.where(number(parts) == part).collect()])
+    if size <= max_items_bytes:
+        rows = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in items.collect()])
         token = uuid.uuid4().hex
-        return lambda: _matcher(token, lambda: rows.value, window)
+        matcher = lambda: _matcher(token, lambda: rows.value, window)
+        return docs.mapInArrow(_finish(matcher, text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
 
-    if parts == 1:
-        return docs.mapInArrow(_finish(sent(0), text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
     row = fresh(docs, "row")
     held, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    given = T.StructType([T.StructField("row", T.LongType()), T.StructField("hits", pair), T.StructField("items", T.ArrayType(T.StringType()))])
-    texts = held.select(row, F.col(f"`{text}`"))
-    used = [r[0] for r in items.select(number(parts)).distinct().collect()]
-    found = reduce(DataFrame.union, (texts.mapInArrow(_hits(sent(part)), given) for part in sorted(used)))
-    found = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias(names[1]), F.flatten(F.collect_list("items")).alias(names[2]))
-    met = held.join(found.withColumnRenamed("row", row), row, "left").drop(row)
-    return met.mapInArrow(_finish(None, text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
+    windows, _ = stored(items.mapInArrow(_keys(window), "key binary, h long, n int, id string"), "windows")
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most ``window``
+    shared = spark.sparkContext.broadcast(_bits(windows, most_bits))
+    found, _ = stored(held.select(row, F.col(f"`{text}`")).mapInArrow(_candidates(shared, lengths), "row long, key binary, n int, at array<int>"), "candidates")
+    known, _ = stored(windows.groupBy("key").agg(F.collect_set("id").alias("ids")), "keys")
+    met = found.join(known, "key").groupBy("row").agg(F.collect_list(F.struct("n", "at")).alias("hits"), F.collect_list("ids").alias("ids"))
+    ranges = F.flatten(F.transform("hits", lambda x: F.transform(x["at"], lambda i: F.struct(i.cast("long").alias("first"), (i + x["n"]).cast("long").alias("end")))))
+    met = met.select(F.col("row").alias(row), ranges.alias(names[1]), F.array_distinct(F.flatten("ids")).alias(names[2]))
+    out = held.join(met, row, "left").drop(row)
+    return out.mapInArrow(_finish(None, text, names, [f.name for f in kept]), T.StructType([*kept, *added])), names
 
 
 def digest(ids: list[str]) -> str:

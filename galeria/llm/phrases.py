@@ -37,7 +37,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed=7) for w in words], np.uint64)
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two places of each hash in a filter of so many bits, a power of two."""
     a = h * FIRST
     a ^= a >> np.uint64(31)
@@ -47,9 +47,9 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return a & mask, b & mask
 
 
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     found = np.ones(len(h), bool)
-    for place in _places(h, 8 * len(bits)):
+    for place in places(h, 8 * len(bits)):
         found &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
     return found
 
@@ -85,7 +85,7 @@ def _phrases(tokens: list[bytes], part: str, filters: list[np.ndarray]) -> tuple
     for level, bits in enumerate(filters, 1):
         ok = ok.copy()
         at = np.flatnonzero(ok)
-        ok[at] = _has(bits, run[at] ^ seed)
+        ok[at] = has(bits, run[at] ^ seed)
         ok = ok[:-1] & ok[1:]
         run = run[:-1] * PRIME + h[codes[level:]]
     at = np.flatnonzero(ok)
@@ -128,7 +128,7 @@ def _marks(bits: int):
                 if part not in seeds:
                     seeds[part] = _seed(part)
                 h[i] = np.uint64(run) ^ seeds[part]
-            place = np.unique(np.concatenate(_places(h, bits)))
+            place = np.unique(np.concatenate(places(h, bits)))
             cells, first = np.unique(place >> np.uint64(6), return_index=True)
             one = np.uint64(1) << (place & np.uint64(63))
             masks = np.bitwise_or.reduceat(one, first) if len(first) else one
