@@ -61,24 +61,22 @@ def quotas(sizes: list[int], wanted: list[float], block: int, repeats: int = REP
     round's permutation, the last of them cut. A stream's last block may be short: its place
     in that order, which the inverse permutation tells, decides how many draws there are.
     """
-    out = []
-    for source, (size, target) in enumerate(zip(sizes, wanted, strict=True)):
-        n, target = -(-size // block), min(round(target), repeats * size)
-        if not target:
-            out.append((n, 0, block))
-            continue
-        rounds, rest = divmod(target, size)
-        tail = size - (n - 1) * block
-        if not rest:
-            out.append((n, rounds * n, block))
-            continue
-        short = int(permute(np.array([n - 1]), n, round_key(seed, source, rounds), inverse=True)[0])
-        words = lambda q, short=short, tail=tail: block * q - (block - tail if short < q else 0)
-        draws = -(-rest // block)
-        if words(draws) < rest:
-            draws = -(-(rest + block - tail) // block)
-        out.append((n, rounds * n + draws, rest - words(draws - 1)))
-    return out
+    size = np.array(sizes, np.int64)
+    target = np.minimum([round(w) for w in wanted], repeats * size).astype(np.int64)
+    n = -(-size // block)
+    rounds, rest = np.divmod(target, np.maximum(size, 1))
+    tail = size - (n - 1) * block
+    draws, last = rounds * n, np.full(len(size), block, np.int64)
+    at = np.flatnonzero(rest > 0)
+    if len(at):
+        key = round_key(seed, 0, rounds[at]) + (at.astype(np.uint64) << np.uint64(8))
+        short = permute(n[at] - 1, n[at], key, inverse=True).astype(np.int64)
+        words = lambda q: block * q - np.where(short < q, block - tail[at], 0)
+        q = -(-rest[at] // block)
+        q = np.where(words(q) < rest[at], -(-(rest[at] + block - tail[at]) // block), q)
+        draws[at] += q
+        last[at] = rest[at] - words(q - 1)
+    return list(zip(n.tolist(), draws.tolist(), last.tolist(), strict=True))
 
 
 def shard_counts(draws: list[int], slots: int, seed: int | list[int]) -> Iterator[np.ndarray]:
@@ -94,18 +92,19 @@ def shard_counts(draws: list[int], slots: int, seed: int | list[int]) -> Iterato
         yield counts
 
 
-def _slots(quota: list[tuple[int, int, int]], block: int, slots: int, seed: int):
-    """Groups of shards (first shard, first draws and draws of the sources) to slots."""
+def _slots(shared, block: int, slots: int, seed: int):
+    """Groups of shards (first shard, first draws and draws of the sources) to slots; ``shared`` has the quotas."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quota = shared.value
         for b in rows:
-            for shard, used, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                used = np.array(used, np.int64)
+            for shard, used, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                used, counts = (c.values.to_numpy().astype(np.int64) for c in (used, counts))
                 for at, own in enumerate(shard_counts(counts, slots, [seed, 1, shard])):
                     source = np.repeat(np.arange(len(own)), own)
                     slot = np.arange(len(source))
                     draw = used[source] + slot - np.repeat(np.cumsum(own) - own, own)
-                    n, all_, last = (np.array(x, np.int64)[source] for x in zip(*quota, strict=True))
+                    n, all_, last = quota[:, source]
                     rounds, place = np.divmod(draw, n)
                     index = permute(place, n, round_key(seed, 0, rounds) + (source.astype(np.uint64) << np.uint64(8)))
                     most = np.where(draw == all_ - 1, last, block)
@@ -126,14 +125,14 @@ class Mixture:
     source_index, round, block, most), ``most`` words of the block being taken. Every shard
     but the last has ``slots`` slots. Shards are drawn in tasks, by at most ``groups``
     groups; the groups' source counts, drawn on the driver, are at most 4 million numbers. Sources are at most
-    ``max_sources`` (one number each on the driver). Null sources are a source of their
+    ``max_sources``, a few numbers each on the driver; of over ``sent_sources`` these meet the rows by a shuffle. Null sources are a source of their
     own, the last; null and empty texts have no words and are never taken; repeated rows
     each have a place in the stream. An empty table has no sources and no slots.
     """
 
     def __init__(
         self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = 64,
-        slots: int = 4096, seed: int = 0, keep: list[str] | None = None, max_sources: int = 100_000, groups: int = 4096,
+        slots: int = 4096, seed: int = 0, keep: list[str] | None = None, max_sources: int = 1_000_000, groups: int = 4096, sent_sources: int = 100_000,
     ) -> None:
         spark = docs.sparkSession
         self.block, self.names = block, {c: fresh(docs, c) for c in ("size", "source_index", "part", "place", "first_word", "arrival")}
@@ -150,7 +149,8 @@ class Mixture:
         sums = rows.groupBy(F.col(f"`{source}`").alias("s"), F.col(part).alias("p")).agg(F.sum(size).alias("n"))
         if sums.select("s").distinct().count() > max_sources:
             raise ValueError(f"more than {max_sources} sources")
-        sums = [(r["s"], r["p"], r["n"]) for r in sums.collect()]  # at most partitions + sources rows
+        got = sums.toArrow()  # at most partitions + sources rows
+        sums = list(zip(*(got[c].to_pylist() for c in "spn"), strict=True))
         self.sources = sorted({s for s, _, _ in sums}, key=lambda s: (s is None, s or ""))
         number = {s: i for i, s in enumerate(self.sources)}
         starts, sizes = [], [0] * len(self.sources)
@@ -159,11 +159,15 @@ class Mixture:
             sizes[number[s]] += words
         self.sizes, self.targets = sizes, targets(sizes)
         quota = quotas(sizes, self.targets, block, seed=seed)
+        few = len(sums) <= sent_sources
+        self.sent = F.broadcast if few else (lambda df: df.hint("merge"))
 
         kind = rows.schema[source].dataType.simpleString()
-        starts = spark.createDataFrame(starts, f"s {kind}, i long, p long, start long")
+        columns = list(zip(*starts, strict=True)) if starts else [(), (), (), ()]
+        types = (got.schema.field("s").type, pa.int64(), pa.int64(), pa.int64())
+        starts = spark.createDataFrame(pa.table({c: pa.array(v, t) for c, v, t in zip(("s", "i", "p", "start"), columns, types, strict=True)}), f"s {kind}, i long, p long, start long")
         narrow = rows.select(F.col(f"`{source}`").alias("s"), F.col(part).alias("p"), F.col(place).alias("at"), F.col(key).alias("key"), F.col(size).alias("n"))
-        narrow = narrow.join(F.broadcast(starts), narrow["s"].eqNullSafe(starts["s"]) & (narrow["p"] == starts["p"])).select(narrow["p"], "at", "key", "n", "i", "start")
+        narrow = narrow.join(self.sent(starts), narrow["s"].eqNullSafe(starts["s"]) & (narrow["p"] == starts["p"])).select(narrow["p"], "at", "key", "n", "i", "start")
         before = F.sum("n").over(Window.partitionBy("p", "i").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
         self.narrow = narrow.withColumn("first", F.col("start") + F.coalesce(before, F.lit(0))).drop("start")
         self.rows = rows
@@ -173,12 +177,15 @@ class Mixture:
         together = -(-shards // max(1, min(groups, (1 << 22) // max(1, len(sizes)))))  # shards of a group
         plan, used = [], np.zeros(len(sizes), np.int64)
         for group, counts in enumerate(shard_counts(draws, slots * together, [seed, 0]) if shards else ()):
-            plan.append((group * together, used.tolist(), counts.tolist()))
+            plan.append((group * together, used, counts))
             used = used + counts
         tasks = max(1, min(len(plan), partitions(docs)))
+        lists = (pa.array([p[k] for p in plan], pa.list_(pa.int64())) for k in (1, 2))
+        plan = pa.table({"shard": pa.array([p[0] for p in plan], pa.int64()), **dict(zip(("used", "counts"), lists, strict=True))})
         plan = spark.createDataFrame(plan, "shard long, used array<long>, counts array<long>").repartition(tasks, "shard")
+        shared = spark.sparkContext.broadcast(np.array(quota, np.int64).reshape(-1, 3).T)  # three numbers a source
         kinds = "shard long, slot long, source_index long, round long, block long, most long"
-        self.slots = plan.mapInArrow(_slots(quota, block, slots, seed), kinds)
+        self.slots = plan.mapInArrow(_slots(shared, block, slots, seed), kinds)
 
     def pieces(self) -> DataFrame:
         """One row per document and block it lies in: p, at, key, n, i, block, words lo to hi of the document."""
@@ -237,10 +244,9 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, and the words taken of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixture = Mixture(docs, keep=["doc_id", "source"])
-    sources = spark.createDataFrame(
-        [(i, n, t) for i, (n, t) in enumerate(zip(mixture.sizes, mixture.targets, strict=True))], "i long, source_size long, target double"
-    )
-    return mixture.taken().join(F.broadcast(sources), "i").select(
+    sources = pa.table({"i": pa.array(range(len(mixture.sizes)), pa.int64()), "source_size": pa.array(mixture.sizes, pa.int64()), "target": pa.array(mixture.targets, pa.float64())})
+    sources = spark.createDataFrame(sources, "i long, source_size long, target double")
+    return mixture.taken().join(mixture.sent(sources), "i").select(
         F.col("key").alias("doc_id"), F.col("n").alias("size"), "source_size", "target", "taken"
     )
 

@@ -74,3 +74,12 @@ def test_mixture_equals_sql(spark, small):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     assert sorted(map(tuple, got)) == sorted(duck.sql(mix.ORACLE_SQL).fetchall())
+
+
+def test_very_many_sources(spark):
+    """A source for every two documents: targets to the word, by a shuffle of what is known of the sources."""
+    n = 40_000
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"))
+    m = mix.Mixture(docs, block=8, keep=["doc_id", "source"], sent_sources=100)
+    got = m.taken().groupBy("i").agg(F.sum("taken").alias("t"), F.max(F.col("taken") - 2 * F.col("n")).alias("over")).collect()
+    assert len(got) == n and all(r["t"] == round(m.targets[r["i"]]) and r["over"] <= 0 for r in got)
