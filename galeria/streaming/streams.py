@@ -15,7 +15,7 @@ from galeria.streaming.inorder import after_first_stream, changes_stream, latest
 from galeria.streaming.snapshots import upsert_batches
 
 __all__ = [
-    "after_first", "changes", "cluster_stream", "debounced", "event_stream", "latest_values", "live_counts", "start_once", "switch_latest", "switched", "upsert_batches",
+    "after_first", "changes", "cluster_stream", "debounced", "event_stream", "latest_values", "live_counts", "periodic", "start_once", "switch_latest", "switched", "upsert_batches",
 ]
 
 
@@ -113,3 +113,8 @@ def start_once(spark: SparkSession, writer, name: str, replace: bool = False):
                 return query
             query.stop()
     return writer.queryName(name).start()
+
+
+def periodic(spark: SparkSession, writer, name: str, every: str):
+    """The running query of that name, or the writer started under it with a batch every ``every``, such as "24 hours"; a batch that takes longer delays the next."""
+    return start_once(spark, writer.trigger(processingTime=every), name)

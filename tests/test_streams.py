@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,21 @@ def test_values_wait_for_the_watermark(rocks, tmp_path):
     got = {r["event_id"]: (r["latest_view"], r["latest_buy"]) for r in rocks.read.parquet(f"{tmp_path}/late").collect()}
     assert got[1] == (1.0, None) and got[3] == (3.0, None) and got[2] == (3.0, 2.0) and got[4] == (4.0, None)
     assert 5 not in got and 6 not in got  # too late, and still waiting
+
+
+def test_a_periodic_job_runs_once_a_period(spark, tmp_path):
+    rows = lambda i: spark.createDataFrame([(i,)], "k long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    rows(0)
+    stream = spark.readStream.schema("k long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen = []
+    writer = stream.writeStream.option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda df, n: seen.append(df.count()))
+    query = ST.periodic(spark, writer, "backup", "1 hour")
+    try:
+        deadline = time.monotonic() + 60
+        while not seen and time.monotonic() < deadline:
+            time.sleep(0.2)
+        rows(1)
+        time.sleep(2)
+        assert seen == [1] and ST.periodic(spark, writer, "backup", "1 hour").id == query.id
+    finally:
+        query.stop()
