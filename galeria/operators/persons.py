@@ -173,26 +173,43 @@ def refreshed(persons: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 class Leaders:
-    """Online clusters of unit vectors: the nearest center takes a vector above the threshold, else a new one starts."""
+    """Online clusters of unit vectors: the nearest center takes a vector above the threshold, else a new one starts.
+
+    Centers are rows of one matrix, so a vector meets all of them in one product.
+    """
 
     def __init__(self, threshold: float, centers: list | None = None, counts: list | None = None) -> None:
-        self.threshold, self.centers, self.counts = threshold, [np.asarray(c, float) for c in centers or []], list(counts or [])
+        self.threshold, self.counts, self._held = threshold, [], np.empty((0, 0))
+        for c, n in zip(centers or [], counts or [], strict=True):
+            self.start(c, n)
+
+    @property
+    def centers(self) -> np.ndarray:
+        """The centers, a row each."""
+        return self._held[: len(self.counts)]
+
+    def start(self, center: np.ndarray, count: int = 1) -> int:
+        """A new cluster; returns its number."""
+        center, k = np.asarray(center, float), len(self.counts)
+        if k == len(self._held):
+            self._held = np.concatenate([self._held.reshape(-1, len(center)), np.empty((max(16, k), len(center)))])
+        self._held[k] = center
+        self.counts.append(int(count))
+        return k
 
     def add(self, v: np.ndarray) -> int:
         """The vector's cluster number; the center becomes the running mean at unit length."""
         v = np.asarray(v, float)
-        if self.centers:
-            sims = np.array([float(c @ v) for c in self.centers])
+        if self.counts:
+            sims = self.centers @ v
             best = int(sims.argmax())
             if sims[best] >= self.threshold:
                 n = self.counts[best]
-                mean = (self.centers[best] * n + v) / (n + 1)
+                mean = (self._held[best] * n + v) / (n + 1)
                 norm = np.linalg.norm(mean)
-                self.centers[best], self.counts[best] = mean / norm if norm > 0 else mean, n + 1
+                self._held[best], self.counts[best] = mean / norm if norm > 0 else mean, n + 1
                 return best
-        self.centers.append(v)
-        self.counts.append(1)
-        return len(self.centers) - 1
+        return self.start(v)
 
 
 def leader_clusters(faces: DataFrame, threshold: float, model: str = "model") -> DataFrame:
@@ -245,8 +262,7 @@ def regrouped(persons: DataFrame, faces: DataFrame, threshold: float, model: str
                 if m != at:
                     leaders, names, at = Leaders(threshold), [], m
                 if k == 0:
-                    leaders.centers.append(np.asarray(v, float))
-                    leaders.counts.append(int(n))
+                    leaders.start(v, n)
                     names.append(int(id_))
                 else:
                     i = leaders.add(v)
