@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark import InheritableThread
 from test_text_operators import components, words
 
 import corpus_pipeline
-from galeria.llm import mix, quality, shard
+from galeria.llm import dedup, mix, phrases, quality, shard, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +81,20 @@ def test_pipeline_equals_plain_python(spark, small):
     want = Counter((*o, p % 16, p // 16) for o, p in zip(order, places, strict=True))
     assert Counter((r["doc_id"], len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()), r["shard"], r["slot"]) for r in got) == want
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_operators_in_two_threads(spark, small):
+    """Two operators at once: neither clears what the other still reads."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    jobs = {
+        "dedup": lambda: sorted(tuple(r) for r in dedup.near_duplicates(docs, words=3, percent=85).collect()),
+        "phrases": lambda: sorted(tuple(r) for r in phrases.op13_collocations(spark, small).collect()),
+        "urls": lambda: sorted(tuple(r) for r in urls.op3_url_filter(spark, small).collect()),
+    }
+    alone, together = {n: f() for n, f in jobs.items()}, {}
+    threads = [InheritableThread(target=lambda n=n, f=f: together.update({n: f()})) for n, f in jobs.items()]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert together == alone
