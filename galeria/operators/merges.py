@@ -129,3 +129,40 @@ def replay_rejections(rejections: DataFrame, actions: DataFrame) -> DataFrame:
         out = checkpoint(out)
         keep.add(path_of(out))
     return out
+
+
+def replay_persons(persons: DataFrame, actions: DataFrame) -> DataFrame:
+    """``id, name`` of the persons that are left after the log's merges.
+
+    A merge deletes ``other_id``; a person without a name takes the name of the one that
+    goes, if it has one. So a person's name is its own, or that of the first person merged
+    into it that brings one, its own or one it took before. A person goes once, with its
+    first merge; merges of a person with itself and of or into nobody do nothing.
+    """
+    with scratch(persons.sparkSession) as keep:
+        log = timed(actions)
+        gone = log.where("kind = 'merge' AND person_id <> other_id").groupBy(F.col("other_id").alias("id"))
+        gone = gone.agg(F.min(F.struct("at", F.col("person_id").alias("kept"))).alias("m")).select("id", "m.at", "m.kept")
+        people = persons.select(F.col("id").cast("long").alias("id"), "name").dropDuplicates(["id"])
+        people = checkpoint(people.join(gone, "id", "left").select("id", "name", "at", "kept"))
+
+        # whoever has a named person below: marks go up by 1, 2, 4 ... merges
+        up = checkpoint(people.where("kept IS NOT NULL").select("id", F.col("kept").alias("to")))
+        marked = checkpoint(people.where("name IS NOT NULL").select("id"))
+        while not up.isEmpty():
+            marked = checkpoint(marked.union(marked.join(up, "id").select(F.col("to").alias("id"))).distinct())
+            up = checkpoint(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+
+        # an unnamed person looks at the first below that brings a name, and so on down to a named one
+        first = people.where("kept IS NOT NULL").join(marked, "id", "left_semi").groupBy(F.col("kept").alias("id")).agg(F.min_by("id", "at").alias("first"))
+        down = people.join(first, "id", "left").select("id", F.when(F.col("name").isNull(), F.col("first")).alias("to"))
+        down = checkpoint(down.select("id", F.coalesce("to", "id").alias("to")))
+        while True:
+            new = checkpoint(down.join(down.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")))
+            if new.join(down, ["id", "to"], "left_anti").isEmpty():
+                break
+            down = new
+        names = people.select(F.col("id").alias("to"), "name")
+        out = checkpoint(people.where("kept IS NULL").select("id").join(down, "id").join(names, "to").select("id", "name"))
+        keep.add(path_of(out))
+    return out

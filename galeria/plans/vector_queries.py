@@ -365,6 +365,20 @@ def replay_refresh(spark: SparkSession, d: str) -> DataFrame:
     return P.refreshed(p, moved)
 
 
+@query("""WITH RECURSIVE persons AS ({persons}), named AS (SELECT CAST(id AS BIGINT) AS id, CASE WHEN id % 4 = 3 THEN name END AS name FROM persons),
+ m AS (SELECT id AS other, id // 2 AS person, row_number() OVER (ORDER BY id DESC) AS k FROM named WHERE id > 1 AND id % 5 <> 4),
+ s AS (SELECT CAST(0 AS BIGINT) AS k, list({'id': id, 'name': name} ORDER BY id) AS p FROM named UNION ALL
+  SELECT m.k, list_transform(list_filter(p, lambda x: x.id <> m.other), lambda x: {'id': x.id, 'name': CASE WHEN x.id = m.person THEN coalesce(x.name, list_filter(p, lambda y: y.id = m.other)[1].name) ELSE x.name END}) FROM s JOIN m ON m.k = s.k + 1),
+ e AS (SELECT unnest(p) AS x FROM s WHERE k = (SELECT count(*) FROM m)) SELECT x.id AS id, x.name AS name FROM e""".replace("{persons}", T.SQL["persons"]), "")
+def replay_names(spark: SparkSession, d: str) -> DataFrame:
+    """People left after merges of each into the one of half its number, the last first; a third of the names is known before."""
+    i = F.col("id").cast("long")
+    p = T.persons(spark, d).select(i.alias("id"), F.when(i % 4 == 3, F.col("name")).alias("name"))
+    none = F.lit(None).cast("long")
+    log = p.where("id > 1 AND id % 5 <> 4").select((-i).alias("seq"), F.lit("merge").alias("kind"), none.alias("face_id"), F.floor(i / 2).alias("person_id"), i.alias("other_id"))
+    return G.replay_persons(p, log)
+
+
 @query("SELECT id, name FROM persons p WHERE NOT (name IS NULL AND id NOT IN (SELECT DISTINCT person_id FROM faces WHERE confirmed AND person_id IS NOT NULL))", "faces", "persons")
 def anti_unnamed_persons(spark: SparkSession, d: str) -> DataFrame:
     """People without those that have neither a name nor a confirmed face."""

@@ -156,6 +156,22 @@ def test_a_pair_that_both_persons_reject_stays_once(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 5), (2, 5)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_names_go_with_merges(spark, seed):
+    r = random.Random(seed)
+    people = {i: f"n{i}" if r.random() < 0.25 else None for i in range(60)}
+    state, log = dict(people), []
+    for seq in range(50):
+        kept, gone = r.sample(sorted(state), 2) if r.random() < 0.9 else [r.choice(sorted(state))] * 2
+        log.append((seq, "merge", None, kept, gone))
+        if kept != gone:
+            name = state.pop(gone)
+            state[kept] = state[kept] or name
+    log += [(99, "merge", None, None, 3), (100, "merge", None, 3, None), (101, "confirm", 1, 3, None)]
+    got = G.replay_persons(spark.createDataFrame(list(people.items()), "id long, name string"), spark.createDataFrame(log, LOG).repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted(state.items())
+
+
 def test_long_chains_and_empty_logs(spark):
     n = 3000
     log = spark.range(n).select(F.col("id").alias("seq"), F.lit("merge").alias("kind"), F.lit(None).cast("long").alias("face_id"), (F.col("id") + 1).alias("person_id"), F.col("id").alias("other_id"))
