@@ -130,7 +130,8 @@ def components(edges: DataFrame, few: int = 8192) -> DataFrame:
         kind = both.schema["a"].dataType
         return both.coalesce(1).mapInArrow(_united, T.StructType([T.StructField("v", kind), T.StructField("comp", kind)]))
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-    labels = checkpoint(labels.select("v", F.least("v", "m").alias("comp")))
+    # tables, as a checkpoint keeps the partitionings of all joins before it: twice as many each round
+    labels, path = stored(labels.select("v", F.least("v", "m").alias("comp")), "labels")
     while True:
         near = (
             both.join(labels.select(F.col("v").alias("b"), "comp"), "b")
@@ -139,10 +140,9 @@ def components(edges: DataFrame, few: int = 8192) -> DataFrame:
         )
         moved = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("v").alias("comp"), F.col("comp").alias("further"))
-        new = checkpoint(
-            moved.join(jump, "comp", "left").select("v", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        )
-        labels = new.select("v", "comp")
+        new, now = stored(moved.join(jump, "comp", "left").select("v", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
+        discard(edges.sparkSession, path)
+        labels, path = new.select("v", "comp"), now
         if new.where("comp <> old").isEmpty():
             return labels
 

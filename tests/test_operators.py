@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import threading
+import time
 
 import numpy as np
 import pandas as pd
@@ -299,6 +300,16 @@ def test_many_centers_meet_in_blocks(spark):
     assert P.assign_nearest(faces, centers.limit(0), no, 0.1).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    """Many rounds, each of which must cost as much as the one before."""
+    ids = np.random.default_rng(3).permutation(5000).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(4)
+    began = time.perf_counter()
+    out = components(edges, 0)
+    assert {(r["n"], r["m"]) for r in out.groupBy("comp").agg(F.count("*").alias("n"), F.min("v").alias("m")).collect()} == {(5000, 0)}
+    assert time.perf_counter() - began < 90
+
+
 def plain_pairs(rows, threshold, window):
     x = np.array([v for _, _, v in rows])
     s = x @ x.T
