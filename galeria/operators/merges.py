@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from galeria.operators.running import next_event
 from galeria.plans.numbering import numbered
-from galeria.plans.shared import checkpoint, path_of, scratch, stored
+from galeria.plans.shared import checkpoint, path_of, scratch
 
 ACTIONS = ("confirm", "assign", "reject", "unreject", "merge")
 
@@ -46,7 +46,7 @@ class Forest:
         while True:
             here = rounds[-1]
             further = here.select(F.col("merge").alias("to"), F.col("to").alias("next"))
-            new, _ = stored(here.join(further, "to").select("merge", F.col("next").alias("to")), "pointers")  # see ``components``
+            new = checkpoint(here.join(further, "to").select("merge", F.col("next").alias("to")), plain=True)
             if new.join(here, ["merge", "to"], "left_anti").isEmpty():
                 return Forest(m, rounds)
             rounds.append(new)
@@ -69,7 +69,7 @@ class Forest:
         rows = checkpoint(rows.join(first, ["person", "since"]).withColumn("merge", F.when(F.col("merge") < F.col("until"), F.col("merge"))))
         for pointers in reversed(self.rounds):
             met = rows.join(pointers, "merge", "left")
-            rows, _ = stored(met.select("person", "since", "until", F.when(F.col("to") < F.col("until"), F.col("to")).otherwise(F.col("merge")).alias("merge")), "there")
+            rows = checkpoint(met.select("person", "since", "until", F.when(F.col("to") < F.col("until"), F.col("to")).otherwise(F.col("merge")).alias("merge")), plain=True)
         out = rows.join(self.merges.select(F.col("at").alias("merge"), "kept"), "merge", "left")
         return out.select("person", "since", "until", F.coalesce("kept", "person").alias("there"))
 
@@ -150,15 +150,15 @@ def replay_persons(persons: DataFrame, actions: DataFrame) -> DataFrame:
         up = checkpoint(people.where("kept IS NOT NULL").select("id", F.col("kept").alias("to")))
         marked = checkpoint(people.where("name IS NOT NULL").select("id"))
         while not up.isEmpty():
-            marked, _ = stored(marked.union(marked.join(up, "id").select(F.col("to").alias("id"))).distinct(), "marked")
-            up, _ = stored(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "up")
+            marked = checkpoint(marked.union(marked.join(up, "id").select(F.col("to").alias("id"))).distinct(), plain=True)
+            up = checkpoint(up.join(up.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), plain=True)
 
         # an unnamed person looks at the first below that brings a name, and so on down to a named one
         first = people.where("kept IS NOT NULL").join(marked, "id", "left_semi").groupBy(F.col("kept").alias("id")).agg(F.min_by("id", "at").alias("first"))
         down = people.join(first, "id", "left").select("id", F.when(F.col("name").isNull(), F.col("first")).alias("to"))
         down = checkpoint(down.select("id", F.coalesce("to", "id").alias("to")))
         while True:
-            new, _ = stored(down.join(down.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), "down")
+            new = checkpoint(down.join(down.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to")), plain=True)
             if new.join(down, ["id", "to"], "left_anti").isEmpty():
                 break
             down = new

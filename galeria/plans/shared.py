@@ -47,14 +47,24 @@ def _made(spark: SparkSession, path: str) -> str:
 
 def path_of(df: DataFrame) -> str:
     """Where ``checkpoint`` put a frame's rows."""
-    return df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    return df.__dict__.get("rows_at") or df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives the loss of executors. Goes like a table of ``stored``."""
-    shared_dir(df.sparkSession)
+def checkpoint(df: DataFrame, plain: bool = False) -> DataFrame:
+    """Cut the lineage through the shared folder; survives the loss of executors. Goes like a table of ``stored``.
+
+    ``plain`` also cuts what Spark knows of the rows' partitioning. In loops it must go: a
+    join knows the partitionings of both its sides, so they would double each round; and a
+    join of plain frames shuffles both sides, which adaptive execution can split.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint(eager=True)
-    _made(df.sparkSession, path_of(out))
+    path = _made(spark, path_of(out))
+    if plain:
+        rows = out._jdf.queryExecution().toRdd()
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
+        out.__dict__["rows_at"] = path
     return out
 
 
@@ -118,31 +128,29 @@ def components(edges: DataFrame, few: int = 8192) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(v, comp)`` per vertex.
 
     ``comp`` is the smallest vertex reachable. At most ``few`` edge ends, a checked number,
-    are joined by one task. Of more, minimum labels travel along edges and each round also
-    jumps to the label's own label, so the rounds grow with the logarithm of a component's
-    diameter. All joins are keyed, with a plain shuffle of a checkpoint on each side, so
-    that adaptive execution splits the edges of a hub and the vertices of a large component;
-    minima combine before their shuffle.
+    are joined by one task. Of more, each vertex points to a smaller one. In every round a
+    vertex, and the one it points to, take the smallest that a neighbour's pointer points
+    to, and pointers are halved; so whole trees move at once and the rounds grow with the
+    logarithm of the vertices, long chains included. All joins are keyed, with a plain
+    shuffle of a checkpoint on each side, so that adaptive execution splits the edges of a
+    hub and the vertices of a large component; minima combine before their shuffle.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpoint(both.where("a <> b").distinct())
+    both = checkpoint(both.where("a <> b").distinct(), plain=True)
     if both.limit(few + 1).count() <= few:
         kind = both.schema["a"].dataType
         return both.coalesce(1).mapInArrow(_united, T.StructType([T.StructField("v", kind), T.StructField("comp", kind)]))
     labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
-    # tables, as a checkpoint keeps the partitionings of all joins before it: twice as many each round
-    labels, path = stored(labels.select("v", F.least("v", "m").alias("comp")), "labels")
+    labels = checkpoint(labels.select("v", F.least("v", "m").alias("comp")), plain=True)
+    none = F.lit(None).cast(both.schema["a"].dataType)
     while True:
-        near = (
-            both.join(labels.select(F.col("v").alias("b"), "comp"), "b")
-            .groupBy(F.col("a").alias("v"))
-            .agg(F.min("comp").alias("m"))
-        )
-        moved = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("v").alias("comp"), F.col("comp").alias("further"))
-        new, now = stored(moved.join(jump, "comp", "left").select("v", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        discard(edges.sparkSession, path)
-        labels, path = new.select("v", "comp"), now
+        labels = checkpoint(labels.join(jump, "comp").select("v", "comp", "further"), plain=True)
+        near = both.join(labels.select(F.col("v").alias("b"), "further"), "b").groupBy(F.col("a").alias("v")).agg(F.min("further").alias("m"))
+        moved = checkpoint(labels.join(near, "v").select("v", "comp", F.least("further", "m").alias("m")), plain=True)
+        new = moved.select("v", F.col("m").alias("new"), F.col("comp").alias("old")).union(moved.select("comp", "m", none))
+        new = checkpoint(new.groupBy("v").agg(F.min("new").alias("comp"), F.max("old").alias("old")), plain=True)
+        labels = new.select("v", "comp")
         if new.where("comp <> old").isEmpty():
             return labels
 
