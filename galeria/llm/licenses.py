@@ -207,16 +207,17 @@ FAMILIES = {
     "beerware": ("beer", "beer ?ware", "beerware", "beer ?ware"),
 }
 #: Its numbers are a possessive repeat, which Java's regex takes without recursion, however many there are.
-VERSION = "(?: (?:version |v ?)?[0-9]+(?: [0-9]+(?= ))*+(?: (?:international|unported|generic))?(?: (?:or|and)(?: any)? (?:later|newer)(?: versions?)?| only)?| or later| only)?"
+NUMBERS = "[0-9]+(?: [0-9]+(?= ))*+(?: (?:international|unported|generic))?(?: (?:or|and)(?: any)? (?:later|newer)(?: versions?)?| only)?"
+VERSION = "(?: (?:version |v ?)?" + NUMBERS + "| or later| only)?"
 GRANT = "(?:licensed|released|distributed|published|available|provided|covered|governed|offered|redistributed) "
-#: Families whose identifier also names a person, a program or a body: "provided by" one of them is no license.
+#: Families whose identifier also names a person, a program or a body: "provided by" one of them is no license without a version.
 NAMES = (
     "mit", "apache", "isc", "zlib", "bsl", "artistic", "psf", "php", "ruby", "openssl", "vim", "w3c", "x11", "curl", "postgresql", "ncsa", "mulan", "elastic", "unlicense", "beerware",
 )
 ARTICLE = "(?:the |a |an )?(?:terms of |conditions of |terms and conditions of )?(?:the )?"
-#: Forms of every family: (priority, confidence, words); {n}: the family's name, {i}: its identifier, {v}: a version, {by}: what leads to an identifier.
+#: Forms of every family: (priority, confidence, words); {n}: the family's name, {i}: its identifier, {v}: a version; {by}: what leads to the identifier, {more}: another way to it.
 FORMS = (
-    (2, 0.97, "(?:spdx license identifier |" + GRANT + "{by} " + ARTICLE + "){i}{v}"),
+    (2, 0.97, "(?:spdx license identifier |" + GRANT + "{by} " + ARTICLE + "){i}{v}{more}"),
     (2, 0.97, GRANT + "(?:under|by|subject to) " + ARTICLE + "{n} licen[cs]e{v}"),
     (3, 0.9, "(?:under|see|subject to) " + ARTICLE + "{n} licen[cs]e{v}"),
     (4, 0.8, "{n} licen[cs]e{v}"),
@@ -236,7 +237,10 @@ def rules() -> list[dict]:
     out = [(1, 1.0, label, keyword, words) for label, keyword, words in TEXTS] + [(2, 0.97, label, keyword, words) for label, keyword, words in NOTICES]
     for priority, confidence, words in FORMS:
         for label, (keyword, name, *short) in FAMILIES.items():
-            out.append((priority, confidence, label, keyword, words.format(n=name, i=short[-1], v=VERSION, by="(?:under|subject to)" if label in NAMES else "(?:under|by|subject to)")))
+            by, more = "(?:under|by|subject to)", ""
+            if label in NAMES:
+                by, more = "(?:under|subject to)", "|" + GRANT + "by " + ARTICLE + short[-1] + " (?:version |v ?)" + NUMBERS
+            out.append((priority, confidence, label, keyword, words.format(n=name, i=short[-1], v=VERSION, by=by, more=more)))
     return [
         {"id": k, "label": label, "gate": [" " + x for x in keyword.split("|")], "priority": p, "confidence": c, "pattern": f"(?<= )(?:{words})(?= )"}
         for k, (p, c, label, keyword, words) in enumerate(out)
