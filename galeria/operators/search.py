@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galeria.functions.scalars import dot
-from galeria.plans.shared import checkpoint, components, stored
+from galeria.plans.shared import checkpoint, components, partitions, stored
 
 
 def literal(vector: list[float]) -> Column:
@@ -85,25 +88,43 @@ def best_per_concept(vectors: DataFrame, concepts: list[tuple[int, list[float]]]
 def near_pairs(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000, block: int = 1 << 24, most_pivots: int = 2048) -> DataFrame:
     """``a, b``: items (``id``, ``ts_ms``, ``vector``) within the window whose vectors' product reaches the threshold.
 
-    An equi-join on time buckets, not a comparison of all pairs: the earlier item stands in
-    its bucket, the later one in its own and the one before. A bucket of more than ``block``
-    comparisons, such as one burst or one of missing times, goes through ``burst_pairs``.
+    Items meet by time buckets, not all with all: the earlier item stands in its bucket, the
+    later one in its own and the one before. A bucket is met as products of matrices, and
+    only vectors of one length meet. One of more than ``block`` comparisons, or of four times
+    their root in rows, such as one burst or one of missing times, goes through ``burst_pairs``.
     """
-    bucket = F.floor(F.col("ts_ms") / window_ms)
-    rows = items.select("id", F.col("ts_ms").alias("ts"), F.col("vector").alias("v"), bucket.alias("k"))
-    n = items.groupBy(bucket.alias("k")).agg(F.count("*").alias("n"))
-    size = n.join(n.select((F.col("k") - 1).alias("k"), F.col("n").alias("next")), "k", "left").withColumn("next", F.coalesce("next", F.lit(0)))
-    hot = checkpoint(size.where(F.col("n") * (F.col("n") + F.col("next")) > block).select("k", "n", "next"))
-    later = rows.withColumn("k", F.explode(F.array("k", F.col("k") - 1)))
-    calm, found = (rows, later), []
-    if not hot.isEmpty():
-        calm = tuple(df.join(hot.select("k"), "k", "left_anti") for df in calm)
-        found = [burst_pairs(rows, later, hot, threshold, window_ms, block, most_pivots)]
-    a, b = (df.select("k", *(F.col(c).alias(f"{c}{s}") for c in ("id", "ts", "v"))) for df, s in zip(calm, "ab", strict=True))
-    after = (F.col("tsa") < F.col("tsb")) | ((F.col("tsa") == F.col("tsb")) & (F.col("ida") < F.col("idb")))
-    met = a.join(b, "k").where(after & (F.col("tsb") - F.col("tsa") <= window_ms))
-    out = met.where(dot(F.col("va"), F.col("vb")) >= threshold).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-    return out.union(found[0]) if found else out
+    return _linked(items, threshold, window_ms, block, most_pivots, trees=False)
+
+
+def near_groups(items: DataFrame, threshold: float = 0.93, window_ms: int = 20 * 60 * 1000, block: int = 1 << 24, most_pivots: int = 2048) -> DataFrame:
+    """``id, grp``: the ``groups`` of ``near_pairs``, found without all the pairs.
+
+    A bucket, or a block of one, gives a tree for all that its pairs connect: fewer edges
+    than it has items. What is connected there already is not compared again.
+    """
+    return groups(_linked(items, threshold, window_ms, block, most_pivots, trees=True))
+
+
+def _linked(items: DataFrame, threshold: float, window_ms: int, block: int, most_pivots: int, trees: bool) -> DataFrame:
+    rows = items.select(F.floor(F.col("ts_ms") / window_ms).alias("k"), F.size("vector").alias("d"), "id", F.col("ts_ms").alias("ts"), F.col("vector").alias("v"))
+    rows, _ = stored(rows.where(F.col("k").isNotNull() & F.forall("v", lambda x: x.isNotNull())), "items")  # read four times
+    n = rows.groupBy("k", "d").agg(F.count("*").alias("n"))
+    size = n.join(n.select((F.col("k") - 1).alias("k"), "d", F.col("n").alias("next")), ["k", "d"], "left").withColumn("next", F.coalesce("next", F.lit(0)))
+    both = F.col("n") + F.col("next")
+    hot = checkpoint(size.where((F.col("n") * both > block) | (both > 4 * math.sqrt(block))))
+    sides = F.array(F.struct("k", F.lit(True).alias("own")), F.struct((F.col("k") - 1).alias("k"), F.lit(False).alias("own")))
+    calm = rows.withColumn("side", F.explode(sides)).select("side.*", "d", "id", "ts", "v")
+    lengths = [r["d"] for r in hot.select("d").distinct().collect()]
+    if lengths:
+        calm = calm.join(hot.select("k", "d"), ["k", "d"], "left_anti").select("k", "own", "d", "id", "ts", "v")
+    kind = T.StructType([T.StructField(c, rows.schema["id"].dataType) for c in "ab"])
+    dealt = calm.repartition(partitions(rows), "k", "d").sortWithinPartitions("k", "d", "ts")
+    out = dealt.mapInArrow(_buckets(threshold, window_ms, trees), kind)
+    for d in lengths:
+        ours = rows.where(F.col("d") == d).drop("d")
+        later = ours.withColumn("k", F.explode(F.array("k", F.col("k") - 1)))
+        out = out.union(burst_pairs(ours, later, hot.where(F.col("d") == d).drop("d"), threshold, window_ms, block, most_pivots, trees))
+    return out
 
 
 def burst_cells(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: float, block: int, most_pivots: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -114,8 +135,10 @@ def burst_cells(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: fl
     and the ring around it, as wide as that angle, in which it lies. Angles obey the triangle
     inequality: an item whose angle to a pivot is larger than to its own by over twice the
     threshold's has no partner there, and partners lie in the same ring or the next. So
-    nothing is lost. Cells of more than ``block`` comparisons are dealt out: ``p`` are slices
-    of the earlier items, ``q`` of the later ones. Vectors must have one length.
+    nothing is lost. Where the sample shows that pivots would rule out too little for the
+    copies that they make, the bucket is one cell. Cells of more than ``block`` comparisons
+    are dealt out: ``p`` are slices of the earlier items, ``q`` of the later ones. Vectors
+    must have one length.
     """
     both = rows.select("k", "id", "v").join(hot, "k")
     share = F.least(F.lit(1.0), F.lit(1.5 * SAMPLE) / F.col("n"))
@@ -124,13 +147,14 @@ def burst_cells(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: fl
     drawn = drawn.withColumn("r", first).where(F.col("r") <= SAMPLE).select("k", F.col("v").cast("array<double>").alias("v"))
     longest = later.join(hot, "k").groupBy("k").agg(F.max(_norm("v")).alias("longest"))
     per = hot.join(longest, "k").withColumn("slices", F.ceil((F.col("n") + F.col("next")) / F.lit(4096.0)))
-    pivots = drawn.join(per.select("k", "longest"), "k").groupBy("k").applyInArrow(_spread(threshold, most_pivots), "k long, pivots array<array<double>>")
+    about = per.select("k", "longest", (F.col("n") + F.col("next")).alias("rows"))
+    pivots = drawn.join(about, "k").groupBy("k").applyInArrow(_spread(threshold, most_pivots, math.sqrt(block)), "k long, pivots array<array<double>>")
     per = checkpoint(per.join(pivots, "k", "left"))
 
     def angles(df: DataFrame, own: bool) -> DataFrame:
         parts = per.select("k", "pivots", "longest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
-        met = df.join(per.select("k", "slices"), "k").select("k", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "ts", F.col("v").cast("array<double>").alias("v"))
-        kind = "k long, id long, ts long, v array<double>, cell int"
+        met = df.join(per.select("k", "slices"), "k").select("k", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "ts", "v")
+        kind = T.StructType([df.schema[c] for c in ("k", "id", "ts", "v")]).add("cell", T.IntegerType())
         return met.groupBy("k", "slice").cogroup(parts.groupBy("k", "slice")).applyInArrow(_angles(threshold, own), kind)
 
     homes, _ = stored(angles(rows, True), "homes")
@@ -147,11 +171,11 @@ def burst_cells(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: fl
     return a.select(*columns), b.select(*columns)
 
 
-def burst_pairs(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: float, window_ms: int, block: int, most_pivots: int = 2048) -> DataFrame:
+def burst_pairs(rows: DataFrame, later: DataFrame, hot: DataFrame, threshold: float, window_ms: int, block: int, most_pivots: int = 2048, trees: bool = False) -> DataFrame:
     """``a, b`` of the hot buckets: the cells of ``burst_cells`` met block by block, as products of matrices."""
     a, b = burst_cells(rows, later, hot, threshold, block, most_pivots)
-    keys = ["k", "cell", "p", "q"]
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_products(threshold, window_ms), "a long, b long")
+    keys, kind = ["k", "cell", "p", "q"], T.StructType([T.StructField(c, rows.schema["id"].dataType) for c in "ab"])
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(_products(threshold, window_ms, trees), kind)
 
 
 def _norm(v: str) -> Column:
@@ -161,7 +185,8 @@ def _norm(v: str) -> Column:
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 #: Slack of angles in radians, rings of a pivot at most, and items of a bucket that its pivots are chosen from.
@@ -176,8 +201,12 @@ def _far(threshold: float, longest: float | None) -> float | None:
     return None if limit > 1 + SLACK else math.acos(min(1.0, limit)) + SLACK
 
 
-def _spread(threshold: float, most: int):
-    """A bucket's sample to its pivots: each next one is the item farthest from those before, until all are near one."""
+def _spread(threshold: float, most: int, side: float):
+    """A bucket's sample to its pivots: each next one is the item farthest from those before, until all are near one.
+
+    None are left where meeting the whole bucket costs less, a copy of an item counting as
+    ``side`` / 64 products; an item stands in up to three rings of each pivot that it visits.
+    """
 
     def run(sample: pa.Table) -> pa.Table:
         x, far = _matrix(sample["v"]), _far(threshold, sample["longest"][0].as_py())
@@ -191,6 +220,11 @@ def _spread(threshold: float, most: int):
                 at = int(nearest.argmin())
                 if nearest[at] >= close:
                     break
+            angle = np.arccos(np.clip(x @ x[chosen].T, -1, 1))
+            visits, homes = angle - angle.min(1)[:, None] <= 2 * far, np.bincount(angle.argmin(1), minlength=len(chosen))
+            share, copies = float(homes @ visits.sum(0)) / len(x) ** 2, 3 * visits.sum() / len(x)
+            if share + copies * side / 64 / sample["rows"][0].as_py() >= 1:
+                chosen = []
         return pa.table({"k": sample["k"].slice(0, 1), "pivots": pa.array([x[chosen].tolist()], pa.list_(pa.list_(pa.float64())))})
 
     return run
@@ -225,31 +259,119 @@ def _angles(threshold: float, own: bool):
     return run
 
 
-def _products(threshold: float, window_ms: int, rows: int = 1024):
-    """Earlier and later items of a block to the pairs that reach the threshold.
+def _meet(first: pa.Table, second: pa.Table, threshold: float, window_ms: int, trees: bool, rows: int = 256) -> Iterator[pa.Table]:
+    """Earlier and later items (``id``, ``ts``, ``v``) to the pairs ``a, b`` that reach the threshold, or to trees of what these connect.
 
     Products near the threshold are added again in the order of the elements, so they are
-    those of ``dot``.
+    those of ``dot``. A tree is a star about its smallest id; an item that pairs with itself
+    is one of its own.
     """
+    if not first.num_rows or not second.num_rows:
+        return
+    first, second = (t.take(pc.sort_indices(t["ts"])).combine_chunks() for t in (first, second))
+    ids = pa.concat_arrays([c for t in (first, second) for c in t["id"].chunks])
+    code = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+    n = first.num_rows
+    (ta, xa), (tb, xb) = ((t["ts"].to_numpy(), _matrix(t["v"])) for t in (first, second))
+    with np.errstate(all="ignore"):
+        norm = max(np.sqrt((xa * xa).sum(1)).max() * np.sqrt((xb * xb).sum(1)).max(), 0.0)
+    slack = 1e-9 + 1e-15 * xa.shape[1] * norm if math.isfinite(norm) else math.inf
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            s = xa[i] @ xb[j].T
+            p, q = np.nonzero(~(s < threshold - slack))  # what is no number is larger than all numbers
+            s, p, q = s[p, q], i[p], j[q]
+            ok = (tb[q] - ta[p] <= window_ms) & ((ta[p] < tb[q]) | ((ta[p] == tb[q]) & (code[p] < code[n + q]) & known[p] & known[n + q]))
+            s, p, q = s[ok], p[ok], q[ok]
+            unsure = np.flatnonzero(~(np.abs(s - threshold) > slack))
+            total = np.zeros(len(unsure))
+            for c in range(xa.shape[1] if len(unsure) else 0):
+                total += xa[p[unsure], c] * xb[q[unsure], c]
+        s[unsure] = total
+        keep = ~(s < threshold)
+        return p[keep], n + q[keep]
+
+    tree, own = np.arange(code.max() + 1), np.zeros(code.max() + 1, bool)
+    for at in range(0, n, rows):
+        i = np.arange(at, min(n, at + rows))
+        j = np.arange(np.searchsorted(tb, ta[i[0]], "left"), np.searchsorted(tb, ta[i[-1]] + window_ms, "right"))
+        if not len(j):
+            continue
+        if not trees:
+            p, q = pairs(i, j)
+            yield pa.table({"a": ids.take(pa.array(p)), "b": ids.take(pa.array(q))})
+            continue
+        largest = np.bincount(tree[code[n + j]]).argmax()  # its items need not meet each other
+        inside = (tree[code[i]] == largest) & (np.count_nonzero(tree == largest) > 1)
+        for i_, j_ in ((i[~inside], j), (i[inside], j[tree[code[n + j]] != largest])):
+            if len(i_) and len(j_):
+                p, q = (code[x] for x in pairs(i_, j_))
+                own[p[p == q]] = True
+                _unite(tree, p, q)
+    if trees:
+        _, where = np.unique(code, return_index=True)
+        leaves = np.flatnonzero((tree != np.arange(len(tree))) | own)
+        a, b = where[tree[leaves]], where[leaves]
+        yield pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+
+def _unite(tree: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Roots of numbers, the smallest of each tree, after edges between ``p`` and ``q``."""
+    while True:
+        a, b = tree[p], tree[q]
+        other = a != b
+        if not other.any():
+            return
+        p, q, a, b = p[other], q[other], a[other], b[other]
+        np.minimum.at(tree, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := tree[tree], tree):
+            tree[:] = up
+
+
+def _buckets(threshold: float, window_ms: int, trees: bool, each: int = 1 << 16):
+    """Rows in the order of (``k``, ``d``, ``ts``) to what ``_meet`` gives of each bucket; one bucket is held at a time."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, d = batch.column("k").to_numpy(), batch.column("d").to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (d[1:] != d[:-1])) + 1).tolist(), len(k)]
+            for lo, hi in pairwise(cuts):
+                if held and key != (k[lo], d[lo]):
+                    yield from meet(held)
+                    held = []
+                key = (k[lo], d[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from meet(held)
+
+    def meet(held: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        rows = pa.Table.from_batches(held)
+        return _meet(rows.filter(rows["own"]), rows, threshold, window_ms, trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for t in found(batches):
+            out, n = [*out, t] if t.num_rows else out, n + t.num_rows
+            if n >= each:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out, n = [], 0
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return run
+
+
+def _products(threshold: float, window_ms: int, trees: bool = False):
+    """Earlier and later items of a block to what ``_meet`` gives of them."""
 
     def run(first: pa.Table, second: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if first.num_rows and second.num_rows:
-            (ia, ta, xa), (ib, tb, xb) = ((t["id"].to_numpy(), t["ts"].to_numpy(), _matrix(t["v"])) for t in (first, second))
-            for at in range(0, len(ia), rows):
-                i, t, x = ia[at : at + rows, None], ta[at : at + rows, None], xa[at : at + rows]
-                s = x @ xb.T
-                ok = (s >= threshold - 1e-9) & (tb - t <= window_ms) & ((t < tb) | ((t == tb) & (i < ib)))
-                p, q = np.nonzero(ok)
-                unsure = np.flatnonzero(np.abs(s[p, q] - threshold) <= 1e-9)
-                keep = s[p, q] >= threshold
-                for u in unsure:
-                    total = 0.0
-                    for v, w in zip(x[p[u]].tolist(), xb[q[u]].tolist(), strict=True):
-                        total += v * w
-                    keep[u] = total >= threshold
-                out.append((i[p[keep], 0], ib[q[keep]]))
-        return pa.table({n: pa.array(np.concatenate([np.empty(0, np.int64), *(o[j] for o in out)])) for j, n in enumerate("ab")})
+        found = list(_meet(first, second, threshold, window_ms, trees))
+        return pa.concat_tables(found) if found else pa.table({c: first["id"].slice(0, 0) for c in "ab"})
 
     return run
 

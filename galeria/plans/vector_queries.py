@@ -131,7 +131,7 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(_recursive("SELECT id, grp FROM g"), "")
 def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of photos that look alike."""
-    return V.groups(V.near_pairs(photos(spark, d), 0.25))
+    return V.near_groups(photos(spark, d), 0.25)
 
 
 @query(_recursive("""SELECT g.id, grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY is_favorite DESC, width::BIGINT * height DESC, size DESC, ts_ms, g.id) AS INT) AS rank,
@@ -139,7 +139,7 @@ def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 def dup_keep_best(spark: SparkSession, d: str) -> DataFrame:
     """The best photo of each group, and the others preselected."""
     p = photos(spark, d)
-    return C.best_first(p.join(V.groups(V.near_pairs(p, 0.25)), "id"), "grp").select("id", "grp", "rank", "preselected")
+    return C.best_first(p.drop("vector").join(V.near_groups(p, 0.25), "id"), "grp").select("id", "grp", "rank", "preselected")
 
 
 @query("""WITH t AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN vec_id % 20 = 0 THEN 0.0::DOUBLE ELSE x::DOUBLE * 3 END) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM t)

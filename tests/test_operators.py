@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import threading
 import time
 
@@ -336,6 +337,43 @@ def test_bursts_lose_no_pair(spark, threshold, length):
     assert want or threshold > 1
 
 
+@pytest.mark.parametrize(("threshold", "block"), [(0.3, 1 << 24), (0.3, 200), (0.93, 200), (-0.1, 200)])
+def test_groups_need_no_pairs(spark, threshold, block):
+    """Trees of links: fewer edges than a block has items, groups as of all pairs; ids may repeat, vectors miss parts."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 16))
+    x[:40] = x[0] + 0.1 * x[:40]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, int(rng.integers(0, 6000)), v.tolist()) for i, v in enumerate(x)]
+    rows += [(7, 100, [1.0] + [0.0] * 15), (900, 9000, [1.0, 1.0]), (900, 9001, [1.0, 1.0]), (901, 9001, [None, 1.0]), (902, 9001, None), (903, 9001, [math.nan, 1.0])]
+    df = spark.createDataFrame(rows, "id long, ts_ms long, vector array<double>")
+    pairs = [tuple(r) for r in V.near_pairs(df, threshold, 1000, block=block, most_pivots=9).collect()]
+    sound = [r for r in rows if r[2] and None not in r[2]]
+    assert sorted(pairs) == sorted(
+        (a, b) for a, ta, v in sound for b, tb, w in sound
+        if len(v) == len(w) and (ta, a) < (tb, b) and tb - ta <= 1000 and not sum(p * q for p, q in zip(v, w, strict=True)) < threshold
+    )
+    made = spark.createDataFrame(pairs, "a long, b long")
+    got = V.near_groups(df, threshold, 1000, block=block, most_pivots=9).collect()
+    assert len(pairs) > 200 and sorted(map(tuple, got)) == sorted(map(tuple, V.groups(made).collect())) and (900, 900) in map(tuple, got)
+
+
+def test_groups_of_dense_times_have_few_edges(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 4000)), v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 4)))]
+    df = spark.createDataFrame(rows, "id long, ts_ms long, vector array<double>")
+    edges = V._linked(df, 0.25, 1000, 1 << 24, 2048, trees=True)
+    assert V.near_pairs(df, 0.25, 1000).count() > 100 * len(rows) and edges.count() <= 2 * len(rows)
+
+
+def test_bursts_without_structure_are_not_copied_to_pivots(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"id": np.arange(3000), "ts": 0, "v": rng.normal(size=(3000, 64)).tolist()})
+    rows = spark.createDataFrame(pdf, "id long, ts long, v array<double>").withColumn("k", F.lit(0).cast("long"))
+    a, b = V.burst_cells(rows, rows, spark.createDataFrame([(0, 3000, 0)], "k long, n long, next long"), 20.0, 1 << 20)
+    assert a.count() + b.count() <= 4 * 3000 * 3
+
+
 def test_bursts_multiply_few(spark):
     """A burst of 20,000 photos of 100 scenes: cells hold a tenth of all pairs at most."""
     rng = np.random.default_rng(6)
