@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -96,6 +97,19 @@ def test_encoders_equal_a_public_library():
         assert K.piece_ids(text, vocab, ranks, 0) == theirs.encode(text.replace(" ", "▁")).ids
 
 
+def test_encoders_give_ids_by_slices():
+    """A batch of 40 MB of text: its ids never stand in memory at once."""
+    texts = ["ab " * 33_000] * 400 + [None, ""]
+    encode = K.tokenizer("pieces", {"<unk>": 0, "a": 1, "b": 2, "▁": 3}, [], length=7).func
+    assert [len(x) for x in K.slices(pa.array(texts))] == [10] * 39 + [12]
+    assert [len(x) for x in K.slices(pa.array(["x" * 9, "", None, "xy", "z"]), 2)] == [1, 3, 1] and not list(K.slices(pa.array([], pa.string())))
+    got = list(encode(iter([pa.array(texts[:2] + texts[-2:])])))
+    assert [r for x in got for r in x.to_pylist()] == [[1, 2, 3, 1, 2, 3, 1]] * 2 + [None, [1, 0, 0, 0, 0, 0, 0]]
+    encode = K.tokenizer("pieces", {"<unk>": 0, "a": 1, "b": 2, "▁": 3}, []).func
+    sizes = [x.nbytes for x in encode(iter([pa.array(texts[:25])]))]
+    assert len(sizes) == 3 and max(sizes) < 5 << 20
+
+
 def test_tokenizer_files(spark, tmp_path):
     model = {"vocab": {"a": 5, "b</w>": 6, "ab</w>": 7, "b": 8, " c": 9, "<unk>": 3}, "merges": ["a b</w>", "a b</w>", ["a", "b"], "x y"], "end_of_word_suffix": "</w>", "unk_token": "<unk>"}
     data = {"model": model, "added_tokens": [{"id": 1, "content": "<|startoftext|>"}, {"id": 2, "content": "<|endoftext|>"}, {"id": 99, "content": "a"}]}
