@@ -86,9 +86,13 @@ def systematic_sample(items: DataFrame, samples: int, *order: Column) -> DataFra
 
 
 def best_first(items: DataFrame, group: str) -> DataFrame:
-    """Rank in the group: favourites, then pixels, bytes and age; all but the first are preselected for deletion."""
+    """Rank in the group: favourites, then pixels, bytes and age; all but the first are preselected for deletion.
+
+    Ranks are a prefix scan over range partitions, so a large group is spread over them; it
+    writes all columns of ``items`` once.
+    """
     order = (F.desc("is_favorite"), F.desc(F.col("width").cast("long") * F.col("height")), F.desc("size"), F.asc("ts_ms"), F.asc("id"))
-    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = prefix_scan(items, [group], list(order), Running(number="rank")).withColumn("rank", F.col("rank").cast("int"))
     return ranked.withColumn("preselected", F.col("rank") > 1)
 
 

@@ -372,6 +372,24 @@ def test_groups_need_no_pairs(spark, threshold, block):
     assert len(pairs) > 200 and sorted(map(tuple, got)) == sorted(map(tuple, V.groups(made).collect())) and (900, 900) in map(tuple, got)
 
 
+def test_a_large_group_is_ranked_by_many_tasks(spark):
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame(rng.integers(0, 4, size=(4000, 5)), columns=["is_favorite", "width", "height", "size", "ts_ms"])
+    pdf["id"], pdf["grp"] = np.arange(4000), np.where(np.arange(4000) < 3900, 5.0, np.where(np.arange(4000) < 3950, 6, np.nan))
+    df, _ = stored(spark.createDataFrame(pdf).withColumn("grp", F.nanvl("grp", F.lit(None).cast("double"))), "ranked")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the small result goes to one task in the end
+    try:
+        out = C.best_first(df, "grp").withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert out[out["grp"] == 5]["task"].nunique() > 1 and dict(C.best_first(df, "grp").dtypes)["rank"] == "int"
+    pdf["pixels"] = pdf["width"] * pdf["height"]
+    want = pdf.sort_values(["is_favorite", "pixels", "size", "ts_ms", "id"], ascending=[False, False, False, True, True])
+    want["rank"] = want.groupby("grp", dropna=False).cumcount() + 1
+    assert dict(zip(out["id"], out["rank"], strict=True)) == dict(zip(want["id"], want["rank"], strict=True))
+    assert ((out["rank"] > 1) == out["preselected"]).all()
+
+
 def test_groups_of_dense_times_have_few_edges(spark):
     rng = np.random.default_rng(8)
     rows = [(i, int(rng.integers(0, 4000)), v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 4)))]
